@@ -1,0 +1,41 @@
+"""Joins with a side that is small as a rule but not by promise."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000  # rows of a narrow table that may be sent to every executor
+SALTS = 64
+
+
+def bounded(side: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame | None:
+    """``side`` as a local table when it has at most ``limit`` rows, else None.
+
+    Reads at most ``limit + 1`` narrow rows to the driver.
+    """
+    rows = side.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return None
+    return side.sparkSession.createDataFrame(rows, side.schema)
+
+
+def join_by_size(big: DataFrame, side: DataFrame, keys: list[str], how: str,
+                 limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Join on keys that are unique in ``side`` but may be very frequent in ``big``.
+
+    Up to ``limit`` rows the side is broadcast after that size was checked.
+    Beyond it both sides are shuffled on the key and a salt, so a frequent key
+    of ``big`` is spread over several tasks.
+    """
+    small = bounded(side, limit)
+    if small is not None:
+        return big.join(F.broadcast(small), keys, how)
+    return salted_join(big, side, keys, how)
+
+
+def salted_join(big: DataFrame, side: DataFrame, keys: list[str], how: str, salts: int = SALTS) -> DataFrame:
+    plain = [f.name for f in big.schema.fields if "map<" not in f.dataType.simpleString()]
+    spread = big.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
+    copied = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread.join(copied, [*keys, "_salt"], how).drop("_salt")
