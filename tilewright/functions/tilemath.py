@@ -147,7 +147,7 @@ def box_touches_tile(u0, v0, u1, v1, z: Column, x: Column, y: Column) -> Column:
 
 def address_problem(z: Column, x: Column, y: Column) -> Column:
     """Reason a tile address is refused, NULL when it is good."""
-    across = F.shiftleft(F.lit(1).cast("bigint"), F.least(z, F.lit(MAX_ZOOM)).cast("int"))
+    across = tiles_across(F.least(z, F.lit(MAX_ZOOM)))
     return (
         F.when(z.isNull() | x.isNull() | y.isNull(), "not an integer")
         .when((z < 0) | (z > MAX_ZOOM), "zoom out of range")

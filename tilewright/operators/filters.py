@@ -24,9 +24,11 @@ from tilewright.functions.types import type_bucket
 from tilewright.model import Layer
 
 # fixed values: texts that never belong in a filter
-FORBIDDEN = (
-    r"(?i)(;|--|/\*|\*/|\$\$|::|\b(SELECT|UPDATE|DELETE|INSERT|MERGE|ALTER|DROP|CREATE|GRANT|REVOKE|CALL|EXECUTE|WITH)\b)"
-)
+KEYWORDS = ("SELECT", "UPDATE", "DELETE", "INSERT", "MERGE", "ALTER", "DROP", "CREATE", "GRANT", "REVOKE", "CALL",
+            "EXECUTE", "WITH")
+MARKS = (";", "--", r"/\*", r"\*/", r"\$\$", "::")
+# words end at ASCII letters, digits and underscore only, whatever the regex engine's idea of a word is
+FORBIDDEN = f"(?i)({'|'.join(MARKS)}|(?<![A-Za-z0-9_])({'|'.join(KEYWORDS)})(?![A-Za-z0-9_]))"
 NUMBER = re.compile(r"-?\d+(\.\d+)?")
 COMPARE = {
     "=": lambda c, v: c == v,

@@ -45,7 +45,8 @@ def shape_commands(parts: Column, srid: Column, code: Column, z: Column, x: Colu
     def encode(p: pa.Array, s: pa.Array, g: pa.Array, tz: pa.Array, tx: pa.Array, ty: pa.Array) -> pa.Array:
         return batch_commands(p, *[np.asarray(a) for a in (s, g, tz, tx, ty)], extent, margin)
 
-    return encode(parts, srid, code, z, x, y)
+    # not pushed into filters, where it would run a second time
+    return encode.asNondeterministic()(parts, srid, code, z, x, y)
 
 
 class Paths:
