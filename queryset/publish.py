@@ -1 +1,139 @@
+from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from queryset.fixtures import covered, duck, fixture, layer, table
+from queryset.registry import query
+from tilewright.functions.text import etag, strip
+from tilewright.operators import publish as ops
+from tilewright.operators.versions import fold_versions, invalidated_keys
+from tilewright.plans.tiles import tile_pyramid
+
+EMPTY = "44136fa355b3678a"  # fixed value: hash of no parameters
+
+
+# parameters of each request, with blanks, duplicates and missing values
+PARAMETERS = """
+select req_id, layer as catalog_id, case when req_id % 5 = 0 then null else cast(req_id % 7 as string) end as version, z, x,
+ cast((req_id*31) % 150 as int) as y,
+ case req_id % 4 when 0 then ' status = ''a'' ' when 1 then '  ' else null end as "where",
+ case req_id % 3 when 0 then ' geom' else null end as geom,
+ case req_id % 5 when 0 then ' name, id ,,name' when 1 then ' , ' when 2 then 'b,a' else null end as properties,
+ case when req_id % 2 = 0 then 4096 end as extent, case when req_id % 7 = 0 then 64 end as buffer,
+ case req_id % 6 when 0 then true when 1 then false end as clip,
+ case req_id % 11 when 0 then 'Own' else null end as layer_name,
+ case req_id % 8 when 0 then ' t1 ' when 1 then '' else null end as tenant_id
+from request_log"""
+
+
+def _trim(c: str) -> str:
+    return f"nullif(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'), '')"
+
+
+def _item(name: str, value: str) -> str:
+    return f"""case when {value} is not null then concat('"{name}":', {value}) end"""
+
+
+def _quoted(value: str) -> str:
+    return f"""('"' || {value} || '"')"""
+
+
+PROPS = """list_sort(list_distinct(list_filter(list_transform(string_split(properties, ','),
+ lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '')))"""
+JSON_SQL = f"""concat('{{', concat_ws(',', {_item('buffer', 'cast(buffer as varchar)')}, {_item('clip', 'cast(clip as varchar)')},
+ {_item('extent', 'cast(extent as varchar)')}, {_item('geom', _quoted(_trim('geom')))},
+ {_item('layerName', _quoted(_trim('layer_name')))},
+ case when len({PROPS}) > 0 then concat('"properties":["', array_to_string({PROPS}, '","'), '"]') end,
+ {_item('tenantId', _quoted(_trim('tenant_id')))}, {_item('where', _quoted(_trim('"where"')))}), '}}')"""
+
+
+@query("tile_keys", f"""{duck('request_log')}, parameters as ({PARAMETERS})
+select req_id, concat('mvt:v1:', lower({_trim('catalog_id')}), ':d', coalesce(version, '1'), ':z', cast(z as varchar), ':x',
+ cast(x as varchar), ':y', cast(y as varchar), ':q', substr(sha256({JSON_SQL}), 1, 16),
+ coalesce(':t' || {_trim('tenant_id')}, '')) as tile_key from parameters""")
+def tile_keys(spark, sf):
+    log = fixture(spark, sf, "request_log")
+    asked = spark.sql(PARAMETERS.replace('"where"', "`where`").replace("from request_log", "from {log}"), log=log)
+    return ops.tile_keys(asked).select("req_id", "tile_key")
+
+
+@query("etag", """select doc_id, concat('W/"', cast(octet_length(encode(text)) as varchar), '-', substr(md5(text), 1, 16), '"') as etag
+from documents where text <> '' union all select doc_id, 'W/"0-empty"' from documents where text = ''""")
+def etag_query(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", etag(F.col("text").cast("binary")).alias("etag"))
+
+
+def _key_sql(layer_name: str) -> str:
+    return f"""concat('mvt:v1:public.{layer_name}:d1:z', cast(z as varchar), ':x', cast(x as varchar), ':y', cast(y as varchar),
+ ':q{EMPTY}')"""
+
+
+@query("tiles_missing", f"""{duck('customer_pt', 'tile_requests')}
+select {_key_sql('customer_pt')} as tile_key, z, x, y from tile_requests r
+where not exists (select 1 from ({covered('customer_pt', 0, 4)}) t where t.z = r.z and t.x = r.x and t.y = r.y)""")
+def tiles_missing(spark, sf):
+    made = layer(spark, sf, "customer_pt")
+    store = ops.publish_list(tile_pyramid(made, 0, 4), made.id)
+    asked = ops.tile_keys(fixture(spark, sf, "tile_requests").withColumn("catalog_id", F.lit(made.id)))
+    return ops.missing_tiles(asked, store).select("tile_key", "z", "x", "y")
+
+
+@query("tiles_changed", f"""{duck('customer_pt')},
+new_tiles as (select z, x, y, count(*) as n from ({covered('customer_pt', 0, 5)}) t where balance > 0 or id % 100 > 2 group by all),
+old_tiles as (select z, x, y, count(*) as n from ({covered('customer_pt', 1, 6)}) t where balance > 0 or id % 100 < 98 group by all),
+changed as (select distinct z, x, y from ({covered('customer_pt', 1, 5)}) t where balance <= 0 and (id % 100 <= 2 or id % 100 >= 98))
+select {_key_sql('customer_pt')} as tile_key, status from (
+ select coalesce(n.z, o.z) as z, coalesce(n.x, o.x) as x, coalesce(n.y, o.y) as y,
+  case when o.z is null then 'added' when n.z is null then 'removed' when c.z is not null then 'changed' else 'same' end as status
+ from new_tiles n full outer join old_tiles o on n.z = o.z and n.x = o.x and n.y = o.y
+ left join changed c on c.z = n.z and c.x = n.x and c.y = n.y) q""")
+def tiles_changed(spark, sf):
+    made = layer(spark, sf, "customer_pt")
+    keep, drop = (F.col("balance") > 0), F.col("id") % 100
+    new = tile_pyramid(made.with_frame(made.frame.filter(keep | (drop > 2))), 0, 5)
+    old = tile_pyramid(made.with_frame(made.frame.filter(keep | (drop < 98))), 1, 6)
+    return ops.compare_published(ops.publish_list(new, made.id), ops.publish_list(old, made.id)).select(
+        "tile_key", "status")
+
+
+@query("tiles_not_modified", """
+with docs as (select doc_id, concat('W/"', cast(octet_length(encode(text)) as varchar), '-', substr(md5(text), 1, 16), '"') as etag
+ from documents where text <> '')
+select doc_id, case when doc_id % 5 = 4 then 404 when doc_id % 5 in (0, 1) then 304 else 200 end as status from docs""")
+def tiles_not_modified(spark, sf):
+    docs = table(spark, sf, "documents").filter("text <> ''").select(
+        "doc_id", F.col("doc_id").cast("string").alias("tile_key"), etag(F.col("text").cast("binary")).alias("etag"))
+    i = F.col("doc_id") % 5
+    sent = F.when(i == 0, "*").when(i == 1, F.col("etag")).when(i == 2, 'W/"1-old"')
+    requests = docs.select("doc_id", "tile_key", sent.alias("if_none_match"))
+    return ops.not_modified(requests, docs.filter(i != 4)).select("doc_id", "status")
+
+
+FOLD_SQL = """, last_set as (select lower(layer) as layer, max(seq) as seq, arg_max(v, seq) as v from version_events
+  where op = 'set' group by all),
+folded as (select lower(e.layer) as layer, max(s.v) as v, count_if(e.op = 'bump' and (s.seq is null or e.seq > s.seq)) as bumps
+ from version_events e left join last_set s on s.layer = lower(e.layer) group by all),
+versions as (select layer, case when bumps = 0 then coalesce(v, '1') when v is null then cast(1 + bumps as varchar)
+ when regexp_full_match(v, '-?\\d+') then cast(cast(v as bigint) + bumps as varchar)
+ else cast(coalesce(nullif(try_cast(regexp_extract(v, '^\\s*([+-]?\\d+)', 1) as bigint), 0), 1) + bumps as varchar) end as version
+ from folded)"""
+
+
+@query("version_fold", f"{duck('version_events')}{FOLD_SQL} select * from versions")
+def version_fold(spark, sf):
+    return fold_versions(fixture(spark, sf, "version_events"))
+
+
+@query("invalidated_keys", f"""{duck('version_events', 'request_log')}{FOLD_SQL}
+select q.layer, q.tile_key, v.version as current_version from (
+ select req_id, lower(trim(layer)) as layer, case when req_id % 3 = 0 then '1' else cast(req_id % 40 as varchar) end as held,
+  concat('mvt:v1:', lower(trim(layer)), ':d', case when req_id % 3 = 0 then '1' else cast(req_id % 40 as varchar) end, ':z',
+   cast(z as varchar), ':x', cast(x as varchar), ':y0:q{EMPTY}') as tile_key from request_log) q
+join versions v on v.layer = q.layer where q.held <> v.version""")
+def invalidated(spark, sf):
+    log = fixture(spark, sf, "request_log")
+    held = F.when(F.col("req_id") % 3 == 0, F.lit("1")).otherwise((F.col("req_id") % 40).cast("string"))
+    published = ops.tile_keys(log.select(strip(F.col("layer")).alias("layer"), F.col("layer").alias("catalog_id"),
+                                         held.alias("version"), "z", "x", F.lit(0).alias("y")))
+    versions = fold_versions(fixture(spark, sf, "version_events"))
+    return invalidated_keys(published.select("layer", "tile_key"), versions).select("layer", "tile_key", "current_version")

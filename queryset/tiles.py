@@ -307,8 +307,8 @@ def tiles_requested_lines(spark, sf):
 @query("diagnose_tiles", f"""{duck('order_line', 'tile_requests')},
 near as (select * from ({covered('order_line', 0, 7)}) t),
 drawn as (select * from ({lines_sql(0, 7, 64)}) l),
-counted as (select r.z, r.x, r.y, count(n.id) as in_box, count_if(n.status = 'F') as after_filter,
-  count_if(n.status = 'F' and dr.id is not null) as after_clip
+counted as (select r.z, r.x, r.y, count(n.id) as in_box, coalesce(count_if(n.status = 'F'), 0) as after_filter,
+  coalesce(count_if(n.status = 'F' and dr.id is not null), 0) as after_clip
  from tile_requests r left join near n on n.z = r.z and n.x = r.x and n.y = r.y
  left join drawn dr on dr.z = n.z and dr.x = n.x and dr.y = n.y and dr.id = n.id group by all)
 select *, case when in_box = 0 then 'no features here' when after_filter = 0 then 'all filtered out'

@@ -36,28 +36,35 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.round(F.coalesce(F.try_divide(part, whole), F.lit(0.0)), 4)
 
 
+def _mean_ms(us: str, n: str) -> Column:
+    """Mean in milliseconds, rounded half up to 2 decimals."""
+    return F.expr(f"if({n} = 0, 0D, (2 * {us} + 10 * {n}) div (20 * {n}) / 100D)")
+
+
+def _seconds(us: str) -> Column:
+    """Total in seconds, rounded half up to 4 decimals."""
+    return F.expr(f"(2 * coalesce({us}, 0) + 100) div 200 / 10000D")
+
+
 def _counters(log: DataFrame) -> tuple[list[Column], list[Column]]:
     source = F.when(F.col("bypass"), "BYPASS").otherwise(F.col("source")) if "bypass" in log.columns else F.col("source")
-    ms = F.col("latency_ms")
+    us = F.round(F.col("latency_ms") * 1000).cast("decimal(38,0)")  # whole microseconds add up exactly in any order
     computed, remote = source == "MISS", source == "L2"
     counts = [
         F.count_if(source == "L1").alias("l1_hits"), F.count_if(source.isin("L2", "MISS")).alias("l1_misses"),
         F.count_if(remote).alias("l2_hits"), F.count_if(computed).alias("l2_misses"),
         F.count_if(computed).alias("computes"), F.count_if(source == "BYPASS").alias("bypassed"),
-        F.sum(F.when(computed, ms)).alias("compute_ms"), F.sum(F.when(remote, ms)).alias("remote_ms"),
+        F.sum(F.when(computed, us)).alias("compute_us"), F.sum(F.when(remote, us)).alias("remote_us"),
     ]
     n = {c: F.col(c) for c in ("l1_hits", "l1_misses", "l2_hits", "l2_misses", "computes", "bypassed")}
     total = n["l1_hits"] + n["l2_hits"] + n["computes"] + n["bypassed"]
-    none = F.lit(0.0)
     report = [
         *n.values(), total.alias("total_requests"),
         _ratio(n["l1_hits"], n["l1_hits"] + n["l1_misses"]).alias("l1_hit_ratio"),
         _ratio(n["l2_hits"], n["l2_hits"] + n["l2_misses"]).alias("l2_hit_ratio"),
         _ratio(n["l1_hits"] + n["l2_hits"], total).alias("overall_hit_ratio"),
-        F.round(F.coalesce(F.try_divide("compute_ms", n["computes"]), none), 2).alias("compute_avg_ms"),
-        F.round(F.coalesce(F.col("compute_ms") / 1000.0, none), 4).alias("compute_total_s"),
-        F.round(F.coalesce(F.try_divide("remote_ms", n["l2_hits"]), none), 2).alias("remote_avg_ms"),
-        F.round(F.coalesce(F.col("remote_ms") / 1000.0, none), 4).alias("remote_total_s"),
+        _mean_ms("compute_us", "computes").alias("compute_avg_ms"), _seconds("compute_us").alias("compute_total_s"),
+        _mean_ms("remote_us", "l2_hits").alias("remote_avg_ms"), _seconds("remote_us").alias("remote_total_s"),
     ]
     return counts, report
 
