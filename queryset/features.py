@@ -7,7 +7,7 @@ from tilewright.operators import stats
 
 
 def _number(c: str) -> str:
-    return f"cast({c} as varchar)"
+    return f"cast({c} + 0 as varchar)" if c.startswith("round") else f"cast({c} as varchar)"  # no minus zero
 
 
 def _string(c: str) -> str:

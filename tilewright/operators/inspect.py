@@ -5,108 +5,37 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from tilewright.model import LayerError
-from tilewright.operators import mvt
-from tilewright.operators.joins import join_by_size
+from tilewright.operators import untile
 
 TILE = ["z", "x", "y"]
 MAX_SAMPLES = 20
-FLUSH_ROWS = 4096
-OPENING = 0x1A  # first byte of a tile; later parts of a large tile start with a feature or value field
-
-LAYER_FIELDS = "z int, x int, y int, part int, layer string, version int, extent int, type int, n bigint, keys array<string>"
-FEATURE_FIELDS = ("z int, x int, y int, part int, layer string, ordinal int, type int, keys array<string>, "
-                  "tags array<struct<k:int,v:string>>, paths array<array<struct<x:int,y:int>>>")
-
 
 def type_name(code: Column) -> Column:
     return (F.when(code == 1, "Point").when(code == 2, "LineString").when(code == 3, "Polygon")
             .otherwise(F.concat(F.lit("Unknown("), code.cast("string"), F.lit(")"))))
 
 
-def _layers(row: dict):
-    tile = row["tile"]
-    if not tile:
-        return
-    continues = tile[0] != OPENING
-    for layer in mvt.read_layers(tile, continues):
-        if layer["name"] is None:
-            layer["name"] = row["layer"]
-        yield layer, continues
-
-
-def _layer_rows(row: dict):
-    for layer, continues in _layers(row):
-        counts: dict[int, int] = {}
-        for message in layer["features"]:
-            kind = _feature_type(message)
-            counts[kind] = counts.get(kind, 0) + 1
-        base = {"z": row["z"], "x": row["x"], "y": row["y"], "part": row["part"], "layer": layer["name"],
-                "version": None if continues else layer["version"], "extent": None if continues else layer["extent"],
-                "keys": None if continues else layer["keys"]}
-        for kind, n in (counts or {None: 0}).items():
-            yield {**base, "type": kind, "n": n}
-
-
-def _feature_type(message: memoryview) -> int:
-    for number, _, value in mvt.read_fields(message):
-        if number == 3:
-            return value
-    return 0
-
-
-def _feature_rows(row: dict, limit: int | None):
-    for layer, continues in _layers(row):
-        messages = layer["features"]
-        found = [mvt.read_feature(m) for m in messages]
-        base = 0
-        if continues:  # values of a later part are numbered on from the parts before it
-            used = [int(f["tags"][1::2].min()) for f in found if len(f["tags"])]
-            base = min(used, default=0)
-        texts = {}
-        for i, f in enumerate(found if limit is None else found[:limit]):
-            tags = []
-            for k, v in zip(f["tags"][0::2].tolist(), f["tags"][1::2].tolist()):
-                if v not in texts:
-                    texts[v] = _text(mvt.read_value(layer["values"][v - base]))
-                tags.append({"k": k, "v": texts[v]})
-            paths = [[{"x": px, "y": py} for px, py in path] for path in mvt.read_paths(f["geometry"])]
-            yield {"z": row["z"], "x": row["x"], "y": row["y"], "part": row["part"], "layer": layer["name"],
-                   "ordinal": i, "type": f["type"], "keys": None if continues else layer["keys"], "tags": tags,
-                   "paths": paths}
-
-
-def _text(value) -> str | None:
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    return None if value is None else str(value)
-
-
-_LAYER_ARROW = pa.schema([
-    *[(c, pa.int32()) for c in (*TILE, "part")], ("layer", pa.string()), ("version", pa.int32()),
-    ("extent", pa.int32()), ("type", pa.int32()), ("n", pa.int64()), ("keys", pa.list_(pa.string()))])
-_FEATURE_ARROW = pa.schema([
-    *[(c, pa.int32()) for c in (*TILE, "part")], ("layer", pa.string()), ("ordinal", pa.int32()),
-    ("type", pa.int32()), ("keys", pa.list_(pa.string())),
-    ("tags", pa.list_(pa.struct([("k", pa.int32()), ("v", pa.string())]))),
+_PLACE = [*[(c, pa.int32()) for c in (*TILE, "part")], ("layer", pa.string())]
+_LAYERS = pa.schema([*_PLACE, ("version", pa.int32()), ("extent", pa.int32()), ("type", pa.int32()), ("n", pa.int64())])
+_FEATURES = pa.schema([
+    *_PLACE, ("ordinal", pa.int32()), ("type", pa.int32()), ("properties", pa.map_(pa.string(), pa.string())),
     ("paths", pa.list_(pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())]))))])
 
 
-def _decode(tiles: DataFrame, rows_of, schema: pa.Schema, ddl: str) -> DataFrame:
+def _decode(tiles: DataFrame, decode, schema: pa.Schema) -> DataFrame:
     def run(batches):
-        held = []
         for batch in batches:
-            for i in range(batch.num_rows):
-                for found in rows_of(batch.slice(i, 1).to_pylist()[0]):
-                    held.append(found)
-                    if len(held) >= FLUSH_ROWS:
-                        yield pa.RecordBatch.from_pylist(held, schema=schema)
-                        held = []
-        if held:
-            yield pa.RecordBatch.from_pylist(held, schema=schema)
+            for piece in untile.chunks(batch):
+                yield decode(piece)
+
+    return tiles.select("layer", *TILE, "part", "tile", "keys").mapInArrow(run, from_arrow_schema(schema))
+
 
-    return tiles.select("layer", *TILE, "part", "tile").mapInArrow(run, ddl)
+def _layer_rows(tiles: DataFrame) -> DataFrame:
+    return _decode(tiles, lambda batch: untile.layer_rows(batch, _LAYERS), _LAYERS)
 
 
 def decode_features(tiles: DataFrame, limit: int | None = None) -> DataFrame:
@@ -114,21 +43,12 @@ def decode_features(tiles: DataFrame, limit: int | None = None) -> DataFrame:
 
     ``limit`` keeps the first features of every row of the table only.
     """
-    decoded = _decode(tiles, lambda row: _feature_rows(row, limit), _FEATURE_ARROW, FEATURE_FIELDS)
-    own = decoded.filter(F.col("keys").isNotNull())
-    more = decoded.filter(F.col("keys").isNull()).drop("keys")
-    heads = _decode(tiles.filter((F.col("n_parts") > 1) & (F.col("tile").substr(1, 1) == F.lit(bytes([OPENING])))),
-                    _layer_rows, _LAYER_ARROW, LAYER_FIELDS).select(*TILE, "layer", "keys").distinct()
-    keyed = join_by_size(more, heads, [*TILE, "layer"], "inner")
-    both = own.unionByName(keyed)
-    pairs = F.transform("tags", lambda t: F.struct(F.element_at(F.col("keys"), t["k"] + 1).alias("key"), t["v"].alias("value")))
-    return both.select(*TILE, "part", "layer", "ordinal", "type", F.map_from_entries(pairs).alias("properties"),
-                       "paths")
+    return _decode(tiles, lambda batch: untile.feature_rows(batch, limit, _FEATURES), _FEATURES)
 
 
 def inspect_layers(tiles: DataFrame) -> DataFrame:
     """Per tile and layer: version, extent, number of features, and how many of each geometry type."""
-    rows = _decode(tiles, _layer_rows, _LAYER_ARROW, LAYER_FIELDS)
+    rows = _layer_rows(tiles)
     kinds = {n: F.coalesce(F.sum(F.when(F.col("type") == code, F.col("n"))), F.lit(0).cast("bigint"))
              for n, code in (("points", 1), ("lines", 2), ("polygons", 3))}
     other = F.coalesce(F.sum(F.when(~F.col("type").isin(1, 2, 3), F.col("n"))), F.lit(0).cast("bigint"))
@@ -139,7 +59,7 @@ def inspect_layers(tiles: DataFrame) -> DataFrame:
 
 def geometry_types(tiles: DataFrame) -> DataFrame:
     """``z, x, y, layer, geometry_type, n``."""
-    rows = _decode(tiles, _layer_rows, _LAYER_ARROW, LAYER_FIELDS).filter(F.col("type").isNotNull())
+    rows = _layer_rows(tiles).filter(F.col("type").isNotNull())
     return rows.groupBy(*TILE, "layer", type_name(F.col("type")).alias("geometry_type")).agg(F.sum("n").alias("n"))
 
 

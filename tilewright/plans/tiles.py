@@ -1,9 +1,10 @@
 """Tile jobs: whole pyramids, requested tiles, several layers in one tile, diagnosis.
 
-A tile table has the columns ``layer, z, x, y, part, n_parts, tile, n_features``.
+A tile table has the columns ``layer, z, x, y, part, n_parts, tile, n_features, keys``.
 A tile is one row unless it is larger than ``TileOptions.part_bytes``; then it is
 the concatenation of its rows in ``part`` order. Part 0 opens the layer, later
 parts carry on with features and values, so no task ever holds a large tile whole.
+``keys`` repeats the attribute names on later parts, so each part can be read alone.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +26,7 @@ from tilewright.operators.geometry import geometry_code, point_commands, shape_c
 from tilewright.operators.joins import BROADCAST_ROWS, bounded, join_by_size, salted_join
 
 TILE = ["z", "x", "y"]
-TILE_TABLE = "layer string, z int, x int, y int, part int, n_parts int, tile binary, n_features bigint"
+TILE_TABLE = ["layer", *TILE, "part", "n_parts", "tile", "n_features", "keys"]
 FEATURE_COST = 24  # bytes of a feature beside its attributes and vertices
 
 
@@ -185,7 +186,11 @@ def _encode(rows: DataFrame, f: _Features, name: str) -> DataFrame:
     alias = dict(zip(props, names))
     tiles = _sorted_by_tile(rows, props).mapInArrow(run, _schema([*mvt.TILE_FIELDS, ("tile", "binary")]))
     return tiles.select(F.lit(name).alias("layer"), *TILE, F.lit(0).alias("part"), F.lit(1).alias("n_parts"),
-                        "tile", "n_features")
+                        "tile", "n_features", _no_keys())
+
+
+def _no_keys() -> Column:
+    return F.lit(None).cast("array<string>").alias("keys")
 
 
 def _encode_large(rows: DataFrame, f: _Features, name: str) -> DataFrame:
@@ -199,7 +204,6 @@ def _encode_large(rows: DataFrame, f: _Features, name: str) -> DataFrame:
 
     parts = cut_lineage(_sorted_by_tile(rows, props).mapInArrow(run, _schema(mvt.PART_FIELDS)))
 
-    from pyspark.sql import Window
     w = Window.partitionBy(TILE).orderBy("bucket")
     numbers = parts.select(*TILE, "bucket", "n_values").select(
         *TILE, "bucket",
@@ -226,9 +230,10 @@ def _encode_large(rows: DataFrame, f: _Features, name: str) -> DataFrame:
         return mvt.opening(size, fixed)
 
     first = totals.select(*TILE, F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("n_features"),
-                          opening("bytes").alias("tile"), (F.col("bodies") + 1).alias("n_parts"))
-    rest = body.join(totals.select(*TILE, (F.col("bodies") + 1).alias("n_parts")), TILE)
-    return first.unionByName(rest).select(F.lit(name).alias("layer"), *TILE, "part", "n_parts", "tile", "n_features")
+                          opening("bytes").alias("tile"), (F.col("bodies") + 1).alias("n_parts"), _no_keys())
+    rest = body.join(totals.select(*TILE, (F.col("bodies") + 1).alias("n_parts")), TILE).withColumn(
+        "keys", F.array(*[F.lit(n) for n in names]).cast("array<string>"))
+    return first.unionByName(rest).withColumn("layer", F.lit(name)).select(TILE_TABLE)
 
 
 def _tiles(f: _Features, name: str, zooms: list[int], requests: DataFrame | None = None) -> DataFrame:
@@ -274,13 +279,13 @@ def tiles_for(layer: Layer, requests: DataFrame, options: TileOptions = TileOpti
             layers.append(_tiles(_features(layer, replace(options, geometry=geometry)), name, zooms, wanted))
     if not layers:
         return wanted.select(F.lit(whole).alias("layer"), *TILE, F.lit(0).alias("part"), F.lit(1).alias("n_parts"),
-                             F.lit(b"").alias("tile"), F.lit(0).cast("bigint").alias("n_features"))
+                             F.lit(b"").alias("tile"), F.lit(0).cast("bigint").alias("n_features"), _no_keys())
     made = layers[0] if len(layers) == 1 else merge_layers(layers, whole, options.part_bytes)
     return wanted.join(made, TILE, "left").select(
         F.coalesce("layer", F.lit(whole)).alias("layer"), *TILE,
         F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("n_parts", F.lit(1)).alias("n_parts"),
         F.coalesce("tile", F.lit(b"")).alias("tile"),
-        F.coalesce("n_features", F.lit(0).cast("bigint")).alias("n_features"))
+        F.coalesce("n_features", F.lit(0).cast("bigint")).alias("n_features"), "keys")
 
 
 def merge_layers(layers: list[DataFrame], name: str, part_bytes: int = 4 << 20) -> DataFrame:
@@ -296,21 +301,20 @@ def merge_layers(layers: list[DataFrame], name: str, part_bytes: int = 4 << 20)
         rows = one if rows is None else rows.unionByName(one)
     size = rows.groupBy(TILE).agg(F.sum(F.octet_length("tile")).cast("bigint").alias("bytes"),
                                   F.max("n_parts").alias("most"))
-    from pyspark.sql import Window
     too_big = size.filter((F.col("bytes") > part_bytes) | (F.col("most") > 1)).select(TILE)
     joined_up = join_by_size(rows, too_big, TILE, "left_anti")
     entry = F.struct("ordinal", "tile", "n_features")
     small = joined_up.groupBy(TILE).agg(F.array_sort(F.collect_list(entry)).alias("e")).select(
         F.lit(name).alias("layer"), *TILE, F.lit(0).alias("part"), F.lit(1).alias("n_parts"),
         F.aggregate("e", F.lit(b""), lambda acc, r: F.concat(acc, r["tile"])).alias("tile"),
-        F.aggregate("e", F.lit(0).cast("bigint"), lambda acc, r: acc + r["n_features"]).alias("n_features"))
+        F.aggregate("e", F.lit(0).cast("bigint"), lambda acc, r: acc + r["n_features"]).alias("n_features"), _no_keys())
     big = join_by_size(rows, too_big, TILE, "left_semi")
     w = Window.partitionBy(TILE).orderBy("ordinal", "part")
     numbers = big.select(*TILE, "ordinal", "part").select(
         *TILE, "ordinal", "part", (F.row_number().over(w) - 1).alias("number"),
         F.count(F.lit(1)).over(Window.partitionBy(TILE)).cast("int").alias("total"))
     large = big.join(numbers, [*TILE, "ordinal", "part"]).select(
-        "layer", *TILE, F.col("number").alias("part"), F.col("total").alias("n_parts"), "tile", "n_features")
+        "layer", *TILE, F.col("number").alias("part"), F.col("total").alias("n_parts"), "tile", "n_features", "keys")
     return small.unionByName(large)
 
 
