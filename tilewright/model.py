@@ -31,16 +31,22 @@ class GeometryColumn:
     dimensions: int = 2
     comment: str | None = None
 
+    @property
+    def is_point(self) -> bool:
+        return self.kind == "POINT"
+
     def box(self, side: str) -> str:
-        return f"{self.name}_{side}"
+        """Column of one side of the unit box; a point stores two sides only."""
+        return f"{self.name}_{side.replace('1', '0') if self.is_point else side}"
 
     @property
     def box_names(self) -> list[str]:
         return [self.box(side) for side in BOX]
 
     @property
-    def is_point(self) -> bool:
-        return self.kind == "POINT"
+    def box_columns(self) -> list[str]:
+        """The stored columns of the box, each once."""
+        return list(dict.fromkeys(self.box_names))
 
 
 @dataclass(frozen=True)
@@ -65,7 +71,8 @@ class TileOptions:
 @dataclass(frozen=True)
 class Layer:
     """A spatial table. ``frame`` holds the attributes and, per geometry column,
-    the geometry struct and its unit box ``<name>_u0 .. <name>_v1``."""
+    the geometry struct and its unit box ``<name>_u0 .. <name>_v1`` (a point has
+    ``u0`` and ``v0`` only)."""
 
     name: str
     frame: DataFrame
@@ -156,6 +163,8 @@ def add_geometry(frame: DataFrame, name: str, kind: str, parts: Column, srid: in
         "u1": tm.unit_x_of(maxx, code),
         "v1": tm.unit_y_of(miny, code),
     }
+    if kind == "POINT":
+        sides = {side: sides[side] for side in ("u0", "v0")}
     return frame.select(
         "*",
         F.when(here, shape).alias(name, metadata=meta),

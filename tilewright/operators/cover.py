@@ -44,15 +44,18 @@ def widest_cover(frame: DataFrame, g: GeometryColumn, zoom: int) -> int:
 
 
 def cover(frame: DataFrame, g: GeometryColumn, zooms: list[int], extent: int = 4096,
-          wide: bool = False) -> DataFrame:
+          wide: bool = False, every: bool = False) -> DataFrame:
     """One row per feature and tile, with columns ``z, x, y`` added.
 
+    Features too small to be seen at a zoom are left out, unless ``every`` is set.
     With ``wide`` the cover of huge features is cut into blocks of tiles that
     are shuffled before they are expanded, so no task expands a continent alone.
     """
     z = F.col("z")
     levels = F.array(*[F.lit(int(v)) for v in zooms])
-    base = frame.filter(in_world(g)).withColumn("z", F.explode(levels)).filter(visible(g, z, extent))
+    base = frame.filter(in_world(g)).withColumn("z", F.explode(levels))
+    if not every:
+        base = base.filter(visible(g, z, extent))
     x0, x1, y0, y1 = tile_range(g, z)
     if not wide:
         return base.withColumn("x", F.explode(F.sequence(x0, x1))).withColumn("y", F.explode(F.sequence(y0, y1)))
@@ -70,7 +73,7 @@ def cover(frame: DataFrame, g: GeometryColumn, zooms: list[int], extent: int = 4
     blocks = (base.filter(count > WIDE_COVER)
               .withColumn("_bx", F.explode(steps(x0, x1)))
               .withColumn("_by", F.explode(steps(y0, y1)))
-              .repartition("z", "_bx", "_by", *g.box_names))
+              .repartition("z", "_bx", "_by", *g.box_columns))
     spread = (blocks.withColumn("x", F.explode(inside(F.col("_bx"), x0, x1)))
               .withColumn("y", F.explode(inside(F.col("_by"), y0, y1)))
               .drop("_bx", "_by"))

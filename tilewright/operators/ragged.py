@@ -76,10 +76,13 @@ def varints(values: np.ndarray) -> Ragged:
     if not len(v):
         return Ragged(np.empty(0, np.uint8), np.empty(0, np.int64))
     width = max(1, -(-int(v.max()).bit_length() // 7))
-    groups = v[:, None] >> (np.arange(width, dtype=np.uint64) * np.uint64(7))
+    if width == 1:
+        return Ragged(v.astype(np.uint8), np.ones(len(v), np.int64))
+    kind = np.uint32 if width <= 4 else np.uint64
+    groups = v.astype(kind)[:, None] >> (np.arange(width, dtype=kind) * kind(7))
     n = 1 + (groups[:, 1:] != 0).sum(axis=1)
     place = np.arange(width)
-    out = (groups & np.uint64(127)).astype(np.uint8)
+    out = (groups & kind(127)).astype(np.uint8)
     out |= np.where(place < (n - 1)[:, None], 128, 0).astype(np.uint8)
     return Ragged(out[place < n[:, None]], n.astype(np.int64))
 

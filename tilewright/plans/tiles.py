@@ -23,10 +23,11 @@ from tilewright.operators.checkpoints import cut_lineage
 from tilewright.operators.cover import WIDE_COVER, cover, in_world, visible, widest_cover
 from tilewright.operators.filters import filter_layer, predicate_column
 from tilewright.operators.geometry import geometry_code, point_commands, shape_commands
-from tilewright.operators.joins import BROADCAST_ROWS, bounded, join_by_size, salted_join
+from tilewright.operators.joins import BROADCAST_ROWS, join_by_size, salted_join
 
 TILE = ["z", "x", "y"]
 TILE_TABLE = ["layer", *TILE, "part", "n_parts", "tile", "n_features", "keys"]
+SEARCH_ZOOMS = 4  # zooms looked at together in the search for large tiles
 FEATURE_COST = 24  # bytes of a feature beside its attributes and vertices
 
 
@@ -104,16 +105,56 @@ def _features(layer: Layer, options: TileOptions) -> _Features:
     fields = layer.fields
     cols = [tile_value(F.col(f"`{n}`"), fields[n]).alias(f"p{i}") for i, n in enumerate(names)]
     shape = [] if g.is_point else [F.col(g.name)]
-    frame = layer.frame.filter(in_world(g)).select(*cols, *shape, *g.box_names)
+    frame = layer.frame.filter(in_world(g)).select(*cols, *shape, *g.box_columns)
     return _Features(frame, g, names, options)
 
 
-def _large_tiles(f: _Features, zooms: list[int], wide: bool) -> DataFrame:
-    """Tiles whose features may exceed one part, with their number of buckets."""
-    weighed = f.frame.select(*f.geometry.box_names, f.weight().alias("weight"))
-    total = cover(weighed, f.geometry, zooms, f.options.extent, wide).groupBy(TILE).agg(F.sum("weight").alias("bytes"))
-    limit = f.options.part_bytes
-    return total.filter(F.col("bytes") > limit).select(*TILE, F.ceil(F.col("bytes") / limit).alias("buckets"))
+@dataclass(frozen=True)
+class _Large:
+    """Tiles that may exceed one part: ``z, x, y, buckets``."""
+
+    tiles: DataFrame
+    zooms: list[int]
+    small: bool  # few enough to broadcast
+
+    def join(self, rows: DataFrame, how: str) -> DataFrame:
+        tiles = self.tiles if how == "inner" else self.tiles.select(TILE)
+        return rows.join(F.broadcast(tiles), TILE, how) if self.small else salted_join(rows, tiles, TILE, how)
+
+
+def _large_tiles(f: _Features, zooms: list[int], wide: bool) -> _Large | None:
+    """Find large tiles from boxes and sizes alone, before any geometry is encoded.
+
+    A tile holds no more than the tile above it, so the search stops at the
+    first zoom without a large tile.
+    """
+    g, limit = f.geometry, f.options.part_bytes
+    weighed = f.frame.select(*g.box_columns, f.weight().alias("weight"))
+
+    def over(levels: list[int]) -> DataFrame:
+        rows = cover(weighed, g, levels, f.options.extent, wide, every=True)
+        seen = F.when(visible(g, F.col("z"), f.options.extent), F.col("weight"))
+        total = rows.groupBy(TILE).agg(F.sum("weight").alias("bytes"), F.sum(seen).alias("seen_bytes"))
+        return total.filter(F.col("bytes") > limit)
+
+    def buckets(tiles: DataFrame) -> DataFrame:
+        return tiles.filter(F.col("seen_bytes") > limit).select(
+            *TILE, F.ceil(F.col("seen_bytes") / limit).alias("buckets"))
+
+    found = []
+    for at in range(0, len(zooms), SEARCH_ZOOMS):
+        levels = zooms[at:at + SEARCH_ZOOMS]
+        rows = over(levels).limit(BROADCAST_ROWS + 1).collect()  # four numbers per large tile
+        found += rows
+        if len(found) > BROADCAST_ROWS:
+            return _Large(buckets(over(zooms)), zooms, False)
+        if not any(r["z"] == levels[-1] for r in rows):
+            break
+    found = [r for r in found if r["seen_bytes"] and r["seen_bytes"] > limit]
+    if not found:
+        return None
+    tiles = f.frame.sparkSession.createDataFrame(found, "z int, x int, y int, bytes bigint, seen_bytes bigint")
+    return _Large(buckets(tiles), sorted({r["z"] for r in found}), True)
 
 
 def _commands(f: _Features) -> tuple[Column, Column]:
@@ -128,35 +169,35 @@ def _commands(f: _Features) -> tuple[Column, Column]:
     return code, cmds
 
 
-def _tile_rows(f: _Features, zooms: list[int], requests: DataFrame | None = None
-               ) -> tuple[DataFrame, bool]:
-    """Encoded features per tile and bucket; tells whether any tile is large."""
-    wide = widest_cover(f.frame, f.geometry, max(zooms)) > WIDE_COVER
-    large = _large_tiles(f, zooms, wide)
-    few = bounded(large)
-    any_large = few is None or not few.isEmpty()
-    frame = f.frame
-    if any_large:
-        # identical rows go to the same bucket by hash: count them once instead
-        frame = frame.groupBy(frame.columns).agg(F.count(F.lit(1)).alias("copies"))
-        frame = _split_copies(frame, f)
-    else:
-        frame = frame.withColumn("copies", F.lit(1).cast("bigint")).withColumn("chunk", F.lit(0).cast("bigint"))
-    rows = cover(frame, f.geometry, zooms, f.options.extent, wide)
+def _wide(f: _Features, zooms: list[int]) -> bool:
+    return widest_cover(f.frame, f.geometry, max(zooms)) > WIDE_COVER
+
+
+def _encoded(rows: DataFrame, f: _Features, requests: DataFrame | None) -> DataFrame:
+    """Features per tile and bucket with their command integers."""
     if requests is not None:
         rows = join_by_size(rows, requests, TILE, "left_semi")
-    if not any_large:
-        rows = rows.withColumn("bucket", F.lit(0).cast("bigint"))
-    else:
-        if few is not None:
-            rows = rows.join(F.broadcast(few), TILE, "left")
-        else:
-            rows = salted_join(rows, large, TILE, "left")
-        spread = F.pmod(F.xxhash64(*f.props, *f.shape, *f.geometry.box_names, "chunk"), F.col("buckets"))
-        rows = rows.withColumn("bucket", F.when(F.col("buckets").isNull(), F.lit(-1)).otherwise(spread).cast("bigint"))
     code, cmds = _commands(f)
     rows = rows.select(*TILE, "bucket", "copies", *f.props, code.cast("int").alias("gtype"), cmds.alias("cmds"))
-    return rows.filter(F.col("cmds").isNotNull()), any_large
+    return rows.filter(F.col("cmds").isNotNull())
+
+
+def _small_rows(f: _Features, zooms: list[int], wide: bool, large: _Large | None,
+                requests: DataFrame | None = None) -> DataFrame:
+    one, none = F.lit(1).cast("bigint"), F.lit(-1).cast("bigint")
+    rows = cover(f.frame.withColumn("copies", one), f.geometry, zooms, f.options.extent, wide)
+    if large is not None:
+        rows = large.join(rows, "left_anti")
+    return _encoded(rows.withColumn("bucket", none), f, requests)
+
+
+def _large_rows(f: _Features, wide: bool, large: _Large, requests: DataFrame | None = None) -> DataFrame:
+    """Features of large tiles, spread over buckets by a hash of their content."""
+    # identical rows would share a bucket: count them first and spread the counts
+    counted = _split_copies(f.frame.groupBy(f.frame.columns).agg(F.count(F.lit(1)).alias("copies")), f)
+    rows = large.join(cover(counted, f.geometry, large.zooms, f.options.extent, wide), "inner")
+    spread = F.pmod(F.xxhash64(*f.props, *f.shape, *f.geometry.box_columns, "chunk"), F.col("buckets"))
+    return _encoded(rows.withColumn("bucket", spread.cast("bigint")), f, requests)
 
 
 def _split_copies(frame: DataFrame, f: _Features) -> DataFrame:
@@ -237,11 +278,12 @@ def _encode_large(rows: DataFrame, f: _Features, name: str) -> DataFrame:
 
 
 def _tiles(f: _Features, name: str, zooms: list[int], requests: DataFrame | None = None) -> DataFrame:
-    rows, any_large = _tile_rows(f, zooms, requests)
-    if not any_large:
-        return _encode(rows, f, name)
-    small = _encode(rows.filter(F.col("bucket") < 0), f, name)
-    return small.unionByName(_encode_large(rows.filter(F.col("bucket") >= 0), f, name))
+    wide = _wide(f, zooms)
+    large = _large_tiles(f, zooms, wide)
+    small = _encode(_small_rows(f, zooms, wide, large, requests), f, name)
+    if large is None:
+        return small
+    return small.unionByName(_encode_large(_large_rows(f, wide, large, requests), f, name))
 
 
 def _zooms(zmin: int, zmax: int) -> list[int]:
@@ -334,11 +376,10 @@ def diagnose_tiles(layer: Layer, requests: DataFrame, options: TileOptions = Til
     keep = F.lit(True) if options.where is None else F.coalesce(predicate_column(layer, options.where), F.lit(False))
     z, x, y = (F.col(c) for c in TILE)
     shape = [] if g.is_point else [F.col(g.name)]
-    frame = layer.frame.filter(in_world(g)).select(keep.alias("kept"), *shape, *g.box_names)
+    frame = layer.frame.filter(in_world(g)).select(keep.alias("kept"), *shape, *g.box_columns)
     f = _Features(frame, g, [], options)
-    wide = bool(zooms) and widest_cover(frame, g, max(zooms)) > WIDE_COVER
-    near = join_by_size(cover(frame, replace(g, kind="POINT"), zooms or [0], options.extent, wide), wanted, TILE,
-                        "left_semi")
+    wide = bool(zooms) and _wide(f, zooms)
+    near = join_by_size(cover(frame, g, zooms or [0], options.extent, wide, every=True), wanted, TILE, "left_semi")
     _, cmds = _commands(f)
     drawn = F.when(F.col("kept") & visible(g, z, options.extent), cmds).isNotNull()
     counts = near.select(*TILE, "kept", drawn.alias("drawn")).groupBy(TILE).agg(
