@@ -134,6 +134,13 @@ def last_tile(unit_high: Column, z: Column) -> Column:
     return F.least(F.floor(unit_high * across), (across - 1).cast("bigint")).cast("int")
 
 
+def tile_number(z: Column, x: Column, y: Column) -> Column:
+    """All tiles of all zooms counted through, zoom by zoom and row by row: one BIGINT per address."""
+    across = tiles_across(z).cast("bigint")
+    before = F.call_function("div", across * across - 1, F.lit(3))
+    return before + y.cast("bigint") * across + x
+
+
 def box_touches_tile(u0, v0, u1, v1, z: Column, x: Column, y: Column) -> Column:
     """Inclusive overlap of a unit box with a tile (no buffer)."""
     across = tiles_across(z)

@@ -1,6 +1,6 @@
 """Geometry to tile commands: project, snap to the tile grid, clip, encode.
 
-Points need no Python: :func:`point_commands` is a Column. Everything else runs
+Points need no Python: :func:`point_steps` gives Columns. Everything else runs
 through one Arrow function that works on whole record batches with numpy.
 """
 
@@ -19,34 +19,34 @@ POINT, LINE, POLYGON = 1, 2, 3
 MOVE_TO, LINE_TO, CLOSE = 1, 2, 7
 
 
-def geometry_code(kind: Column) -> Column:
-    return F.when(kind.endswith("POINT"), POINT).when(kind.endswith("LINESTRING"), LINE).otherwise(POLYGON)
+def geometry_code(kind: str) -> int:
+    return POINT if kind.endswith("POINT") else LINE if kind.endswith("LINESTRING") else POLYGON
 
 
-def point_commands(u: Column, v: Column, z: Column, x: Column, y: Column, extent: int, margin: int | None) -> Column:
-    """Command integers of a single point, NULL outside the clip box."""
+def point_steps(u: Column, v: Column, z: Column, x: Column, y: Column, extent: int, margin: int | None
+                ) -> tuple[Column, Column, Column]:
+    """The two zigzag steps that move to a point, and whether it is inside the clip box."""
     qx, qy = tm.tile_pixel(u, z, x, extent), tm.tile_pixel(v, z, y, extent)
 
     def fold(q):
         return F.when(q >= 0, q * 2).otherwise(-q * 2 - 1)
 
-    cmds = F.array(F.lit(MOVE_TO | 1 << 3), fold(qx), fold(qy))
-    if margin is None:
-        return cmds
-    inside = qx.between(-margin, extent + margin) & qy.between(-margin, extent + margin)
-    return F.when(inside, cmds)
+    inside = F.lit(True)
+    if margin is not None:
+        inside = qx.between(-margin, extent + margin) & qy.between(-margin, extent + margin)
+    return fold(qx), fold(qy), inside
 
 
-def shape_commands(parts: Column, srid: Column, code: Column, z: Column, x: Column, y: Column,
+def shape_commands(parts: Column, srid: int, code: int, z: Column, x: Column, y: Column,
                    extent: int, margin: int | None) -> Column:
     """Command integers of any geometry, NULL when nothing is left of it."""
 
     @F.arrow_udf("array<int>")
-    def encode(p: pa.Array, s: pa.Array, g: pa.Array, tz: pa.Array, tx: pa.Array, ty: pa.Array) -> pa.Array:
-        return batch_commands(p, *[np.asarray(a) for a in (s, g, tz, tx, ty)], extent, margin)
+    def encode(p: pa.Array, tz: pa.Array, tx: pa.Array, ty: pa.Array) -> pa.Array:
+        return batch_commands(p, srid, code, *[np.asarray(a) for a in (tz, tx, ty)], extent, margin)
 
     # not pushed into filters, where it would run a second time
-    return encode.asNondeterministic()(parts, srid, code, z, x, y)
+    return encode.asNondeterministic()(parts, z, x, y)
 
 
 class Paths:
@@ -79,7 +79,7 @@ class Paths:
         return index
 
 
-def batch_commands(parts: pa.ListArray, srid, code, z, x, y, extent: int, margin: int | None) -> pa.Array:
+def batch_commands(parts: pa.ListArray, srid: int, code: int, z, x, y, extent: int, margin: int | None) -> pa.Array:
     n = len(parts)
     rings, chains = parts.values, parts.values.values
     to_ring, to_chain, to_vertex = (np.asarray(a.offsets) for a in (parts, rings, chains))
@@ -96,28 +96,21 @@ def batch_commands(parts: pa.ListArray, srid, code, z, x, y, extent: int, margin
     vy = np.asarray(chains.values.field("y"))[lo:hi]
 
     at = np.repeat(row, lens)
-    u, v = unit_position(vx, vy, np.asarray(srid)[at])
+    u, v = unit_position(vx, vy, srid)
     across = np.exp2(z[at].astype(np.float64))
     paths = Paths(row, hole, lens, np.rint((u * across - x[at]) * extent), np.rint((v * across - y[at]) * extent))
     box = None if margin is None else (-float(margin), float(extent + margin))
 
-    pieces = []
-    kind = code[row] if len(row) else np.empty(0, np.int64)
-    for which, shape in ((POINT, clip_points), (LINE, clip_lines), (POLYGON, clip_polygons)):
-        mine = kind == which
-        if mine.any():
-            pieces.append(shape(paths.keep_paths(mine), box))
-    return command_lists(pieces, n)
+    clip = {POINT: clip_points, LINE: clip_lines, POLYGON: clip_polygons}[code]
+    return command_lists(code, clip(paths, box), n)
 
 
-def unit_position(vx, vy, srid):
+def unit_position(vx, vy, srid: int):
+    if srid == 3857:
+        return vx / (2.0 * tm.WORLD) + 0.5, 0.5 - vy / (2.0 * tm.WORLD)
     phi = vy * (np.pi / 180.0)
     with np.errstate(all="ignore"):
-        degrees_v = (1.0 - np.log(np.tan(phi) + 1.0 / np.cos(phi)) / np.pi) / 2.0
-    metres = srid == 3857
-    u = np.where(metres, vx / (2.0 * tm.WORLD) + 0.5, (vx + 180.0) / 360.0)
-    v = np.where(metres, 0.5 - vy / (2.0 * tm.WORLD), degrees_v)
-    return u, v
+        return (vx + 180.0) / 360.0, (1.0 - np.log(np.tan(phi) + 1.0 / np.cos(phi)) / np.pi) / 2.0
 
 
 def clip_points(p: Paths, box):
@@ -126,7 +119,7 @@ def clip_points(p: Paths, box):
         p = p.keep_vertices((p.px >= low) & (p.px <= high) & (p.py >= low) & (p.py <= high))
     # one command block per row: all points of a row form one path
     row, count = np.unique(np.repeat(p.row, p.lens), return_counts=True)
-    return POINT, Paths(row, np.zeros(len(row), bool), count, p.px, p.py)
+    return Paths(row, np.zeros(len(row), bool), count, p.px, p.py)
 
 
 def drop_repeats(p: Paths, ring: bool) -> Paths:
@@ -154,7 +147,7 @@ def clip_lines(p: Paths, box):
                 Paths(row, np.zeros(len(row), bool), np.concatenate((whole.lens, crossing.lens)),
                       np.concatenate((whole.px, crossing.px)), np.concatenate((whole.py, crossing.py))),
                 np.argsort(row, kind="stable"))
-    return LINE, p.keep_paths(p.lens >= 2)
+    return p.keep_paths(p.lens >= 2)
 
 
 def take_paths(p: Paths, order) -> Paths:
@@ -214,7 +207,7 @@ def clip_polygons(p: Paths, box):
     place = spans(np.zeros(len(lens), np.int64), lens)
     back = np.repeat(flip, lens)
     index = np.repeat(starts, lens) + np.where(back, np.repeat(lens, lens) - 1 - place, place)
-    return POLYGON, Paths(p.row, p.hole, lens, p.px[index], p.py[index])
+    return Paths(p.row, p.hole, lens, p.px[index], p.py[index])
 
 
 def ring_area(p: Paths):
@@ -260,36 +253,25 @@ def cut_rings(p: Paths, axis: int, bound: float, sign: float) -> Paths:
     return Paths(p.row, p.hole, sums(count, p.lens), px, py)
 
 
-def command_lists(pieces: list[tuple[int, Paths]], n: int) -> pa.Array:
+def command_lists(code: int, p: Paths, n: int) -> pa.Array:
     """One list of command integers per row, NULL for rows without a path."""
-    streams, rows = [], []
-    for code, p in pieces:
-        closed = code == POLYGON
-        size = (1 if code == POINT else 2 + closed) + 2 * p.lens
-        out = np.zeros(int(size.sum()), np.int64)
-        base = np.cumsum(size) - size
-        dx, dy = deltas(p)
-        place = spans(np.zeros(len(p.lens), np.int64), p.lens)
-        at = np.repeat(base, p.lens) + 1 + 2 * place
-        if code != POINT:
-            at += place > 0  # the LineTo command stands before the second vertex
-            out[base + 3] = LINE_TO | (p.lens - 1) << 3
-        out[at], out[at + 1] = zigzag(dx), zigzag(dy)
-        out[base] = MOVE_TO | np.where(code == POINT, p.lens, 1) << 3
-        if closed:
-            out[base + size - 1] = CLOSE | 1 << 3
-        streams.append(out)
-        rows.append(np.repeat(p.row, size))
-    if not streams:
-        return pa.nulls(n, pa.list_(pa.int32()))
-    stream, row = np.concatenate(streams), np.concatenate(rows)
-    if len(streams) > 1:
-        order = np.argsort(row, kind="stable")
-        stream, row = stream[order], row[order]
-    count = np.bincount(row, minlength=n)
+    closed = code == POLYGON
+    size = (1 if code == POINT else 2 + closed) + 2 * p.lens
+    out = np.zeros(int(size.sum()), np.int64)
+    base = np.cumsum(size) - size
+    dx, dy = deltas(p)
+    place = spans(np.zeros(len(p.lens), np.int64), p.lens)
+    at = np.repeat(base, p.lens) + 1 + 2 * place
+    if code != POINT:
+        at += place > 0  # the LineTo command stands before the second vertex
+        out[base + 3] = LINE_TO | (p.lens - 1) << 3
+    out[at], out[at + 1] = zigzag(dx), zigzag(dy)
+    out[base] = MOVE_TO | np.where(code == POINT, p.lens, 1) << 3
+    if closed:
+        out[base + size - 1] = CLOSE | 1 << 3
+    count = np.bincount(np.repeat(p.row, size), minlength=n)
     offsets = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(stream.astype(np.int32)),
-                                    mask=pa.array(count == 0))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.astype(np.int32)), mask=pa.array(count == 0))
 
 
 def deltas(p: Paths):

@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 
 from tilewright.operators.ragged import Ragged, constant, spans, sums, varints, weave, zigzag
 
-KEYS = ("z", "x", "y", "bucket")
-TILE_FIELDS = [("z", "int"), ("x", "int"), ("y", "int"), ("bucket", "bigint"), ("n_features", "bigint")]
+KEYS = ("tile_no", "bucket")  # what a group of rows has in common; small tiles have no bucket
+TILE_FIELDS = [("z", "int"), ("x", "int"), ("y", "int"), ("n_features", "bigint")]
 BATCH_ROWS = 50_000
 BATCH_BYTES = 64 << 20
 
@@ -74,13 +74,27 @@ def value_codes(table: pa.Table, properties: list[str]) -> tuple[np.ndarray, Rag
     return cells, Ragged.from_arrow(merged.dictionary)
 
 
+def tile_address(number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """z, x, y of tile numbers."""
+    first = np.array([(4**z - 1) // 3 for z in range(32)], np.uint64).astype(np.int64)
+    z = np.searchsorted(first, number, side="right") - 1
+    rest = number - first[z]
+    return z, rest & ((np.int64(1) << z) - 1), rest >> z
+
+
+def _present(names) -> list[str]:
+    return [k for k in KEYS if k in names]
+
+
 class Encoded:
     """Dictionary-coded features of several tiles, before value numbers are final."""
 
-    def __init__(self, table: pa.Table, properties: list[str]):
-        copies = np.asarray(table.column("copies")).astype(np.int64)
-        keys = [np.asarray(table.column(k)).astype(np.int64) for k in KEYS]
-        change = np.zeros(len(copies), bool)
+    def __init__(self, table: pa.Table, properties: list[str], gtype: int):
+        n = table.num_rows
+        copies = (np.asarray(table.column("copies")).astype(np.int64) if "copies" in table.column_names
+                  else np.ones(n, np.int64))
+        keys = [np.asarray(table.column(k)).astype(np.int64) for k in _present(table.column_names)]
+        change = np.zeros(n, bool)
         change[0] = True
         for k in keys:
             change[1:] |= k[1:] != k[:-1]
@@ -100,13 +114,8 @@ class Encoded:
         self.value_counts = np.bincount(value_tile.astype(np.int64), minlength=n_tiles)
         self.values = _sized(4, messages.take((seen % width).astype(np.int64)))
 
-        geometry = table.column("cmds").combine_chunks()
-        geometry = geometry.chunk(0) if isinstance(geometry, pa.ChunkedArray) else geometry
-        geometry_lens = np.asarray(pc.list_value_length(geometry)).astype(np.int64)
-        words = varints(np.asarray(geometry.flatten()).astype(np.uint32)).fold(geometry_lens)
-        gtype = np.asarray(table.column("gtype")).astype(np.uint8)
-        shape = weave([constant(_tag(3, 0), len(gtype)), Ragged(gtype, np.ones(len(gtype), np.int64)),
-                       _sized(4, words)])
+        words = _geometry_words(table)
+        shape = weave([constant(_tag(3, 0) + bytes([gtype]), n), _sized(4, words)])
 
         # write identical features as often as they occur
         pairs = np.bincount(row_index, minlength=len(copies))
@@ -119,6 +128,19 @@ class Encoded:
         self.key_index, self.value_index, self.pairs, self.shape = key_index, value_index, pairs, shape
 
 
+def _geometry_words(table: pa.Table) -> Ragged:
+    """Command integers as varints; points come as their two steps only."""
+    if "step_x" in table.column_names:
+        words = np.empty((table.num_rows, 3), np.uint32)
+        words[:, 0] = 9  # one MoveTo
+        words[:, 1], words[:, 2] = np.asarray(table.column("step_x")), np.asarray(table.column("step_y"))
+        return varints(words.ravel()).fold(np.full(table.num_rows, 3))
+    lists = table.column("cmds").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    lens = np.asarray(pc.list_value_length(lists)).astype(np.int64)
+    return varints(np.asarray(lists.flatten()).astype(np.uint32)).fold(lens)
+
+
 def feature_bytes(key_index, value_index, pairs, shape: Ragged) -> Ragged:
     """Complete feature fields of a layer."""
     tags = np.empty(2 * len(key_index), np.uint64)
@@ -146,8 +168,8 @@ def wrap_layer(body: Ragged) -> Ragged:
     return _sized(3, body)
 
 
-def encode_tiles(table: pa.Table, name: str, properties: list[str], extent: int) -> pa.RecordBatch:
-    e = Encoded(table, properties)
+def encode_tiles(table: pa.Table, name: str, properties: list[str], extent: int, gtype: int) -> pa.RecordBatch:
+    e = Encoded(table, properties, gtype)
     n = len(e.feature_counts)
     features = feature_bytes(e.key_index, e.value_index, e.pairs, e.shape).fold(e.feature_counts)
     head, keys, tail = layer_fields(name, properties, extent)
@@ -155,9 +177,9 @@ def encode_tiles(table: pa.Table, name: str, properties: list[str], extent: int)
     return _rows(e, {"tile": wrap_layer(body).to_arrow()})
 
 
-def encode_parts(table: pa.Table, properties: list[str]) -> pa.RecordBatch:
+def encode_parts(table: pa.Table, properties: list[str], gtype: int) -> pa.RecordBatch:
     """Parts of large tiles; value numbers still start at zero in every part."""
-    e = Encoded(table, properties)
+    e = Encoded(table, properties, gtype)
     per_part = sums(e.pairs, e.feature_counts)
     words = {
         "key_index": Ragged(e.key_index.astype("<u4").view(np.uint8), per_part * 4),
@@ -169,10 +191,10 @@ def encode_parts(table: pa.Table, properties: list[str]) -> pa.RecordBatch:
     }
     cols = {k: v.to_arrow() for k, v in words.items()}
     cols["n_values"] = pa.array(e.value_counts.astype(np.int64))
-    return _rows(e, cols)
+    return _rows(e, {"bucket": pa.array(e.keys[1]), **cols})
 
 
-PART_FIELDS = TILE_FIELDS + [(k, "binary") for k in ("key_index", "value_index", "pairs", "shape_lens", "shape",
+PART_FIELDS = [*TILE_FIELDS, ("bucket", "bigint")] + [(k, "binary") for k in ("key_index", "value_index", "pairs", "shape_lens", "shape",
                                                      "part_values")] + [("n_values", "bigint")]
 
 
@@ -188,9 +210,9 @@ def finish_part(row: dict) -> bytes:
 
 
 def _rows(e: Encoded, columns: dict[str, pa.Array]) -> pa.RecordBatch:
-    z, x, y, bucket = e.keys
+    z, x, y = tile_address(e.keys[0])
     base = {"z": pa.array(z.astype(np.int32)), "x": pa.array(x.astype(np.int32)), "y": pa.array(y.astype(np.int32)),
-            "bucket": pa.array(bucket), "n_features": pa.array(e.feature_counts.astype(np.int64))}
+            "n_features": pa.array(e.feature_counts.astype(np.int64))}
     return pa.RecordBatch.from_pydict({**base, **columns})
 
 
@@ -220,7 +242,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def _last_group_start(batch: pa.RecordBatch) -> int | None:
     change = np.zeros(batch.num_rows, bool)
-    for k in KEYS:
+    for k in _present(batch.schema.names):
         values = np.asarray(batch.column(k))
         change[1:] |= values[1:] != values[:-1]
     at = np.flatnonzero(change)
@@ -228,7 +250,7 @@ def _last_group_start(batch: pa.RecordBatch) -> int | None:
 
 
 def _same_group(a: pa.RecordBatch, b: pa.RecordBatch) -> bool:
-    return all(a.column(k)[-1].as_py() == b.column(k)[0].as_py() for k in KEYS)
+    return all(a.column(k)[-1].as_py() == b.column(k)[0].as_py() for k in _present(a.schema.names))
 
 
 def opening(sizes: pa.Array, fixed: bytes) -> pa.Array:

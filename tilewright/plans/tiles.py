@@ -22,8 +22,9 @@ from tilewright.operators import mvt
 from tilewright.operators.checkpoints import cut_lineage
 from tilewright.operators.cover import WIDE_COVER, cover, in_world, visible, widest_cover
 from tilewright.operators.filters import filter_layer, predicate_column
-from tilewright.operators.geometry import geometry_code, point_commands, shape_commands
+from tilewright.operators.geometry import geometry_code, point_steps, shape_commands
 from tilewright.operators.joins import BROADCAST_ROWS, join_by_size, salted_join
+from tilewright.sources.scan import use_all_cores
 
 TILE = ["z", "x", "y"]
 TILE_TABLE = ["layer", *TILE, "part", "n_parts", "tile", "n_features", "keys"]
@@ -129,7 +130,7 @@ def _large_tiles(f: _Features, zooms: list[int], wide: bool) -> _Large | None:
     first zoom without a large tile.
     """
     g, limit = f.geometry, f.options.part_bytes
-    weighed = f.frame.select(*g.box_columns, f.weight().alias("weight"))
+    weighed = use_all_cores(f.frame.select(*g.box_columns, f.weight().alias("weight")))
 
     def over(levels: list[int]) -> DataFrame:
         rows = cover(weighed, g, levels, f.options.extent, wide, every=True)
@@ -157,47 +158,48 @@ def _large_tiles(f: _Features, zooms: list[int], wide: bool) -> _Large | None:
     return _Large(buckets(tiles), sorted({r["z"] for r in found}), True)
 
 
-def _commands(f: _Features) -> tuple[Column, Column]:
-    """Geometry type and command integers of the tile geometry."""
+def _drawn(f: _Features) -> tuple[list[Column], Column]:
+    """Columns of the tile geometry and whether anything is left of it."""
     g, o = f.geometry, f.options
     margin = o.buffer if o.clip else None
     z, x, y = (F.col(c) for c in TILE)
     if g.is_point:
-        return F.lit(1), point_commands(F.col(g.box("u0")), F.col(g.box("v0")), z, x, y, o.extent, margin)
-    code = geometry_code(F.col(g.name)["kind"])
-    cmds = shape_commands(F.col(g.name)["parts"], F.col(g.name)["srid"], code, z, x, y, o.extent, margin)
-    return code, cmds
+        step_x, step_y, inside = point_steps(F.col(g.box("u0")), F.col(g.box("v0")), z, x, y, o.extent, margin)
+        return [step_x.alias("step_x"), step_y.alias("step_y")], inside
+    cmds = shape_commands(F.col(g.name)["parts"], g.srid, geometry_code(g.kind), z, x, y, o.extent, margin)
+    return [cmds.alias("cmds")], F.col("cmds").isNotNull()
 
 
 def _wide(f: _Features, zooms: list[int]) -> bool:
     return widest_cover(f.frame, f.geometry, max(zooms)) > WIDE_COVER
 
 
-def _encoded(rows: DataFrame, f: _Features, requests: DataFrame | None) -> DataFrame:
-    """Features per tile and bucket with their command integers."""
+def _encoded(rows: DataFrame, f: _Features, keep: list[str], requests: DataFrame | None) -> DataFrame:
+    """Features per tile with their tile geometry, narrowed to what the encoder needs."""
     if requests is not None:
         rows = join_by_size(rows, requests, TILE, "left_semi")
-    code, cmds = _commands(f)
-    rows = rows.select(*TILE, "bucket", "copies", *f.props, code.cast("int").alias("gtype"), cmds.alias("cmds"))
-    return rows.filter(F.col("cmds").isNotNull())
+    shape, left = _drawn(f)
+    number = tm.tile_number(*[F.col(c) for c in TILE]).alias("tile_no")
+    if f.geometry.is_point:
+        return rows.filter(left).select(number, *keep, *f.props, *shape)
+    return rows.select(number, *keep, *f.props, *shape).filter(left)
 
 
 def _small_rows(f: _Features, zooms: list[int], wide: bool, large: _Large | None,
                 requests: DataFrame | None = None) -> DataFrame:
-    one, none = F.lit(1).cast("bigint"), F.lit(-1).cast("bigint")
-    rows = cover(f.frame.withColumn("copies", one), f.geometry, zooms, f.options.extent, wide)
+    rows = cover(use_all_cores(f.frame), f.geometry, zooms, f.options.extent, wide)
     if large is not None:
         rows = large.join(rows, "left_anti")
-    return _encoded(rows.withColumn("bucket", none), f, requests)
+    return _encoded(rows, f, [], requests)
 
 
 def _large_rows(f: _Features, wide: bool, large: _Large, requests: DataFrame | None = None) -> DataFrame:
     """Features of large tiles, spread over buckets by a hash of their content."""
     # identical rows would share a bucket: count them first and spread the counts
-    counted = _split_copies(f.frame.groupBy(f.frame.columns).agg(F.count(F.lit(1)).alias("copies")), f)
+    counted = _split_copies(use_all_cores(f.frame).groupBy(f.frame.columns).agg(F.count(F.lit(1)).alias("copies")), f)
     rows = large.join(cover(counted, f.geometry, large.zooms, f.options.extent, wide), "inner")
     spread = F.pmod(F.xxhash64(*f.props, *f.shape, *f.geometry.box_columns, "chunk"), F.col("buckets"))
-    return _encoded(rows.withColumn("bucket", spread.cast("bigint")), f, requests)
+    return _encoded(rows.withColumn("bucket", spread.cast("bigint")), f, ["bucket", "copies"], requests)
 
 
 def _split_copies(frame: DataFrame, f: _Features) -> DataFrame:
@@ -208,8 +210,10 @@ def _split_copies(frame: DataFrame, f: _Features) -> DataFrame:
             .withColumn("copies", F.least(per_row, F.col("copies") - F.col("chunk") * per_row)))
 
 
-def _sorted_by_tile(rows: DataFrame, props: list[str]) -> DataFrame:
-    return rows.repartition(*TILE, "bucket").sortWithinPartitions(*TILE, "bucket", *props, "gtype", "cmds", "copies")
+def _sorted_by_tile(rows: DataFrame) -> DataFrame:
+    """Rows of a tile (or bucket) together, in an order that depends on their content only."""
+    keys = [k for k in mvt.KEYS if k in rows.columns]
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *[c for c in rows.columns if c not in keys])
 
 
 def _schema(fields: list[tuple[str, str]]) -> str:
@@ -217,15 +221,15 @@ def _schema(fields: list[tuple[str, str]]) -> str:
 
 
 def _encode(rows: DataFrame, f: _Features, name: str) -> DataFrame:
-    props, names, extent = f.props, f.names, f.options.extent
+    names, extent, code = f.names, f.options.extent, geometry_code(f.geometry.kind)
+    alias = dict(zip(f.props, names))
 
     def run(batches):
         for table in mvt.whole_groups(batches):
             yield mvt.encode_tiles(table.rename_columns([alias.get(c, c) for c in table.column_names]),
-                                   name, names, extent)
+                                   name, names, extent, code)
 
-    alias = dict(zip(props, names))
-    tiles = _sorted_by_tile(rows, props).mapInArrow(run, _schema([*mvt.TILE_FIELDS, ("tile", "binary")]))
+    tiles = _sorted_by_tile(rows).mapInArrow(run, _schema([*mvt.TILE_FIELDS, ("tile", "binary")]))
     return tiles.select(F.lit(name).alias("layer"), *TILE, F.lit(0).alias("part"), F.lit(1).alias("n_parts"),
                         "tile", "n_features", _no_keys())
 
@@ -236,14 +240,14 @@ def _no_keys() -> Column:
 
 def _encode_large(rows: DataFrame, f: _Features, name: str) -> DataFrame:
     """Large tiles as parts: encode buckets, number their values, add the opening part."""
-    props, names, extent = f.props, f.names, f.options.extent
-    alias = dict(zip(props, names))
+    names, extent, code = f.names, f.options.extent, geometry_code(f.geometry.kind)
+    alias = dict(zip(f.props, names))
 
     def run(batches):
         for table in mvt.whole_groups(batches):
-            yield mvt.encode_parts(table.rename_columns([alias.get(c, c) for c in table.column_names]), names)
+            yield mvt.encode_parts(table.rename_columns([alias.get(c, c) for c in table.column_names]), names, code)
 
-    parts = cut_lineage(_sorted_by_tile(rows, props).mapInArrow(run, _schema(mvt.PART_FIELDS)))
+    parts = cut_lineage(_sorted_by_tile(rows).mapInArrow(run, _schema(mvt.PART_FIELDS)))
 
     w = Window.partitionBy(TILE).orderBy("bucket")
     numbers = parts.select(*TILE, "bucket", "n_values").select(
@@ -374,15 +378,14 @@ def diagnose_tiles(layer: Layer, requests: DataFrame, options: TileOptions = Til
     zooms = sorted(r[0] for r in wanted.select("z").distinct().collect())  # at most 31 values
     g = layer.geometry(options.geometry)
     keep = F.lit(True) if options.where is None else F.coalesce(predicate_column(layer, options.where), F.lit(False))
-    z, x, y = (F.col(c) for c in TILE)
     shape = [] if g.is_point else [F.col(g.name)]
     frame = layer.frame.filter(in_world(g)).select(keep.alias("kept"), *shape, *g.box_columns)
     f = _Features(frame, g, [], options)
     wide = bool(zooms) and _wide(f, zooms)
     near = join_by_size(cover(frame, g, zooms or [0], options.extent, wide, every=True), wanted, TILE, "left_semi")
-    _, cmds = _commands(f)
-    drawn = F.when(F.col("kept") & visible(g, z, options.extent), cmds).isNotNull()
-    counts = near.select(*TILE, "kept", drawn.alias("drawn")).groupBy(TILE).agg(
+    shape, left = _drawn(f)
+    drawn = F.col("kept") & visible(g, F.col("z"), options.extent) & left
+    counts = near.select("*", *shape).select(*TILE, "kept", drawn.alias("drawn")).groupBy(TILE).agg(
         F.count(F.lit(1)).alias("in_box"), F.count_if("kept").alias("after_filter"),
         F.count_if("drawn").alias("after_clip"))
     n = {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("in_box", "after_filter", "after_clip")}
