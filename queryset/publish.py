@@ -7,7 +7,7 @@ from queryset.registry import query
 from tilewright.functions.text import etag, strip
 from tilewright.operators import publish as ops
 from tilewright.operators.versions import fold_versions, invalidated_keys
-from tilewright.plans.tiles import tile_pyramid
+from tilewright.plans.tiles import get_or_make, tile_pyramid
 
 EMPTY = "44136fa355b3678a"  # fixed value: hash of no parameters
 
@@ -78,6 +78,18 @@ def tiles_missing(spark, sf):
     return ops.missing_tiles(asked, store).select("tile_key", "z", "x", "y")
 
 
+@query("tiles_get_or_make", f"""{duck('customer_pt', 'tile_requests')},
+t as (select z, x, y, count(*) as n from ({covered('customer_pt', 0, 7)}) t group by all)
+select {_key_sql('customer_pt')} as tile_key, z, x, y, coalesce(n, 0) as n_features,
+ case when z <= 4 and n > 0 then 'HIT' else 'MISS' end as source
+from (select r.*, t.n from tile_requests r left join t on t.z = r.z and t.x = r.x and t.y = r.y) q""")
+def tiles_get_or_make(spark, sf):
+    made = layer(spark, sf, "customer_pt")
+    store = ops.tile_keys(tile_pyramid(made, 0, 4).withColumn("catalog_id", F.lit(made.id)))
+    tiles = get_or_make(made, fixture(spark, sf, "tile_requests"), store)
+    return tiles.select("tile_key", "z", "x", "y", "n_features", "source")
+
+
 @query("tiles_changed", f"""{duck('customer_pt')},
 new_tiles as (select z, x, y, count(*) as n from ({covered('customer_pt', 0, 5)}) t where balance > 0 or id % 100 > 2 group by all),
 old_tiles as (select z, x, y, count(*) as n from ({covered('customer_pt', 1, 6)}) t where balance > 0 or id % 100 < 98 group by all),

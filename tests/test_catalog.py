@@ -39,7 +39,7 @@ def test_saved_layer_opens_again(spark, sf):
 
 
 def test_types(spark):
-    schema = spark.createDataFrame([], "a varchar(5), b decimal(5,1), c boolean, d timestamp, e array<int>, f map<string,int>").schema
+    schema = spark.createDataFrame([], "a string, b decimal(5,1), c boolean, d timestamp, e array<int>, f map<string,int>").schema
     assert [type_bucket(f.dataType) for f in schema] == ["string", "numeric", "boolean", "datetime", "unknown", "unknown"]
     assert [tilejson_type(f.dataType) for f in schema] == ["String", "Number", "Boolean", "String", "String", "String"]
 

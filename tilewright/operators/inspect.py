@@ -19,7 +19,8 @@ def type_name(code: Column) -> Column:
 
 
 _PLACE = [*[(c, pa.int32()) for c in (*TILE, "part")], ("layer", pa.string())]
-_LAYERS = pa.schema([*_PLACE, ("version", pa.int32()), ("extent", pa.int32()), ("type", pa.int32()), ("n", pa.int64())])
+_LAYERS = pa.schema([*_PLACE, ("version", pa.int32()), ("extent", pa.int32()), ("type", pa.int32()), ("n", pa.int64()),
+                     ("bytes", pa.int64())])
 _FEATURES = pa.schema([
     *_PLACE, ("ordinal", pa.int32()), ("type", pa.int32()), ("properties", pa.map_(pa.string(), pa.string())),
     ("paths", pa.list_(pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())]))))])
@@ -48,7 +49,7 @@ def decode_features(tiles: DataFrame, limit: int | None = None) -> DataFrame:
 
 def inspect_layers(tiles: DataFrame) -> DataFrame:
     """Per tile and layer: version, extent, number of features, and how many of each geometry type."""
-    rows = _layer_rows(tiles)
+    rows = _layer_rows(tiles).filter(F.col("layer").isNotNull())
     kinds = {n: F.coalesce(F.sum(F.when(F.col("type") == code, F.col("n"))), F.lit(0).cast("bigint"))
              for n, code in (("points", 1), ("lines", 2), ("polygons", 3))}
     other = F.coalesce(F.sum(F.when(~F.col("type").isin(1, 2, 3), F.col("n"))), F.lit(0).cast("bigint"))
@@ -65,14 +66,12 @@ def geometry_types(tiles: DataFrame) -> DataFrame:
 
 def inspect_tiles(tiles: DataFrame) -> DataFrame:
     """Per tile: status, bytes, number of layers and features; an empty tile is a row too."""
-    sizes = tiles.groupBy(TILE).agg(F.sum(F.octet_length("tile").cast("bigint")).alias("byte_size"))
-    totals = inspect_layers(tiles).groupBy(TILE).agg(
-        F.count(F.lit(1)).alias("total_layers"), F.sum("feature_count").alias("total_features"))
+    layers = _layer_rows(tiles).groupBy(*TILE, "layer").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
     zero = F.lit(0).cast("bigint")
-    return sizes.join(totals, TILE, "left").select(
-        *TILE, F.when(F.col("byte_size") == 0, "EMPTY_TILE").otherwise("OK").alias("status"), "byte_size",
-        F.coalesce("total_layers", zero).alias("total_layers"),
-        F.coalesce("total_features", zero).alias("total_features"))
+    totals = layers.groupBy(TILE).agg(F.sum("bytes").alias("byte_size"), F.count("layer").alias("total_layers"),
+                                      F.coalesce(F.sum("n"), zero).alias("total_features"))
+    status = F.when(F.col("byte_size") == 0, "EMPTY_TILE").otherwise("OK").alias("status")
+    return totals.select(*TILE, status, "byte_size", "total_layers", "total_features")
 
 
 def tile_samples(tiles: DataFrame, n: int = 5) -> DataFrame:

@@ -63,15 +63,14 @@ def tile_etags(tiles: DataFrame) -> DataFrame:
     A tile in several parts is digested part by part; its ETag is made of the
     total length and the digest of the part digests.
     """
-    whole = tiles.filter(F.col("n_parts") == 1).select(
-        "layer", *TILE, F.octet_length("tile").cast("bigint").alias("bytes"), etag(F.col("tile")).alias("etag"))
-    thin = tiles.filter(F.col("n_parts") > 1).select(
-        "layer", *TILE, "part", F.octet_length("tile").cast("bigint").alias("bytes"), F.md5("tile").alias("digest"))
-    digests = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))),
-                                       lambda p: p["digest"]), "")
-    parts = thin.groupBy("layer", *TILE).agg(F.sum("bytes").alias("bytes"), F.md5(digests).alias("digest")).select(
+    thin = tiles.select("layer", *TILE, F.struct(
+        "part", F.md5("tile").alias("digest"), F.octet_length("tile").cast("bigint").alias("bytes")).alias("p"))
+    parts = thin.groupBy("layer", *TILE).agg(F.array_sort(F.collect_list("p")).alias("parts"))
+    digests = F.transform("parts", lambda p: p["digest"])
+    digest = F.when(F.size("parts") == 1, digests[0]).otherwise(F.md5(F.array_join(digests, "")))
+    length = F.aggregate("parts", F.lit(0).cast("bigint"), lambda total, p: total + p["bytes"])
+    return parts.select("layer", *TILE, length.alias("bytes"), digest.alias("digest")).select(
         "layer", *TILE, "bytes", etag_of(F.col("bytes"), F.substring("digest", 1, 16)).alias("etag"))
-    return whole.unionByName(parts)
 
 
 def publish_list(tiles: DataFrame, catalog_id: str, version: str | int = 1) -> DataFrame:

@@ -150,7 +150,7 @@ class Features:
 
 
 def layer_rows(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
-    """One row per layer and geometry type with its number of features."""
+    """One row per layer and geometry type with its number of features, and one row per tile with its bytes."""
     tiles = Tiles(batch)
     layer = np.asarray(tiles.feature_layer, np.int64)
     kind = Features(tiles, np.arange(len(layer))).type
@@ -164,6 +164,11 @@ def layer_rows(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
     columns["extent"] = pa.array(tiles.extent, pa.int32()).take(take)
     columns["type"] = pa.concat_arrays([pa.array(pairs[1].astype(np.int32)), pa.nulls(len(empty), pa.int32())])
     columns["n"] = pa.array(np.concatenate((count, np.zeros(len(empty), np.int64))))
+    columns["bytes"] = pa.nulls(len(index), pa.int64())
+    sizes = pc.binary_length(batch.column("tile")).fill_null(0)
+    own = {c: batch.column(c) for c in PLACE} | {"bytes": sizes}
+    columns = {f.name: pa.concat_arrays([columns[f.name].cast(f.type), own[f.name].cast(f.type) if f.name in own
+                                         else pa.nulls(batch.num_rows, f.type)]) for f in schema}
     return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in schema], schema=schema)
 
 

@@ -9,6 +9,7 @@ parts carry on with features and values, so no task ever holds a large tile whol
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
@@ -24,6 +25,7 @@ from tilewright.operators.cover import WIDE_COVER, cover, in_world, visible, wid
 from tilewright.operators.filters import filter_layer, predicate_column
 from tilewright.operators.geometry import geometry_code, point_steps, shape_commands
 from tilewright.operators.joins import BROADCAST_ROWS, join_by_size, salted_join
+from tilewright.operators.publish import tile_keys
 from tilewright.sources.scan import use_all_cores
 
 TILE = ["z", "x", "y"]
@@ -119,7 +121,7 @@ class _Large:
     small: bool  # few enough to broadcast
 
     def join(self, rows: DataFrame, how: str) -> DataFrame:
-        tiles = self.tiles if how == "inner" else self.tiles.select(TILE)
+        tiles = self.tiles if how == "inner" else self.tiles.select(TILE)  # semi and anti need no counts
         return rows.join(F.broadcast(tiles), TILE, how) if self.small else salted_join(rows, tiles, TILE, how)
 
 
@@ -281,13 +283,14 @@ def _encode_large(rows: DataFrame, f: _Features, name: str) -> DataFrame:
     return first.unionByName(rest).withColumn("layer", F.lit(name)).select(TILE_TABLE)
 
 
-def _tiles(f: _Features, name: str, zooms: list[int], requests: DataFrame | None = None) -> DataFrame:
+def _tiles(f: _Features, name: str, zooms: list[int], requests: DataFrame | None = None
+           ) -> tuple[DataFrame, _Large | None]:
     wide = _wide(f, zooms)
     large = _large_tiles(f, zooms, wide)
-    small = _encode(_small_rows(f, zooms, wide, large, requests), f, name)
-    if large is None:
-        return small
-    return small.unionByName(_encode_large(_large_rows(f, wide, large, requests), f, name))
+    tiles = _encode(_small_rows(f, zooms, wide, large, requests), f, name)
+    if large is not None:
+        tiles = tiles.unionByName(_encode_large(_large_rows(f, wide, large, requests), f, name))
+    return tiles, large
 
 
 def _zooms(zmin: int, zmax: int) -> list[int]:
@@ -301,7 +304,7 @@ def tile_pyramid(layer: Layer, zmin: int, zmax: int, options: TileOptions = Tile
     zooms = _zooms(zmin, zmax)
     out = None
     for geometry, name in layer_names(layer, options).items():
-        tiles = _tiles(_features(layer, replace(options, geometry=geometry)), name, zooms)
+        tiles, _ = _tiles(_features(layer, replace(options, geometry=geometry)), name, zooms)
         out = tiles if out is None else out.unionByName(tiles)
     return out
 
@@ -318,7 +321,7 @@ def tiles_for(layer: Layer, requests: DataFrame, options: TileOptions = TileOpti
     wanted = checked_requests(requests)
     zooms = sorted(r[0] for r in wanted.select("z").distinct().collect())  # at most 31 values
     names = layer_names(layer, options)
-    whole = "_".join([layer.name]) if len(names) > 1 else next(iter(names.values()))
+    whole = layer.name if len(names) > 1 else next(iter(names.values()))
     layers = []
     for geometry, name in names.items():
         if zooms:
@@ -326,7 +329,7 @@ def tiles_for(layer: Layer, requests: DataFrame, options: TileOptions = TileOpti
     if not layers:
         return wanted.select(F.lit(whole).alias("layer"), *TILE, F.lit(0).alias("part"), F.lit(1).alias("n_parts"),
                              F.lit(b"").alias("tile"), F.lit(0).cast("bigint").alias("n_features"), _no_keys())
-    made = layers[0] if len(layers) == 1 else merge_layers(layers, whole, options.part_bytes)
+    made = layers[0][0] if len(layers) == 1 else _merge(layers, whole)
     return wanted.join(made, TILE, "left").select(
         F.coalesce("layer", F.lit(whole)).alias("layer"), *TILE,
         F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("n_parts", F.lit(1)).alias("n_parts"),
@@ -334,34 +337,39 @@ def tiles_for(layer: Layer, requests: DataFrame, options: TileOptions = TileOpti
         F.coalesce("n_features", F.lit(0).cast("bigint")).alias("n_features"), "keys")
 
 
-def merge_layers(layers: list[DataFrame], name: str, part_bytes: int = 4 << 20) -> DataFrame:
+def _merge(layers: list[tuple[DataFrame, _Large | None]], name: str) -> DataFrame:
     """Several layers in one tile: their bytes one after the other, in the given order.
 
-    Small tiles become one row. A tile that would exceed ``part_bytes`` keeps
-    its rows, numbered through over all layers; ``layer`` then names the layer
-    each row belongs to.
+    A layer of a tile that is not large is at most one part, so their
+    concatenation is bounded. A tile with a large layer keeps its rows, numbered
+    through over all layers; ``layer`` then names the layer each row belongs to.
     """
     rows = None
-    for i, tiles in enumerate(layers):
+    for i, (tiles, _) in enumerate(layers):
         one = tiles.filter(F.octet_length("tile") > 0).withColumn("ordinal", F.lit(i))
         rows = one if rows is None else rows.unionByName(one)
-    size = rows.groupBy(TILE).agg(F.sum(F.octet_length("tile")).cast("bigint").alias("bytes"),
-                                  F.max("n_parts").alias("most"))
-    too_big = size.filter((F.col("bytes") > part_bytes) | (F.col("most") > 1)).select(TILE)
-    joined_up = join_by_size(rows, too_big, TILE, "left_anti")
+    found = [large for _, large in layers if large is not None]
+    small = rows
+    for large in found:
+        small = large.join(small, "left_anti")
     entry = F.struct("ordinal", "tile", "n_features")
-    small = joined_up.groupBy(TILE).agg(F.array_sort(F.collect_list(entry)).alias("e")).select(
+    merged = small.groupBy(TILE).agg(F.array_sort(F.collect_list(entry)).alias("e")).select(
         F.lit(name).alias("layer"), *TILE, F.lit(0).alias("part"), F.lit(1).alias("n_parts"),
         F.aggregate("e", F.lit(b""), lambda acc, r: F.concat(acc, r["tile"])).alias("tile"),
         F.aggregate("e", F.lit(0).cast("bigint"), lambda acc, r: acc + r["n_features"]).alias("n_features"), _no_keys())
-    big = join_by_size(rows, too_big, TILE, "left_semi")
+    if not found:
+        return merged
+    which = found[0].tiles.select(TILE)
+    for large in found[1:]:
+        which = which.union(large.tiles.select(TILE))
+    kept = replace(found[0], tiles=which.distinct(), small=all(large.small for large in found)).join(rows, "left_semi")
     w = Window.partitionBy(TILE).orderBy("ordinal", "part")
-    numbers = big.select(*TILE, "ordinal", "part").select(
+    numbers = kept.select(*TILE, "ordinal", "part").select(
         *TILE, "ordinal", "part", (F.row_number().over(w) - 1).alias("number"),
         F.count(F.lit(1)).over(Window.partitionBy(TILE)).cast("int").alias("total"))
-    large = big.join(numbers, [*TILE, "ordinal", "part"]).select(
+    parts = kept.join(numbers, [*TILE, "ordinal", "part"]).select(
         "layer", *TILE, F.col("number").alias("part"), F.col("total").alias("n_parts"), "tile", "n_features", "keys")
-    return small.unionByName(large)
+    return merged.unionByName(parts)
 
 
 def multilayer_pyramid(layer: Layer, zmin: int, zmax: int, options: TileOptions = TileOptions()) -> DataFrame:
@@ -369,7 +377,7 @@ def multilayer_pyramid(layer: Layer, zmin: int, zmax: int, options: TileOptions
     zooms = _zooms(zmin, zmax)
     layers = [_tiles(_features(layer, replace(options, geometry=g)), name, zooms)
               for g, name in layer_names(layer, options).items()]
-    return merge_layers(layers, layer.name, options.part_bytes)
+    return _merge(layers, layer.name)
 
 
 def diagnose_tiles(layer: Layer, requests: DataFrame, options: TileOptions = TileOptions()) -> DataFrame:
@@ -393,3 +401,37 @@ def diagnose_tiles(layer: Layer, requests: DataFrame, options: TileOptions = Til
                .when(n["after_clip"] == 0, "all degenerate or clipped away").otherwise("ok"))
     return wanted.join(counts, TILE, "left").select(*TILE, *[c.alias(k) for k, c in n.items()],
                                                     verdict.alias("verdict"))
+
+
+def get_or_make(layer: Layer, requests: DataFrame, store: DataFrame, version: str | int = 1,
+                options: TileOptions = TileOptions()) -> DataFrame:
+    """Requested tiles out of a store where it has them, made where it has not.
+
+    ``store`` is a tile table with ``tile_key``. Every distinct address is made
+    once, however often it is asked for. ``source`` tells HIT from MISS.
+    """
+    asked = _keyed(checked_requests(requests), layer, version, options)
+    held = store.select("tile_key").distinct()
+    hits = store.join(asked.select("tile_key"), "tile_key", "left_semi").withColumn("source", F.lit("HIT"))
+    missing = asked.join(held, "tile_key", "left_anti")
+    made = _keyed(tiles_for(layer, missing.select(TILE), options), layer, version, options)
+    columns = ["tile_key", *TILE_TABLE, "source"]
+    return hits.select(columns).unionByName(made.withColumn("source", F.lit("MISS")).select(columns))
+
+
+def _keyed(frame: DataFrame, layer: Layer, version: str | int, options: TileOptions) -> DataFrame:
+    """Add the tile key of a layer, a dataset version and the options that differ from the defaults."""
+    default = TileOptions()
+    wanted = {"buffer": options.buffer, "clip": options.clip, "extent": options.extent}
+    columns = {k: F.lit(v) for k, v in wanted.items() if v != getattr(default, k)}
+    if options.geometry:
+        columns["geom"] = F.lit(options.geometry)
+    if options.properties:
+        columns["properties"] = F.array(*[F.lit(p) for p in options.properties])
+    if options.layer_name:
+        columns["layer_name"] = F.lit(options.layer_name)
+    if options.where is not None:
+        columns["where"] = F.lit(json.dumps(options.where, default=str))
+    named = frame.select("*", F.lit(layer.id).alias("catalog_id"), F.lit(str(version)).alias("version"),
+                         *[c.alias(f"{k}") for k, c in columns.items()])
+    return tile_keys(named).drop("catalog_id", "version", *columns)
