@@ -173,7 +173,8 @@ def _drawn(f: _Features) -> tuple[list[Column], Column]:
 
 
 def _wide(f: _Features, zooms: list[int]) -> bool:
-    return widest_cover(f.frame, f.geometry, max(zooms)) > WIDE_COVER
+    deepest = max(zooms)
+    return 4**deepest > WIDE_COVER and widest_cover(f.frame, f.geometry, deepest) > WIDE_COVER
 
 
 def _encoded(rows: DataFrame, f: _Features, keep: list[str], requests: DataFrame | None) -> DataFrame:
