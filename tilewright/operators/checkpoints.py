@@ -4,18 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Write a frame to the checkpoint folder of the cluster and read on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only a
-    session without one (a local test) gets a temporary folder.
+    Only a local session without one, as in tests, gets a temporary folder.
     """
-    spark = frame.sparkSession
-    context = spark.sparkContext
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="checkpoint-")
+
+
+def cut_lineage(frame: DataFrame) -> DataFrame:
+    """Write a frame to the shared checkpoint folder and read on from there."""
+    context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(frame.sparkSession))
     return frame.checkpoint()

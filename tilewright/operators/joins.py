@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.operators.checkpoints import cut_lineage
+
 BROADCAST_ROWS = 200_000  # rows of a narrow table that may be sent to every executor
 SALTS = 64
 
@@ -20,6 +22,13 @@ def bounded(side: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame | None:
     return side.sparkSession.createDataFrame(rows, side.schema)
 
 
+def settle(frame: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Compute a narrow frame once that is used several times: locally when it
+    is small, in the shared checkpoint folder when it is not."""
+    small = bounded(frame, limit)
+    return cut_lineage(frame) if small is None else small
+
+
 def join_by_size(big: DataFrame, side: DataFrame, keys: list[str], how: str,
                  limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join on keys that are unique in ``side`` but may be very frequent in ``big``.

@@ -61,16 +61,16 @@ def tile_etags(tiles: DataFrame) -> DataFrame:
     """``layer, z, x, y, bytes, etag`` of each tile of a tile table.
 
     A tile in several parts is digested part by part; its ETag is made of the
-    total length and the digest of the part digests.
+    total length and a combination of the part digests that needs no order.
     """
-    thin = tiles.select("layer", *TILE, F.struct(
-        "part", F.md5("tile").alias("digest"), F.octet_length("tile").cast("bigint").alias("bytes")).alias("p"))
-    parts = thin.groupBy("layer", *TILE).agg(F.array_sort(F.collect_list("p")).alias("parts"))
-    digests = F.transform("parts", lambda p: p["digest"])
-    digest = F.when(F.size("parts") == 1, digests[0]).otherwise(F.md5(F.array_join(digests, "")))
-    length = F.aggregate("parts", F.lit(0).cast("bigint"), lambda total, p: total + p["bytes"])
-    return parts.select("layer", *TILE, length.alias("bytes"), digest.alias("digest")).select(
-        "layer", *TILE, "bytes", etag_of(F.col("bytes"), F.substring("digest", 1, 16)).alias("etag"))
+    thin = tiles.select("layer", *TILE, "part", "n_parts", F.md5("tile").alias("digest"),
+                        F.octet_length("tile").cast("bigint").alias("bytes"))
+    totals = thin.groupBy("layer", *TILE).agg(
+        F.sum("bytes").alias("bytes"), F.max("n_parts").alias("n_parts"),
+        F.min(F.substring("digest", 1, 16)).alias("single"),
+        F.bit_xor(F.xxhash64("part", "digest")).alias("mixed"))
+    digest = F.when(F.col("n_parts") == 1, F.col("single")).otherwise(F.lower(F.lpad(F.hex("mixed"), 16, "0")))
+    return totals.select("layer", *TILE, "bytes", etag_of(F.col("bytes"), digest).alias("etag"))
 
 
 def publish_list(tiles: DataFrame, catalog_id: str, version: str | int = 1) -> DataFrame:

@@ -24,13 +24,14 @@ from tilewright.operators.checkpoints import cut_lineage
 from tilewright.operators.cover import WIDE_COVER, cover, in_world, visible, widest_cover
 from tilewright.operators.filters import filter_layer, predicate_column
 from tilewright.operators.geometry import geometry_code, point_steps, shape_commands
-from tilewright.operators.joins import BROADCAST_ROWS, join_by_size, salted_join
+from tilewright.operators.joins import BROADCAST_ROWS, join_by_size, salted_join, settle
 from tilewright.operators.publish import tile_keys
 from tilewright.sources.scan import use_all_cores
 
 TILE = ["z", "x", "y"]
 TILE_TABLE = ["layer", *TILE, "part", "n_parts", "tile", "n_features", "keys"]
 SEARCH_ZOOMS = 4  # zooms looked at together in the search for large tiles
+NUMBER_BLOCK = 4096  # buckets counted together when parts are numbered
 FEATURE_COST = 24  # bytes of a feature beside its attributes and vertices
 
 
@@ -252,12 +253,7 @@ def _encode_large(rows: DataFrame, f: _Features, name: str) -> DataFrame:
 
     parts = cut_lineage(_sorted_by_tile(rows).mapInArrow(run, _schema(mvt.PART_FIELDS)))
 
-    w = Window.partitionBy(TILE).orderBy("bucket")
-    numbers = parts.select(*TILE, "bucket", "n_values").select(
-        *TILE, "bucket",
-        F.row_number().over(w).alias("part"),
-        F.coalesce(F.sum("n_values").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("value_base"),
-    )
+    numbers = _number_parts(parts.select(*TILE, "bucket", "n_values"))
 
     def finish(batches):
         for batch in batches:
@@ -284,6 +280,27 @@ def _encode_large(rows: DataFrame, f: _Features, name: str) -> DataFrame:
     return first.unionByName(rest).withColumn("layer", F.lit(name)).select(TILE_TABLE)
 
 
+def _number_parts(parts: DataFrame) -> DataFrame:
+    """Part number and first value number of each bucket, counted on within its tile.
+
+    The count runs over blocks of buckets first and within blocks after, so that
+    no task orders all buckets of one tile.
+    """
+    block = F.floor(F.col("bucket") / NUMBER_BLOCK)
+    parts = parts.withColumn("block", block)
+    before = Window.partitionBy(TILE).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("bigint")
+    blocks = parts.groupBy(*TILE, "block").agg(F.count(F.lit(1)).alias("n"), F.sum("n_values").alias("v")).select(
+        *TILE, "block", F.coalesce(F.sum("n").over(before), none).alias("parts_before"),
+        F.coalesce(F.sum("v").over(before), none).alias("values_before"))
+    within = Window.partitionBy(*TILE, "block").orderBy("bucket")
+    values = F.coalesce(F.sum("n_values").over(within.rowsBetween(Window.unboundedPreceding, -1)), none)
+    inside = parts.select(*TILE, "block", "bucket", F.row_number().over(within).alias("nth"), values.alias("values"))
+    return inside.join(blocks, [*TILE, "block"]).select(
+        *TILE, "bucket", (F.col("parts_before") + F.col("nth")).cast("int").alias("part"),
+        (F.col("values_before") + F.col("values")).alias("value_base"))
+
+
 def _tiles(f: _Features, name: str, zooms: list[int], requests: DataFrame | None = None
            ) -> tuple[DataFrame, _Large | None]:
     wide = _wide(f, zooms)
@@ -317,16 +334,35 @@ def checked_requests(requests: DataFrame) -> DataFrame:
     return good.select(*[F.col(c).cast("int").alias(c) for c in TILE]).distinct()
 
 
+def _requested_ranges(wanted: DataFrame) -> list:
+    """Per requested zoom the range of columns and rows: at most 31 rows."""
+    bounds = [f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("min", F.min), ("max", F.max))]
+    return sorted(wanted.groupBy("z").agg(*bounds).collect(), key=lambda r: r["z"])
+
+
+def _near(g: GeometryColumn, ranges: list) -> Column:
+    """Box filter around all requested tiles, made of constants so that it reaches the scan."""
+    u0, v0, u1, v1 = (F.col(n) for n in g.box_names)
+    out = F.lit(False)
+    for r in ranges:
+        across = 2.0 ** r["z"]
+        out = out | ((u1 >= r["min_x"] / across) & (u0 <= (r["max_x"] + 1) / across)
+                     & (v1 >= r["min_y"] / across) & (v0 <= (r["max_y"] + 1) / across))
+    return out
+
+
 def tiles_for(layer: Layer, requests: DataFrame, options: TileOptions = TileOptions()) -> DataFrame:
     """The requested tiles of all selected geometry columns; a tile without features is empty bytes."""
-    wanted = checked_requests(requests)
-    zooms = sorted(r[0] for r in wanted.select("z").distinct().collect())  # at most 31 values
+    wanted = settle(checked_requests(requests))
+    ranges = _requested_ranges(wanted)
+    zooms = [r["z"] for r in ranges]
     names = layer_names(layer, options)
     whole = layer.name if len(names) > 1 else next(iter(names.values()))
     layers = []
     for geometry, name in names.items():
         if zooms:
-            layers.append(_tiles(_features(layer, replace(options, geometry=geometry)), name, zooms, wanted))
+            near = layer.with_frame(layer.frame.filter(_near(layer.geometry(geometry), ranges)))
+            layers.append(_tiles(_features(near, replace(options, geometry=geometry)), name, zooms, wanted))
     if not layers:
         return wanted.select(F.lit(whole).alias("layer"), *TILE, F.lit(0).alias("part"), F.lit(1).alias("n_parts"),
                              F.lit(b"").alias("tile"), F.lit(0).cast("bigint").alias("n_features"), _no_keys())
@@ -364,12 +400,13 @@ def _merge(layers: list[tuple[DataFrame, _Large | None]], name: str) -> DataFram
     for large in found[1:]:
         which = which.union(large.tiles.select(TILE))
     kept = replace(found[0], tiles=which.distinct(), small=all(large.small for large in found)).join(rows, "left_semi")
-    w = Window.partitionBy(TILE).orderBy("ordinal", "part")
-    numbers = kept.select(*TILE, "ordinal", "part").select(
-        *TILE, "ordinal", "part", (F.row_number().over(w) - 1).alias("number"),
-        F.count(F.lit(1)).over(Window.partitionBy(TILE)).cast("int").alias("total"))
-    parts = kept.join(numbers, [*TILE, "ordinal", "part"]).select(
-        "layer", *TILE, F.col("number").alias("part"), F.col("total").alias("n_parts"), "tile", "n_features", "keys")
+    sizes = kept.groupBy(*TILE, "ordinal").agg(F.max("n_parts").alias("own"))  # a row per layer of a tile
+    before = Window.partitionBy(TILE).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    places = sizes.select(*TILE, "ordinal", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("before"),
+                          F.sum("own").over(Window.partitionBy(TILE)).alias("total"))
+    parts = kept.join(places, [*TILE, "ordinal"]).select(
+        "layer", *TILE, (F.col("before") + F.col("part")).cast("int").alias("part"),
+        F.col("total").cast("int").alias("n_parts"), "tile", "n_features", "keys")
     return merged.unionByName(parts)
 
 
@@ -383,12 +420,13 @@ def multilayer_pyramid(layer: Layer, zmin: int, zmax: int, options: TileOptions
 
 def diagnose_tiles(layer: Layer, requests: DataFrame, options: TileOptions = TileOptions()) -> DataFrame:
     """Per requested tile: rows in the box, after the filter, with tile geometry, and a verdict."""
-    wanted = checked_requests(requests)
-    zooms = sorted(r[0] for r in wanted.select("z").distinct().collect())  # at most 31 values
+    wanted = settle(checked_requests(requests))
+    ranges = _requested_ranges(wanted)
+    zooms = [r["z"] for r in ranges]
     g = layer.geometry(options.geometry)
     keep = F.lit(True) if options.where is None else F.coalesce(predicate_column(layer, options.where), F.lit(False))
     shape = [] if g.is_point else [F.col(g.name)]
-    frame = layer.frame.filter(in_world(g)).select(keep.alias("kept"), *shape, *g.box_columns)
+    frame = layer.frame.filter(in_world(g) & _near(g, ranges)).select(keep.alias("kept"), *shape, *g.box_columns)
     f = _Features(frame, g, [], options)
     wide = bool(zooms) and _wide(f, zooms)
     near = join_by_size(cover(frame, g, zooms or [0], options.extent, wide, every=True), wanted, TILE, "left_semi")

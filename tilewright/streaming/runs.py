@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
+from tilewright.operators.checkpoints import shared_folder
+
 
 def work_folder(frame: DataFrame, name: str) -> str:
-    """A new folder below the shared checkpoint folder; a temporary one in local tests."""
-    spark = frame.sparkSession
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    base = base or tempfile.mkdtemp(prefix="stream-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the shared checkpoint folder."""
+    return f"{shared_folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
