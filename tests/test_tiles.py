@@ -258,3 +258,15 @@ def test_property_choice(spark):
     assert plans.property_names(made, ()) == ["id", "name"]
     assert plans.property_names(made, ("nonsense",)) == []
     assert plans.attribute_names(made, TileOptions(properties=("name", "id"), id_column="id")) == ["id", "name"]
+
+
+def test_requests_prune_the_scan(spark, tmp_path):
+    made = points(spark, [(i, "n", i * 0.3 - 170, i * 0.1 - 60) for i in range(1000)])
+    made.frame.write.parquet(str(tmp_path / "pts"))
+    stored = made.with_frame(spark.read.parquet(str(tmp_path / "pts")))
+    asked = spark.createDataFrame([(5, 16, 16), (6, 33, 32)], "z int, x int, y int")
+    got = plans.tiles_for(stored, asked)
+    assert "GreaterThanOrEqual(geom_u0,0.5)" in got._jdf.queryExecution().executedPlan().toString()
+    want = plans.tile_pyramid(made, 5, 6).join(asked, ["z", "x", "y"], "left_semi")
+    assert want.count() == 2
+    assert {(r.z, r.x, r.y, bytes(r.tile)) for r in got.collect()} == {(r.z, r.x, r.y, bytes(r.tile)) for r in want.collect()}

@@ -341,14 +341,17 @@ def _requested_ranges(wanted: DataFrame) -> list:
 
 
 def _near(g: GeometryColumn, ranges: list) -> Column:
-    """Box filter around all requested tiles, made of constants so that it reaches the scan."""
+    """One box around all requested tiles, made of constants so that it reaches the scan."""
+    if not ranges:
+        return F.lit(False)
+    west = min(r["min_x"] / 2.0 ** r["z"] for r in ranges)
+    north = min(r["min_y"] / 2.0 ** r["z"] for r in ranges)
+    east = max((r["max_x"] + 1) / 2.0 ** r["z"] for r in ranges)
+    south = max((r["max_y"] + 1) / 2.0 ** r["z"] for r in ranges)
+    if (west, north, east, south) == (0.0, 0.0, 1.0, 1.0):
+        return F.lit(True)
     u0, v0, u1, v1 = (F.col(n) for n in g.box_names)
-    out = F.lit(False)
-    for r in ranges:
-        across = 2.0 ** r["z"]
-        out = out | ((u1 >= r["min_x"] / across) & (u0 <= (r["max_x"] + 1) / across)
-                     & (v1 >= r["min_y"] / across) & (v0 <= (r["max_y"] + 1) / across))
-    return out
+    return (u1 >= west) & (u0 <= east) & (v1 >= north) & (v0 <= south)
 
 
 def tiles_for(layer: Layer, requests: DataFrame, options: TileOptions = TileOptions()) -> DataFrame:
