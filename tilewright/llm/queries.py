@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tilewright.llm.idfile import token_digests, token_file
+from tilewright.llm.mixing import MIX_SQL, mix_sources, word_count
 from tilewright.llm.packing import pack_sequences
+from tilewright.llm.quality import quality_scores
+from tilewright.llm.setjoin import ngram_components
 from tilewright.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -13,3 +18,27 @@ __all__ = ["ORACLES", "QUERIES"]
 @query("op9_packing")
 def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack_sequences(table(spark, sf, "documents"))
+
+
+@query("op4_token_file")
+def op4_token_file(spark: SparkSession, sf: str) -> DataFrame:
+    return token_digests(spark, token_file(table(spark, sf, "documents")))
+
+
+@query("op5_mixing", MIX_SQL)
+def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "source", word_count().alias("size"))
+    return mix_sources(docs, size=F.col("size")).select(
+        "doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"),
+        (F.col("size") * F.col("mix_copies")).alias("taken"))
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels")).withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op1_ngram_join")
+def op1_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_components(table(spark, sf, "documents"), words=4, numer=85)
