@@ -11,6 +11,7 @@ from tilewright.llm.packing import pack_sequences
 from tilewright.llm.quality import quality_scores
 from tilewright.llm.setjoin import ngram_components
 from tilewright.llm.registry import ORACLES, QUERIES, query, table
+from tilewright.llm.suffixes import remove_repeats
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -42,3 +43,9 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
 @query("op1_ngram_join")
 def op1_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_components(table(spark, sf, "documents"), words=4, numer=85)
+
+
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return remove_repeats(table(spark, sf, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

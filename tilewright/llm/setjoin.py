@@ -187,4 +187,4 @@ def ngram_components(docs: DataFrame, words: int = 5, numer: int = 80) -> DataFr
     more = verified(rest, sets, numer)
     final = stored(components(links.unionByName(more)), "components")
     return (rows.join(reps, "set_hash", "left").join(final, "id", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component", "id", "doc_id").alias("component_id")))
+            .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id")).alias("component_id")))
