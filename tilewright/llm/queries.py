@@ -12,6 +12,7 @@ from tilewright.llm.quality import quality_scores
 from tilewright.llm.setjoin import ngram_components
 from tilewright.llm.registry import ORACLES, QUERIES, query, table
 from tilewright.llm.suffixes import remove_repeats
+from tilewright.llm.topk import TOP_SQL, top_scores
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -49,3 +50,9 @@ def op1_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
 def op3_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return remove_repeats(table(spark, sf, "documents").select("doc_id", "text")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op8_topk", TOP_SQL)
+def op8_topk(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return top_scores(vectors, vectors.where("vec_id % 100 = 0"))

@@ -122,6 +122,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     whole = keyed.join(copied, "sd_key", "left").join(starts, "sd_doc", "left").withColumn(
         "sd_copy", F.coalesce(F.col("sd_doc") > F.col("sd_first"), F.lit(False)))
 
+    columns = docs.columns
+
     def cut(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in read:
             for part in sliced(batch, column="sd_text"):
@@ -132,9 +134,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     ends = [0, *runs.ravel().tolist(), len(raw)]
                     kept = b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
                     out.append((kept, len(raw), len(raw) - len(kept), len(runs)))
-                arrays = [part.column(c) for c in docs.columns] + [pa.array([o[0] for o in out], pa.binary())]
+                arrays = [part.column(c) for c in columns] + [pa.array([o[0] for o in out], pa.binary())]
                 arrays += [pa.array([o[i] for o in out], pa.int64()) for i in (1, 2, 3)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*docs.columns, "kept", "n_bytes", "n_removed", "n_spans"])
+                yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "kept", "n_bytes", "n_removed", "n_spans"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return whole.select(*docs.columns, "sd_text", "sd_starts", "sd_copy").mapInArrow(
