@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.llm.frames import fold
 from tilewright.llm.idfile import token_digests, token_file
+from tilewright.llm.language import language_scores, train as language_model
 from tilewright.llm.mixing import MIX_SQL, mix_sources, word_count
 from tilewright.llm.packing import pack_sequences
 from tilewright.llm.quality import quality_scores
@@ -56,3 +58,10 @@ def op3_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op8_topk(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     return top_scores(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+@query("op6_language")
+def op6_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    held_out = fold(7) == 2
+    return language_scores(docs, language_model(docs.where(~held_out)), held_out)

@@ -15,11 +15,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.llm.frames import stored
+
 SCALE = 1024
 TOP = 10
 PIVOTS = 32
 QUERY_BLOCK = 1024  # queries that meet a block of candidates at once
 BLOCK = 4096  # candidates
+LANES = 64  # shares of the candidates
 STEP = 512  # candidates evaluated between two looks at the bounds
 
 
@@ -97,9 +100,18 @@ def top_scores(vectors: DataFrame, queries: DataFrame, top: int = TOP, pivots: i
     part; vectors meet vectors of their own length only. A query's id is never its own result; an id that repeats may come more than
     once, as a result and as a query. Other columns are left out; without queries there are no rows.
     """
+    # Every block of queries meets every block of candidates; a lane gets a share of the candidates and all queries.
     asked = blocks(whole_vectors(queries, scale), QUERY_BLOCK).select(
-        "dim", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
-    held = blocks(whole_vectors(vectors, scale), BLOCK).drop("block")
+        F.col("block").alias("q_block"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"),
+        F.col("matrix").alias("q_matrix"))
+    asked = stored(asked, "queries")
+    names = [(r.q_block, r.q_dim) for r in asked.select("q_block", "q_dim").collect()]  # one for each block
+    named = vectors.sparkSession.createDataFrame(names, "q_block long, dim int").groupBy("dim").agg(
+        F.collect_list("q_block").alias("q_blocks"))
+    held = (blocks(whole_vectors(vectors, scale), BLOCK).withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(LANES)))
+            .join(F.broadcast(named), "dim").withColumn("q_block", F.explode("q_blocks")))
+    asked = asked.drop("q_dim").withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1)))).withColumn(
+        "lane", F.col("lane").cast("long"))
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def search(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,16 +124,16 @@ def top_scores(vectors: DataFrame, queries: DataFrame, top: int = TOP, pivots: i
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], schema=schema)
 
-    pairs = held.join(asked, "dim").select("ids", "matrix", "dim", "q_ids", "q_matrix")
+    pairs = held.join(asked, ["q_block", "lane"]).select("ids", "matrix", "dim", "q_ids", "q_matrix")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (pairs.mapInArrow(search, "query_id long, vec_id long, score long")
             .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score"))
 
 
 TOP_SQL = """
-with v as (select vec_id, list_transform(embedding, x -> floor(1024 * x::double)::bigint) e from embeddings
-    where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
-p as (select q.vec_id query_id, v.vec_id, list_sum(list_transform(list_zip(q.e, v.e), z -> z[1] * z[2]))::bigint score
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) e from embeddings
+    where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select q.vec_id query_id, v.vec_id, list_sum(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2]))::bigint score
     from v q join v on q.vec_id % 100 = 0 and q.vec_id <> v.vec_id),
 r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id) rank, vec_id, score from p)
 select query_id, rank::int rank, vec_id, score from r where rank <= 10
