@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from tilewright.llm.frames import fold
 from tilewright.llm.idfile import token_digests, token_file
 from tilewright.llm.language import language_scores, train as language_model
+from tilewright.llm.licenses import scan_licenses
 from tilewright.llm.mixing import MIX_SQL, mix_sources, word_count
 from tilewright.llm.packing import pack_sequences
 from tilewright.llm.quality import quality_scores
 from tilewright.llm.setjoin import ngram_components
 from tilewright.llm.registry import ORACLES, QUERIES, query, table
+from tilewright.llm.spots import fingerprints
 from tilewright.llm.suffixes import remove_repeats
 from tilewright.llm.topk import TOP_SQL, top_scores
 
@@ -65,3 +67,13 @@ def op6_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     held_out = fold(7) == 2
     return language_scores(docs, language_model(docs.where(~held_out)), held_out)
+
+
+@query("op7_spots")
+def op7_spots(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints(table(spark, sf, "documents"))
+
+
+@query("op2_licenses")
+def op2_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return scan_licenses(table(spark, sf, "documents"))
