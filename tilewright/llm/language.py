@@ -95,8 +95,8 @@ def train(docs: DataFrame, most_bytes: int = MOST_BYTES) -> dict:
     seen = words.count()
     if 16 * seen > most_bytes:
         raise ValueError(f"a vocabulary of {seen} tokens is above most_bytes; raise it or train on less")
-    table = words.orderBy("hash").toPandas()
-    hashes, counts = table["hash"].to_numpy(np.int64).view(np.uint64), table["n"].to_numpy(np.int64)
+    table = words.toArrow()  # 16 bytes for each token
+    hashes, counts = table["hash"].to_numpy().view(np.uint64), table["n"].to_numpy()
     order = np.argsort(hashes)
     total = int(counts.sum())
     if 2 * BITS_PER_ENTRY // 8 * total > 64 * most_bytes:

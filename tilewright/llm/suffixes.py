@@ -2,15 +2,18 @@
 
 Suffixes are ranked by the hash of their first bytes, and only those whose rank is shared go on to a longer prefix:
 
-1. ``FIRST`` bytes, at the suffixes that winnowing samples: of any ``length`` bytes at least one sampled start is inside.
-2. the whole ``length``, at every suffix from which a shared sampled start is within reach.
+1. Each ``length`` bytes belong to the suffix inside with the lowest rank of ``FIRST`` bytes (the leftmost, if equal), so
+   equal bytes belong to suffixes of one rank. Suffixes with a rank of their own are done.
+2. A suffix's stretch, all bytes of the windows that belong to it, is ranked next. Of equal stretches all but the
+   earliest go as a whole; the earliest is done if its first rank has no other stretch.
+3. The windows of what is left are ranked at the whole ``length``; all but the earliest of each rank go.
 
-The earliest suffix of each last rank stays; all bytes that the others cover go. Ranks are 64-bit hashes.
+Ranks are 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,7 @@ from tilewright.llm.words import chunks, prefix_sums, span_hash
 
 LENGTH = 100
 FIRST = 32
+CHUNK = 1 << 20  # text ranked at once; a longer text is a chunk of its own
 
 
 def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -33,104 +37,134 @@ def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(values[:len(values) - (width - step)], values[width - step:]) if width > step else values
 
 
-def ranks_of(data: np.ndarray, length: int, at: np.ndarray | None = None) -> np.ndarray:
-    """Hash of the ``length`` bytes from each start, or from those ``at``."""
-    at = np.arange(max(0, len(data) - length + 1)) if at is None else at
-    return span_hash(prefix_sums(data), at, at + length)
+def _inside(where: np.ndarray, length: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``count`` windows lie in one text, and the first window of each text that has any."""
+    begins, ends = where[:-1], where[1:] - length + 1
+    begins, ends = begins[ends > begins], ends[ends > begins]
+    marks = np.zeros(count + 1, np.int64)
+    marks[begins] += 1
+    marks[ends] -= 1
+    return np.cumsum(marks)[:count] > 0, begins
 
 
-def sampled_starts(data: np.ndarray, length: int, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of ``first`` bytes, one at least in each ``length`` bytes, the same wherever these stand; and their ranks."""
-    if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    ranks, width = ranks_of(data, first), length - first + 1
+def stretches(data: np.ndarray, where: np.ndarray, length: int, first: int) -> tuple[np.ndarray, ...]:
+    """Rank, begin, number of windows and rank of the whole stretch, for each suffix of a chunk that windows belong to."""
+    count = len(data) - length + 1
+    if count < 1:
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.uint64))
+    sums, starts, width = prefix_sums(data), np.arange(len(data) - first + 1), length - first + 1
+    ranks = span_hash(sums, starts, starts + first)
     low = _slide(ranks, width, np.minimum)
     pad = np.zeros(width - 1, np.uint64)
     at = np.flatnonzero(_slide(np.concatenate([pad, low, pad]), width, np.maximum) == ranks)
-    return at, ranks[at]
-
-
-def removed_runs(starts: np.ndarray, length: int) -> np.ndarray:
-    """Maximal runs (begin, end) covered by ``length`` bytes from ``starts``."""
-    starts = np.unique(starts)
-    if not len(starts):
+    valid, begins = _inside(where, length, count)
+    # Between two marks all windows belong to one suffix.
+    new = np.ones(count, bool)
+    new[1:] = (low[1:] != low[:-1]) | (valid[1:] != valid[:-1])
+    new[begins] = True
+    new[at[at + 1 < count] + 1] = True
+    begin = np.flatnonzero(new)
+    own = np.searchsorted(at, begin)
+    wrong = np.flatnonzero(ranks[at[own]] != low[begin])
+    while len(wrong):
+        own[wrong] += 1
+        wrong = wrong[ranks[at[own[wrong]]] != low[begin[wrong]]]
+    other = np.ones(len(begin), bool)
+    other[1:] = (own[1:] != own[:-1]) | (valid[begin[1:]] != valid[begin[:-1]]) | np.isin(begin[1:], begins)
+    lo, own = begin[other], own[other]
+    n = np.diff(np.append(lo, count))
+    lo, own, n = lo[valid[lo]], own[valid[lo]], n[valid[lo]]
+    return ranks[at[own]], lo, n, span_hash(sums, lo, lo + n - 1 + length)
+
+
+def removed_runs(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Maximal runs (begin, end) that the given ones cover."""
+    if not len(begins):
         return np.zeros((0, 2), np.int64)
-    new = np.flatnonzero(np.diff(starts, prepend=-length - 1) > length)
-    return np.column_stack([starts[new], np.append(starts[new[1:] - 1], starts[-1]) + length])
+    order = np.argsort(begins, kind="stable")
+    begins, ends = begins[order], np.maximum.accumulate(ends[order])
+    new = np.flatnonzero(np.append(True, begins[1:] > ends[:-1]))
+    return np.column_stack([begins[new], ends[np.append(new[1:] - 1, len(ends) - 1)]])
 
 
-def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``doc`` and ``starts`` of the suffixes whose first ``length`` bytes start earlier, for each of ``docs`` (``doc``,
-    ``text``, all texts different)."""
+def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Runs of ``n`` windows of ``length`` bytes from byte ``lo`` of ``doc`` that also start earlier, of ``docs`` (``doc``, ``text``)."""
     first = min(FIRST, length)
-    where = pa.schema([("rank", pa.int64()), ("doc", pa.int64()), ("at", pa.int64())])
 
-    def sample(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in read:
-            for part in sliced(batch):
-                for row, data, ends in chunks(part.column("text")):
-                    for i in range(len(ends) - 1):
-                        at, ranks = sampled_starts(data[ends[i]:ends[i + 1]], length, first)
-                        if len(at):
-                            yield pa.RecordBatch.from_arrays([pa.array(ranks.view(np.int64)), pa.array(
-                                [part.column("doc")[row + i].as_py()] * len(at), pa.int64()), pa.array(at)], schema=where)
-
-    def extend(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ranked(columns: dict[str, pa.DataType]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        schema = pa.schema(list(columns.items()))
+
+        def rank(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in read:
+                for part in sliced(batch, CHUNK):
+                    for row, data, where in chunks(part.column("text"), CHUNK):
+                        ranks, lo, n, whole = stretches(data, where, length, first)
+                        at = np.searchsorted(where, lo, "right") - 1
+                        found = {"rank": ranks.view(np.int64), "whole": whole.view(np.int64), "lo": lo - where[at], "n": n}
+                        if "doc" in columns:
+                            found["doc"] = part.column("doc").to_numpy()[row + at]
+                        yield pa.RecordBatch.from_arrays([pa.array(found[c], t) for c, t in columns.items()], schema=schema)
+
+        return rank
+
+    def spread(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in read:
-            for i in range(batch.num_rows):
-                data = np.frombuffer(batch.column("text")[i].as_py().encode(), np.uint8)
-                marks = np.zeros(len(data) + 1, np.int64)
-                at = np.unique(batch.column("ats")[i].values.to_numpy())
-                np.add.at(marks, np.maximum(0, at - (length - first)), 1)
-                np.add.at(marks, at + 1, -1)
-                reach = np.flatnonzero(np.cumsum(marks)[:len(data) - length + 1])
-                ranks = ranks_of(data, length, reach)
-                for k in range(0, len(reach), 1 << 16):
-                    own = reach[k:k + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ranks[k:k + (1 << 16)].view(np.int64)), pa.array(
-                        [batch.column("doc")[i].as_py()] * len(own), pa.int64()), pa.array(own)], schema=where)
-
-    samples = stored(docs.select("doc", "text").mapInArrow(sample, "rank long, doc long, at long"), "suffixes")
-    shared = samples.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank")
-    ats = samples.join(shared, "rank").groupBy("doc").agg(F.collect_set("at").alias("ats"))  # bounded by one text
-    longer = stored(docs.select("doc", "text").join(ats, "doc").mapInArrow(extend, "rank long, doc long, at long"), "suffixes")
-    earliest = (longer.groupBy("rank").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"))
-                .where("n > 1").select("rank", "first"))
-    return (longer.join(earliest, "rank").where("struct(doc, at) > first").groupBy("doc")
-            .agg(F.collect_set("at").alias("starts")))
+            for doc, text, open_ones in zip(*(batch.column(c) for c in ("doc", "text", "open")), strict=True):
+                data = np.frombuffer(text.as_py().encode(), np.uint8)
+                lo, n = (open_ones.values.field(f).to_numpy() for f in ("lo", "n"))
+                lo, n = lo[lo + n - 1 + length <= len(data)], n[lo + n - 1 + length <= len(data)]
+                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                ranks = span_hash(prefix_sums(data), at, at + length)
+                for k in range(0, len(at), 1 << 16):
+                    own = at[k:k + (1 << 16)]
+                    yield pa.RecordBatch.from_pydict({"rank": ranks[k:k + (1 << 16)].view(np.int64),
+                                                      "doc": np.full(len(own), doc.as_py(), np.int64), "lo": own.astype(np.int32)})
+
+    narrow = docs.select("doc", "text")
+    shared = (narrow.mapInArrow(ranked({"rank": pa.int64()}), "rank long").groupBy("rank")
+              .agg(F.count("*").alias("copies")).where("copies > 1").select("rank"))
+    columns = {"rank": pa.int64(), "whole": pa.int64(), "doc": pa.int64(), "lo": pa.int32(), "n": pa.int32()}
+    found = stored(narrow.mapInArrow(ranked(columns), "rank long, whole long, doc long, lo int, n int").join(shared, "rank"), "stretches")
+    groups = stored(found.groupBy("rank", "whole").agg(F.min(F.struct("doc", "lo", "n")).alias("first"), F.count("*").alias("copies")), "groups")
+    copies = (found.join(groups.where("copies > 1").select("rank", "whole", "first"), ["rank", "whole"])
+              .where("struct(doc, lo, n) > first").select("doc", "lo", "n"))
+    crowded = groups.groupBy("rank").agg(F.count("*").alias("wholes")).where("wholes > 1").select("rank")
+    # at most one entry for each window of one text
+    open_ones = (groups.join(crowded, "rank").select("first.*").groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("open")))
+    windows = stored(narrow.join(open_ones, "doc").mapInArrow(spread, "rank long, doc long, lo int"), "windows")
+    earliest = (windows.groupBy("rank").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count("*").alias("copies"))
+                .where("copies > 1").select("rank", "first"))
+    later = windows.join(earliest, "rank").where("struct(doc, lo) > first").select("doc", "lo", F.lit(1).alias("n"))
+    return copies.unionByName(later)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with ``kept`` (bytes left), ``n_bytes``, ``n_removed`` and ``n_spans``.
 
     A null text is empty. Rows are earlier by smaller ``doc_id``, null first; rows that repeat an id count as one document, a
-    string of theirs being earlier by its start. Texts shorter than ``length`` keep all bytes. Other columns stay,
-    but must not have the four names or begin with ``sd_``. An equal copy of a long enough text loses everything, so only
-    the first copy goes through the ranking.
+    string of theirs being earlier by its start, and what goes from one of them goes from all. Texts shorter than ``length`` keep
+    all bytes. Other columns stay, but must not have the four names or begin with ``sd_``.
     """
     least = -(1 << 63)
     keyed = docs.withColumn("sd_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(least))).withColumn(
         "sd_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    keyed = keyed.withColumn("sd_key", F.md5(F.col("sd_text").cast("binary")))
-    firsts = stored(keyed.where(F.octet_length("sd_text") >= length).groupBy("sd_key").agg(
-        F.min("sd_doc").alias("sd_first"), F.count("*").alias("sd_n")), "firsts")
-    copied = firsts.where("sd_n > 1").select("sd_key", "sd_first")
-    alone = keyed.select("sd_doc", "sd_text", "sd_key").where(F.octet_length("sd_text") >= length).join(copied, "sd_key", "left")
-    # one row for each text: rows that repeat an id with the same text are the same document
-    reps = alone.where("sd_first is null or sd_doc = sd_first").select(F.col("sd_doc").alias("doc"), F.col("sd_text").alias("text"))
-    starts = stored(repeated_starts(reps, length), "starts").withColumnRenamed("doc", "sd_doc").withColumnRenamed("starts", "sd_starts")
-    whole = keyed.join(copied, "sd_key", "left").join(starts, "sd_doc", "left").withColumn(
-        "sd_copy", F.coalesce(F.col("sd_doc") > F.col("sd_first"), F.lit(False)))
-
+    long = keyed.where(F.octet_length("sd_text") >= length).select(F.col("sd_doc").alias("doc"), F.col("sd_text").alias("text"))
+    # at most one entry for each window of one text
+    runs = stored(repeated_windows(long, length).groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("sd_runs")), "runs")
+    whole = keyed.join(runs.withColumnRenamed("doc", "sd_doc"), "sd_doc", "left")
     columns = docs.columns
 
     def cut(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in read:
             for part in sliced(batch, column="sd_text"):
                 out: list[tuple[bytes, int, int, int]] = []
-                for text, starts, copy in zip(*(part.column(c).to_pylist() for c in ("sd_text", "sd_starts", "sd_copy")), strict=True):
-                    raw = text.encode()
-                    runs = np.array([[0, len(raw)]]) if copy else removed_runs(np.array(starts or [], np.int64), length)
+                for text, given in zip(part.column("sd_text"), part.column("sd_runs"), strict=True):
+                    raw = text.as_py().encode()
+                    runs = np.zeros((0, 2), np.int64)
+                    if given.is_valid:
+                        lo, n = (given.values.field(f).to_numpy().astype(np.int64) for f in ("lo", "n"))
+                        fits = lo < len(raw)
+                        runs = removed_runs(lo[fits], np.minimum(lo + n - 1 + length, len(raw))[fits])
                     ends = [0, *runs.ravel().tolist(), len(raw)]
                     kept = b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
                     out.append((kept, len(raw), len(raw) - len(kept), len(runs)))
@@ -139,5 +173,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "kept", "n_bytes", "n_removed", "n_spans"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return whole.select(*docs.columns, "sd_text", "sd_starts", "sd_copy").mapInArrow(
+    return whole.select(*docs.columns, "sd_text", "sd_runs").mapInArrow(
         cut, f"{schema}, kept binary, n_bytes long, n_removed long, n_spans long")
