@@ -14,6 +14,7 @@ from tilewright.llm.packing import pack_sequences
 from tilewright.llm.quality import quality_scores
 from tilewright.llm.setjoin import ngram_components
 from tilewright.llm.registry import ORACLES, QUERIES, query, table
+from tilewright.llm.runs import run_digests, word_runs
 from tilewright.llm.spots import fingerprints
 from tilewright.llm.suffixes import remove_repeats
 from tilewright.llm.topk import TOP_SQL, top_scores
@@ -77,3 +78,8 @@ def op7_spots(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_licenses")
 def op2_licenses(spark: SparkSession, sf: str) -> DataFrame:
     return scan_licenses(table(spark, sf, "documents"))
+
+
+@query("op12_runs")
+def op12_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return run_digests(word_runs(table(spark, sf, "documents"), unrolled=True))
