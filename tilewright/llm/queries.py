@@ -10,6 +10,7 @@ from tilewright.llm.idfile import token_digests, token_file
 from tilewright.llm.language import language_scores, train as language_model
 from tilewright.llm.licenses import scan_licenses
 from tilewright.llm.mixing import MIX_SQL, mix_sources, word_count
+from tilewright.llm.negatives import NEGATIVES_SQL, hard_negatives
 from tilewright.llm.packing import pack_sequences
 from tilewright.llm.quality import quality_scores
 from tilewright.llm.setjoin import ngram_components
@@ -83,3 +84,10 @@ def op2_licenses(spark: SparkSession, sf: str) -> DataFrame:
 @query("op12_runs")
 def op12_runs(spark: SparkSession, sf: str) -> DataFrame:
     return run_digests(word_runs(table(spark, sf, "documents"), unrolled=True))
+
+
+@query("op13_negatives", NEGATIVES_SQL)
+def op13_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
