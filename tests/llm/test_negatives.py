@@ -82,15 +82,15 @@ def test_repeats_and_empty(spark):
     assert neg.hard_negatives(frame(spark, rows), F.lit(None).cast("boolean")).count() == 0
 
 
-@pytest.mark.parametrize("spread,share", [(0.02, 0.2)])
+@pytest.mark.parametrize("spread,share", [(0.02, 0.25)])
 def test_clusters_spare_most_blocks(spark, monkeypatch, spread, share):
     """Of clustered vectors an anchor reads few blocks, and the result stays whole."""
     monkeypatch.setattr(neg, "BLOCK", 32)
     draw = np.random.default_rng(5)
-    centres = draw.normal(size=(20, 8))
+    centres = draw.normal(size=(8, 8))
     rows = []
     for i in range(1600):
-        v = centres[i % 20] + spread * draw.normal(size=8)
+        v = centres[i % 8] + spread * draw.normal(size=8)
         rows.append((i, [float(x) for x in v], int(draw.integers(0, 4))))
     tables = []
     real = neg.chosen_blocks

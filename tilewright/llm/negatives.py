@@ -5,8 +5,8 @@ greatest value of each dimension and of the labels. For an anchor ``q`` and a bl
 arithmetic bounds every inner product: at most ``q+ . hi + q- . lo`` and at least ``q+ . lo + q- . hi``, where ``q+`` and ``q-``
 are the positive and the negative part of ``q``. The zone maps are read without the matrices, and three readings follow:
 
-1. *probe*: of each page of zone maps the block with the best bound that may hold the anchor's label; the last of the best
-   scores so far is a floor;
+1. *probe*: of each page of zone maps the block that may hold the anchor's label and whose bounds have the best middle; the
+   last of the best scores so far is a floor;
 2. *positives*: blocks that may hold the label and whose bound reaches the floor;
 3. *negatives*: blocks that may hold another label and whose bounds meet a window ``[low * p, high * p]`` of a positive ``p``.
 
@@ -299,10 +299,10 @@ def hard_negatives(vectors: DataFrame, anchors: Column, low: int = LOW, high: in
         return (low_label <= labels[:, None]) & (labels[:, None] <= high_label)
 
     def probe(labels, least, most, low_label, high_label, wanted):
-        bound = np.where(may_hold(labels, low_label, high_label), most, -np.inf)
-        table = np.zeros(bound.shape, bool)
-        table[np.arange(len(bound)), bound.argmax(1)] = True
-        return table & (bound > -np.inf)
+        middle = np.where(may_hold(labels, low_label, high_label), least + most, -np.inf)
+        table = np.zeros(middle.shape, bool)
+        table[np.arange(len(middle)), middle.argmax(1)] = True
+        return table & (middle > -np.inf)
 
     def reaching(labels, least, most, low_label, high_label, wanted):
         floor = np.array([w[0]["score"] if w else -np.inf for w in wanted], float)
