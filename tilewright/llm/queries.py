@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.llm.chosenpath import near_duplicates
 from tilewright.llm.frames import fold
 from tilewright.llm.idfile import token_digests, token_file
 from tilewright.llm.language import language_scores, train as language_model
@@ -91,3 +92,8 @@ def op13_negatives(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+@query("op11_neardup")
+def op11_neardup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(table(spark, sf, "documents"), words=5, numer=85)
