@@ -5,8 +5,8 @@ independent trees. A node chooses ``FORK`` of the token positions by a hash of i
 for each chosen position, named by the token it has there, so similar sets keep meeting in some child and others part.
 
 * A small node is compared exhaustively: sketches first, in numpy, with a margin of ``MARGIN`` standard deviations below the
-  threshold. What hangs together by sketch is a *cluster*; the clusters of all nodes are compared once more on the full sets.
-  In a cluster pairs that are connected already need no comparison, so it gives at most one link less than members.
+  threshold. What hangs together by sketch is a *cluster*; all pairs of a cluster are then compared on the full sets, and
+  the cluster hands on what is connected, at most one row less than members.
 * In a large node every class is first compared, on full sets, with a few pivots of the node. Classes of one component need
   no more comparisons with one another: the node is done when it holds a single component, compared exhaustively when
   few pairs across components are left, and branches otherwise. After ``DEPTH`` levels what is left is
@@ -33,13 +33,14 @@ from tilewright.llm.words import join_hashes, mix, mixed
 
 SKETCH = 64  # minwise tokens of a class
 FORK = 2  # token positions that a node chooses
-SMALL = 256  # classes of a node that are compared exhaustively
+SMALL = 1024  # classes of a node that are compared exhaustively, and of a chunk of a larger one
 PIVOTS = 3  # classes of a large node that all others of the node are compared with
-CROSS = 200_000  # pairs across components that are compared exhaustively
+CROSS = 4_000_000  # pairs across components of a large node that are compared exhaustively
 DEPTH = 6  # levels of branching
 MARGIN = 4.0  # standard deviations of a sketch's estimate
 RECALL = 0.9999  # of links at the threshold
 KNOWN_WORDS = 500_000  # words whose hashes a task keeps
+TABLE_CELLS = 1 << 22  # cells of a table of sets and shingles that is multiplied at once
 
 _STEPS = np.array([int(mixed(i + 101)) | 1 for i in range(SKETCH)], np.uint64)
 
@@ -151,17 +152,16 @@ def least_equal(numer: int) -> int:
     return max(1, math.floor(SKETCH * (s - MARGIN * math.sqrt(s * (1 - s) / SKETCH))))
 
 
-def joined(n: int, pairs: np.ndarray) -> np.ndarray:
-    """Label of each of ``n`` things after joining ``pairs``: the smallest place reached."""
-    label = np.arange(n)
-    while len(pairs):
-        low = np.minimum(label[pairs[:, 0]], label[pairs[:, 1]])
-        before = label.copy()
-        np.minimum.at(label, pairs[:, 0], low)
-        np.minimum.at(label, pairs[:, 1], low)
-        label = label[label]
-        if (label == before).all():
-            break
+def parts_of(near: np.ndarray) -> np.ndarray:
+    """For each thing the first thing it is connected with, out of a symmetric table of neighbours."""
+    label = np.full(len(near), -1)
+    for i in range(len(near)):
+        if label[i] >= 0:
+            continue
+        new = np.array([i])
+        while len(new):
+            label[new] = i
+            new = np.flatnonzero(near[new].any(0) & (label < 0))
     return label
 
 
@@ -197,9 +197,9 @@ def clusters(nodes: DataFrame, numer: int) -> DataFrame:
             ids, first = np.unique(np.array(ids, np.int64), return_index=True)
             matrix = np.frombuffer(b"".join(rows), np.uint32).reshape(-1, SKETCH)[first]
             parts = np.array([ids[k] if parts[at] is None else parts[at] for k, at in enumerate(first.tolist())])
-            near = np.argwhere(np.triu(alike(matrix, matrix, least) & (parts[:, None] != parts[None, :]), 1))
-            label = joined(len(ids), near)
-            for name in np.unique(label[near[:, 0]]).tolist() if len(near) else []:
+            label = parts_of(alike(matrix, matrix, least) & (parts[:, None] != parts[None, :]))
+            names, sizes = np.unique(label, return_counts=True)
+            for name in names[sizes > 1].tolist():
                 members = ids[label == name]
                 key = int.from_bytes(hashlib.blake2b(members.tobytes(), digest_size=8).digest(), "little", signed=True)
                 out[0].extend([key] * len(members))
@@ -273,7 +273,7 @@ def pair_links(pairs: DataFrame, sets: DataFrame, numer: int) -> DataFrame:
 
 
 def cluster_links(members: DataFrame, sets: DataFrame, numer: int) -> DataFrame:
-    """Links ``a``, ``b`` on full sets that connect the similar classes of each cluster, at most one less than members."""
+    """``a``, ``b`` that connect what similar pairs of full sets connect in each cluster, one less than members at most."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def link(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,28 +287,30 @@ def cluster_links(members: DataFrame, sets: DataFrame, numer: int) -> DataFrame:
 
 
 def links_within(sets: list[np.ndarray], numer: int) -> list[tuple[int, int]]:
-    """Pairs of similar sets that connect all that similar pairs connect; connected sets are not compared again."""
+    """For each set but the first of those it is connected with by similar pairs, that first one and itself.
+
+    Shingles of a single set cannot be common. The others are the columns of a table of sets, whose product with itself,
+    block by block, counts the common shingles of all pairs.
+    """
     n = len(sets)
-    part = np.arange(n)
     sizes = np.array([len(s) for s in sets])
-    whole = np.concatenate(sets)
     owner = np.repeat(np.arange(n), sizes)
-    out = []
-    for i in range(n - 1):
-        open_ = (part != part[i]) & (np.arange(n) > i)
-        open_ &= 100 * np.minimum(sizes, sizes[i]) >= numer * np.maximum(sizes, sizes[i])
-        if not open_.any():
-            continue
-        mine = sets[i]
-        mask = open_[owner]
-        place = np.searchsorted(mine, whole[mask])
-        hit = mine[np.minimum(place, len(mine) - 1)] == whole[mask]
-        both = np.bincount(owner[mask][hit], minlength=n)
-        for j in np.flatnonzero(open_ & (100 * both >= numer * (sizes + sizes[i] - both))).tolist():
-            if part[i] != part[j]:
-                out.append((i, j))
-                part[part == part[j]] = part[i]
-    return out
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often > 1
+    place = np.cumsum(shared) - 1
+    mask = shared[column]
+    owner, column = owner[mask], place[column[mask]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((n, n))
+    width = max(1, TABLE_CELLS // n)
+    for start in range(0, int(shared.sum()), width):
+        lo, hi = np.searchsorted(column, [start, start + width])
+        table = np.zeros((n, width), np.float32)
+        table[owner[lo:hi], column[lo:hi] - start] = 1
+        both += table @ table.T
+    near = 100 * both >= numer * (sizes[:, None] + sizes[None, :] - both)
+    return [(first, i) for i, first in enumerate(parts_of(near).tolist()) if first != i]
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, numer: int = 80, recall: float = RECALL) -> DataFrame:
