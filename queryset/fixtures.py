@@ -113,7 +113,7 @@ def u(lon: str) -> str:
 
 
 def v(lat: str) -> str:
-    return f"(({d(1)} - ln(tan(radians({lat})) + {d(1)}/cos(radians({lat})))/pi()) / {d(2)})"
+    return f"(({d(1)} - sign({lat})*ln(tan(radians(abs({lat}))) + {d(1)}/cos(radians(abs({lat}))))/pi()) / {d(2)})"
 
 
 def lat_of(v_: str) -> str:

@@ -11,6 +11,7 @@ from tilewright.operators.cover import cover
 from tilewright.operators.publish import store_size, tile_etags
 from tilewright.operators.traffic import check_addresses
 from tilewright.plans import tiles as plans
+from tilewright.sources.layers import as_layer, with_boxes
 from tilewright.sources.tables import bbox_filter
 
 ADDRESS = ("z", "x", "y")
@@ -328,3 +329,30 @@ def tile_store_size(spark, sf):
 @query("tile_etags")
 def etags_of_tiles(spark, sf):
     return tile_etags(plans.tile_pyramid(layer(spark, sf, "supplier_area"), 0, 6))
+
+
+POLAR = f"""{duck('supplier_area')},
+polar_area as (select id, west, east, case when id % 3 = 0 then {d(-90)} else south end as south,
+ case when id % 3 = 1 then {d(90)} else north end as north from supplier_area)"""
+
+
+@query("polar_areas", f"""{POLAR},
+polar_box as (select id, {u('west')} as u0, {v('north')} as v0, {u('east')} as u1, {v('south')} as v1 from polar_area)
+select id, cast(z as int) as z, cast(x as int) as x, cast(y as int) as y
+from ({covered('polar_area', 0, 4, source='select * from polar_box')}) t""")
+def polar_areas(spark, sf):
+    area = fixture(spark, sf, "supplier_area").withColumns({
+        "south": F.when(F.col("id") % 3 == 0, -90.0).otherwise(F.col("south")),
+        "north": F.when(F.col("id") % 3 == 1, 90.0).otherwise(F.col("north"))})
+    boxes = as_layer(with_boxes(area, "west", "south", "east", "north"), "polar_area")
+    return cover(boxes.frame, boxes.geometry(), [0, 1, 2, 3, 4], every=True).select("id", *ADDRESS)
+
+
+REQUESTED_AREAS = f"""{duck('supplier_area', 'tile_requests')}
+select r.z, r.x, r.y, count(t.id) as in_box from tile_requests r
+left join ({covered('supplier_area', 0, 7)}) t on t.z = r.z and t.x = r.x and t.y = r.y group by all"""
+
+
+@query("tiles_requested_areas", REQUESTED_AREAS)
+def tiles_requested_areas(spark, sf):
+    return plans.diagnose_tiles(layer(spark, sf, "supplier_area"), fixture(spark, sf, "tile_requests")).select(*ADDRESS, "in_box")

@@ -35,9 +35,14 @@ def unit_x(lon: Column) -> Column:
     return (lon + 180.0) / 360.0
 
 
+def _stretched(lat: Column) -> Column:
+    """Mercator ordinate of a latitude in radians: finite and symmetric up to and at both poles."""
+    phi = F.radians(F.when(lat.isNotNull(), F.least(F.abs(lat), F.lit(90.0))))  # least alone would turn null into 90
+    return F.signum(lat) * F.log(F.tan(phi) + 1.0 / F.cos(phi))
+
+
 def unit_y(lat: Column) -> Column:
-    phi = F.radians(lat)
-    return (1.0 - F.log(F.tan(phi) + 1.0 / F.cos(phi)) / math.pi) / 2.0
+    return (1.0 - _stretched(lat) / math.pi) / 2.0
 
 
 def unit_x_of(x: Column, srid: int) -> Column:
@@ -69,8 +74,7 @@ def mercator_x(lon: Column) -> Column:
 
 
 def mercator_y(lat: Column) -> Column:
-    phi = F.radians(lat)
-    return F.log(F.tan(phi) + 1.0 / F.cos(phi)) * (WORLD / math.pi)
+    return _stretched(lat) * (WORLD / math.pi)
 
 
 def lon_of_mercator(x: Column) -> Column:
@@ -144,12 +148,19 @@ def tile_number(z: Column, x: Column, y: Column) -> Column:
 def box_touches_tile(u0, v0, u1, v1, z: Column, x: Column, y: Column) -> Column:
     """Inclusive overlap of a unit box with a tile (no buffer)."""
     across = tiles_across(z)
-    return (
-        (u1 * across >= x)
-        & (u0 * across <= x + 1)
-        & (v1 * across >= y)
-        & (v0 * across <= y + 1)
-    )
+    return (u1 * across >= x) & (u0 * across <= x + 1) & (v1 * across >= y) & (v0 * across <= y + 1)
+
+
+def home_zoom(u0: Column, v0: Column, u1: Column, v1: Column) -> Column:
+    """Deepest zoom at which a box is no wider and no higher than a tile."""
+    size = F.greatest(u1 - u0, v1 - v0)
+    fits = F.floor(-F.log2(F.greatest(size, F.lit(0.5**MAX_ZOOM))))
+    return F.greatest(fits, F.lit(0)).cast("int")
+
+
+def ancestor(index: Column, z: Column, at: Column) -> Column:
+    """Column or row at zoom ``at`` of the tile that holds a tile of zoom ``z``."""
+    return F.floor(index / tiles_across(z - at)).cast("int")
 
 
 def address_problem(z: Column, x: Column, y: Column) -> Column:

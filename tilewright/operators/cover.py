@@ -78,3 +78,27 @@ def cover(frame: DataFrame, g: GeometryColumn, zooms: list[int], extent: int = 4
               .withColumn("y", F.explode(inside(F.col("_by"), y0, y1)))
               .drop("_bx", "_by"))
     return plain.unionByName(spread)
+
+
+def requested(frame: DataFrame, g: GeometryColumn, requests: DataFrame, zooms: list[int], extent: int = 4096,
+              every: bool = False) -> DataFrame:
+    """One row per feature and requested tile it belongs to, with columns ``z, x, y`` added.
+
+    A feature has a home zoom, at which its box is no larger than a tile. For each requested zoom it is covered at its
+    home zoom, or at the requested one if that is less deep, by at most three cells a side; a request brings the cells
+    above it. They meet by an equi-join on the cell, so the rows do not grow with the tiles that a feature covers
+    but only with the requested ones. ``requests`` has distinct addresses ``z, x, y`` of the zooms in ``zooms``.
+    """
+    z, home = F.col("z"), F.col("_at")
+    box = [F.col(n) for n in g.box_names]
+    deepest = F.lit(tm.MAX_ZOOM) if g.is_point else tm.home_zoom(*box)
+    base = frame.filter(in_world(g)).withColumn("z", F.explode(F.array(*[F.lit(int(v)) for v in zooms])))
+    if not every:
+        base = base.filter(visible(g, z, extent))
+    x0, x1, y0, y1 = tile_range(g, home)
+    cells = (base.withColumn("_at", F.least(z, deepest)).withColumn("_cx", F.explode(F.sequence(x0, x1)))
+             .withColumn("_cy", F.explode(F.sequence(y0, y1))))
+    above = (requests.select("z", "x", "y", F.explode(F.sequence(F.lit(0), z)).alias("_at"))
+             .select("z", "x", "y", "_at", tm.ancestor(F.col("x"), z, home).alias("_cx"), tm.ancestor(F.col("y"), z, home).alias("_cy")))
+    met = cells.join(above, ["z", "_at", "_cx", "_cy"]).drop("_at", "_cx", "_cy")
+    return met.filter(tm.box_touches_tile(*box, z, F.col("x"), F.col("y")))

@@ -108,9 +108,8 @@ def batch_commands(parts: pa.ListArray, srid: int, code: int, z, x, y, extent: i
 def unit_position(vx, vy, srid: int):
     if srid == 3857:
         return vx / (2.0 * tm.WORLD) + 0.5, 0.5 - vy / (2.0 * tm.WORLD)
-    phi = vy * (np.pi / 180.0)
-    with np.errstate(all="ignore"):
-        return (vx + 180.0) / 360.0, (1.0 - np.log(np.tan(phi) + 1.0 / np.cos(phi)) / np.pi) / 2.0
+    phi = np.minimum(np.abs(vy), 90.0) * (np.pi / 180.0)
+    return (vx + 180.0) / 360.0, (1.0 - np.sign(vy) * np.log(np.tan(phi) + 1.0 / np.cos(phi)) / np.pi) / 2.0
 
 
 def clip_points(p: Paths, box):

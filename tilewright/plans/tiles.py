@@ -21,10 +21,10 @@ from tilewright.functions import tilemath as tm
 from tilewright.model import GeometryColumn, Layer, LayerError, TileOptions
 from tilewright.operators import mvt
 from tilewright.operators.checkpoints import cut_lineage
-from tilewright.operators.cover import WIDE_COVER, cover, in_world, visible, widest_cover
+from tilewright.operators.cover import WIDE_COVER, cover, in_world, requested, visible, widest_cover
 from tilewright.operators.filters import filter_layer, predicate_column
 from tilewright.operators.geometry import geometry_code, point_steps, shape_commands
-from tilewright.operators.joins import BROADCAST_ROWS, join_by_size, salted_join, settle
+from tilewright.operators.joins import BROADCAST_ROWS, salted_join
 from tilewright.operators.publish import tile_keys
 from tilewright.sources.scan import use_all_cores
 
@@ -126,17 +126,25 @@ class _Large:
         return rows.join(F.broadcast(tiles), TILE, how) if self.small else salted_join(rows, tiles, TILE, how)
 
 
-def _large_tiles(f: _Features, zooms: list[int], wide: bool) -> _Large | None:
+def _placed(frame: DataFrame, f: _Features, zooms: list[int], wide: bool, requests: DataFrame | None,
+            every: bool = False) -> DataFrame:
+    """Features per tile: in all tiles they touch, or in the requested ones only."""
+    if requests is None:
+        return cover(frame, f.geometry, zooms, f.options.extent, wide, every)
+    return requested(frame, f.geometry, requests, zooms, f.options.extent, every)
+
+
+def _large_tiles(f: _Features, zooms: list[int], wide: bool, requests: DataFrame | None = None) -> _Large | None:
     """Find large tiles from boxes and sizes alone, before any geometry is encoded.
 
     A tile holds no more than the tile above it, so the search stops at the
-    first zoom without a large tile.
+    first zoom without a large tile; requested tiles are all looked at.
     """
     g, limit = f.geometry, f.options.part_bytes
     weighed = use_all_cores(f.frame.select(*g.box_columns, f.weight().alias("weight")))
 
     def over(levels: list[int]) -> DataFrame:
-        rows = cover(weighed, g, levels, f.options.extent, wide, every=True)
+        rows = _placed(weighed, f, levels, wide, requests, every=True)
         seen = F.when(visible(g, F.col("z"), f.options.extent), F.col("weight"))
         total = rows.groupBy(TILE).agg(F.sum("weight").alias("bytes"), F.sum(seen).alias("seen_bytes"))
         return total.filter(F.col("bytes") > limit)
@@ -146,8 +154,9 @@ def _large_tiles(f: _Features, zooms: list[int], wide: bool) -> _Large | None:
             *TILE, F.ceil(F.col("seen_bytes") / limit).alias("buckets"))
 
     found = []
-    for at in range(0, len(zooms), SEARCH_ZOOMS):
-        levels = zooms[at:at + SEARCH_ZOOMS]
+    together = SEARCH_ZOOMS if requests is None else len(zooms)
+    for at in range(0, len(zooms), together):
+        levels = zooms[at:at + together]
         rows = over(levels).limit(BROADCAST_ROWS + 1).collect()  # four numbers per large tile
         found += rows
         if len(found) > BROADCAST_ROWS:
@@ -178,10 +187,8 @@ def _wide(f: _Features, zooms: list[int]) -> bool:
     return 4**deepest > WIDE_COVER and widest_cover(f.frame, f.geometry, deepest) > WIDE_COVER
 
 
-def _encoded(rows: DataFrame, f: _Features, keep: list[str], requests: DataFrame | None) -> DataFrame:
+def _encoded(rows: DataFrame, f: _Features, keep: list[str]) -> DataFrame:
     """Features per tile with their tile geometry, narrowed to what the encoder needs."""
-    if requests is not None:
-        rows = join_by_size(rows, requests, TILE, "left_semi")
     shape, left = _drawn(f)
     number = tm.tile_number(*[F.col(c) for c in TILE]).alias("tile_no")
     if f.geometry.is_point:
@@ -191,19 +198,19 @@ def _encoded(rows: DataFrame, f: _Features, keep: list[str], requests: DataFrame
 
 def _small_rows(f: _Features, zooms: list[int], wide: bool, large: _Large | None,
                 requests: DataFrame | None = None) -> DataFrame:
-    rows = cover(use_all_cores(f.frame), f.geometry, zooms, f.options.extent, wide)
+    rows = _placed(use_all_cores(f.frame), f, zooms, wide, requests)
     if large is not None:
         rows = large.join(rows, "left_anti")
-    return _encoded(rows, f, [], requests)
+    return _encoded(rows, f, [])
 
 
 def _large_rows(f: _Features, wide: bool, large: _Large, requests: DataFrame | None = None) -> DataFrame:
     """Features of large tiles, spread over buckets by a hash of their content."""
     # identical rows would share a bucket: count them first and spread the counts
     counted = _split_copies(use_all_cores(f.frame).groupBy(f.frame.columns).agg(F.count(F.lit(1)).alias("copies")), f)
-    rows = large.join(cover(counted, f.geometry, large.zooms, f.options.extent, wide), "inner")
+    rows = large.join(_placed(counted, f, large.zooms, wide, requests), "inner")
     spread = F.pmod(F.xxhash64(*f.props, *f.shape, *f.geometry.box_columns, "chunk"), F.col("buckets"))
-    return _encoded(rows.withColumn("bucket", spread.cast("bigint")), f, ["bucket", "copies"], requests)
+    return _encoded(rows.withColumn("bucket", spread.cast("bigint")), f, ["bucket", "copies"])
 
 
 def _split_copies(frame: DataFrame, f: _Features) -> DataFrame:
@@ -303,8 +310,8 @@ def _number_parts(parts: DataFrame) -> DataFrame:
 
 def _tiles(f: _Features, name: str, zooms: list[int], requests: DataFrame | None = None
            ) -> tuple[DataFrame, _Large | None]:
-    wide = _wide(f, zooms)
-    large = _large_tiles(f, zooms, wide)
+    wide = requests is None and _wide(f, zooms)
+    large = _large_tiles(f, zooms, wide, requests)
     tiles = _encode(_small_rows(f, zooms, wide, large, requests), f, name)
     if large is not None:
         tiles = tiles.unionByName(_encode_large(_large_rows(f, wide, large, requests), f, name))
@@ -356,7 +363,7 @@ def _near(g: GeometryColumn, ranges: list) -> Column:
 
 def tiles_for(layer: Layer, requests: DataFrame, options: TileOptions = TileOptions()) -> DataFrame:
     """The requested tiles of all selected geometry columns; a tile without features is empty bytes."""
-    wanted = settle(checked_requests(requests))
+    wanted = cut_lineage(checked_requests(requests))
     ranges = _requested_ranges(wanted)
     zooms = [r["z"] for r in ranges]
     names = layer_names(layer, options)
@@ -423,7 +430,7 @@ def multilayer_pyramid(layer: Layer, zmin: int, zmax: int, options: TileOptions
 
 def diagnose_tiles(layer: Layer, requests: DataFrame, options: TileOptions = TileOptions()) -> DataFrame:
     """Per requested tile: rows in the box, after the filter, with tile geometry, and a verdict."""
-    wanted = settle(checked_requests(requests))
+    wanted = cut_lineage(checked_requests(requests))
     ranges = _requested_ranges(wanted)
     zooms = [r["z"] for r in ranges]
     g = layer.geometry(options.geometry)
@@ -431,8 +438,7 @@ def diagnose_tiles(layer: Layer, requests: DataFrame, options: TileOptions = Til
     shape = [] if g.is_point else [F.col(g.name)]
     frame = layer.frame.filter(in_world(g) & _near(g, ranges)).select(keep.alias("kept"), *shape, *g.box_columns)
     f = _Features(frame, g, [], options)
-    wide = bool(zooms) and _wide(f, zooms)
-    near = join_by_size(cover(frame, g, zooms or [0], options.extent, wide, every=True), wanted, TILE, "left_semi")
+    near = requested(frame, g, wanted, zooms or [0], options.extent, every=True)
     shape, left = _drawn(f)
     drawn = F.col("kept") & visible(g, F.col("z"), options.extent) & left
     counts = near.select("*", *shape).select(*TILE, "kept", drawn.alias("drawn")).groupBy(TILE).agg(
