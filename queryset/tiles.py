@@ -319,16 +319,42 @@ def diagnose_tiles(spark, sf):
     return plans.diagnose_tiles(layer(spark, sf, "order_line"), fixture(spark, sf, "tile_requests"), options)
 
 
-@query("tile_store_size", f"""{duck('customer_pt')}
-select 'customer_pt' as layer, z, count(*) as tiles from (
- select distinct cast(z as int) as z, x, y from ({covered('customer_pt', 0, 6)}) t) q group by all""")
-def tile_store_size(spark, sf):
-    return store_size(plans.tile_pyramid(layer(spark, sf, "customer_pt"), 0, 6)).drop("bytes")
+def varint(value: str) -> str:
+    """Hex text of a varint below 2^21."""
+    low = f"cast({value} as bigint)"
+    byte = "lpad(lower(to_hex({})), 2, '0')".format
+    return (f"case when {low} < 128 then {byte(low)} when {low} < 16384 then {byte(f'({low} % 128 + 128)')} || {byte(f'({low} // 128)')}"
+            f" else {byte(f'({low} % 128 + 128)')} || {byte(f'({low} // 128 % 128 + 128)')} || {byte(f'({low} // 16384)')} end")
+
+
+def zigzagged(q: str) -> str:
+    return f"(case when {q} >= 0 then 2*{q} else -2*{q} - 1 end)"
+
 
+# the bytes of every tile of points without attributes, written out field by field
+POINT_TILES = f"""{duck('customer_pt')},
+cell as (select cast(z as int) as z, cast(x as int) as x, cast(y as int) as y, cast({pixel('u0', 'x')} as bigint) as qx,
+  cast({pixel('v0', 'y')} as bigint) as qy from ({covered('customer_pt', 0, 6)}) t),
+step as (select z, x, y, {zigzagged('qx')} as sx, {zigzagged('qy')} as sy from cell),
+move as (select z, x, y, sx, sy, '09' || {varint('sx')} || {varint('sy')} as g from step),
+feature as (select z, x, y, sx, sy, '180122' || {varint('length(g)/2')} || g as f from move),
+body as (select z, x, y, '0a0b' || lower(hex('customer_pt')) || '2880207802' ||
+  string_agg('12' || {varint('length(f)/2')} || f, '' order by sx, sy) as b from feature group by all),
+tile as (select z, x, y, '1a' || {varint('length(b)/2')} || b as t from body)"""
 
-@query("tile_etags")
+
+@query("tile_etags", f"""{POINT_TILES}
+select 'customer_pt' as layer, z, x, y, length(t) // 2 as bytes,
+ 'W/"' || length(t) // 2 || '-' || substr(md5(unhex(t)), 1, 16) || '"' as etag from tile""")
 def etags_of_tiles(spark, sf):
-    return tile_etags(plans.tile_pyramid(layer(spark, sf, "supplier_area"), 0, 6))
+    plain = TileOptions(properties=("none of them",))
+    return tile_etags(plans.tile_pyramid(layer(spark, sf, "customer_pt"), 0, 6, plain))
+
+
+@query("tile_store_size", f"""{POINT_TILES}
+select 'customer_pt' as layer, z, count(*) as tiles, cast(sum(length(t) // 2) as bigint) as bytes from tile group by z""")
+def tile_store_size(spark, sf):
+    return store_size(plans.tile_pyramid(layer(spark, sf, "customer_pt"), 0, 6, TileOptions(properties=("none of them",))))
 
 
 POLAR = f"""{duck('supplier_area')},

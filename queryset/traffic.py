@@ -6,7 +6,7 @@ from queryset.fixtures import d, duck, fixture, table
 from queryset.registry import query
 from tilewright.operators import traffic as ops
 from tilewright.streaming import lockout
-from tilewright.streaming.runs import run_available
+from tilewright.streaming.runs import run_available, work_folder
 
 
 def metrics_sql(source: str, by: str = "") -> str:
@@ -143,7 +143,7 @@ REPORT_SQL = """select client, t_sec, case when outcome = 'ok' then 1 else 0 end
 
 @query("lockout", f"{LOCKOUT_SQL} {REPORT_SQL}")
 def lockout_query(spark, sf):
-    return lockout.detect_lockouts(fixture(spark, sf, "auth_events"))
+    return lockout.detect_lockouts(fixture(spark, sf, "auth_events")).drop("ts")
 
 
 @query("lockout_summary", f"""{LOCKOUT_SQL} select client, count(*) as events, sum(n_blocked) as blocked, count_if(locked) as lockouts,
@@ -157,5 +157,10 @@ def lockout_stream(spark, sf):
     events = _event_stream(spark, sf).filter(F.col("event_type").isin("signup", "error", "view")).select(
         (F.col("user_id") % 5).alias("client"), (F.col("event_id") + EPOCH).alias("t_sec"),
         F.when(F.col("event_type") == "signup", "ok").otherwise("fail").alias("outcome"))
-    report = run_available(lockout.lockout_stream(events), "lockout")
-    return report.withColumn("t_sec", F.col("t_sec") - EPOCH)
+    # one event of nobody, a day after all others, moves the watermark past them
+    closing = events.sparkSession.createDataFrame([(-1, EPOCH + 10**9, "ok")], "client bigint, t_sec bigint, outcome string")
+    folder = work_folder(closing, "closing")
+    closing.write.parquet(folder)
+    ended = events.unionByName(spark.readStream.schema(closing.schema).parquet(folder))
+    report = run_available(lockout.lockout_stream(ended), "lockout")
+    return report.withColumn("t_sec", F.col("t_sec") - EPOCH).drop("ts")

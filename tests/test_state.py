@@ -60,15 +60,40 @@ def test_batch_equals_replay_and_stream(spark, tmp_path):
     want = sorted(replay(events, LockoutRules(5, 60)))
     columns = ["client", "t_sec", "n_blocked", "locked", "attempts", "strikes", "retry_after"]
     assert sorted(map(tuple, detect_lockouts(frame).select(columns).collect())) == want
-    source = str(tmp_path / "events")
-    for i in range(3):  # three files in time order, read one per batch
-        part = frame.filter((F.col("t_sec") >= rows[0][1] + i * 800) & (F.col("t_sec") < rows[0][1] + (i + 1) * 800 + 10**6 * (i == 2)))
-        part.coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    got = run_available(lockout_stream(stream), "lockout-test")
+    # files out of order, seconds split over files, a client with most events
+    rng.shuffle(rows)
+    for i in range(3):
+        spark.createDataFrame(rows[i::3], frame.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+    got = streamed(spark, tmp_path, frame.schema, LockoutRules())
     assert sorted(map(tuple, got.select(columns).collect())) == want
 
 
+def streamed(spark, tmp_path, schema, rules):
+    """The report of a stream over all files, closed by an event of client -1 long after all others."""
+    last = spark.createDataFrame([(-1, START + 10**9, "ok")], "client bigint, t_sec bigint, outcome string")
+    if "ts" in schema.names:
+        last = last.select("client", F.timestamp_seconds("t_sec").alias("ts"), "outcome")
+    last.write.mode("append").parquet(str(tmp_path / "events"))  # files are read in the order they were written
+    read = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events"))
+    return run_available(lockout_stream(read, rules, "900000000 seconds"), "lockout-test")
+
+
+def test_order_within_a_second(spark, tmp_path):
+    """A success between two failures of one second clears the first, in a table and in a stream."""
+    times = [(0.1, "fail"), (0.2, "fail"), (0.3, "ok"), (0.4, "fail"), (0.5, "fail"), (0.6, "fail"), (0.7, "ok"), (2.59, "fail"), (2.61, "ok")]
+    rows = [(1, START + t, outcome) for t, outcome in times]
+    frame = spark.createDataFrame(rows, "client bigint, s double, outcome string").select(
+        "client", F.timestamp_millis(F.round(F.col("s") * 1000).cast("bigint")).alias("ts"), "outcome")
+    found = detect_lockouts(frame, RULES).orderBy("ts").collect()
+    assert [(r.attempts, r.strikes, r.locked, r.n_blocked, r.retry_after) for r in found] == [
+        (1, 0, False, 0, 0), (2, 0, False, 0, 0), (0, 0, False, 0, 0), (1, 0, False, 0, 0), (2, 0, False, 0, 0), (0, 1, True, 1, 2),
+        (0, 1, False, 1, 2), (0, 1, False, 1, 1), (0, 0, False, 0, 0)]
+    held = frame.collect()
+    for part in (held[4:7], held[7:] + held[:1], held[1:4]):
+        spark.createDataFrame(part, frame.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+    assert [tuple(r) for r in streamed(spark, tmp_path, frame.schema, RULES).orderBy("ts").collect()] == [tuple(r) for r in found]
+
+
 def test_clients_may_be_text(spark):
     frame = spark.createDataFrame([("10.0.0.1", START, "fail")], "client string, t_sec bigint, outcome string")
     assert detect_lockouts(frame).first().client == "10.0.0.1"

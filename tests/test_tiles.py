@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
@@ -14,7 +15,7 @@ from tilewright.operators import inspect
 from tilewright.operators.geometry import LINE, POINT, POLYGON, batch_commands
 from tilewright.operators.mvt import tile_address
 from tilewright.operators.publish import tile_etags
-from tilewright.operators.cover import cover
+from tilewright.operators.cover import cover, requested
 from tilewright.plans import tiles as plans
 from tilewright.sources.layers import as_layer, with_boxes, with_parts, with_points
 
@@ -75,22 +76,40 @@ def test_memberships_are_points_plus_edge_copies(spark):
 
 
 @pytest.mark.parametrize("part_bytes", [1, 300, 5000, 4 << 20])
-def test_parts_hold_the_same_tile(spark, part_bytes):
+def test_parts_hold_the_same_tile(spark, monkeypatch, part_bytes):
     rng = random.Random(2)
     rows = [(i, rng.choice(["x", "y", None]), rng.uniform(-179, 179), rng.uniform(-80, 80)) for i in range(300)]
     rows += [(7, "copy", 12.5, 41.5)] * 200  # a group of copies
     made = points(spark, rows)
-    whole = read_tiles(plans.tile_pyramid(made, 0, 2, TileOptions(part_bytes=1 << 30)).collect())
-    parts = plans.tile_pyramid(made, 0, 2, TileOptions(part_bytes=part_bytes)).collect()
-    assert read_tiles(parts) == whole
-    assert sum(r.n_features for r in parts) == sum(len(t[3]) for t in whole.values())
+    one_block = read_tiles(plans.tile_pyramid(made, 0, 2).collect())
+    monkeypatch.setattr(plans, "BLOCK_BYTES", 300)
+    whole = plans.tile_pyramid(made, 0, 2, TileOptions(part_bytes=1 << 30))
+    split = plans.tile_pyramid(made, 0, 2, TileOptions(part_bytes=part_bytes))
+    parts = split.collect()
+    assert read_tiles(parts) == one_block
+    assert joined_bytes(parts) == joined_bytes(whole.collect())
+    assert {tuple(r) for r in tile_etags(split).collect()} == {tuple(r) for r in tile_etags(whole).collect()}
+    assert sum(r.n_features for r in parts) == sum(len(t[3]) for t in one_block.values())
     if part_bytes < 300:
         # copies spread too: no part holds more than a few of them
-        assert max(r.n_features for r in parts) < 40
+        assert max(r.n_features for r in parts) < 60
     for key, rows_ in _by_tile(parts).items():
         assert sorted(r.part for r in rows_) == list(range(rows_[0].n_parts)), key
 
 
+def joined_bytes(rows):
+    return {k: b"".join(bytes(r.tile) for r in sorted(v, key=lambda r: r.part)) for k, v in _by_tile(rows).items()}
+
+
+def test_etag_is_that_of_all_bytes(spark):
+    rows = [("a", 1, 0, 0, part, 3, bytes([part]) * (100 + part)) for part in (2, 0, 1)] + [("a", 0, 0, 0, 0, 1, b"x"), ("b", 0, 0, 0, 0, 1, b"")]
+    frame = spark.createDataFrame(rows, "layer string, z int, x int, y int, part int, n_parts int, tile binary").repartition(3)
+    got = {(r.layer, r.z): (r.bytes, r.etag) for r in tile_etags(frame).collect()}
+    whole = b"".join(bytes([part]) * (100 + part) for part in range(3))
+    assert got[("a", 1)] == (303, f'W/"303-{hashlib.md5(whole).hexdigest()[:16]}"')
+    assert got[("a", 0)][0] == 1 and got[("b", 0)] == (0, 'W/"0-empty"')
+
+
 def _by_tile(rows):
     out: dict = {}
     for r in rows:
@@ -98,16 +117,17 @@ def _by_tile(rows):
     return out
 
 
-def test_tiles_do_not_depend_on_the_order_of_rows(spark):
+def test_tiles_do_not_depend_on_the_order_of_rows(spark, monkeypatch):
     rng = random.Random(3)
     rows = [(i % 50, rng.choice("abc"), rng.uniform(-179, 179), rng.uniform(-80, 80)) for i in range(400)]
-    for part_bytes in (500, 4 << 20):
+    for block_bytes in (500, 4 << 20):
+        monkeypatch.setattr(plans, "BLOCK_BYTES", block_bytes)
         etags = []
         for seed in (1, 2):
             random.Random(seed).shuffle(rows)
             made = points(spark, rows)
             made = made.with_frame(made.frame.repartition(seed * 3))
-            tiles = plans.tile_pyramid(made, 0, 3, TileOptions(part_bytes=part_bytes))
+            tiles = plans.tile_pyramid(made, 0, 3, TileOptions(part_bytes=block_bytes))
             etags.append({(r.z, r.x, r.y): r.etag for r in tile_etags(tiles).collect()})
         assert etags[0] == etags[1] and len(etags[0]) > 20
 
@@ -126,7 +146,8 @@ def test_attribute_types(spark):
     assert tile[:3] == ("kinds", 2, 4096)
 
 
-def test_batch_decoder_agrees_with_plain_reader(spark):
+def test_batch_decoder_agrees_with_plain_reader(spark, monkeypatch):
+    monkeypatch.setattr(plans, "BLOCK_BYTES", 200)
     rng = random.Random(4)
     ring = [(0.0, 0.0), (40.0, 0.0), (40.0, 40.0), (0.0, 40.0), (0.0, 0.0)]
     hole = [(10.0, 10.0), (10.0, 20.0), (20.0, 20.0), (20.0, 10.0), (10.0, 10.0)]
@@ -221,17 +242,57 @@ def test_requested_tiles_include_empty_ones(spark):
     assert status == {(0, 0, 0): ("OK", 1), (2, 0, 0): ("EMPTY_TILE", 0)}
 
 
-def test_merge_of_large_layers_keeps_every_byte(spark):
+def test_one_deep_tile_below_a_huge_area(spark):
+    """A feature brings a few cells for each requested zoom, not the tiles it covers."""
+    frame = spark.createDataFrame([(1, -179.0, -80.0, 179.0, 80.0), (2, 10.0, 10.0, 10.0001, 10.0001), (3, 10.0, 10.0, 10.0, 10.0001)],
+                                  "id int, w double, s double, e double, n double")
+    made = as_layer(with_boxes(frame, "w", "s", "e", "n"), "wide", drop=("w", "s", "e", "n"))
+    x, y = int((10.00005 + 180) / 360 * 2**22), 1978000
+    t = spark.range(1).select(tm.point_tile(F.lit(10.00005), F.lit(10.00005), F.lit(22)).alias("t")).first().t
+    asked = spark.createDataFrame([(22, t.x, t.y), (22, x, y), (30, 5, 2**29), (0, 0, 0)], "z int, x int, y int")
+    cells = requested(made.frame, made.geometry(), asked, [0, 22, 30], every=True)
+    assert {(r.id, r.z, r.x, r.y) for r in cells.collect()} >= {(1, 22, t.x, t.y), (2, 22, t.x, t.y), (3, 0, 0, 0), (1, 0, 0, 0)}
+    rows = {(r.z, r.x, r.y): r.n_features for r in plans.tiles_for(made, asked).collect()}
+    assert rows == {(22, t.x, t.y): 2, (22, x, y): 1, (30, 5, 2**29): 0, (0, 0, 0): 1}
+    far = {(r.z, r.x, r.y): (r.in_box, r.verdict) for r in plans.diagnose_tiles(made, asked).collect()}
+    assert far[30, 5, 2**29] == (0, "no features here") and far[0, 0, 0] == (3, "ok")
+
+
+def test_requested_equals_cover(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):
+        w, s, size = rng.uniform(-180, 170), rng.uniform(-80, 70), rng.choice([0.0, 0.1, 1.40625, 11.25, 90.0])
+        rows.append((i, w, s, min(w + size, 180.0), min(s + size * rng.random(), 85.0)))
+    rows += [(300, 0.0, 0.0, 45.0, 10.0), (301, -45.0, -10.0, 0.0, 0.0)]  # on tile edges
+    made = as_layer(with_boxes(spark.createDataFrame(rows, "id int, w double, s double, e double, n double"), "w", "s", "e", "n"), "some")
+    asked = spark.createDataFrame([(z, x, y) for z in (1, 3, 6) for x in range(2**z) for y in range(0, 2**z, 3)], "z int, x int, y int")
+    g = made.geometry()
+    want = cover(made.frame, g, [1, 3, 6]).join(asked, ["z", "x", "y"], "left_semi").select("id", "z", "x", "y")
+    got = requested(made.frame, g, asked, [1, 3, 6]).select("id", "z", "x", "y")
+    assert want.count() > 3000 and want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
+
+
+def test_poles_are_finite(spark):
+    lat = spark.createDataFrame([(v,) for v in (-90.0, -89.9, 0.0, 89.9, 90.0, None)], "lat double")
+    v = [r.v for r in lat.select(tm.unit_y(F.col("lat")).alias("v")).collect()]
+    assert v[0] > v[1] > 1 > v[2] == 0.5 > 0 > v[3] > v[4] and abs(v[0] + v[4] - 1) < 1e-12 and v[5] is None
+    whole = [[[{"x": -180.0, "y": -90.0}, {"x": 180.0, "y": -90.0}, {"x": 180.0, "y": 90.0}, {"x": -180.0, "y": 90.0}]]]
+    assert sorted(commands(whole, POLYGON, srid=4326)[0][:-1]) == [(0, -64), (0, 4160), (4096, -64), (4096, 4160)]
+
+
+def test_merge_of_large_layers_keeps_every_byte(spark, monkeypatch):
     rows = [(i, "n", i * 0.5 - 40, i * 0.2 - 20) for i in range(120)]
     frame = spark.createDataFrame(rows, "id bigint, name string, lon double, lat double")
     frame = frame.selectExpr("*", "lon - 1 as w", "lat - 1 as s", "lon + 1 as e", "lat + 1 as n")
     shaped = with_boxes(with_points(frame, "lon", "lat"), "w", "s", "e", "n", "area")
     made = as_layer(shaped, "two", drop=("lon", "lat", "w", "s", "e", "n"))
     whole = {(r.z, r.x, r.y): bytes(r.tile) for r in plans.multilayer_pyramid(made, 0, 1).collect()}
+    b = {tuple(r) for r in inspect.inspect_layers(plans.multilayer_pyramid(made, 0, 1)).collect()}
+    monkeypatch.setattr(plans, "BLOCK_BYTES", 2000)
     small = plans.multilayer_pyramid(made, 0, 1, TileOptions(part_bytes=2000))
     assert {r.n_parts for r in small.collect()} != {1}
     a = {tuple(r) for r in inspect.inspect_layers(small).collect()}
-    b = {tuple(r) for r in inspect.inspect_layers(plans.multilayer_pyramid(made, 0, 1)).collect()}
     assert a == b and len(whole) == len({r[:3] for r in a})
 
 

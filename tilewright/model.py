@@ -59,7 +59,7 @@ class TileOptions:
     id_column: str | None = None
     layer_name: str | None = None
     where: Any = None
-    part_bytes: int = 4 << 20  # a tile larger than this is stored as numbered parts
+    part_bytes: int = 4 << 20  # a larger tile is stored as numbered parts of whole blocks; its bytes stay the same
 
     def __post_init__(self):
         for name, low in (("extent", 1), ("buffer", 0), ("part_bytes", 1)):

@@ -173,7 +173,7 @@ def encode_tiles(table: pa.Table, name: str, properties: list[str], extent: int,
     n = len(e.feature_counts)
     features = feature_bytes(e.key_index, e.value_index, e.pairs, e.shape).fold(e.feature_counts)
     head, keys, tail = layer_fields(name, properties, extent)
-    body = weave([constant(head, n), features, constant(keys, n), e.values.fold(e.value_counts), constant(tail, n)])
+    body = weave([constant(head + keys + tail, n), features, e.values.fold(e.value_counts)])
     return _rows(e, {"tile": wrap_layer(body).to_arrow()})
 
 

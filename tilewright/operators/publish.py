@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilewright.functions.text import blank_to_null, etag, etag_of, strip
-from tilewright.operators.joins import join_by_size
 
 TILE = ["z", "x", "y"]
 
@@ -60,17 +63,42 @@ def tile_keys(requests: DataFrame) -> DataFrame:
 def tile_etags(tiles: DataFrame) -> DataFrame:
     """``layer, z, x, y, bytes, etag`` of each tile of a tile table.
 
-    A tile in several parts is digested part by part; its ETag is made of the
-    total length and a combination of the part digests that needs no order.
+    The ETag is that of all bytes of the tile, in however many parts they are kept. A tile of one part is
+    digested where it lies. The parts of others are brought together in order and fed to the digest one by one, so a
+    task holds no more of a tile than one batch of parts.
     """
-    thin = tiles.select("layer", *TILE, "part", "n_parts", F.md5("tile").alias("digest"),
-                        F.octet_length("tile").cast("bigint").alias("bytes"))
-    totals = thin.groupBy("layer", *TILE).agg(
-        F.sum("bytes").alias("bytes"), F.max("n_parts").alias("n_parts"),
-        F.min(F.substring("digest", 1, 16)).alias("single"),
-        F.bit_xor(F.xxhash64("part", "digest")).alias("mixed"))
-    digest = F.when(F.col("n_parts") == 1, F.col("single")).otherwise(F.lower(F.lpad(F.hex("mixed"), 16, "0")))
-    return totals.select("layer", *TILE, "bytes", etag_of(F.col("bytes"), digest).alias("etag"))
+    key = ["layer", *TILE]
+    whole = tiles.filter(F.col("n_parts") == 1).select(
+        *key, F.octet_length("tile").cast("bigint").alias("bytes"), etag("tile").alias("etag"))
+    parts = (tiles.filter(F.col("n_parts") > 1).select(*key, "part", "tile")
+             .repartition(*key).sortWithinPartitions(*key, "part"))
+    digests = parts.mapInArrow(_digests, "layer string, z int, x int, y int, bytes bigint, digest string")
+    return whole.unionByName(digests.select(*key, "bytes", etag_of(F.col("bytes"), F.col("digest")).alias("etag")))
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Length and digest of the joined parts of each tile; rows come sorted by tile and part."""
+    names = ["layer", *TILE, "bytes", "digest"]
+    last, size, digest = None, 0, None
+    for batch in batches:
+        done = []
+        for *key, tile in zip(*(batch.column(c).to_pylist() for c in ["layer", *TILE]), batch.column("tile"), strict=True):
+            if key != last:
+                if last is not None:
+                    done.append((*last, size, digest.hexdigest()[:16]))
+                last, size, digest = key, 0, hashlib.md5(usedforsecurity=False)
+            part = tile.as_buffer()
+            digest.update(part)
+            size += len(part)
+        if done:
+            yield _etag_rows(done, names)
+    if last is not None:
+        yield _etag_rows([(*last, size, digest.hexdigest()[:16])], names)
+
+
+def _etag_rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
 def publish_list(tiles: DataFrame, catalog_id: str, version: str | int = 1) -> DataFrame:
@@ -94,7 +122,7 @@ def not_modified(requests: DataFrame, tiles: DataFrame) -> DataFrame:
 
     ``requests`` has ``tile_key, if_none_match``; ``tiles`` has ``tile_key, etag``.
     """
-    answer = join_by_size(requests, tiles.select("tile_key", "etag"), ["tile_key"], "left")
+    answer = requests.join(tiles.select("tile_key", "etag"), "tile_key", "left")
     same = (F.col("if_none_match") == F.col("etag")) | (F.col("if_none_match") == "*")
     status = F.when(F.col("etag").isNull(), 404).when(F.coalesce(same, F.lit(False)), 304).otherwise(200)
     return answer.withColumn("status", status)

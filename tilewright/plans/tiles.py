@@ -1,10 +1,11 @@
 """Tile jobs: whole pyramids, requested tiles, several layers in one tile, diagnosis.
 
 A tile table has the columns ``layer, z, x, y, part, n_parts, tile, n_features, keys``.
-A tile is one row unless it is larger than ``TileOptions.part_bytes``; then it is
-the concatenation of its rows in ``part`` order. Part 0 opens the layer, later
-parts carry on with features and values, so no task ever holds a large tile whole.
-``keys`` repeats the attribute names on later parts, so each part can be read alone.
+A layer of a tile opens with its name, keys and extent and goes on with blocks of features and their values. What a
+block holds depends on the features alone: a tile of up to ``BLOCK_BYTES`` is one block, a larger one is dealt
+into blocks by a hash of the features. ``TileOptions.part_bytes`` only says how many blocks share a row, so the bytes
+of a tile, the concatenation of its rows in ``part`` order, are the same for any part size, and so is its ETag. No task
+ever holds a large tile whole. ``keys`` repeats the attribute names on later parts, so each part can be read alone.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ TILE_TABLE = ["layer", *TILE, "part", "n_parts", "tile", "n_features", "keys"]
 SEARCH_ZOOMS = 4  # zooms looked at together in the search for large tiles
 NUMBER_BLOCK = 4096  # buckets counted together when parts are numbered
 FEATURE_COST = 24  # bytes of a feature beside its attributes and vertices
+BLOCK_BYTES = 512 << 10  # a tile expected to be larger is written in blocks of about this size
 
 
 def property_names(layer: Layer, wanted: tuple[str, ...] | None) -> list[str]:
@@ -115,7 +117,7 @@ def _features(layer: Layer, options: TileOptions) -> _Features:
 
 @dataclass(frozen=True)
 class _Large:
-    """Tiles that may exceed one part: ``z, x, y, buckets``."""
+    """Tiles of several blocks: ``z, x, y, buckets``."""
 
     tiles: DataFrame
     zooms: list[int]
@@ -140,7 +142,7 @@ def _large_tiles(f: _Features, zooms: list[int], wide: bool, requests: DataFrame
     A tile holds no more than the tile above it, so the search stops at the
     first zoom without a large tile; requested tiles are all looked at.
     """
-    g, limit = f.geometry, f.options.part_bytes
+    g, limit = f.geometry, BLOCK_BYTES
     weighed = use_all_cores(f.frame.select(*g.box_columns, f.weight().alias("weight")))
 
     def over(levels: list[int]) -> DataFrame:
@@ -214,8 +216,8 @@ def _large_rows(f: _Features, wide: bool, large: _Large, requests: DataFrame | N
 
 
 def _split_copies(frame: DataFrame, f: _Features) -> DataFrame:
-    """At most one part's worth of copies per row, so copies spread over buckets too."""
-    per_row = F.greatest(F.lit(1).cast("bigint"), F.floor(F.lit(f.options.part_bytes) / f.weight()))
+    """At most one block's worth of copies per row, so copies spread over buckets too."""
+    per_row = F.greatest(F.lit(1).cast("bigint"), F.floor(F.lit(BLOCK_BYTES) / f.weight()))
     chunks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / per_row))
     return (frame.withColumn("chunk", F.explode(chunks))
             .withColumn("copies", F.least(per_row, F.col("copies") - F.col("chunk") * per_row)))
@@ -250,7 +252,7 @@ def _no_keys() -> Column:
 
 
 def _encode_large(rows: DataFrame, f: _Features, name: str) -> DataFrame:
-    """Large tiles as parts: encode buckets, number their values, add the opening part."""
+    """Large tiles as parts: encode buckets as blocks, number their values, join blocks to parts, add the opening part."""
     names, extent, code = f.names, f.options.extent, geometry_code(f.geometry.kind)
     alias = dict(zip(f.props, names))
 
@@ -269,8 +271,16 @@ def _encode_large(rows: DataFrame, f: _Features, name: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*small.columns, pa.array(out, pa.binary())],
                                              names=[*small.schema.names, "tile"])
 
-    body = parts.join(numbers, [*TILE, "bucket"]).mapInArrow(
+    blocks = parts.join(numbers, [*TILE, "bucket"]).mapInArrow(
         finish, "z int, x int, y int, part int, n_features bigint, tile binary")
+    together = max(1, f.options.part_bytes // BLOCK_BYTES)  # blocks of a part
+    if together == 1:
+        body = blocks
+    else:
+        part = (F.floor((F.col("part") - 1) / together) + 1).cast("int")
+        body = blocks.groupBy(*TILE, part.alias("part")).agg(
+            F.array_sort(F.collect_list(F.struct("part", "tile"))).alias("blocks"), F.sum("n_features").alias("n_features")).select(
+            *TILE, "part", "n_features", F.aggregate("blocks", F.lit(b""), lambda all_, block: F.concat(all_, block["tile"])).alias("tile"))
     totals = body.groupBy(TILE).agg(F.sum(F.octet_length("tile")).cast("bigint").alias("bytes"),
                                     F.count(F.lit(1)).cast("int").alias("bodies"))
     head, keys, tail = mvt.layer_fields(name, names, extent)

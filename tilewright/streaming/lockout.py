@@ -5,17 +5,21 @@ nothing is counted. A failure adds an attempt; the ``max_attempts``-th starts a
 block of ``base * 2^(strikes-1)`` seconds (doubling at most ten times), adds a
 strike and clears the attempts. A success outside a block clears the record.
 The record also lapses an hour after a plain failure and a day after a block.
+
+Events are taken one by one in the order of their times, in microseconds. Events of one client and one instant have no order
+of their own: equal ones are counted, and failures come before successes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 # fixed values
 MAX_ATTEMPTS = 5
@@ -24,7 +28,9 @@ MAX_DOUBLINGS = 10
 QUIET_SECONDS = 3600
 KEEP_SECONDS = 86400
 
-REPORT = ("t_sec bigint, n_ok bigint, n_fail bigint, n_blocked bigint, locked boolean, "
+TICKS = 1_000_000  # event times count microseconds
+MINUTE = 60 * TICKS
+REPORT = ("ts timestamp, t_sec bigint, n_ok bigint, n_fail bigint, n_blocked bigint, locked boolean, "
           "attempts int, strikes int, retry_after bigint")
 STATE = "attempts int, strikes int, blocked_until bigint, expires bigint"
 FRESH = (0, 0, 0, 0)
@@ -40,51 +46,67 @@ class LockoutRules:
             raise ValueError("max_attempts and base_seconds must be at least 1")
 
 
-def step(state: tuple, t: int, n_ok: int, n_fail: int, rules: LockoutRules) -> tuple[tuple, tuple]:
-    """One second of one client; failures of a second come before its successes."""
+def step(state: tuple, t: int, n_ok: int, n_fail: int, rules: LockoutRules, ticks: int = 1) -> tuple[tuple, tuple]:
+    """One instant of one client, ``ticks`` to the second; failures of an instant come before its successes."""
     attempts, strikes, blocked_until, expires = state
     if expires and t > expires:
         attempts, strikes, blocked_until, expires = FRESH
     if t < blocked_until:
         state = (attempts, strikes, blocked_until, expires)
-        return state, (n_ok + n_fail, False, attempts, strikes, blocked_until - t)
+        return state, (n_ok + n_fail, False, attempts, strikes, -((t - blocked_until) // ticks))
     if n_fail and attempts + n_fail >= rules.max_attempts:
         refused = n_fail - (rules.max_attempts - attempts) + 1 + n_ok
         block = rules.base_seconds * 2 ** min(strikes, MAX_DOUBLINGS)
-        state = (0, strikes + 1, t + block, t + block + KEEP_SECONDS)
+        until = t + block * ticks
+        state = (0, strikes + 1, until, until + KEEP_SECONDS * ticks)
         return state, (refused, True, 0, strikes + 1, block)
     if n_fail:
-        attempts, blocked_until, expires = attempts + n_fail, 0, t + QUIET_SECONDS
+        attempts, blocked_until, expires = attempts + n_fail, 0, t + QUIET_SECONDS * ticks
     if n_ok:
         attempts, strikes, blocked_until, expires = FRESH
     return (attempts, strikes, blocked_until, expires), (0, False, attempts, strikes, 0)
 
 
-def per_second(events: DataFrame) -> DataFrame:
-    """``client, t_sec, n_ok, n_fail``: the log counted per client and second.
+def _instant(events: DataFrame) -> Column:
+    """Time of an event in microseconds, from ``ts`` or else from whole seconds ``t_sec``."""
+    if "ts" in events.columns:
+        return F.unix_micros(F.col("ts").cast("timestamp"))
+    return F.col("t_sec").cast("bigint") * TICKS
+
+
+def _fold(client, state: tuple, instants: list[tuple], rules: LockoutRules) -> tuple[tuple, pd.DataFrame]:
+    """Reports of one client's instants ``t, n_ok, n_fail`` in order, and the state after them."""
+    out = []
+    for t, ok, fail in instants:
+        state, report = step(state, t, ok, fail, rules, TICKS)
+        out.append((client, t, t // TICKS, ok, fail, *report))
+    frame = pd.DataFrame(out, columns=_COLUMNS)
+    frame["ts"] = pd.to_datetime(frame["ts"], unit="us")  # UTC
+    return state, frame
 
-    The counts are combined before the shuffle, so even a client with most of
-    the rows brings no more than one row per second of the log.
-    """
-    return events.groupBy("client", "t_sec").agg(
-        F.count_if(F.col("outcome") == "ok").alias("n_ok"), F.count_if(F.col("outcome") != "ok").alias("n_fail"))
+
+def per_instant(events: DataFrame) -> DataFrame:
+    """``client, t, n_ok, n_fail``: the events counted per client and microsecond, combined before the shuffle."""
+    return events.select("client", "outcome", _instant(events).alias("t")).groupBy("client", "t").agg(
+        F.count_if(F.col("outcome") == "ok").alias("n_ok"), F.count_if(~F.col("outcome").eqNullSafe("ok")).alias("n_fail"))
 
 
 def detect_lockouts(events: DataFrame, rules: LockoutRules = LockoutRules()) -> DataFrame:
-    """One row per client and second of ``client, t_sec, outcome`` (ok or fail)."""
+    """A row per client and instant of ``client, ts`` (or whole seconds ``t_sec``) ``, outcome`` (ok or fail).
+
+    A client's events are an ordered fold: one task streams through them and keeps four numbers.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client, state = None, FRESH
         for frame in frames:
-            out = []
-            for c, t, ok, fail in zip(*(frame[n].tolist() for n in ("client", "t_sec", "n_ok", "n_fail"))):
+            for c, own in frame.groupby("client", sort=False, dropna=False):
                 if c != client:
                     client, state = c, FRESH
-                state, report = step(state, t, ok, fail, rules)
-                out.append((c, t, ok, fail, *report))
-            yield pd.DataFrame(out, columns=_COLUMNS)
+                state, report = _fold(c, state, list(zip(*(own[n].tolist() for n in ("t", "n_ok", "n_fail")))), rules)
+                yield report
 
-    ordered = per_second(events).repartition("client").sortWithinPartitions("client", "t_sec")
+    ordered = per_instant(events.filter(F.col("client").isNotNull())).repartition("client").sortWithinPartitions("client", "t")
     return ordered.mapInPandas(run, _schema(events))
 
 
@@ -95,36 +117,86 @@ def _schema(events: DataFrame) -> str:
     return f"client {events.schema['client'].dataType.simpleString()}, {REPORT}"
 
 
-def lockout_stream(events: DataFrame, rules: LockoutRules = LockoutRules(), lateness: str = "10 minutes") -> DataFrame:
-    """The same report from a stream ``client, t_sec, outcome``.
+class _InOrder(StatefulProcessor):
+    """Keeps the events of a client until the watermark has passed their minute, then folds them in order.
 
-    The state of a client is a few numbers. It is dropped when its record
-    lapses, which the watermark on event time decides.
+    The state holds one entry for each minute with waiting events and a timer for its end. A timer that fires releases all
+    minutes behind the watermark. One more timer clears a record that has lapsed.
     """
 
-    def run(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        seconds = [f.groupby(["t_sec", "ok"]).size().reset_index(name="n") for f in frames]
-        counted = pd.concat(seconds).groupby(["t_sec", "ok"])["n"].sum().unstack(fill_value=0)
-        now = tuple(state.get) if state.exists else FRESH
-        out = []
-        for t, row in zip(counted.index.tolist(), counted.to_dict("records")):
-            ok, fail = int(row.get(True, 0)), int(row.get(False, 0))
-            now, report = step(now, t, ok, fail, rules)
-            out.append((key[0], t, ok, fail, *report))
-        if now == FRESH:
-            state.remove()
-        else:
-            state.update(now)
-            state.setTimeoutTimestamp(max(now[3] * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=_COLUMNS)
-
-    timed = events.select("client", "t_sec", (F.col("outcome") == "ok").alias("ok"),
-                          F.timestamp_seconds("t_sec").alias("ts")).withWatermark("ts", lateness)
-    return timed.groupBy("client").applyInPandasWithState(
-        run, _schema(events), STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    def __init__(self, rules: LockoutRules):
+        self.rules = rules
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.record = handle.getValueState("record", STATE)
+        self.waiting = handle.getMapState("waiting", "minute bigint", "t array<bigint>, n_ok array<bigint>, n_fail array<bigint>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new: dict[int, list[tuple]] = {}
+        for frame in rows:
+            for event in zip(*(frame[n].tolist() for n in ("t", "n_ok", "n_fail"))):
+                new.setdefault(event[0] // MINUTE, []).append(event)
+        for minute, events in new.items():
+            held = self.waiting.getValue((minute,))
+            if held is None:
+                self.handle.registerTimer((minute + 1) * MINUTE // 1000)
+            else:
+                events = [*zip(*held), *events]
+            self.waiting.updateValue((minute,), tuple(map(list, zip(*events))))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000  # no event of an earlier time can come
+        due = [(k[0], v) for k, v in self.waiting.iterator() if (k[0] + 1) * MINUTE <= passed]
+        record = tuple(self.record.get()) if self.record.exists() else FRESH
+        if due:
+            instants: dict[int, tuple[int, int]] = {}
+            for minute, events in due:
+                self.waiting.removeKey((minute,))
+                for t, ok, fail in zip(*events):
+                    had = instants.get(t, (0, 0))
+                    instants[t] = (had[0] + ok, had[1] + fail)
+            record, report = _fold(key[0], record, [(t, *n) for t, n in sorted(instants.items())], self.rules)
+            if record != FRESH:
+                self.record.update(record)
+                self.handle.registerTimer(record[3] // 1000 + 1)
+            else:
+                self.record.clear()
+            yield report
+        elif record != FRESH and record[3] < passed:
+            self.record.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal events of a batch counted, so that a busy client's events are fewer before the shuffle."""
+    for batch in batches:
+        if batch.num_rows:
+            sums = pa.Table.from_batches([batch]).group_by(["client", "t"]).aggregate([("n_ok", "sum"), ("n_fail", "sum")])
+            yield from sums.rename_columns({"n_ok_sum": "n_ok", "n_fail_sum": "n_fail"}).select(batch.schema.names).to_batches()
+
+
+def lockout_stream(events: DataFrame, rules: LockoutRules = LockoutRules(), lateness: str = "10 minutes") -> DataFrame:
+    """The same report from a stream, in whatever order its events arrive.
+
+    An event is reported once the watermark (the latest time seen, less ``lateness``) has passed its minute, so every report
+    takes all earlier events into account; later ones than that are dropped by Spark. What is waiting when a stream
+    ends stays in its state until the watermark moves on. Needs the RocksDB state store, which this call sets for
+    the session.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass",
+                                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kind = events.schema["client"].dataType.simpleString()
+    ok = F.col("outcome").eqNullSafe("ok")
+    marked = events.filter(F.col("client").isNotNull()).select(
+        "client", _instant(events).alias("t"), ok.cast("bigint").alias("n_ok"), (~ok).cast("bigint").alias("n_fail"))
+    counted = marked.mapInArrow(_counted, f"client {kind}, t bigint, n_ok bigint, n_fail bigint")
+    timed = counted.withColumn("at", F.timestamp_micros("t")).withWatermark("at", lateness)
+    return timed.groupBy("client").transformWithStateInPandas(
+        _InOrder(rules), outputStructType=_schema(events), outputMode="append", timeMode="eventTime")
 
 
 def lockout_summary(report: DataFrame) -> DataFrame:
