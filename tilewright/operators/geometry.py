@@ -79,7 +79,8 @@ class Paths:
         return index
 
 
-def batch_commands(parts: pa.ListArray, srid: int, code: int, z, x, y, extent: int, margin: int | None) -> pa.Array:
+def source_paths(parts: pa.ListArray, srid: int) -> Paths:
+    """Vertex chains of a column of geometries in unit coordinates."""
     n = len(parts)
     rings, chains = parts.values, parts.values.values
     to_ring, to_chain, to_vertex = (np.asarray(a.offsets) for a in (parts, rings, chains))
@@ -94,15 +95,20 @@ def batch_commands(parts: pa.ListArray, srid: int, code: int, z, x, y, extent: i
     lo, hi = int(to_vertex[first]), int(to_vertex[last])
     vx = np.asarray(chains.values.field("x"))[lo:hi]
     vy = np.asarray(chains.values.field("y"))[lo:hi]
+    return Paths(row, hole, lens, *unit_position(vx, vy, srid))
 
-    at = np.repeat(row, lens)
-    u, v = unit_position(vx, vy, srid)
-    across = np.exp2(z[at].astype(np.float64))
-    paths = Paths(row, hole, lens, np.rint((u * across - x[at]) * extent), np.rint((v * across - y[at]) * extent))
+
+def clip_shapes(code: int, paths: Paths, extent: int, margin: int | None) -> Paths:
     box = None if margin is None else (-float(margin), float(extent + margin))
+    return {POINT: clip_points, LINE: clip_lines, POLYGON: clip_polygons}[code](paths, box)
 
-    clip = {POINT: clip_points, LINE: clip_lines, POLYGON: clip_polygons}[code]
-    return command_lists(code, clip(paths, box), n)
+
+def batch_commands(parts: pa.ListArray, srid: int, code: int, z, x, y, extent: int, margin: int | None) -> pa.Array:
+    p = source_paths(parts, srid)
+    at = np.repeat(p.row, p.lens)
+    across = np.exp2(z[at].astype(np.float64))
+    grid = Paths(p.row, p.hole, p.lens, np.rint((p.px * across - x[at]) * extent), np.rint((p.py * across - y[at]) * extent))
+    return command_lists(code, clip_shapes(code, grid, extent, margin), len(parts))
 
 
 def unit_position(vx, vy, srid: int):
@@ -194,7 +200,7 @@ def clip_polygons(p: Paths, box):
         for axis, bound, sign in ((0, low, 1.0), (0, high, -1.0), (1, low, 1.0), (1, high, -1.0)):
             p = cut_rings(p, axis, bound, sign)
         p.px, p.py = np.rint(p.px), np.rint(p.py)
-        p = drop_repeats(p, ring=True)
+        p = straighten(drop_repeats(p, ring=True), low, high)
     area = ring_area(p)
     good = (p.lens >= 3) & (area != 0)
     # a hole goes when its outer ring goes
@@ -206,7 +212,36 @@ def clip_polygons(p: Paths, box):
     place = spans(np.zeros(len(lens), np.int64), lens)
     back = np.repeat(flip, lens)
     index = np.repeat(starts, lens) + np.where(back, np.repeat(lens, lens) - 1 - place, place)
-    return Paths(p.row, p.hole, lens, p.px[index], p.py[index])
+    return from_lowest(Paths(p.row, p.hole, lens, p.px[index], p.py[index]))
+
+
+def straighten(p: Paths, low: float, high: float) -> Paths:
+    """Rings without vertices in the middle of an edge of the box, and so without spikes along it."""
+    while len(p.px):
+        before, middle = p.previous(), np.zeros(len(p.px), bool)
+        after = np.empty(len(p.px), np.int64)
+        after[before] = np.arange(len(p.px))
+        for along in (p.px, p.py):
+            for edge in (low, high):
+                on = along == edge
+                middle |= on & on[before] & on[after]
+        if not middle.any():
+            break
+        p = drop_repeats(p.keep_vertices(~middle), ring=True)
+    return p
+
+
+def from_lowest(p: Paths) -> Paths:
+    """Rings from their lowest vertex on, so that a ring does not depend on where it was opened."""
+    if not len(p.px):
+        return p
+    ring, follows = p.path_of_vertex(), np.empty(len(p.px), np.int64)
+    follows[p.previous()] = np.arange(len(p.px))
+    order = np.lexsort((p.py[follows], p.px[follows], p.py, p.px, ring))
+    lowest = order[p.starts] - p.starts
+    place = spans(np.zeros(len(p.lens), np.int64), p.lens)
+    index = p.starts[ring] + (place + lowest[ring]) % p.lens[ring]
+    return Paths(p.row, p.hole, p.lens, p.px[index], p.py[index])
 
 
 def ring_area(p: Paths):

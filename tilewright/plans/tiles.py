@@ -23,6 +23,7 @@ from tilewright.model import GeometryColumn, Layer, LayerError, TileOptions
 from tilewright.operators import mvt
 from tilewright.operators.checkpoints import cut_lineage
 from tilewright.operators.cover import WIDE_COVER, cover, in_world, requested, visible, widest_cover
+from tilewright.operators.descent import tile_shapes
 from tilewright.operators.filters import filter_layer, predicate_column
 from tilewright.operators.geometry import geometry_code, point_steps, shape_commands
 from tilewright.operators.joins import BROADCAST_ROWS, salted_join
@@ -192,7 +193,7 @@ def _wide(f: _Features, zooms: list[int]) -> bool:
 def _encoded(rows: DataFrame, f: _Features, keep: list[str]) -> DataFrame:
     """Features per tile with their tile geometry, narrowed to what the encoder needs."""
     shape, left = _drawn(f)
-    number = tm.tile_number(*[F.col(c) for c in TILE]).alias("tile_no")
+    number = _tile_number()
     if f.geometry.is_point:
         return rows.filter(left).select(number, *keep, *f.props, *shape)
     return rows.select(number, *keep, *f.props, *shape).filter(left)
@@ -200,19 +201,38 @@ def _encoded(rows: DataFrame, f: _Features, keep: list[str]) -> DataFrame:
 
 def _small_rows(f: _Features, zooms: list[int], wide: bool, large: _Large | None,
                 requests: DataFrame | None = None) -> DataFrame:
-    rows = _placed(use_all_cores(f.frame), f, zooms, wide, requests)
+    down = _goes_down(f, requests)
+    frame = use_all_cores(f.frame)
+    rows = _shapes(frame, f, zooms, wide, f.props) if down else _placed(frame, f, zooms, wide, requests)
     if large is not None:
         rows = large.join(rows, "left_anti")
-    return _encoded(rows, f, [])
+    return rows.select(_tile_number(), *f.props, "cmds") if down else _encoded(rows, f, [])
+
+
+def _goes_down(f: _Features, requests: DataFrame | None) -> bool:
+    """Whole pyramids of clipped lines and areas are cut zoom by zoom."""
+    return requests is None and not f.geometry.is_point and f.options.clip
+
+
+def _shapes(frame: DataFrame, f: _Features, zooms: list[int], wide: bool, keep: list[str]) -> DataFrame:
+    return tile_shapes(frame, f.geometry, zooms, f.options.extent, f.options.buffer, keep, wide)
+
+
+def _tile_number() -> Column:
+    return tm.tile_number(*[F.col(c) for c in TILE]).alias("tile_no")
 
 
 def _large_rows(f: _Features, wide: bool, large: _Large, requests: DataFrame | None = None) -> DataFrame:
     """Features of large tiles, spread over buckets by a hash of their content."""
     # identical rows would share a bucket: count them first and spread the counts
     counted = _split_copies(use_all_cores(f.frame).groupBy(f.frame.columns).agg(F.count(F.lit(1)).alias("copies")), f)
+    counted = counted.withColumn("spread", F.xxhash64(*f.props, *f.shape, *f.geometry.box_columns, "chunk"))
+    bucket = F.pmod("spread", "buckets").cast("bigint").alias("bucket")
+    if _goes_down(f, requests):
+        rows = large.join(_shapes(counted, f, large.zooms, wide, [*f.props, "copies", "spread"]), "inner")
+        return rows.select(_tile_number(), bucket, "copies", *f.props, "cmds")
     rows = large.join(_placed(counted, f, large.zooms, wide, requests), "inner")
-    spread = F.pmod(F.xxhash64(*f.props, *f.shape, *f.geometry.box_columns, "chunk"), F.col("buckets"))
-    return _encoded(rows.withColumn("bucket", spread.cast("bigint")), f, ["bucket", "copies"])
+    return _encoded(rows.select("*", bucket), f, ["bucket", "copies"])
 
 
 def _split_copies(frame: DataFrame, f: _Features) -> DataFrame:
