@@ -8,7 +8,8 @@ from tilewright.functions.text import catalog_schema_of, catalog_table_of
 from tilewright.model import TileOptions
 from tilewright.plans import catalog as plans
 from tilewright.plans.tiles import layer_names
-from tilewright.sources.tables import register, scan_catalog
+from tilewright.sources.tables import register, save_layer, scan_catalog
+from tilewright.streaming.runs import work_folder
 
 NAMES = ["customer_multi", "customer_pt", "lineitem_pt", "order_line", "supplier_area"]
 ALL = duck("customer_pt", "customer_multi", "lineitem_pt", "order_line", "supplier_area")
@@ -110,6 +111,28 @@ def catalog_list(spark, sf):
                        "null_geometries", *[F.round(c, 9).alias(c) for c in DEGREES])
 
 
+DATABASE_SQL = " union all ".join(f"""
+select '{db}' as schema_name, '{n}' as table_name, '{db}.{n}' as id, '{kind}' as type, count(*) as row_count,
+ count_if({SIDES[of][0]} is null) as null_geometries, round(min({SIDES[of][0]}), 9) as minlon, round(max({SIDES[of][2]}), 9) as maxlon
+from {of} where {where}""" for db, n, kind, of, where in (
+    ("atlas_areas", "rich", "view", "supplier_area", "balance > 0"), ("atlas_areas", "supplier_area", "table", "supplier_area", "true"),
+    ("atlas_points", "customer_pt", "table", "customer_pt", "true")))
+
+
+@query("catalog_databases", f"{ALL} {DATABASE_SQL}")
+def catalog_databases(spark, sf):
+    """Tables and a view of two databases, saved and found again."""
+    for database, name in (("atlas_points", "customer_pt"), ("atlas_areas", "supplier_area")):
+        made = layer(spark, sf, name)
+        spark.sql(f"drop database if exists {database} cascade")
+        spark.sql(f"create database {database} location '{work_folder(made.frame, database)}'")
+        save_layer(made, f"{database}.{name}")
+    spark.sql("create view atlas_areas.rich as select * from atlas_areas.supplier_area where balance > 0")
+    found = [x for x in scan_catalog(spark) if x.schema.startswith("atlas_")]
+    return plans.list_catalog(found).select("schema_name", "table_name", "id", "type", "row_count", "null_geometries",
+                                            *[F.round(c, 9).alias(c) for c in ("minlon", "maxlon")])
+
+
 def _label(n: str, g: str) -> str:
     return f"{n}_{g}" if len(GEOMETRIES[n]) > 1 else n
 

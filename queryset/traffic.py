@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from queryset.fixtures import d, duck, fixture, table
 from queryset.registry import query
+from tilewright.functions.text import tile_row_text
 from tilewright.operators import traffic as ops
 from tilewright.streaming import lockout
 from tilewright.streaming.runs import run_available, work_folder
@@ -75,18 +76,22 @@ def request_metrics_stream(spark, sf):
 
 def exposition_sql() -> str:
     values = []
-    for i, (name, text, kind, column) in enumerate(ops.EXPOSED):
+    for i, (name, text, kind, column) in enumerate(ops.EXPOSED[:10]):
         values.append(f"select {3 * i} as line_no, '# HELP {name} {text}' as line")
         values.append(f"select {3 * i + 1}, '# TYPE {name} {kind}'")
         values.append(f"select {3 * i + 2}, concat('{name}{{layer=\"', layer, '\"}} ', cast({column} as varchar)) from m")
-    return f"""{duck('request_log')}, l as (select lower(trim(layer)) as layer, source, latency_ms from request_log),
-m as ({metrics_sql('l', 'layer')}) {' union all '.join(values)}"""
+    return f"""{duck('request_log')}, l as (select lower(trim(layer)) as layer, source, latency_ms, z, x, y_raw from request_log),
+shared as (select layer, count(*) as executions, cast(sum(n) as bigint) - count(*) as waiters from (
+ select layer, count(*) as n from l where source = 'MISS' group by layer, z, x, y_raw) k group by layer),
+m as (select * from ({metrics_sql('l', 'layer')}) s join shared using (layer)) {' union all '.join(values)}"""
 
 
 @query("metrics_exposition", exposition_sql())
 def metrics_exposition(spark, sf):
     log = fixture(spark, sf, "request_log").withColumn("layer", F.lower(F.trim("layer")))
-    return ops.exposition(ops.request_metrics(log, ["layer"]), ["layer"])
+    shared = ops.coalesce_requests(log.filter("source = 'MISS'"), ["layer", "z", "x", "y_raw"]).groupBy("layer").agg(
+        F.sum("executions").alias("executions"), F.sum("waiters").alias("waiters"))
+    return ops.exposition(ops.request_metrics(log, ["layer"]).join(shared, "layer"), ["layer"])
 
 
 @query("latency_percentiles", f"""{duck('request_log')}
@@ -106,12 +111,13 @@ def request_rate(spark, sf):
     return ops.request_rate(fixture(spark, sf, "request_log"), ["source"])
 
 
-@query("coalesce_requests", f"""{duck('request_log')}
-select lower(trim(layer)) as layer, z, x, cast(1 as bigint) as executions, count(*) - 1 as waiters from request_log
+@query("coalesce_requests", rf"""{duck('request_log')}
+select lower(trim(layer)) as layer, z, x, regexp_replace(y_raw, '\.(mvt|pbf)$', '', 'i') as y, cast(1 as bigint) as executions,
+ count(*) - 1 as waiters from request_log
 where source = 'MISS' group by all""")
 def coalesce_requests(spark, sf):
     log = fixture(spark, sf, "request_log").filter("source = 'MISS'").withColumn("layer", F.lower(F.trim("layer")))
-    return ops.coalesce_requests(log, ["layer", "z", "x"])
+    return ops.coalesce_requests(log.withColumn("y", tile_row_text(F.col("y_raw"))), ["layer", "z", "x", "y"])
 
 
 EPOCH = 1_704_067_200  # a stream needs real times: the watermark starts at 1970

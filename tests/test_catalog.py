@@ -5,18 +5,18 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from queryset.fixtures import fixture, layer
+from queryset.fixtures import layer
 from tilewright.functions.text import split_catalog_id
 from tilewright.functions.types import tilejson_type, type_bucket
-from tilewright.model import LayerError
-from tilewright.operators import joins
+from tilewright.model import LayerError, TileOptions
 from tilewright.operators.features import feature_collection, features
 from tilewright.operators.publish import missing_tiles, tile_etags, tile_keys
-from tilewright.operators.stats import attribute_summary, top_values
+from tilewright.operators.stats import attribute_summary, column_sketches, merged_distinct, profile_layer, top_values
 from tilewright.plans.catalog import layer_bounds, tilejson
-from tilewright.plans.tiles import tile_pyramid
+from tilewright.plans.tiles import get_or_make, tile_pyramid
 from tilewright.sources import sinks
-from tilewright.sources.tables import bbox_filter, open_layer, save_layer
+from tilewright.sources.layers import as_layer, with_points
+from tilewright.sources.tables import bbox_filter, open_layer, save_layer, scan_catalog
 
 
 def test_ids_split():
@@ -108,12 +108,56 @@ def test_missing(spark):
     assert [r.tile_key for r in missing_tiles(asked, held).collect()] == ["a"]
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_anti", "left_semi"])
-def test_join_beyond_the_broadcast_bound(spark, sf, how):
-    big = fixture(spark, sf, "lineitem_pt").select("id", "flag", "quantity")
-    side = big.select("flag").distinct().filter("flag <> 'N'").withColumn("note", F.upper("flag"))
-    side = side.select("flag") if how in ("left_anti", "left_semi") else side
-    small = joins.join_by_size(big, side, ["flag"], how)
-    salted = joins.join_by_size(big, side, ["flag"], how, limit=1)
-    assert "_salt" not in salted.columns and small.count() == salted.count() > 0
-    assert small.exceptAll(salted).isEmpty()
+def test_bare_names_and_databases(spark, sf):
+    points, areas = layer(spark, sf, "customer_pt"), layer(spark, sf, "supplier_area")
+    save_layer(points, "own_points")
+    assert open_layer(spark, "own_points").id == f"{spark.catalog.currentDatabase()}.own_points"
+    spark.sql("create database if not exists other")
+    save_layer(areas, "other.own_points")
+    spark.sql("create or replace view other.some as select * from other.own_points where balance > 0")
+    assert open_layer(spark, "other.own_points").geometry().kind == "POLYGON"
+    kinds = {x.id: x.kind for x in scan_catalog(spark) if "own_points" in x.id or x.name == "some"}
+    assert kinds == {"default.own_points": "table", "other.own_points": "table", "other.some": "view"}
+    areas.frame.createOrReplaceTempView("own_points")
+    assert open_layer(spark, "own_points").id == "public.own_points"  # a temporary view comes first
+    spark.catalog.dropTempView("own_points")
+
+
+def test_files_are_clustered_in_both_directions(spark, sf):
+    made = layer(spark, sf, "lineitem_pt")
+    save_layer(made, "clustered", files=16)
+    files = open_layer(spark, "clustered").frame.groupBy(F.input_file_name()).agg(*[
+        f(f"geom_{c}0").alias(f"{n}{c}") for c in "uv" for n, f in (("a", F.min), ("z", F.max))]).collect()
+    for c in "uv":
+        assert len(files) >= 12 and sum(r[f"a{c}"] <= 0.3 and r[f"z{c}"] >= 0.28 for r in files) <= len(files) * 0.6
+
+
+def test_zero_counts_once(spark):
+    frame = spark.createDataFrame([(-0.0, 1.0), (0.0, 1.0), (1.5, 1.0), (None, 1.0), (float("nan"), 1.0)], "v double, lon double")
+    made = as_layer(with_points(frame.withColumn("lat", F.lit(2.0)), "lon", "lat"), "zeros", drop=("lon", "lat"))
+    assert attribute_summary(made, "v").first().distinct_count == 3
+    assert top_values(made, "v").first().n == 2
+
+
+def test_sketches_are_close_and_merge(spark, sf):
+    made = layer(spark, sf, "lineitem_pt")
+    exact = {r.column_name: r for r in profile_layer(made).collect()}
+    about = {r.column_name: r for r in profile_layer(made, approximate=True).collect()}
+    for name, want in exact.items():
+        got = about[name]
+        assert abs(got.distinct_count - want.distinct_count) <= 0.02 * want.distinct_count + 1
+        assert (got.total_rows, got.non_null_count, got.min_val, got.max_val) == (
+            want.total_rows, want.non_null_count, want.min_val, want.max_val)
+    merged = {r.column_name: r.distinct_count for r in merged_distinct(column_sketches(made, ["flag"])).collect()}
+    assert set(merged) == set(exact) - {"flag"} and abs(merged["id"] - exact["id"].distinct_count) <= 0.02 * exact["id"].distinct_count
+
+
+def test_id_column_is_part_of_the_key(spark, sf):
+    made = layer(spark, sf, "customer_pt")
+    asked = spark.createDataFrame([(0, 0, 0)], "z int, x int, y int")
+    none = spark.createDataFrame([], "tile_key string, layer string, z int, x int, y int, part int, n_parts int, tile binary, "
+                                     "n_features bigint, keys array<string>")
+    keys = {get_or_make(made, asked, none, options=o).first().tile_key for o in (
+        TileOptions(), TileOptions(id_column="id"), TileOptions(id_column="code"), TileOptions(properties=("code",)),
+        TileOptions(properties=("code",), id_column="id"))}
+    assert len(keys) == 5

@@ -148,3 +148,16 @@ def test_percentiles_by_nearest_rank(spark):
     ordered = sorted(values)
     import math
     assert got == {p: ordered[max(0, math.ceil(p / 100 * len(ordered)) - 1)] for p in (1, 50, 90, 99.9, 100)}
+
+
+def test_percentiles_of_hard_values(spark):
+    """Negative and tiny values, zeros of both signs, neighbours that differ in the last bit, null groups."""
+    import math
+    near = [1.0 + k * 2.0**-52 for k in range(40)]
+    groups = {"a": near * 3, "b": [-5.0, -0.0, 0.0, 5e-324, 1e300, -1e-300, 7.0, 8.0, 1024.0, 1023.9999999999999], None: [2.0] * 9 + [4.0]}
+    frame = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("a", None), ("b", float("nan"))],
+                                  "source string, latency_ms double")
+    percents = [1, 10, 33, 50, 77, 90, 100]
+    got = {(r.source, r.percent): r.value for r in latency_percentiles(frame, ["source"], percents).collect()}
+    assert got == {(g, p): sorted(vs)[max(0, math.ceil(p / 100 * len(vs)) - 1)] for g, vs in groups.items() for p in percents}
+    assert len(latency_percentiles(frame, [], [50]).collect()) == 1

@@ -145,6 +145,18 @@ def tile_number(z: Column, x: Column, y: Column) -> Column:
     return before + y.cast("bigint") * across + x
 
 
+def curve_place(u: Column, v: Column) -> Column:
+    """Place of a unit position along a space-filling curve: the bits of both coordinates in turn, 16 of each."""
+
+    def spread(unit: Column) -> Column:
+        bits = F.floor(clamp(unit, F.lit(0.0), F.lit(1.0)) * 65535.0).cast("bigint")
+        for step, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            bits = F.shiftleft(bits, step).bitwiseOR(bits).bitwiseAND(F.lit(mask).cast("bigint"))
+        return bits
+
+    return F.when(u.isNotNull() & v.isNotNull(), F.shiftleft(spread(v), 1).bitwiseOR(spread(u)))
+
+
 def box_touches_tile(u0, v0, u1, v1, z: Column, x: Column, y: Column) -> Column:
     """Inclusive overlap of a unit box with a tile (no buffer)."""
     across = tiles_across(z)

@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from tilewright.model import Layer, LayerError
 
 MAX_TOP = 50
+SKETCH_BITS = 14  # log2 of the registers of a distinct-count sketch: errors of about 0.8 %
 
 
 def _column(layer: Layer, column: str) -> str:
@@ -34,14 +35,47 @@ def top_values(layer: Layer, column: str, k: int = 20) -> DataFrame:
     """The ``k`` most frequent values without NULL; ties by value."""
     _check_top(k)
     name = _column(layer, column)
-    c = F.col(f"`{name}`")
+    c = _plain(F.col(f"`{name}`"), layer.fields[name])
     return (layer.frame.filter(c.isNotNull()).groupBy(c.alias("val")).agg(F.count(F.lit(1)).alias("n"))
             .orderBy(F.desc("n"), F.asc("val")).limit(k))
 
 
-def profile_layer(layer: Layer) -> DataFrame:
-    """Summary of every attribute column in one pass over the layer."""
-    return _summaries(_frequencies(layer, list(layer.fields)))
+def profile_layer(layer: Layer, approximate: bool = False) -> DataFrame:
+    """Summary of every attribute column in one pass over the layer.
+
+    ``approximate`` is for wide and large layers: distinct values are estimated by sketches of fixed size, which merge
+    before the shuffle, so no value is shuffled; all else stays exact.
+    """
+    if not approximate:
+        return _summaries(_frequencies(layer, list(layer.fields)))
+    sketches = column_sketches(layer)
+    return sketches.select("column_name", "total_rows", "non_null_count",
+                           F.coalesce(F.hll_sketch_estimate("sketch"), F.lit(0).cast("bigint")).alias("distinct_count"),
+                           "min_val", "max_val")
+
+
+def column_sketches(layer: Layer, by: list[str] | None = None) -> DataFrame:
+    """``by.., column_name, total_rows, non_null_count, sketch, min_val, max_val`` of every attribute column.
+
+    ``sketch`` is a distinct-count sketch; ``merged_distinct`` joins those of several groups or days.
+    """
+    by, fields = by or [], layer.fields
+    names = [n for n in fields if n not in by]
+    measures = [F.count(F.lit(1)).alias("_rows")]
+    for i, n in enumerate(names):
+        text = _as_text(F.col(f"`{n}`"), fields[n])
+        measures += [F.count(text).alias(f"_n{i}"), F.hll_sketch_agg(text, F.lit(SKETCH_BITS)).alias(f"_s{i}"),
+                     F.min(text).alias(f"_a{i}"), F.max(text).alias(f"_z{i}")]
+    wide = layer.frame.groupBy(*[F.col(f"`{b}`") for b in by]).agg(*measures)
+    rows = [F.struct(F.lit(n).alias("column_name"), F.col("_rows").alias("total_rows"), F.col(f"_n{i}").alias("non_null_count"),
+                     F.col(f"_s{i}").alias("sketch"), F.col(f"_a{i}").alias("min_val"), F.col(f"_z{i}").alias("max_val"))
+            for i, n in enumerate(names)]
+    return wide.select(*by, F.inline(F.array(*rows)))
+
+
+def merged_distinct(sketches: DataFrame) -> DataFrame:
+    """``column_name, distinct_count`` over all groups of ``column_sketches``."""
+    return sketches.groupBy("column_name").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_count"))
 
 
 def profile_top_values(layer: Layer, k: int = 20) -> DataFrame:
@@ -52,7 +86,13 @@ def profile_top_values(layer: Layer, k: int = 20) -> DataFrame:
     return counted.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _plain(c: Column, dtype: T.DataType) -> Column:
+    """The value with one zero: -0.0 and 0.0 are the same number."""
+    return F.when(c == 0, F.lit(0).cast(dtype)).otherwise(c) if isinstance(dtype, (T.FloatType, T.DoubleType)) else c
+
+
 def _as_text(c: Column, dtype: T.DataType) -> Column:
+    c = _plain(c, dtype)
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
         return F.to_json(c)
     return c.cast("string")

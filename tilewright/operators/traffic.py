@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from tilewright.functions.text import tile_row_text, truthy
 from tilewright.functions.tilemath import address_problem
-from tilewright.operators.joins import join_by_size
+from tilewright.operators.checkpoints import cut_lineage
+
+DIGIT_BITS = 11  # bits of a fraction that one round of a selection looks at
+FRACTION_BITS = 52
 
 
 def bypass_flag(cache: Column, cache_control: Column) -> Column:
@@ -84,21 +87,41 @@ def request_metrics_windowed(log: DataFrame, width: str = "6 hours", lateness: s
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *report)
 
 
-# fixed values: metric name, help text, kind, report column and label of each exposed line
-EXPOSED = [
-    ("mvt_cache_l1_hits_total", "Total number of L1 cache hits", "counter", "l1_hits"),
-    ("mvt_cache_l1_misses_total", "Total number of L1 cache misses", "counter", "l1_misses"),
-    ("mvt_cache_l2_hits_total", "Total number of L2 cache hits", "counter", "l2_hits"),
-    ("mvt_cache_l2_misses_total", "Total number of L2 cache misses", "counter", "l2_misses"),
-    ("mvt_cache_bypass_total", "Total number of cache bypass requests", "counter", "bypassed"),
-    ("mvt_cache_compute_total", "Total number of tile computations", "counter", "computes"),
-    ("mvt_cache_compute_duration_seconds", "Total time spent computing tiles", "counter", "compute_total_s"),
-    ("mvt_cache_remote_latency_seconds", "Total L2 lookup latency in seconds", "counter", "remote_total_s"),
-]
+# fixed values: names of the exposed metrics
+METRICS = {
+    "l1_hits": "mvt_cache_l1_hits_total",
+    "l1_misses": "mvt_cache_l1_misses_total",
+    "l2_hits": "mvt_cache_l2_hits_total",
+    "l2_misses": "mvt_cache_l2_misses_total",
+    "bypassed": "mvt_cache_bypass_total",
+    "computes": "mvt_cache_compute_total",
+    "compute_total_s": "mvt_cache_compute_duration_seconds",
+    "remote_total_s": "mvt_cache_remote_latency_seconds",
+    "executions": "mvt_cache_singleflight_total",
+    "waiters": "mvt_cache_singleflight_waiters_total",
+    "store_bytes": "mvt_cache_l1_size_bytes",
+    "store_tiles": "mvt_cache_l1_items",
+}
+MEANING = {
+    "l1_hits": "Requests answered from the first level",
+    "l1_misses": "Requests that went past the first level",
+    "l2_hits": "Requests answered from the second level",
+    "l2_misses": "Requests that went past both levels",
+    "bypassed": "Requests that asked for a fresh tile",
+    "computes": "Tiles made for requests",
+    "compute_total_s": "Seconds spent making tiles",
+    "remote_total_s": "Seconds spent on answers of the second level",
+    "executions": "Distinct tiles among simultaneous requests",
+    "waiters": "Requests that shared the tile of another one",
+    "store_bytes": "Bytes of the tiles in store",
+    "store_tiles": "Tiles in store",
+}
+GAUGES = ("store_bytes", "store_tiles")
+EXPOSED = [(METRICS[c], MEANING[c], "gauge" if c in GAUGES else "counter", c) for c in METRICS]
 
 
 def exposition(metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """``line_no, line``: metric rows as exposition text; groups become labels."""
+    """``line_no, line``: metric rows as exposition text; groups become labels, columns that are not there are left out."""
     by = by or []
     label = F.lit("")
     if by:
@@ -106,6 +129,8 @@ def exposition(metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
         label = F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}"))
     entries = []
     for i, (name, text, kind, column) in enumerate(EXPOSED):
+        if column not in metrics.columns:
+            continue
         value = F.format_string(f"{name}%s %s", label, F.col(column).cast("string"))
         for j, line in enumerate((F.lit(f"# HELP {name} {text}"), F.lit(f"# TYPE {name} {kind}"), value)):
             entries.append(F.struct(F.lit(3 * i + j).alias("line_no"), line.alias("line")))
@@ -114,30 +139,47 @@ def exposition(metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def latency_percentiles(log: DataFrame, by: list[str], percents: list[float], column: str = "latency_ms"
                         ) -> DataFrame:
-    """Nearest-rank percentiles, exact, per group: ``by.., percent, value``.
+    """Nearest-rank percentiles, exact, per group: ``by.., percent, value``. Null and NaN are left out.
 
-    Equal values are counted before the first shuffle. Counts per whole
-    millisecond locate the wanted rank; only values of that millisecond are
-    then ordered, so no task sorts a whole group.
+    Equal values are counted first. Then a radix selection narrows the values down: sign and exponent, then some bits of
+    the fraction at a time. Each round counts the values still in question in a histogram of at most
+    ``2 ** DIGIT_BITS`` cells and keeps the cell of the wanted rank; after the last one a single value is left.
+    No task orders the values of a group, however many there are or however near to each other.
     """
-    freq = (log.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("value"))
-            .agg(F.count(F.lit(1)).alias("n")).withColumn("cell", F.floor("value")))
-    cells = freq.groupBy(*by, "cell").agg(F.sum("n").alias("cell_n"))
-    ordered = Window.partitionBy(*by).orderBy("cell")
-    placed = (cells.withColumn("upto", F.sum("cell_n").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-              .withColumn("total", F.sum("cell_n").over(Window.partitionBy(*by))))
+    value = F.col(column).cast("double")
+    freq = (log.filter(value.isNotNull() & ~F.isnan(value)).groupBy(*by, F.when(value == 0, 0.0).otherwise(value).alias("value"))
+            .agg(F.count(F.lit(1)).alias("n")))
+    group = F.to_json(F.struct(*by)) if by else F.lit("")  # null is a group like others
+    values = cut_lineage(freq.select(*by, "value", "n", group.alias("_group"), *_digits(F.col("value"))))
+    digits = [c for c in values.columns if c.startswith("_digit")]
     asked = F.explode(F.array(*[F.lit(float(p)) for p in percents]))
     rank = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("percent") / 100.0 * F.col("total")))
-    target = (placed.withColumn("percent", asked).withColumn("rank", rank)
-              .filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("cell_n") < F.col("rank")))
-              .select(*by, "cell", "percent", (F.col("rank") - (F.col("upto") - F.col("cell_n"))).alias("rank")))
-    wanted = target.groupBy(*by, "cell").agg(F.collect_list(F.struct("percent", "rank")).alias("asked"))
-    inside = join_by_size(freq, wanted, [*by, "cell"], "inner")
-    run = Window.partitionBy(*by, "cell").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    runs = inside.withColumn("upto", F.sum("n").over(run)).select(
-        *by, "value", "n", "upto", F.inline("asked"))
-    return runs.filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank"))).select(
-        *by, "percent", "value")
+    target = (values.groupBy("_group").agg(F.sum("n").alias("total")).withColumn("percent", asked)
+              .select("_group", "percent", rank.alias("rank")))
+    for i, digit in enumerate(digits):
+        found = ["_group", *digits[:i]]
+        cells = values.join(target, found).groupBy(*found, "percent", "rank", digit).agg(F.sum("n").alias("cell"))
+        upto = F.sum("cell").over(Window.partitionBy("_group", "percent").orderBy(digit))
+        target = (cells.withColumn("upto", upto).filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("cell") < F.col("rank")))
+                  .select(*found, digit, "percent", (F.col("rank") - F.col("upto") + F.col("cell")).alias("rank")))
+    return values.join(target, ["_group", *digits]).select(*by, "percent", "value")
+
+
+def _digits(value: Column) -> list[Column]:
+    """Numbers that order values one after the other: sign and exponent first, then parts of the fraction."""
+    size = F.abs(value)
+    about = F.floor(F.log2(size))  # may round to the next power of two
+    power = F.pow(F.lit(2.0), about)
+    exponent = F.when(size < power, about - 1).when(size >= 2.0 * power, about + 1).otherwise(about)
+    sign = F.signum(value).cast("bigint")
+    fraction = ((size / F.pow(F.lit(2.0), exponent) - 1.0) * 2.0**FRACTION_BITS).cast("bigint")  # exact
+    steps = range(FRACTION_BITS - DIGIT_BITS, -DIGIT_BITS, -DIGIT_BITS)
+    parts = [F.shiftright(fraction, s) if s > 0 else fraction for s in steps]
+    low = F.lit((1 << DIGIT_BITS) - 1).cast("bigint")
+    parts = [p if i == 0 else p.bitwiseAND(low) for i, p in enumerate(parts)]
+    rest = [F.when(value == 0, 0).otherwise(sign * p) for p in parts]
+    return [F.when(value == 0, 0).otherwise(sign * (exponent + 4096)).cast("bigint").alias("_digit0"),
+            *[r.cast("bigint").alias(f"_digit{i + 1}") for i, r in enumerate(rest)]]
 
 
 def request_rate(log: DataFrame, by: list[str]) -> DataFrame:

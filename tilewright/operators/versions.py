@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.text import strip
-from tilewright.operators.joins import join_by_size
 
 
 def after_bumps(base: Column, bumps: Column) -> Column:
@@ -33,7 +32,7 @@ def fold_versions(events: DataFrame, default: str | int = 1) -> DataFrame:
     log = events.select("seq", F.lower(strip(F.col("layer"))).alias("layer"), "op", "v")
     last = log.filter(F.col("op") == "set").groupBy("layer").agg(
         F.max("seq").alias("set_seq"), F.max_by("v", "seq").alias("set_v"))
-    told = join_by_size(log, last, ["layer"], "left")
+    told = log.join(last, "layer", "left")
     later = (F.col("op") == "bump") & (F.col("set_seq").isNull() | (F.col("seq") > F.col("set_seq")))
     folded = told.groupBy("layer").agg(F.count_if(later).alias("bumps"), F.max("set_v").alias("set_v"))
     base = F.coalesce("set_v", F.lit(str(default)))
@@ -43,6 +42,6 @@ def fold_versions(events: DataFrame, default: str | int = 1) -> DataFrame:
 def invalidated_keys(published: DataFrame, versions: DataFrame) -> DataFrame:
     """Published ``layer, tile_key`` rows whose key carries an outdated dataset version."""
     current = versions.select("layer", F.col("version").alias("current_version"))
-    told = join_by_size(published.withColumn("layer", F.lower(strip(F.col("layer")))), current, ["layer"], "inner")
+    told = published.withColumn("layer", F.lower(strip(F.col("layer")))).join(current, "layer")
     held = F.regexp_extract("tile_key", r":d(.*?):z\d+:x\d+:y\d+:q", 1)
     return told.withColumn("held_version", held).filter(held != F.col("current_version"))

@@ -26,13 +26,13 @@ from tilewright.operators.cover import WIDE_COVER, cover, in_world, requested, v
 from tilewright.operators.descent import tile_shapes
 from tilewright.operators.filters import filter_layer, predicate_column
 from tilewright.operators.geometry import geometry_code, point_steps, shape_commands
-from tilewright.operators.joins import BROADCAST_ROWS, salted_join
 from tilewright.operators.publish import tile_keys
 from tilewright.sources.scan import use_all_cores
 
 TILE = ["z", "x", "y"]
 TILE_TABLE = ["layer", *TILE, "part", "n_parts", "tile", "n_features", "keys"]
 SEARCH_ZOOMS = 4  # zooms looked at together in the search for large tiles
+LARGE_ROWS = 20_000  # large tiles whose addresses may be sent to every executor
 NUMBER_BLOCK = 4096  # buckets counted together when parts are numbered
 FEATURE_COST = 24  # bytes of a feature beside its attributes and vertices
 BLOCK_BYTES = 512 << 10  # a tile expected to be larger is written in blocks of about this size
@@ -126,7 +126,7 @@ class _Large:
 
     def join(self, rows: DataFrame, how: str) -> DataFrame:
         tiles = self.tiles if how == "inner" else self.tiles.select(TILE)  # semi and anti need no counts
-        return rows.join(F.broadcast(tiles), TILE, how) if self.small else salted_join(rows, tiles, TILE, how)
+        return rows.join(F.broadcast(tiles) if self.small else tiles, TILE, how)
 
 
 def _placed(frame: DataFrame, f: _Features, zooms: list[int], wide: bool, requests: DataFrame | None,
@@ -160,9 +160,9 @@ def _large_tiles(f: _Features, zooms: list[int], wide: bool, requests: DataFrame
     together = SEARCH_ZOOMS if requests is None else len(zooms)
     for at in range(0, len(zooms), together):
         levels = zooms[at:at + together]
-        rows = over(levels).limit(BROADCAST_ROWS + 1).collect()  # four numbers per large tile
+        rows = over(levels).limit(LARGE_ROWS + 1).collect()  # four numbers per large tile
         found += rows
-        if len(found) > BROADCAST_ROWS:
+        if len(found) > LARGE_ROWS:
             return _Large(buckets(over(zooms)), zooms, False)
         if not any(r["z"] == levels[-1] for r in rows):
             break
@@ -506,6 +506,9 @@ def _keyed(frame: DataFrame, layer: Layer, version: str | int, options: TileOpti
         columns["geom"] = F.lit(options.geometry)
     if options.properties:
         columns["properties"] = F.array(*[F.lit(p) for p in options.properties])
+    if options.id_column:  # it changes the bytes, so it belongs to the parameters
+        ordered = attribute_names(layer, options)
+        columns["properties"] = F.lit(",".join(["id=" + ordered[0], *ordered[1:]]))
     if options.layer_name:
         columns["layer_name"] = F.lit(options.layer_name)
     if options.where is not None:
