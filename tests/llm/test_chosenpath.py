@@ -88,6 +88,7 @@ def test_against_brute_force(spark, words, numer):
 def test_large_nodes(spark, monkeypatch, depth, cross):
     """Large groups of near copies, tight and loose: pivots, components, branches and cells."""
     monkeypatch.setattr(cp, "SMALL", 8)
+    monkeypatch.setattr(cp, "CHUNK", 16)
     monkeypatch.setattr(cp, "DEPTH", depth)
     monkeypatch.setattr(cp, "CROSS", cross)
     draw = np.random.default_rng(9)

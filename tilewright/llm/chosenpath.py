@@ -33,7 +33,8 @@ from tilewright.llm.words import join_hashes, mix, mixed
 
 SKETCH = 64  # minwise tokens of a class
 FORK = 2  # token positions that a node chooses
-SMALL = 1024  # classes of a node that are compared exhaustively, and of a chunk of a larger one
+SMALL = 256  # classes of a node that are compared exhaustively at once
+CHUNK = 1024  # classes of a chunk of a larger node
 PIVOTS = 3  # classes of a large node that all others of the node are compared with
 CROSS = 4_000_000  # pairs across components of a large node that are compared exhaustively
 DEPTH = 6  # levels of branching
@@ -221,7 +222,7 @@ def cells(nodes: DataFrame) -> DataFrame:
     chunk with any other chunk; two major chunks hold one component and need no cell.
     """
     minor = F.col("component") != F.col("largest")
-    counts = {k: F.greatest(F.ceil(F.col(f"n_{k}") / SMALL), F.lit(1)).cast("long") for k in ("major", "minor")}
+    counts = {k: F.greatest(F.ceil(F.col(f"n_{k}") / CHUNK), F.lit(1)).cast("long") for k in ("major", "minor")}
     own = F.when(minor, F.pmod(F.xxhash64("id", F.lit(5)), counts["minor"])).otherwise(F.pmod(F.xxhash64("id", F.lit(6)), counts["major"]))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     pair = lambda kind, a, b: F.xxhash64("path", F.lit(kind), a, b)
