@@ -145,9 +145,16 @@ def test_differencing():
 
 
 def test_mix(docs, none):
-    plain = docs.drop("size")
+    plain = docs
+    for name in ("shift", "mix_row", "mix_part", "mix_of", "mix_source", "mix_salt", "mix_copy", "mix_doc", "mix_size", "first", "n"):
+        plain = plain.withColumn(name, F.lit("clash"))
     rows = mix_sources(plain).collect()
-    assert len(rows) == len(ROWS) and mix_sources(none).count() == 0
+    assert len(rows) == len(ROWS) and mix_sources(none).count() == 0 and {r["shift"] for r in rows} == {"clash"}
+    assert mixed_documents(plain).columns == plain.columns and mixed_documents(none).count() == 0
+    silent = docs.sparkSession.createDataFrame([(90, None, "silent"), (91, " ", "silent")], "doc_id long, text string, source string")
+    quiet = [r for r in mix_sources(plain.unionByName(silent, allowMissingColumns=True)).collect() if r.source == "silent"]
+    assert [(r.mix_source_size, r.mix_target, r.mix_copies) for r in quiet] == [(0, 0.0, 0)] * 2
+    assert mixed_documents(silent).count() == 0
     total = sum(len(words(t)) for _, t, _ in ROWS)
     targets = {r.source: r.mix_target for r in rows}
     assert abs(sum(targets.values()) - total) < 1e-6 and all(0 <= r.mix_copies <= 3 for r in rows)

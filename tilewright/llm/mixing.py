@@ -17,6 +17,7 @@ from tilewright.llm.frames import stored
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
 SEED = 7
+NAMES = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -54,16 +55,25 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
     """``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_copies`` of each row.
 
     ``docs`` has ``doc_id``, ``source`` and, unless ``size`` is given, ``text``. Null texts have size 0; a null source is
-    a source; null ids come first; repeated rows each count; an empty table gives no rows; other columns are kept, and
-    must not have the four names. The rank in a source comes from range partitions and their counts, so no source
-    is gathered in one task.
+    a source; null ids come first; repeated rows each count; an empty table gives no rows. A source without words has
+    target 0 and its rows no copies. Other columns are kept, whatever their names; ones with the four names give way. The
+    rank in a source comes from range partitions and their counts, so no source is gathered in one task.
     """
+    mixed = _mixed(docs, weights, most, seed, size)
+    kept = [F.col(f"mix_doc.`{c}`").alias(c) for c in docs.columns if c not in NAMES]
+    return mixed.select(*kept, *NAMES)
+
+
+def _mixed(docs: DataFrame, weights: tuple[float, ...], most: int, seed: int, size: Column | None) -> DataFrame:
+    """``mix_doc``, the whole row, and the four columns of ``mix_sources``."""
     salt = F.monotonically_increasing_id()  # splits equal rows, which are interchangeable
-    placed = (docs.withColumn("mix_size", word_count() if size is None else size).withColumn("mix_salt", salt)
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_doc"), "doc_id", "source",
+                        (word_count() if size is None else size).alias("mix_size"))
+    placed = (sized.withColumn("mix_salt", salt)
               .repartitionByRange(F.col("source").asc_nulls_last(), F.col("mix_size").desc(), F.col("doc_id"), F.col("mix_salt"))
               .sortWithinPartitions(F.col("source").asc_nulls_last(), F.col("mix_size").desc(), F.col("doc_id"),
                                     F.col("mix_salt"))
-              .drop("mix_salt").withColumn("mix_row", F.monotonically_increasing_id())
+              .drop("mix_salt", "doc_id").withColumn("mix_row", F.monotonically_increasing_id())
               .withColumn("mix_part", F.shiftright("mix_row", 33)))
     placed = stored(placed, "mix")
     runs = placed.groupBy("source", "mix_part").agg(
@@ -76,18 +86,17 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
         F.col("r.source").alias("mix_source"), F.col("mix_part").alias("mix_of"), "shift",
         F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
     offset = F.lit(random.Random(seed).random())
-    rank, step = F.col("mix_row") + F.col("shift"), F.col("mix_target") / F.col("mix_source_size")
+    rank, step = F.col("mix_row") + F.col("shift"), F.try_divide("mix_target", "mix_source_size")
     copies = F.floor((rank + 1) * step + offset) - F.floor(rank * step + offset)
     return (placed.join(known, F.expr("mix_part = mix_of and source <=> mix_source"))
-            .withColumn("mix_copies", F.least(F.coalesce(copies, F.lit(0)), F.lit(most)).cast("int"))
-            .drop("mix_row", "mix_part", "mix_of", "mix_source", "shift"))
+            .select("mix_doc", "mix_size", "mix_source_size", "mix_target",
+                    F.least(F.coalesce(copies, F.lit(0)), F.lit(most)).cast("int").alias("mix_copies")))
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """Rows of ``docs`` as often as the mix takes them."""
-    mixed = mix_sources(docs, **how)
-    return (mixed.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies"))))
-            .select(*docs.columns))
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
+    """Rows of ``docs`` as often as the mix takes them; edge cases as in ``mix_sources``."""
+    mixed = _mixed(docs, weights, most, seed, None)
+    return mixed.select(F.explode(F.array_repeat("mix_doc", F.col("mix_copies"))).alias("mix_doc")).select("mix_doc.*")
 
 
 OFFSET_SQL = repr(random.Random(SEED).random())
