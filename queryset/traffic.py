@@ -7,7 +7,7 @@ from queryset.registry import query
 from tilewright.functions.text import tile_row_text
 from tilewright.operators import traffic as ops
 from tilewright.streaming import lockout
-from tilewright.streaming.runs import run_available, work_folder
+from tilewright.streaming.runs import run_available, run_with_state, work_folder
 
 
 def metrics_sql(source: str, by: str = "") -> str:
@@ -63,14 +63,15 @@ def _event_stream(spark, sf):
     return spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events*.parquet")
 
 
-@query("request_metrics_stream")
+@query("request_metrics_stream", WINDOWED_SQL)
 def request_metrics_stream(spark, sf):
-    """Windows closed by the watermark, from a stream of the same log."""
+    """Windows that a stream of the same log has closed, and those that its state holds open."""
     events = _event_stream(spark, sf)
     source = F.when(F.col("event_type") == "view", "L1").when(F.col("event_type") == "click", "L2").when(
         F.col("event_type") == "purchase", "MISS").when(F.col("event_type") == "signup", "BYPASS").otherwise("ERROR")
     log = events.select("ts", source.alias("source"), F.col("value").alias("latency_ms"))
-    return run_available(_window_text(ops.request_metrics_windowed(log)), "request-metrics")
+    closed, state = run_with_state(ops.request_metrics_windowed(log), "request-metrics")
+    return _window_text(closed.unionByName(ops.open_windows(state)))
 
 
 

@@ -5,10 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.operators.traffic import latency_percentiles, request_metrics, request_metrics_windowed
+from tilewright.operators.traffic import latency_percentiles, open_windows, request_metrics, request_metrics_windowed
 from tilewright.operators.versions import fold_versions
 from tilewright.streaming.lockout import FRESH, LockoutRules, detect_lockouts, lockout_stream, step
-from tilewright.streaming.runs import run_available
+from tilewright.streaming.runs import run_available, run_with_state
 
 RULES = LockoutRules(3, 2)
 START = 1_700_000_000
@@ -138,6 +138,9 @@ def test_windows_of_a_stream_equal_the_table(spark, tmp_path):
     table = {r.window_start: r for r in request_metrics_windowed(frame).collect()}
     assert len(table) == 4 and len(closed) == 3  # the last window is still open
     assert all(table[r.window_start] == r for r in closed)
+    again, state = run_with_state(request_metrics_windowed(stream), "windows-test")
+    both = again.unionByName(open_windows(state)).collect()
+    assert len(both) == 4 and {r.window_start: r for r in both} == table
 
 
 def test_percentiles_by_nearest_rank(spark):

@@ -87,6 +87,21 @@ def request_metrics_windowed(log: DataFrame, width: str = "6 hours", lateness: s
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *report)
 
 
+def open_windows(state: DataFrame) -> DataFrame:
+    """The windows of ``request_metrics_windowed`` that a stream still keeps open, from its state (``key``, ``value``).
+
+    Together with the windows it has written they are those of a table of the same log, late rows aside.
+    """
+    names = [f"{c}:bigint" for c in ("l1_hits", "l1_misses", "l2_hits", "computes", "bypassed")]  # equal counters are kept once
+    names += [f"{c}:{t}" for us in ("compute_us", "remote_us") for c, t in ((us, "decimal(38,0)"), (f"{us}_empty", "boolean"))]
+    _, report = _counters(state)
+    held = state.select("key.*", F.col("value").cast(f"struct<{','.join(names)}>").alias("held"))
+    window = F.col(held.columns[0])
+    return held.select(window["start"].alias("window_start"), window["end"].alias("window_end"), "held.*").withColumn(
+        "l2_misses", F.col("computes")).select(
+        "window_start", "window_end", *report)
+
+
 # fixed values: names of the exposed metrics
 METRICS = {
     "l1_hits": "mvt_cache_l1_hits_total",
