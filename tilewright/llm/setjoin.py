@@ -2,18 +2,24 @@
 
 Sets of shingles are joined without loss at a similarity of ``numer / 100``:
 
-* Equal sets are one class; only the class with the smallest id goes on.
+* Equal sets are one class; only classes go on.
 * Sizes fall into bands whose bounds grow by ``100 / numer``, so linked sets lie in one band or in neighbours. A set
   joins the schemes of its own band and the next. In a scheme linked sets differ in at most ``H`` shingles.
 * A scheme deals the universe of shingles into segments by hash. With ``H + 1 + spare`` segments, linked sets agree on
-  more than ``spare`` of them, so each set leaves out its ``spare`` most frequent ones: the rarest common segment is
-  then kept by both. Small sets take half as many segments with one-deletion neighbourhoods, whichever costs less.
-* Sets that share a signature are a group. Each is verified against the group's first; what is still in another
-  component than others of its group is verified with those, until nothing is left.
+  more than ``spare`` of them, so each set leaves out its ``spare`` costliest ones, those whose signatures are the most
+  frequent: the rarest common segment is then kept by both. Small sets take half as many segments with one-deletion
+  neighbourhoods, whichever costs less.
+* Signatures are cut to five bytes and dealt into buckets that grow in number with the corpus. Classes that share one are a group;
+  groups of the same members are one. Signatures that very many sets have are dealt over all buckets.
+* Every member of a group is first compared with the group's first. Groups that still hold several components are then
+  compared whole, large ones in cells of two chunks, so that no task holds more than two chunks.
+* A pair is compared by parities first: the cells of two sets' parities differ in no more places than the sets do, so no
+  link is lost. What the parities leave is confirmed on full sets.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -22,11 +28,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.llm.chosenpath import (
+    CHUNK,
+    SMALL,
+    TABLE_CELLS,
+    Shingler,
+    _node_runs,
+    _same_ids,
+    _with_components,
+    cells,
+    cluster_links,
+    full_sets,
+    parts_of,
+    set_key,
+)
 from tilewright.llm.components import components
 from tilewright.llm.frames import sliced, stored
-from tilewright.llm.words import chunks, hashed_words, mix, mixed, shingle_sets, signed
+from tilewright.llm.words import mix, mixed
 
 SKETCH_BITS = 20  # counters of the sketch of signature frequencies; any value gives the same links
+BUCKET = 2_000_000  # signatures of a bucket, about
+FREQUENT = 200_000  # sets with signatures in one counter of the sketch from which on these are dealt over all buckets
+PIECE = 1024  # members of a group in one row
+REST = np.uint64((1 << 40) - 1)  # what is kept of a signature within its bucket
 
 
 def bands(numer: int, largest: int) -> list[int]:
@@ -80,79 +104,272 @@ class Signer:
             yield out, spare
 
 
-def classes(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``set_hash`` and ``shingles`` (ascending 64-bit hashes) of each row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.int64()), ("shingles", pa.binary())])
+def described(docs: DataFrame, words: int) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``key`` and ``bits`` (both null for empty sets) of each row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("bits", pa.binary())])
 
     def describe(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
         for batch in read:
-            for part in sliced(batch, 1 << 22):
-                sets = [own for _, data, where in chunks(part.column("text"))
-                        for own in shingle_sets(*hashed_words(data, where), words)]
+            for part in sliced(batch, 1 << 21):
+                sets = [shingler.of(t.as_py()) for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([int(signed(mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))])))[0]) if len(s) else None
-                              for s in sets], pa.int64()),
-                    pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
+                    pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([parities(s) if len(s) else None for s in sets], pa.binary())], schema=schema)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(
-        describe, "doc_id long, n_shingles long, set_hash long, shingles binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        describe, "doc_id long, n_shingles long, key binary, bits binary")
 
 
-def _counts(sets: DataFrame, numer: int) -> np.ndarray:
+def parities(own: np.ndarray) -> bytes:
+    """For each of at least as many cells as shingles, whether an odd number of shingles falls into it.
+
+    Cells in which two sets differ hold a shingle that only one of them has, so there are no more of them than such shingles.
+    """
+    cells = max(64, 1 << (len(own) - 1).bit_length())
+    at = (mix(own + mixed(97)) & np.uint64(cells - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=cells) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def folded(rows: list[bytes]) -> np.ndarray:
+    """Parities as a matrix of the fewest cells of any row; halves add up where a row has more."""
+    width = min(map(len, rows))
+    out = np.empty((len(rows), width), np.uint8)
+    for i, row in enumerate(rows):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(row, np.uint8).reshape(-1, width), axis=0)
+    return out
+
+
+def may_link(rows: list[bytes], sizes: np.ndarray, numer: int) -> np.ndarray:
+    """Table of the pairs whose parities do not rule a link out; it never rules out a similar pair."""
+    matrix, n = folded(rows), len(rows)
+    agree = np.zeros((n, n))
+    width = max(1, TABLE_CELLS // (8 * n))
+    for at in range(0, matrix.shape[1], width):
+        signs = np.unpackbits(matrix[:, at:at + width], axis=1).astype(np.float32) * 2 - 1
+        agree += signs @ signs.T
+    differ = (8 * matrix.shape[1] - agree) / 2
+    return differ * (100 + numer) <= (sizes[:, None] + sizes[None, :]) * (100 - numer)
+
+
+def set_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``id``, ``key`` and ``text`` of a document of each class, and of rows that repeat its id."""
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return texts.join(classes.select("doc_id", "id", "key"), "doc_id").select("id", "key", "text")
+
+
+def _sets(read: Iterator[pa.RecordBatch], words: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Classes and their sets, batch by batch."""
+    shingler = Shingler(words)
+    for batch in read:
+        for part in sliced(batch, 1 << 21):
+            out = []
+            for i, key, text in zip(*(part.column(c) for c in ("id", "key", "text")), strict=True):
+                own = shingler.of(text.as_py())
+                if set_key(own) == key.as_py():  # a repeated id may stand for other texts
+                    out.append((i.as_py(), own))
+            yield out
+
+
+def sketch_of_counts(texts: DataFrame, words: int, numer: int) -> np.ndarray:
     """Sketch of how frequent signatures are; its size is fixed."""
 
     def count(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer, total = Signer(numer), np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in read:
-            for row in batch.column("shingles"):
-                for signs, spare in signer.of(np.frombuffer(row.as_py(), np.uint64)):
-                    if spare:
-                        np.add.at(total, (signs >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+        for sets in _sets(read, words):
+            for _, own in sets:
+                for signs, _ in signer.of(own):
+                    np.add.at(total, (signs >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"at": used, "n": total[used]})
 
-    rows = (sets.select("shingles").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    rows = (texts.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
             .toPandas())  # at most 2 ** SKETCH_BITS rows
     total = np.zeros(1 << SKETCH_BITS, np.int64)
     total[rows["at"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return total
 
 
-def signatures(sets: DataFrame, numer: int) -> DataFrame:
-    """``sign``, ``id`` and ``size`` for each kept signature of each class."""
-    held = sets.sparkSession.sparkContext.broadcast(_counts(sets, numer))
-    schema = pa.schema([("sign", pa.int64()), ("id", pa.int64()), ("size", pa.int32())])
+def dealt(texts: DataFrame, words: int, numer: int, buckets: int) -> DataFrame:
+    """Kept signatures in packed rows: ``to`` (where the row goes), ``home`` (bucket), ``hot``, ``rests``, ``ids``."""
+    held = texts.sparkSession.sparkContext.broadcast(sketch_of_counts(texts, words, numer))
+    schema = pa.schema([("to", pa.int64()), ("home", pa.int64()), ("hot", pa.bool_()), ("rests", pa.binary()), ("ids", pa.binary()),
+                        ("counts", pa.binary())])
+
+    def packed(signs: np.ndarray, ids: np.ndarray, hot: bool) -> Iterator[tuple]:
+        home, rest = signs % np.uint64(buckets), (signs // np.uint64(buckets)) & REST
+        order = np.lexsort((rest, home)) if hot else np.lexsort((ids, home))
+        home, rest, ids = home[order], rest[order], ids[order]
+        new = (home[1:] != home[:-1]) | ((rest[1:] != rest[:-1]) if hot else False)
+        edges = np.flatnonzero(np.concatenate([[True], new, [True]]))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            at = int(home[a])
+            to = int(mix(np.array([home[a]]) ^ ids[a:a + 1].view(np.uint64))[0] % np.uint64(buckets)) if hot else at
+            starts = np.flatnonzero(np.concatenate([[True], ids[a + 1:b] != ids[a:b - 1]]))
+            counts = np.diff(np.append(starts, b - a)).astype(np.uint32)
+            yield (to, at, hot, rest[a:b].view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), ids[a:b][starts].tobytes(), counts.tobytes())
 
     def sign(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer, counts = Signer(numer), held.value
-        for batch in read:
-            for doc, row in zip(batch.column("id").to_pylist(), batch.column("shingles"), strict=True):
-                own = np.frombuffer(row.as_py(), np.uint64)
+        own_signs: list[np.ndarray] = []
+        own_ids: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            signs, ids = np.concatenate(own_signs), np.concatenate(own_ids)
+            hot = counts[(signs >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] > FREQUENT
+            rows = [r for flag in (False, True) if (hot == flag).any() for r in packed(signs[hot == flag], ids[hot == flag], flag)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)],
+                                             schema=schema)
+            own_signs.clear()
+            own_ids.clear()
+
+        for sets in _sets(read, words):
+            for doc, own in sets:
                 for signs, spare in signer.of(own):
                     if spare:
                         often = counts[(signs >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                         signs = signs[np.lexsort((signs, often))][:len(signs) - spare]
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(signs)), pa.array(np.full(len(signs), doc)),
-                                                      pa.array(np.full(len(signs), len(own), np.int32))], schema=schema)
+                    own_signs.append(signs)
+                    own_ids.append(np.full(len(signs), doc, np.int64))
+            if sum(map(len, own_signs)) > 1 << 20:
+                yield from flush()
+        if own_signs:
+            yield from flush()
+
+    return texts.mapInArrow(sign, "to long, home long, hot boolean, rests binary, ids binary, counts binary")
+
+
+def groups(signs: DataFrame, buckets: int) -> DataFrame:
+    """``path``, ``members`` and ``whole``: groups of several classes; large ones and parts of hot ones in pieces."""
+    schema = pa.schema([("path", pa.int64()), ("members", pa.list_(pa.int64())), ("whole", pa.bool_())])
+
+    def rows(rest: np.ndarray, ids: np.ndarray, home: int, hot: bool) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((ids, rest))
+        rest, ids = rest[order], ids[order]
+        keep = np.concatenate([[True], (rest[1:] != rest[:-1]) | (ids[1:] != ids[:-1])])
+        rest, ids = rest[keep], ids[keep]
+        starts = np.flatnonzero(np.concatenate([[True], rest[1:] != rest[:-1]]))
+        sizes = np.diff(np.append(starts, len(rest)))
+        path = mix(mix(rest[starts] + np.uint64(1)) ^ np.uint64(home)).view(np.int64)
+        small = (sizes > 1) & (sizes <= SMALL) & (not hot)
+        # of groups with the same members one goes on, named by them
+        if small.any():
+            names = np.stack([np.add.reduceat(mix(ids.view(np.uint64) + mixed(k)), starts) for k in (11, 12)], 1)[small]
+            at = np.flatnonzero(small)[np.unique(names, axis=0, return_index=True)[1]]
+            offsets = np.concatenate([[0], np.cumsum(sizes[at])])
+            inside = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - starts[at], sizes[at])
+            named = np.add.reduceat(mix(ids.view(np.uint64) + mixed(11)), starts)[at].view(np.int64)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(named), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids[inside])),
+                pa.array(np.ones(len(at), bool))], schema=schema)
+        for g in np.flatnonzero((sizes > SMALL) | hot).tolist():
+            for a in range(int(starts[g]), int(starts[g] + sizes[g]), PIECE):
+                b = min(a + PIECE, int(starts[g] + sizes[g]))
+                yield pa.RecordBatch.from_arrays([pa.array(path[g:g + 1]), pa.array([ids[a:b]], pa.list_(pa.int64())),
+                                                  pa.array([False])], schema=schema)
+
+    def gather(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = ["home", "hot", "rests", "ids", "counts"]
+        last, held = None, ([], [])
+
+        def out() -> Iterator[pa.RecordBatch]:
+            yield from rows(np.concatenate(held[0]), np.concatenate(held[1]), *last)
+
+        for batch in read:
+            for home, hot, rests, ids, counts in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if (home, hot) != last and held[0]:
+                    yield from out()
+                    held = ([], [])
+                last = (home, hot)
+                wide = np.zeros((len(rests) // 5, 8), np.uint8)
+                wide[:, :5] = np.frombuffer(rests, np.uint8).reshape(-1, 5)
+                held[0].append(wide.view(np.uint64).ravel())
+                held[1].append(np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(counts, np.uint32)))
+        if held[0]:
+            yield from out()
 
-    return sets.select("id", "shingles").mapInArrow(sign, "sign long, id long, size int")
+    return (signs.repartition(buckets, "to").sortWithinPartitions("home", "hot")
+            .mapInArrow(gather, "path long, members array<long>, whole boolean"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, numer: int) -> DataFrame:
-    """Those pairs ``a``, ``b`` whose sets are similar enough, by exact comparison."""
+def near_pairs(pairs: DataFrame, classes: DataFrame, numer: int) -> DataFrame:
+    """Those pairs ``a``, ``b`` that parities do not rule out."""
 
     def check(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in read:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= numer * (len(x) + len(y) - both))
+            keep = [100 * min(m, n) >= numer * max(m, n) and bool(may_link([x, y], np.array([m, n]), numer)[0, 1])
+                    for x, m, y, n in zip(*(batch.column(c).to_pylist() for c in "xmyn"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    one = lambda i, bits, n: classes.select(
+        F.col("id").alias(i), F.col("bits").alias(bits), F.col("n_shingles").alias(n))
+    return (pairs.join(one("a", "x", "m"), "a").join(one("b", "y", "n"), "b").select("a", "b", "x", "m", "y", "n")
+            .mapInArrow(check, "a long, b long"))
+
+
+def clusters(nodes: DataFrame, numer: int) -> DataFrame:
+    """``cluster`` and ``id`` of what may hang together in each bounded node (``path``, ``id``, ``component``, ``bits``, ``n_shingles``).
+
+    Classes of one component are not compared. Clusters of the same members have one name.
+    """
+    schema = pa.schema([("path", pa.int64()), ("id", pa.int64())])
+
+    def compare(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: tuple[list, list] = ([], [])
+        for ids, bits, sizes, parts in _node_runs(read, ["id", "bits", "n_shingles", "component"]):
+            ids, first = np.unique(np.array(ids, np.int64), return_index=True)
+            sizes, parts = np.array(sizes)[first], np.array(parts, np.int64)[first]
+            if len(ids) < 2 or (parts == parts[0]).all():
+                continue
+            near = may_link([bits[i] for i in first.tolist()], sizes, numer)
+            label = parts_of(near & (parts[:, None] != parts[None, :]))
+            names, count = np.unique(label, return_counts=True)
+            for name in names[count > 1].tolist():
+                members = ids[label == name]
+                key = int.from_bytes(hashlib.blake2b(members.tobytes(), digest_size=8).digest(), "little", signed=True)
+                out[0].extend([key] * len(members))
+                out[1].extend(members.tolist())
+            if len(out[0]) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=schema)
+                out = ([], [])
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=schema)
+
+    return (nodes.repartition("path").sortWithinPartitions("path").select("path", "id", "bits", "n_shingles", "component")
+            .mapInArrow(compare, "path long, id long").dropDuplicates(["path", "id"]).withColumnRenamed("path", "cluster"))
+
+
+def _confirmed(docs: DataFrame, classes: DataFrame, members: DataFrame, words: int, numer: int) -> DataFrame:
+    """Links ``a``, ``b`` that connect what similar pairs of full sets connect in each cluster."""
+    sets = full_sets(docs, classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "key"), words)
+    return cluster_links(members, sets, numer)
+
+
+def _links(docs: DataFrame, classes: DataFrame, words: int, numer: int) -> DataFrame:
+    """Links ``a``, ``b`` between classes that connect what similar pairs connect."""
+    total = classes.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total) // (2 * BUCKET))
+    texts = stored(set_texts(docs, classes), "texts")
+    met = stored(groups(dealt(texts, words, numer, buckets), buckets), "groups")
+    # Each member with the first of its group; of several firsts the smallest that parities allow.
+    star = met.select(F.col("members")[0].alias("a"), F.explode("members").alias("b")).where("a != b").distinct()
+    parent = stored(near_pairs(star, classes, numer).groupBy("b").agg(F.min("a").alias("a")), "parents")
+    chunked = parent.join(parent.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("parts")), "a")
+    cluster = F.xxhash64("a", F.pmod(F.xxhash64("b", F.lit(9)), "parts"))
+    members = chunked.select(cluster.alias("cluster"), F.explode(F.array("a", "b")).alias("id")).distinct()
+    links = stored(_confirmed(docs, classes, stored(members, "members"), words, numer), "links")
+    found = stored(components(links), "components")
+    # Groups that still hold several components are compared whole.
+    each = met.select("path", "whole", F.explode("members").alias("id")).distinct()
+    small = each.where("whole").join(found, "id", "left").select("path", "id", F.coalesce("component", "id").alias("component"))
+    several = small.groupBy("path").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    large = _with_components(each.where("not whole").select("path", "id"), found)
+    nodes = small.join(several.select("path"), "path").unionByName(
+        cells(large.where("n_minor > 0")).select("path", "id", "component"))
+    about = classes.select("id", "bits", "n_shingles")
+    rest = stored(clusters(nodes.join(about, "id"), numer), "clusters")
+    return links.unionByName(_confirmed(docs, classes, rest, words, numer))
 
 
 def ngram_components(docs: DataFrame, words: int = 5, numer: int = 80) -> DataFrame:
@@ -160,31 +377,19 @@ def ngram_components(docs: DataFrame, words: int = 5, numer: int = 80) -> DataFr
 
     Two rows link when ``100 * intersection >= numer * union`` of their distinct shingles. Fewer than ``words`` words are one shingle;
     null texts and texts without words have no shingles and link with nothing. Rows with a null id link with nothing and
-    have a null component. Rows that repeat an id count as equal documents if their sets are equal. Other columns are
-    left out; an empty table gives no rows.
+    have a null component. Rows of one id belong together whatever their texts. Texts are whole. Other columns are
+    left out, whatever their names; an empty table gives no rows.
     """
-    rows = stored(classes(docs, words), "shingles")
-    reps = rows.where("doc_id is not null and n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("id"))
-    reps = stored(reps, "classes")
-    named = rows.where("doc_id is not null and n_shingles > 0").join(reps, "set_hash").where("doc_id = id")
-    sets = stored(named.dropDuplicates(["id", "set_hash"]).select("id", "shingles"), "sets")
-    # A repeated id with several texts has several sets; all of them stand under that id.
-    signs = signatures(sets, numer)
-    groups = signs.groupBy("sign").agg(F.min(F.struct("id", "size")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    signs = stored(signs.join(groups.select("sign", "first"), "sign"), "signs")
-    fits = "least(size, {0}) * 100 >= {1} * greatest(size, {0})"
-    star = (signs.where("id != first.id").where(fits.format("first.size", numer))
-            .select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct())
-    links = stored(verified(star, sets, numer), "links")
-    found = stored(components(links), "components")
-    # Members of a group that are in the first's component need no more checks with one another.
-    known = signs.join(found, "id", "left").select("sign", "id", "size", F.coalesce("component", "id").alias("component"))
-    mixed_groups = known.groupBy("sign").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    left = stored(known.join(mixed_groups.select("sign"), "sign"), "left")
-    other = left.select("sign", *[F.col(c).alias(f"o_{c}") for c in ("id", "size", "component")])
-    rest = (left.join(other, "sign").where("id < o_id and component != o_component").where(fits.format("o_size", numer))
-            .select(F.col("id").alias("a"), F.col("o_id").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
-    more = verified(rest, sets, numer)
-    final = stored(components(links.unionByName(more)), "components")
-    return (rows.join(reps, "set_hash", "left").join(final, "id", "left")
-            .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id")).alias("component_id")))
+    rows = stored(described(docs, words), "described")
+    usable = rows.where("doc_id is not null and key is not null")
+    # the first half of the key is a class's number
+    number = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")
+    classes = stored(usable.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "bits")).alias("one"))
+                     .select(number.alias("id"), "key", "one.*"), "classes")
+    found = components(stored(_links(docs, classes, words, numer).unionByName(_same_ids(usable, number)), "links"))
+    named = classes.select("id", "key", "doc_id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    labels = named.join(least, "component").select("key", "component_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return rows.select("doc_id", "n_shingles", "key").join(labels, "key", "left").select(
+        "doc_id", "n_shingles", component.alias("component_id"))
