@@ -32,23 +32,21 @@ from tilewright.llm.chosenpath import (
     CHUNK,
     SMALL,
     TABLE_CELLS,
-    Shingler,
     _node_runs,
     _same_ids,
     _with_components,
     cells,
     cluster_links,
-    full_sets,
     parts_of,
     set_key,
 )
 from tilewright.llm.components import components
 from tilewright.llm.frames import sliced, stored
-from tilewright.llm.words import mix, mixed
+from tilewright.llm.words import chunks, hashed_words, mix, mixed, shingle_sets
 
 SKETCH_BITS = 20  # counters of the sketch of signature frequencies; any value gives the same links
 BUCKET = 2_000_000  # signatures of a bucket, about
-FREQUENT = 200_000  # sets with signatures in one counter of the sketch from which on these are dealt over all buckets
+FREQUENT = 200_000  # a signature whose counter exceeds the mean by so many is dealt over all buckets
 PIECE = 1024  # members of a group in one row
 REST = np.uint64((1 << 40) - 1)  # what is kept of a signature within its bucket
 
@@ -64,14 +62,16 @@ def bands(numer: int, largest: int) -> list[int]:
 def allocate(low: int, top: int, numer: int) -> tuple[int, int, int]:
     """Segments, spare ones and reach (2 with one-deletion neighbourhoods) of a scheme for sizes ``low`` to ``top``.
 
-    The costs compared are signatures of a mean set, an empty segment counting as a hundred.
+    The costs compared are kept signatures of a mean set, an empty segment counting as a hundred. Empty segments are the most
+    frequent, so the spare ones cover them as far as they go, with two standard deviations.
     """
     differ = (100 - numer) * 2 * top // (100 + numer)
     spare = max(1, math.ceil((differ + 1) / 4)) if differ else 0
     exact = differ + 1 + spare
     halves = (differ + 2) // 2
     size = (low + top) / 2
-    cost_exact = exact * (1 + 100 * math.exp(-low / exact))
+    empty = exact * math.exp(-low / exact)
+    cost_exact = exact - spare + 100 * max(0.0, empty + 2 * math.sqrt(empty) - spare)
     cost_halves = halves * (1 + 100 * math.exp(-low / halves)) + size
     return (halves, 0, 2) if cost_halves < cost_exact and differ else (exact, spare, 1)
 
@@ -104,15 +104,20 @@ class Signer:
             yield out, spare
 
 
+def _sets_of(column: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """Distinct shingles of each text as ascending 64-bit hashes."""
+    for _, data, where in chunks(column):
+        yield from shingle_sets(*hashed_words(data, where), words)
+
+
 def described(docs: DataFrame, words: int) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``key`` and ``bits`` (both null for empty sets) of each row."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("bits", pa.binary())])
 
     def describe(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
         for batch in read:
-            for part in sliced(batch, 1 << 21):
-                sets = [shingler.of(t.as_py()) for t in part.column("text")]
+            for part in sliced(batch, 1 << 22):
+                sets = list(_sets_of(part.column("text"), words))
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()),
@@ -161,15 +166,23 @@ def set_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _sets(read: Iterator[pa.RecordBatch], words: int) -> Iterator[list[tuple[int, np.ndarray]]]:
     """Classes and their sets, batch by batch."""
-    shingler = Shingler(words)
     for batch in read:
-        for part in sliced(batch, 1 << 21):
-            out = []
-            for i, key, text in zip(*(part.column(c) for c in ("id", "key", "text")), strict=True):
-                own = shingler.of(text.as_py())
-                if set_key(own) == key.as_py():  # a repeated id may stand for other texts
-                    out.append((i.as_py(), own))
-            yield out
+        for part in sliced(batch, 1 << 22):
+            sets = _sets_of(part.column("text"), words)
+            # a repeated id may stand for other texts
+            yield [(i, own) for i, key, own in zip(part.column("id").to_pylist(), part.column("key").to_pylist(), sets, strict=True)
+                   if set_key(own) == key]
+
+
+def full_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """``id`` and ``shingles`` of the classes ``id`` wanted."""
+
+    def build(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sets in _sets(read, words):
+            yield pa.RecordBatch.from_pydict({"id": pa.array([i for i, _ in sets], pa.int64()),
+                                              "shingles": pa.array([own.tobytes() for _, own in sets], pa.binary())})
+
+    return texts.join(wanted, "id", "left_semi").mapInArrow(build, "id long, shingles binary").dropDuplicates(["id"])
 
 
 def sketch_of_counts(texts: DataFrame, words: int, numer: int) -> np.ndarray:
@@ -184,16 +197,23 @@ def sketch_of_counts(texts: DataFrame, words: int, numer: int) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"at": used, "n": total[used]})
 
-    rows = (texts.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-            .toPandas())  # at most 2 ** SKETCH_BITS rows
+    def pack(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in read:
+            yield pa.RecordBatch.from_pydict({c: pa.array([np.asarray(batch.column(c), np.int64).tobytes()], pa.binary())
+                                              for c in ("at", "n")})
+
     total = np.zeros(1 << SKETCH_BITS, np.int64)
-    total[rows["at"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    packed = (texts.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+              .mapInArrow(pack, "at binary, n binary"))
+    for row in packed.toLocalIterator():  # 2 ** SKETCH_BITS counters in all, at most
+        total[np.frombuffer(row["at"], np.int64)] = np.frombuffer(row["n"], np.int64)
     return total
 
 
 def dealt(texts: DataFrame, words: int, numer: int, buckets: int) -> DataFrame:
     """Kept signatures in packed rows: ``to`` (where the row goes), ``home`` (bucket), ``hot``, ``rests``, ``ids``."""
-    held = texts.sparkSession.sparkContext.broadcast(sketch_of_counts(texts, words, numer))
+    sketch = sketch_of_counts(texts, words, numer)
+    held, frequent = texts.sparkSession.sparkContext.broadcast(sketch), FREQUENT + sketch.mean()
     schema = pa.schema([("to", pa.int64()), ("home", pa.int64()), ("hot", pa.bool_()), ("rests", pa.binary()), ("ids", pa.binary()),
                         ("counts", pa.binary())])
 
@@ -217,7 +237,7 @@ def dealt(texts: DataFrame, words: int, numer: int, buckets: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             signs, ids = np.concatenate(own_signs), np.concatenate(own_ids)
-            hot = counts[(signs >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] > FREQUENT
+            hot = counts[(signs >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] > frequent
             rows = [r for flag in (False, True) if (hot == flag).any() for r in packed(signs[hot == flag], ids[hot == flag], flag)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)],
                                              schema=schema)
@@ -340,10 +360,9 @@ def clusters(nodes: DataFrame, numer: int) -> DataFrame:
             .mapInArrow(compare, "path long, id long").dropDuplicates(["path", "id"]).withColumnRenamed("path", "cluster"))
 
 
-def _confirmed(docs: DataFrame, classes: DataFrame, members: DataFrame, words: int, numer: int) -> DataFrame:
+def _confirmed(texts: DataFrame, members: DataFrame, words: int, numer: int) -> DataFrame:
     """Links ``a``, ``b`` that connect what similar pairs of full sets connect in each cluster."""
-    sets = full_sets(docs, classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "key"), words)
-    return cluster_links(members, sets, numer)
+    return cluster_links(members, full_sets(texts, members.select("id").distinct(), words), numer)
 
 
 def _links(docs: DataFrame, classes: DataFrame, words: int, numer: int) -> DataFrame:
@@ -358,7 +377,7 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, numer: int) -> DataF
     chunked = parent.join(parent.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("parts")), "a")
     cluster = F.xxhash64("a", F.pmod(F.xxhash64("b", F.lit(9)), "parts"))
     members = chunked.select(cluster.alias("cluster"), F.explode(F.array("a", "b")).alias("id")).distinct()
-    links = stored(_confirmed(docs, classes, stored(members, "members"), words, numer), "links")
+    links = stored(_confirmed(texts, stored(members, "members"), words, numer), "links")
     found = stored(components(links), "components")
     # Groups that still hold several components are compared whole.
     each = met.select("path", "whole", F.explode("members").alias("id")).distinct()
@@ -369,7 +388,7 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, numer: int) -> DataF
         cells(large.where("n_minor > 0")).select("path", "id", "component"))
     about = classes.select("id", "bits", "n_shingles")
     rest = stored(clusters(nodes.join(about, "id"), numer), "clusters")
-    return links.unionByName(_confirmed(docs, classes, rest, words, numer))
+    return links.unionByName(_confirmed(texts, rest, words, numer))
 
 
 def ngram_components(docs: DataFrame, words: int = 5, numer: int = 80) -> DataFrame:
