@@ -36,7 +36,7 @@ from tilewright.llm.chosenpath import (
     _same_ids,
     _with_components,
     cells,
-    cluster_links,
+    links_within,
     parts_of,
     set_key,
 )
@@ -44,7 +44,7 @@ from tilewright.llm.components import components
 from tilewright.llm.frames import sliced, stored
 from tilewright.llm.words import chunks, hashed_words, mix, mixed, shingle_sets
 
-SKETCH_BITS = 20  # counters of the sketch of signature frequencies; any value gives the same links
+SKETCH_BITS = 18  # counters of the sketch of signature frequencies; any value gives the same links
 BUCKET = 2_000_000  # signatures of a bucket, about
 FREQUENT = 200_000  # a signature whose counter exceeds the mean by so many is dealt over all buckets
 PIECE = 1024  # members of a group in one row
@@ -174,17 +174,6 @@ def _sets(read: Iterator[pa.RecordBatch], words: int) -> Iterator[list[tuple[int
                    if set_key(own) == key]
 
 
-def full_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``id`` and ``shingles`` of the classes ``id`` wanted."""
-
-    def build(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sets in _sets(read, words):
-            yield pa.RecordBatch.from_pydict({"id": pa.array([i for i, _ in sets], pa.int64()),
-                                              "shingles": pa.array([own.tobytes() for _, own in sets], pa.binary())})
-
-    return texts.join(wanted, "id", "left_semi").mapInArrow(build, "id long, shingles binary").dropDuplicates(["id"])
-
-
 def sketch_of_counts(texts: DataFrame, words: int, numer: int) -> np.ndarray:
     """Sketch of how frequent signatures are; its size is fixed."""
 
@@ -360,9 +349,26 @@ def clusters(nodes: DataFrame, numer: int) -> DataFrame:
             .mapInArrow(compare, "path long, id long").dropDuplicates(["path", "id"]).withColumnRenamed("path", "cluster"))
 
 
-def _confirmed(texts: DataFrame, members: DataFrame, words: int, numer: int) -> DataFrame:
-    """Links ``a``, ``b`` that connect what similar pairs of full sets connect in each cluster."""
-    return cluster_links(members, full_sets(texts, members.select("id").distinct(), words), numer)
+def confirmed(texts: DataFrame, members: DataFrame, words: int, numer: int) -> DataFrame:
+    """Links ``a``, ``b`` that connect what similar pairs of full sets connect in each cluster (``cluster``, ``id``).
+
+    Texts travel, not sets, which take more room; a cluster has no more members than two chunks.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def link(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, keys, texts in _node_runs(read, ["id", "key", "text"]):
+            own = {}
+            for i, key, one in zip(ids, keys, _sets_of(pa.array(texts, pa.large_string()), words), strict=True):
+                if set_key(one) == key:  # a repeated id may stand for other texts
+                    own[i] = one
+            names = list(own)
+            pairs = links_within(list(own.values()), numer) if len(own) > 1 else []
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([names[p[k]] for p in pairs], pa.int64()) for k in (0, 1)], schema=schema)
+
+    met = texts.join(members, "id").select(F.col("cluster").alias("path"), "id", "key", "text")
+    return met.repartition("path").sortWithinPartitions("path", "id").mapInArrow(link, "a long, b long")
 
 
 def _links(docs: DataFrame, classes: DataFrame, words: int, numer: int) -> DataFrame:
@@ -377,7 +383,7 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, numer: int) -> DataF
     chunked = parent.join(parent.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("parts")), "a")
     cluster = F.xxhash64("a", F.pmod(F.xxhash64("b", F.lit(9)), "parts"))
     members = chunked.select(cluster.alias("cluster"), F.explode(F.array("a", "b")).alias("id")).distinct()
-    links = stored(_confirmed(texts, stored(members, "members"), words, numer), "links")
+    links = stored(confirmed(texts, stored(members, "members"), words, numer), "links")
     found = stored(components(links), "components")
     # Groups that still hold several components are compared whole.
     each = met.select("path", "whole", F.explode("members").alias("id")).distinct()
@@ -388,7 +394,7 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, numer: int) -> DataF
         cells(large.where("n_minor > 0")).select("path", "id", "component"))
     about = classes.select("id", "bits", "n_shingles")
     rest = stored(clusters(nodes.join(about, "id"), numer), "clusters")
-    return links.unionByName(_confirmed(texts, rest, words, numer))
+    return links.unionByName(confirmed(texts, rest, words, numer))
 
 
 def ngram_components(docs: DataFrame, words: int = 5, numer: int = 80) -> DataFrame:
