@@ -46,24 +46,30 @@ def unpack_numbers(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 
 def token_ids(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """``doc_id``, ``tie`` (a hash of the text) and ``ids`` (little-endian unsigned 32-bit, with the end id) of each row."""
+    """``doc_id``, ``tie`` (a hash of the text) and the ids (``n``, ``control``, ``data``, with the end id) of each row."""
     path = tokenizer or tokenizer_path()
-    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n", pa.int64()), ("control", pa.binary()), ("data", pa.binary())])
 
     def encode(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], np.uint32)
         for batch in read:
             for part in sliced(batch):
-                ids = []
+                sizes, packed = [], []
                 for _, data, where in chunks(part.column("text")):
                     found, bounds = encoder(path).encode(data, where)
-                    ids += [np.concatenate([found[a:b], end]).astype("<u4").tobytes()
-                            for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), pa.array(ids, pa.binary())],
-                                                 schema=schema)
+                    sizes += (np.diff(bounds) + 1).tolist()
+                    packed += [pack_numbers(np.concatenate([found[a:b], end])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([
+                    part.column("doc_id"), part.column("tie"), pa.array(sizes, pa.int64()),
+                    pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())], schema=schema)
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) tie", "cast(text as string) text").mapInArrow(
-        encode, "doc_id long, tie long, ids binary")
+        encode, "doc_id long, tie long, n long, control binary, data binary")
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for n, control, data in zip(*(batch.column(c) for c in ("n", "control", "data")), strict=True):
+        yield unpack_numbers(control.as_py(), data.as_py(), n.as_py())
 
 
 def id_ranks(ids: DataFrame) -> np.ndarray:
@@ -72,15 +78,15 @@ def id_ranks(ids: DataFrame) -> np.ndarray:
     def count(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in read:
-            for row in batch.column("ids").to_pylist():
-                own = np.bincount(np.frombuffer(row, "<u4"))
+            for row in _unpacked(batch):
+                own = np.bincount(row)
                 if len(own) > len(total):
                     total = np.concatenate([total, np.zeros(len(own) - len(total), np.int64)])
                 total[:len(own)] += own
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": used, "n": total[used]})
 
-    rows = (ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    rows = (ids.select("n", "control", "data").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
             .orderBy(F.desc("n"), "id").collect())
     return np.array([r.id for r in rows], np.uint32)
 
@@ -114,8 +120,7 @@ def write_token_file(docs: DataFrame, folder: str, tokenizer: str | None = None,
 
         tokens = 0
         for batch in read:
-            for doc, row in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                one = np.frombuffer(row.as_py(), "<u4")
+            for doc, one in zip(batch.column("doc_id").to_pylist(), _unpacked(batch), strict=True):
                 if held and tokens + len(one) > block_tokens:
                     yield block()
                     number, first, held, names, tokens = number + 1, first + tokens, [], [], 0
