@@ -18,9 +18,14 @@ def new_folder(frame: DataFrame, name: str) -> str:
 
 
 def stored(frame: DataFrame, name: str) -> DataFrame:
-    """Write a frame once to the shared folder and read on from there; this cuts its lineage."""
+    """Write a frame once to the shared folder and read on from there; this cuts its lineage.
+
+    What was shuffled for it is not needed any more. Spark deletes such files once the driver's collector has seen that nothing
+    refers to them, so the collector is asked to look.
+    """
     folder = new_folder(frame, name)
     frame.write.option("compression", "zstd").parquet(folder)
+    frame.sparkSession.sparkContext._jvm.System.gc()
     return frame.sparkSession.read.schema(frame.schema).parquet(folder)
 
 
