@@ -1,8 +1,16 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 The filter holds each pair of neighbouring tokens once for each level of its count, levels doubling. A count is read by
-probing level after level until one is missing, so it can only be too high. A pair's probability is its share of the
-first token's count, mixed with the smoothed share of the second token by how often the first was seen.
+probing level after level until one is missing, as the least count of its level. The first level has enough probes that a
+pair which was never seen is hardly ever found; a pair that was seen may be read too high, and is then read so everywhere.
+
+With ``q`` the count read for a pair, ``Q`` the sum of those of all pairs seen after the first token, ``c`` the count of the first token
+and ``L = max(c - Q, 0) + PRIOR``, the second token follows with probability ``(q + L * p) / (Q + L)``, where ``p`` is its smoothed share
+of all tokens. This sums to 1 over all tokens and one unknown, but for pairs found that were never seen.
+
+The filter is built in shards of pairs, each by one task, and grows with the corpus. No more than ``SHARDS_AT_ONCE`` shards and two
+parts of the vocabulary of ``WORDS_AT_ONCE`` words are broadcast at once: scores are sums over tokens, so each pass over the texts adds
+what the shards and words at hand give. The number of passes grows with the corpus, memory does not.
 """
 
 from __future__ import annotations
@@ -14,15 +22,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.frames import sliced
+from tilewright.llm.frames import sliced, stored
 from tilewright.llm.words import chunks, hashed_words, join_hashes, mix, mixed
 
-PROBES = 5
-BITS_PER_ENTRY = 9
-LEVELS = 40
+PROBES = (24, 3)  # on the first level and on each further one
+BITS = (34.7, 4.4)  # for each entry of the first level and of each further one; half of all bits are set
+LEVELS = 60
 PRIOR = 20.0  # weight of the single token against the pair
-SHARD_TOKENS = 1 << 22
-MOST_BYTES = 400 << 20  # of what is broadcast: filter and vocabulary
+SHARD_TOKENS = 1 << 20
+SHARDS_AT_ONCE = 64  # 4.5 MB each at most
+WORDS_AT_ONCE = 1 << 22  # 24 bytes each
 END = mixed(0x656E64)
 
 
@@ -32,132 +41,237 @@ def tokens(data: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.insert(hashes, first[1:], END), first + np.arange(len(first))
 
 
+def contexts_of(hashes: np.ndarray) -> np.ndarray:
+    """The token before each; what is before a text is an end."""
+    return np.concatenate([[END], hashes[:-1]]).astype(np.uint64)
+
+
 def pair_hashes(hashes: np.ndarray) -> np.ndarray:
-    """Hash of each token with the one before it; what is before a text is an end."""
+    """Hash of each token with the one before it."""
     return join_hashes(np.concatenate([[END], hashes]).astype(np.uint64), 2)
 
 
 class LogBloom:
-    """A Bloom filter of counted hashes."""
+    """Bloom filters of counted hashes, one after the other in ``bits``; each begins at a byte and has a size in bits."""
 
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
+    def __init__(self, bits: np.ndarray, begins: np.ndarray, sizes: np.ndarray):
+        self.bits, self.begins, self.sizes = bits, begins, sizes
 
     @classmethod
     def of(cls, hashes: np.ndarray, counts: np.ndarray) -> LogBloom:
-        levels = np.floor(np.log2(counts)).astype(np.int64) + 1
-        bits = np.zeros(max(8, -(-int(levels.sum()) * BITS_PER_ENTRY // 8)), np.uint8)
-        out = cls(bits)
+        levels = np.frexp(counts.astype(float))[1]  # 1 for 1, 2 for 2 and 3, 3 for 4 to 7
+        size = max(8, -(-int(len(hashes) * BITS[0] + int((levels - 1).sum()) * BITS[1]) // 8))
+        out = cls(np.zeros(size, np.uint8), np.zeros(1, np.int64), np.array([8 * size], np.uint64))
         for level in range(1, int(levels.max(initial=0)) + 1):
             own = hashes[levels >= level]
-            for probe in range(PROBES):
-                at = out.place(own, level, probe)
-                np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            for at in out.places(own, np.zeros(len(own), np.int64), level):
+                np.bitwise_or.at(out.bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
         return out
 
-    def place(self, hashes: np.ndarray, level: int, probe: int) -> np.ndarray:
-        return (mix(hashes ^ mixed(level * PROBES + probe)) % np.uint64(8 * len(self.bits))).astype(np.int64)
-
-    def counts(self, hashes: np.ndarray) -> np.ndarray:
-        """Middle of the level that each count is in; 0 for none."""
-        level = np.zeros(len(hashes), np.int64)
-        left = np.arange(len(hashes))
-        for step in range(1, LEVELS):
-            for probe in range(PROBES):
-                at = self.place(hashes[left], step, probe)
-                left = left[(self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+    @classmethod
+    def joined(cls, filters: list[bytes]) -> LogBloom:
+        lengths = np.array([len(f) for f in filters], np.int64)
+        return cls(np.frombuffer(b"".join(filters), np.uint8), np.cumsum(lengths) - lengths, (8 * lengths).astype(np.uint64))
+
+    def places(self, hashes: np.ndarray, which: np.ndarray, level: int) -> Iterator[np.ndarray]:
+        at, step = mix(hashes ^ mixed(level)), mix(hashes + mixed(-level)) | np.uint64(1)
+        size, begin = self.sizes[which], 8 * self.begins[which]
+        for _ in range(PROBES[level > 1]):
+            yield begin + (at % size).astype(np.int64)
+            at = at + step
+
+    def counts(self, hashes: np.ndarray, which: np.ndarray | None = None) -> np.ndarray:
+        """Least count of the level that each hash is read on in its filter; 0 for none."""
+        which = np.zeros(len(hashes), np.int64) if which is None else which
+        out, left = np.zeros(len(hashes), np.int64), np.arange(len(hashes))
+        for level in range(1, LEVELS):
             if not len(left):
                 break
-            level[left] = step
-        return np.where(level > 1, 2.0 ** (level - 1) * 1.4, level.astype(float))
+            found = np.ones(len(left), bool)
+            for probe, at in enumerate(self.places(hashes[left], which[left], level)):
+                found &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                if probe == 1 and not found.any():
+                    break
+            left = left[found]
+            out[left] = 1 << (level - 1)
+        return out
+
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
-def _counted(docs: DataFrame, pairs: bool) -> DataFrame:
-    """``hash`` and ``n`` of tokens or pairs, counted within batches."""
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """``hash`` and ``c`` of tokens, counted within batches."""
 
     def count(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in read:
-            for part in sliced(batch, 1 << 24):
-                all_of = []
-                for _, data, where in chunks(part.column("text")):
-                    hashes, _ = tokens(data, where)
-                    all_of.append(pair_hashes(hashes) if pairs else hashes)
+            for part in sliced(batch, 1 << 23):
+                all_of = [tokens(data, where)[0] for _, data, where in chunks(part.column("text"))]
                 own, n = np.unique(np.concatenate(all_of), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"hash": own.view(np.int64), "n": n.astype(np.int64)})
+                yield pa.RecordBatch.from_pydict({"hash": own.view(np.int64), "c": n.astype(np.int64)})
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "hash long, n long")
+    return _texts(docs).mapInArrow(count, "hash long, c long")
 
 
-def train(docs: DataFrame, most_bytes: int = MOST_BYTES) -> dict:
-    """The model of all ``docs``. What it holds grows with them; above ``most_bytes`` this raises."""
-    words = _counted(docs, pairs=False).groupBy("hash").agg(F.sum("n").alias("n"))
-    spark = docs.sparkSession
-    seen = words.count()
-    if 16 * seen > most_bytes:
-        raise ValueError(f"a vocabulary of {seen} tokens is above most_bytes; raise it or train on less")
-    table = words.toArrow()  # 16 bytes for each token
-    hashes, counts = table["hash"].to_numpy().view(np.uint64), table["n"].to_numpy()
-    order = np.argsort(hashes)
-    total = int(counts.sum())
-    if 2 * BITS_PER_ENTRY // 8 * total > 64 * most_bytes:
-        raise ValueError(f"{total} training tokens are too many for a filter of most_bytes")
+def _pairs(docs: DataFrame, shards: int) -> DataFrame:
+    """For each slice of texts and each shard one row: first tokens, ascending, how many pairs each begins, the pairs and their counts."""
+
+    def pack(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in read:
+            for part in sliced(batch, 1 << 23):
+                seen = [tokens(data, where)[0] for _, data, where in chunks(part.column("text"))]
+                hashes = np.concatenate(seen)
+                pairs, at, n = np.unique(pair_hashes(hashes), return_index=True, return_counts=True)
+                before, shard = contexts_of(hashes)[at], (pairs % np.uint64(shards)).astype(np.int64)
+                order = np.lexsort((before, shard))
+                pairs, n, before, shard = pairs[order], n[order].astype(np.uint32), before[order], shard[order]
+                edges = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+                rows: dict[str, list] = {c: [] for c in ("shard", "firsts", "runs", "pairs", "counts")}
+                for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(shard)], strict=True):
+                    firsts, runs = np.unique(before[a:b], return_counts=True)
+                    held = (firsts, runs.astype(np.uint32), pairs[a:b], n[a:b])
+                    for name, value in zip(rows, (int(shard[a]), *(v.tobytes() for v in held)), strict=True):
+                        rows[name].append(value)
+                yield pa.RecordBatch.from_pydict(rows)
+
+    return _texts(docs).mapInArrow(pack, "shard long, firsts binary, runs binary, pairs binary, counts binary")
+
+
+def _filters(rows: DataFrame, shards: int) -> DataFrame:
+    """The filter of each shard, with the counts it gives for all its pairs summed by first token."""
+
+    def made(shard: int, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        before, pairs, n = (np.concatenate(v) for v in zip(*held, strict=True))
+        own, at, where = np.unique(pairs, return_index=True, return_inverse=True)
+        bloom = LogBloom.of(own, np.bincount(where, n).astype(np.int64))
+        firsts, where = np.unique(before[at], return_inverse=True)
+        q = np.bincount(where, bloom.counts(own)).astype(np.int64)
+        return pa.RecordBatch.from_pydict({"shard": [shard], "bits": [bloom.bits.tobytes()], "firsts": [firsts.tobytes()], "q": [q.tobytes()]})
+
+    def build(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = None, []
+        for batch in read:
+            for i in range(batch.num_rows):
+                now, firsts, runs, pairs, n = (batch.column(c)[i].as_py() for c in ("shard", "firsts", "runs", "pairs", "counts"))
+                if held and now != shard:
+                    yield made(shard, held)
+                    held = []
+                shard = now
+                before = np.repeat(np.frombuffer(firsts, np.uint64), np.frombuffer(runs, np.uint32))
+                held.append((before, np.frombuffer(pairs, np.uint64), np.frombuffer(n, np.uint32)))
+        if held:
+            yield made(shard, held)
+
+    placed = rows.repartition(max(1, shards // 2), "shard").sortWithinPartitions("shard")
+    return placed.mapInArrow(build, "shard long, bits binary, firsts binary, q binary")
+
+
+def train(docs: DataFrame) -> dict:
+    """The model of all ``docs``: a stored vocabulary with counts and stored shards of the filter. Both grow with ``docs``."""
+    words = stored(_counted(docs).groupBy("hash").agg(F.sum("c").alias("c")), "words")
+    known, total = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     shards = max(1, -(-total // SHARD_TOKENS))
+    filters = stored(_filters(_pairs(docs, shards), shards), "filters")
+
+    def summed(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in read:
+            for firsts, q in zip(batch.column("firsts"), batch.column("q"), strict=True):
+                yield pa.RecordBatch.from_pydict({"hash": np.frombuffer(firsts.as_py(), np.int64), "q": np.frombuffer(q.as_py(), np.int64)})
+
+    after = filters.select("firsts", "q").mapInArrow(summed, "hash long, q long").groupBy("hash").agg(F.sum("q").alias("q"))
+    words = stored(words.join(after, "hash", "left").na.fill(0, ["q"]), "vocabulary")
+    return {"words": words, "filters": filters, "known": known, "total": total, "shards": shards}
+
+
+def passes(model: dict, shards_at_once: int, words_at_once: int) -> Iterator[tuple[dict, bool, bool]]:
+    """What is at hand in each pass, and whether the pass is the first over all tokens and the first with its second tokens."""
+    parts = max(1, -(-model["known"] // words_at_once))
 
-    def build(group: pa.Table) -> pa.Table:
-        raw, n = group.column("hash").to_numpy().view(np.uint64), group.column("n").to_numpy()
-        own, at = np.unique(raw, return_inverse=True)
-        bloom = LogBloom.of(own, np.bincount(at, n).astype(np.int64))
-        return pa.table({"shard": pa.array([group.column("shard")[0].as_py()], pa.int64()), "bits": pa.array([bloom.bits.tobytes()], pa.binary())})
+    def words_of(part: int) -> dict[str, np.ndarray]:
+        table = model["words"].where(F.pmod("hash", F.lit(parts)) == part).toArrow()  # about words_at_once rows
+        own = {c: table[c].to_numpy() for c in ("hash", "c", "q")}
+        order = np.argsort(own["hash"])
+        return {c: v[order] for c, v in own.items()}
 
-    pairs = _counted(docs, pairs=True).withColumn("shard", F.pmod("hash", F.lit(shards)))
-    filters, size = {}, 16 * seen
-    for row in pairs.groupBy("shard").applyInArrow(build, "shard long, bits binary").toLocalIterator():
-        filters[row.shard] = np.frombuffer(bytes(row.bits), np.uint8)
-        size += len(row.bits)
-        if size > most_bytes:
-            raise ValueError("the filter is above most_bytes; raise it or train on less")
-    return {"hashes": hashes[order], "counts": counts[order], "total": total, "shards": shards, "filters": filters,
-            "spark": spark}
+    for group in range(0, model["shards"], shards_at_once):
+        shards = range(group, min(group + shards_at_once, model["shards"]))
+        rows = model["filters"].where(F.col("shard").between(shards[0], shards[-1])).select("shard", "bits")
+        held = {row.shard: bytes(row.bits) for row in rows.toLocalIterator()}  # at most shards_at_once filters
+        bloom = LogBloom.joined([held.get(s, bytes(8)) for s in shards])
+        for i in range(parts):
+            first = words_of(i)
+            for j in range(parts):
+                second = first if i == j else words_of(j)
+                hand = {"parts": parts, "i": i, "j": j, "first": first, "second": second, "bloom": bloom, "shards": model["shards"],
+                        "from": group, "known": model["known"], "total": model["total"]}
+                yield hand, group == i == j == 0, group == i == 0
 
 
-def language_scores(docs: DataFrame, model: dict, held_out: Column | None = None) -> DataFrame:
+def _look(words: dict[str, np.ndarray], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``c`` and ``q`` of each hash, 0 if unknown."""
+    if not len(words["hash"]):
+        return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+    at = np.minimum(np.searchsorted(words["hash"], hashes.view(np.int64)), len(words["hash"]) - 1)
+    hit = words["hash"][at] == hashes.view(np.int64)
+    return np.where(hit, words["c"][at], 0), np.where(hit, words["q"][at], 0)
+
+
+def chances(hand: dict, before: np.ndarray, hashes: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Probability of each token after the one before it, all of them at hand."""
+    single = (_look(hand["second"], hashes)[0] + 1) / (hand["total"] + hand["known"] + 1)
+    c, all_of = _look(hand["first"], before)
+    own = hand["bloom"].counts(pairs, (pairs % np.uint64(hand["shards"])).astype(np.int64) - hand["from"])
+    left = np.maximum(c - all_of, 0) + PRIOR
+    return (np.minimum(own, all_of) + left * single) / (all_of + left)
+
+
+def language_scores(docs: DataFrame, model: dict, held_out: Column | None = None, shards_at_once: int = SHARDS_AT_ONCE,
+                    words_at_once: int = WORDS_AT_ONCE) -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of each row.
 
     A null text is empty, and an empty text is its end alone. Null ids stay null, repeated rows are scored alike, an empty training
-    set knows no token and gives every token one chance in one. Other columns are left out.
+    set knows no token and gives every token one chance in one. Other columns are left out. The passes run when this is called.
     """
-    held = model["spark"].sparkContext.broadcast({k: v for k, v in model.items() if k != "spark"})
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                        ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-    def apply(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        known, counts, total, shards = m["hashes"], np.append(m["counts"], 0), m["total"], m["shards"]
-        blooms = {k: LogBloom(v) for k, v in m["filters"].items()}
-        for batch in read:
-            for part in sliced(batch):
-                rows = []
-                for _, data, where in chunks(part.column("text")):
-                    hashes, first = tokens(data, where)
-                    at = np.searchsorted(known, hashes)
-                    at[at == len(known)] = 0
-                    c = counts[np.where(known[at] == hashes, at, len(known))] if len(known) else np.zeros(len(hashes), np.int64)
-                    single = (c + 1) / (total + len(known) + 1)
-                    start = counts[np.searchsorted(known, END)] if total else 0
-                    before = np.concatenate([[start], c[:-1]]).astype(float)
-                    pairs, own = pair_hashes(hashes), np.zeros(len(hashes))
-                    shard = pairs.view(np.int64) % shards
-                    for s, bloom in blooms.items():
-                        some = np.flatnonzero(shard == s)
-                        own[some] = bloom.counts(pairs[some])
-                    share = np.minimum(1, own / np.maximum(1, before))
-                    p = (before * share + PRIOR * single) / (before + PRIOR)
-                    sums = [np.add.reduceat(v, first[:-1]) for v in ((c > 0).astype(np.int64), np.log10(single), np.log10(p))]
-                    rows.append((np.diff(first), sums[0].astype(np.int64), sums[1], sums[2]))
-                n, hit, base, score = (np.concatenate(v) for v in zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(n), pa.array(hit),
-                                                  pa.array(np.full(len(n), total)), pa.array(base), pa.array(score)], schema=schema)
-
+    spark = docs.sparkSession
     out = F.lit(False) if held_out is None else held_out
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), out.alias("held_out")).mapInArrow(
-        apply, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), F.md5(text).alias("key"), text.alias("text"))
+    sums = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("key", pa.string()), *sums.items()])
+    added = None
+    for hand, first_of_all, first_of_word in passes(model, shards_at_once, words_at_once):
+        at_hand = spark.sparkContext.broadcast(hand)
+
+        def apply(read: Iterator[pa.RecordBatch], at_hand=at_hand, count=first_of_all, base=first_of_word) -> Iterator[pa.RecordBatch]:
+            m = at_hand.value
+            lo, hi = m["from"], m["from"] + len(m["bloom"].begins)
+            for batch in read:
+                for part in sliced(batch, 1 << 22):
+                    rows = []
+                    for _, data, where in chunks(part.column("text")):
+                        hashes, first = tokens(data, where)
+                        before, pairs, values = contexts_of(hashes), pair_hashes(hashes), np.zeros((3, len(hashes)))
+                        of_second = np.mod(hashes.view(np.int64), m["parts"]) == m["j"]
+                        if base:
+                            some = np.flatnonzero(of_second)
+                            c, _ = _look(m["second"], hashes[some])
+                            values[0, some], values[1, some] = c > 0, np.log10((c + 1) / (m["total"] + m["known"] + 1))
+                        shard = (pairs % np.uint64(m["shards"])).astype(np.int64)
+                        some = np.flatnonzero((shard >= lo) & (shard < hi) & of_second & (np.mod(before.view(np.int64), m["parts"]) == m["i"]))
+                        values[2, some] = np.log10(chances(m, before[some], hashes[some], pairs[some]))
+                        n = np.diff(first) if count else np.zeros(len(first) - 1, np.int64)
+                        rows.append((n, *np.add.reduceat(values, first[:-1], axis=1)))
+                    n, hit, base_score, score = (np.concatenate(v) for v in zip(*rows, strict=True))
+                    yield pa.RecordBatch.from_arrays([part.column(c) for c in ("doc_id", "held_out", "key")]
+                                                     + [pa.array(n), pa.array(hit.astype(np.int64)), pa.array(base_score), pa.array(score)], schema=schema)
+
+        kinds = "doc_id long, held_out boolean, key string, n_tokens long, n_known long, base_score double, score double"
+        # Rows that agree in id and text have one result, given as often as they stand.
+        own = stored(given.mapInArrow(apply, kinds).groupBy("doc_id", "held_out", "key").agg(
+            F.count("*").alias("copies"), *(F.min(c).alias(c) for c in sums)), "pass")
+        at_hand.destroy()
+        added = own if added is None else added.unionByName(own)
+    whole = added.groupBy("doc_id", "held_out", "key").agg(F.min("copies").cast("int").alias("copies"), *(F.sum(c).alias(c) for c in sums))
+    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model["total"]).cast("long").alias("train_tokens"),
+                        "base_score", "score", F.expr("explode(array_repeat(1, copies)) AS copy")).drop("copy")
