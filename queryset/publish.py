@@ -7,7 +7,9 @@ from queryset.registry import query
 from tilewright.functions.text import etag, strip
 from tilewright.operators import publish as ops
 from tilewright.operators.versions import fold_versions, invalidated_keys
-from tilewright.plans.tiles import get_or_make, tile_pyramid
+from tilewright.plans.tiles import get_or_make, get_or_store, tile_pyramid
+from tilewright.sources.store import TileStore
+from tilewright.streaming.runs import work_folder
 
 EMPTY = "44136fa355b3678a"  # fixed value: hash of no parameters
 
@@ -90,6 +92,18 @@ def tiles_get_or_make(spark, sf):
     return tiles.select("tile_key", "z", "x", "y", "n_features", "source")
 
 
+@query("tiles_get_or_store", f"""{duck('customer_pt', 'tile_requests')},
+t as (select z, x, y, count(*) as n from ({covered('customer_pt', 0, 7)}) t group by all)
+select {_key_sql('customer_pt')} as tile_key, z, x, y, coalesce(n, 0) as n_features, case when z <= 4 then 'HIT' else 'MISS' end as source
+from (select r.*, t.n from tile_requests r left join t on t.z = r.z and t.x = r.x and t.y = r.y) q""")
+def tiles_get_or_store(spark, sf):
+    """A first run stores the tiles of low zooms, empty ones included; a second answers all requests."""
+    made, asked = layer(spark, sf, "customer_pt"), fixture(spark, sf, "tile_requests")
+    store = TileStore(work_folder(asked, "tile-store"))
+    get_or_store(made, asked.where("z <= 4"), store)
+    return get_or_store(made, asked, store).select("tile_key", "z", "x", "y", "n_features", "source")
+
+
 @query("tiles_changed", f"""{duck('customer_pt')},
 new_tiles as (select z, x, y, count(*) as n from ({covered('customer_pt', 0, 5)}) t where balance > 0 or id % 100 > 2 group by all),
 old_tiles as (select z, x, y, count(*) as n from ({covered('customer_pt', 1, 6)}) t where balance > 0 or id % 100 < 98 group by all),
@@ -109,14 +123,14 @@ def tiles_changed(spark, sf):
 
 
 @query("tiles_not_modified", """
-with docs as (select doc_id, concat('W/"', cast(octet_length(encode(text)) as varchar), '-', substr(md5(text), 1, 16), '"') as etag
- from documents where text <> '')
-select doc_id, case when doc_id % 5 = 4 then 404 when doc_id % 5 in (0, 1) then 304 else 200 end as status from docs""")
+select doc_id, case when doc_id % 5 = 4 then 404 when doc_id % 5 in (0, 1) then 304 when doc_id % 5 = 3 and text = '' then 304
+ else 200 end as status from documents""")
 def tiles_not_modified(spark, sf):
-    docs = table(spark, sf, "documents").filter("text <> ''").select(
+    """Texts stand for the bytes of tiles, empty texts for empty tiles."""
+    docs = table(spark, sf, "documents").select(
         "doc_id", F.col("doc_id").cast("string").alias("tile_key"), etag(F.col("text").cast("binary")).alias("etag"))
     i = F.col("doc_id") % 5
-    sent = F.when(i == 0, "*").when(i == 1, F.col("etag")).when(i == 2, 'W/"1-old"')
+    sent = F.when(i == 0, "*").when(i == 1, F.col("etag")).when(i == 2, 'W/"1-old"').when(i == 3, 'W/"0-empty"')
     requests = docs.select("doc_id", "tile_key", sent.alias("if_none_match"))
     return ops.not_modified(requests, docs.filter(i != 4)).select("doc_id", "status")
 
@@ -140,12 +154,12 @@ def version_fold(spark, sf):
 select q.layer, q.tile_key, v.version as current_version from (
  select req_id, lower(trim(layer)) as layer, case when req_id % 3 = 0 then '1' else cast(req_id % 40 as varchar) end as held,
   concat('mvt:v1:', lower(trim(layer)), ':d', case when req_id % 3 = 0 then '1' else cast(req_id % 40 as varchar) end, ':z',
-   cast(z as varchar), ':x', cast(x as varchar), ':y0:q{EMPTY}') as tile_key from request_log) q
+   cast(z as varchar), ':x', cast(x as varchar), ':y', cast((req_id*31) % 150 as varchar), ':q{EMPTY}') as tile_key from request_log) q
 join versions v on v.layer = q.layer where q.held <> v.version""")
 def invalidated(spark, sf):
     log = fixture(spark, sf, "request_log")
     held = F.when(F.col("req_id") % 3 == 0, F.lit("1")).otherwise((F.col("req_id") % 40).cast("string"))
     published = ops.tile_keys(log.select(strip(F.col("layer")).alias("layer"), F.col("layer").alias("catalog_id"),
-                                         held.alias("version"), "z", "x", F.lit(0).alias("y")))
+                                         held.alias("version"), "z", "x", ((F.col("req_id") * 31) % 150).alias("y")))
     versions = fold_versions(fixture(spark, sf, "version_events"))
     return invalidated_keys(published.select("layer", "tile_key"), versions).select("layer", "tile_key", "current_version")

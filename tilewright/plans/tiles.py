@@ -28,6 +28,7 @@ from tilewright.operators.filters import filter_layer, predicate_column
 from tilewright.operators.geometry import geometry_code, point_steps, shape_commands
 from tilewright.operators.publish import tile_keys
 from tilewright.sources.scan import use_all_cores
+from tilewright.sources.store import TileStore
 
 TILE = ["z", "x", "y"]
 TILE_TABLE = ["layer", *TILE, "part", "n_parts", "tile", "n_features", "keys"]
@@ -497,6 +498,24 @@ def get_or_make(layer: Layer, requests: DataFrame, store: DataFrame, version: st
     return hits.select(columns).unionByName(made.withColumn("source", F.lit("MISS")).select(columns))
 
 
+def get_or_store(layer: Layer, requests: DataFrame, store: TileStore, version: str | int = 1,
+                 options: TileOptions = TileOptions()) -> DataFrame:
+    """Requested tiles out of a store that keeps what it has to make.
+
+    Tiles that the store lacks, empty ones included, are made and put into it when this is called; all
+    are then read from it. ``source`` is MISS for those made now, HIT for the others.
+    """
+    asked = cut_lineage(_keyed(checked_requests(requests), layer, version, options))
+    held = store.lookup(asked, layer.id, version).where("part = 0").select("tile_key")
+    missing = cut_lineage(asked.join(held, "tile_key", "left_anti"))
+    batch = None
+    if not missing.isEmpty():
+        made = _keyed(tiles_for(layer, missing.select(TILE), options), layer, version, options)
+        batch = store.put(made.select("tile_key", *TILE_TABLE), layer.id, version)
+    source = F.when(F.col("batch") == F.lit(batch), "MISS").otherwise("HIT")
+    return store.lookup(asked, layer.id, version).withColumn("source", source).select("tile_key", *TILE_TABLE, "source")
+
+
 def _keyed(frame: DataFrame, layer: Layer, version: str | int, options: TileOptions) -> DataFrame:
     """Add the tile key of a layer, a dataset version and the options that differ from the defaults."""
     default = TileOptions()
