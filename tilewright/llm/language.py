@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 from tilewright.llm.frames import sliced, stored
 from tilewright.llm.words import chunks, hashed_words, join_hashes, mix, mixed
 
-PROBES = (24, 3)  # on the first level and on each further one
-BITS = (34.7, 4.4)  # for each entry of the first level and of each further one; half of all bits are set
+PROBES = (4, 1)  # words of 64 bits looked at on the first level and on each further one, seven bits in each
+BITS = (40, 10)  # for each entry of the first level and of each further one; half of all bits are set
 LEVELS = 60
 PRIOR = 20.0  # weight of the single token against the pair
 SHARD_TOKENS = 1 << 20
-SHARDS_AT_ONCE = 64  # 4.5 MB each at most
+SHARDS_AT_ONCE = 64  # 5 MB each at most
 WORDS_AT_ONCE = 1 << 22  # 24 bytes each
 END = mixed(0x656E64)
 
@@ -51,34 +51,47 @@ def pair_hashes(hashes: np.ndarray) -> np.ndarray:
     return join_hashes(np.concatenate([[END], hashes]).astype(np.uint64), 2)
 
 
+def _some_bits(count: int, seed: int) -> np.ndarray:
+    """65,536 words with ``count`` bits each, or fewer where two fall together."""
+    at = mix(np.arange(seed << 20, (seed << 20) + (count << 16), dtype=np.uint64)) & np.uint64(63)
+    return np.bitwise_or.reduce((np.uint64(1) << at).reshape(-1, count), axis=1)
+
+
+_FOUR, _THREE = _some_bits(4, 1), _some_bits(3, 2)
+
+
 class LogBloom:
-    """Bloom filters of counted hashes, one after the other in ``bits``; each begins at a byte and has a size in bits."""
+    """Bloom filters of counted hashes, one after the other in ``words``; each has a first word and a number of words."""
 
-    def __init__(self, bits: np.ndarray, begins: np.ndarray, sizes: np.ndarray):
-        self.bits, self.begins, self.sizes = bits, begins, sizes
+    def __init__(self, words: np.ndarray, begins: np.ndarray, sizes: np.ndarray):
+        self.words, self.begins, self.sizes = words, begins, sizes
 
     @classmethod
     def of(cls, hashes: np.ndarray, counts: np.ndarray) -> LogBloom:
         levels = np.frexp(counts.astype(float))[1]  # 1 for 1, 2 for 2 and 3, 3 for 4 to 7
-        size = max(8, -(-int(len(hashes) * BITS[0] + int((levels - 1).sum()) * BITS[1]) // 8))
-        out = cls(np.zeros(size, np.uint8), np.zeros(1, np.int64), np.array([8 * size], np.uint64))
+        size = 1 + (len(hashes) * BITS[0] + int((levels - 1).sum()) * BITS[1]) // 64
+        out = cls(np.zeros(size, np.uint64), np.zeros(1, np.int64), np.array([size], np.uint64))
         for level in range(1, int(levels.max(initial=0)) + 1):
             own = hashes[levels >= level]
-            for at in out.places(own, np.zeros(len(own), np.int64), level):
-                np.bitwise_or.at(out.bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            for at, bits in out.places(own, np.zeros(len(own), np.int64), level):
+                np.bitwise_or.at(out.words, at, bits)
         return out
 
     @classmethod
     def joined(cls, filters: list[bytes]) -> LogBloom:
-        lengths = np.array([len(f) for f in filters], np.int64)
-        return cls(np.frombuffer(b"".join(filters), np.uint8), np.cumsum(lengths) - lengths, (8 * lengths).astype(np.uint64))
-
-    def places(self, hashes: np.ndarray, which: np.ndarray, level: int) -> Iterator[np.ndarray]:
-        at, step = mix(hashes ^ mixed(level)), mix(hashes + mixed(-level)) | np.uint64(1)
-        size, begin = self.sizes[which], 8 * self.begins[which]
-        for _ in range(PROBES[level > 1]):
-            yield begin + (at % size).astype(np.int64)
-            at = at + step
+        lengths = np.array([len(f) // 8 for f in filters], np.int64)
+        return cls(np.frombuffer(b"".join(filters), np.uint64), np.cumsum(lengths) - lengths, lengths.astype(np.uint64))
+
+    def places(self, hashes: np.ndarray, which: np.ndarray, level: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The words to look at, and the bits that are set in them."""
+        own = mix(hashes ^ mixed(level))
+        size, begin = self.sizes[which], self.begins[which]
+        low, half = np.uint64(0xFFFF), np.uint64(32)
+        for probe in range(PROBES[level > 1]):
+            if probe:
+                own = mix(own + mixed(probe))
+            at = begin + ((own >> half) * size >> half).astype(np.int64)
+            yield at, _FOUR[own & low] | _THREE[own >> np.uint64(16) & low]
 
     def counts(self, hashes: np.ndarray, which: np.ndarray | None = None) -> np.ndarray:
         """Least count of the level that each hash is read on in its filter; 0 for none."""
@@ -88,10 +101,8 @@ class LogBloom:
             if not len(left):
                 break
             found = np.ones(len(left), bool)
-            for probe, at in enumerate(self.places(hashes[left], which[left], level)):
-                found &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-                if probe == 1 and not found.any():
-                    break
+            for at, bits in self.places(hashes[left], which[left], level):
+                found &= self.words[at] & bits == bits
             left = left[found]
             out[left] = 1 << (level - 1)
         return out
@@ -147,7 +158,7 @@ def _filters(rows: DataFrame, shards: int) -> DataFrame:
         bloom = LogBloom.of(own, np.bincount(where, n).astype(np.int64))
         firsts, where = np.unique(before[at], return_inverse=True)
         q = np.bincount(where, bloom.counts(own)).astype(np.int64)
-        return pa.RecordBatch.from_pydict({"shard": [shard], "bits": [bloom.bits.tobytes()], "firsts": [firsts.tobytes()], "q": [q.tobytes()]})
+        return pa.RecordBatch.from_pydict({"shard": [shard], "bits": [bloom.words.tobytes()], "firsts": [firsts.tobytes()], "q": [q.tobytes()]})
 
     def build(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = None, []
@@ -198,7 +209,7 @@ def passes(model: dict, shards_at_once: int, words_at_once: int) -> Iterator[tup
         shards = range(group, min(group + shards_at_once, model["shards"]))
         rows = model["filters"].where(F.col("shard").between(shards[0], shards[-1])).select("shard", "bits")
         held = {row.shard: bytes(row.bits) for row in rows.toLocalIterator()}  # at most shards_at_once filters
-        bloom = LogBloom.joined([held.get(s, bytes(8)) for s in shards])
+        bloom = LogBloom.joined([held.pop(s, bytes(8)) for s in shards])
         for i in range(parts):
             first = words_of(i)
             for j in range(parts):
