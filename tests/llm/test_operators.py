@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tilewright.llm.idfile import pack_numbers, read_token_file, token_file, unpack_numbers
-from tilewright.llm.language import END, LogBloom, chances, contexts_of, language_scores, pair_hashes, passes, tokens, train
+from tilewright.llm.language import END, LogBloom, _look, chances, contexts_of, language_scores, pair_hashes, passes, tokens, train
 from tilewright.llm.licenses import scan_licenses
 from tilewright.llm.mixing import mix_sources, mixed_documents
 from tilewright.llm.packing import pack_sequences, windows_for
@@ -229,7 +229,8 @@ def test_language_brute_force(spark):
     off = []
     for a in known:
         both = np.stack([np.full(len(every), a), every], 1).ravel()
-        off.append(abs(chances(hand, np.full(len(every), a), every, join_hashes(both, 2)[::2]).sum() - 1))
+        first, second = _look(hand["first"], np.full(len(every), a)), _look(hand["second"], every)[0]
+        off.append(abs(chances(hand, first, second, join_hashes(both, 2)[::2]).sum() - 1))
     # of six million pairs one or two are found that were never seen; each adds one in 20 at most
     assert np.sum(np.array(off) > 0.01) <= 2 and max(off) < 0.05
     assert contexts_of(hashes)[0] == END

@@ -78,7 +78,7 @@ class LogBloom:
         return out
 
     @classmethod
-    def joined(cls, filters: list[bytes]) -> LogBloom:
+    def joined(cls, filters: list[bytes | bytearray]) -> LogBloom:
         lengths = np.array([len(f) // 8 for f in filters], np.int64)
         return cls(np.frombuffer(b"".join(filters), np.uint64), np.cumsum(lengths) - lengths, lengths.astype(np.uint64))
 
@@ -208,14 +208,17 @@ def passes(model: dict, shards_at_once: int, words_at_once: int) -> Iterator[tup
     for group in range(0, model["shards"], shards_at_once):
         shards = range(group, min(group + shards_at_once, model["shards"]))
         rows = model["filters"].where(F.col("shard").between(shards[0], shards[-1])).select("shard", "bits")
-        held = {row.shard: bytes(row.bits) for row in rows.toLocalIterator()}  # at most shards_at_once filters
-        bloom = LogBloom.joined([held.pop(s, bytes(8)) for s in shards])
+        held = {row.shard: row.bits for row in rows.toLocalIterator()}  # at most shards_at_once filters
+        bloom = LogBloom.joined([held.get(s, bytes(8)) for s in shards])
+        held.clear()
         for i in range(parts):
             first = words_of(i)
             for j in range(parts):
                 second = first if i == j else words_of(j)
                 hand = {"parts": parts, "i": i, "j": j, "first": first, "second": second, "bloom": bloom, "shards": model["shards"],
                         "from": group, "known": model["known"], "total": model["total"]}
+                if i == j == parts - 1:
+                    del bloom
                 yield hand, group == i == j == 0, group == i == 0
 
 
@@ -228,10 +231,10 @@ def _look(words: dict[str, np.ndarray], hashes: np.ndarray) -> tuple[np.ndarray,
     return np.where(hit, words["c"][at], 0), np.where(hit, words["q"][at], 0)
 
 
-def chances(hand: dict, before: np.ndarray, hashes: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Probability of each token after the one before it, all of them at hand."""
-    single = (_look(hand["second"], hashes)[0] + 1) / (hand["total"] + hand["known"] + 1)
-    c, all_of = _look(hand["first"], before)
+def chances(hand: dict, first: tuple[np.ndarray, np.ndarray], second: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Probability of each token after the one before it, from ``c`` and ``q`` of the first, ``c`` of the second and the pair."""
+    single = (second + 1) / (hand["total"] + hand["known"] + 1)
+    c, all_of = first
     own = hand["bloom"].counts(pairs, (pairs % np.uint64(hand["shards"])).astype(np.int64) - hand["from"])
     left = np.maximum(c - all_of, 0) + PRIOR
     return (np.minimum(own, all_of) + left * single) / (all_of + left)
@@ -253,7 +256,7 @@ def language_scores(docs: DataFrame, model: dict, held_out: Column | None = None
     added = None
     for hand, first_of_all, first_of_word in passes(model, shards_at_once, words_at_once):
         at_hand = spark.sparkContext.broadcast(hand)
-
+        hand.clear()  # the driver holds what is at hand once, and only until it is sent
         def apply(read: Iterator[pa.RecordBatch], at_hand=at_hand, count=first_of_all, base=first_of_word) -> Iterator[pa.RecordBatch]:
             m = at_hand.value
             lo, hi = m["from"], m["from"] + len(m["bloom"].begins)
@@ -263,14 +266,18 @@ def language_scores(docs: DataFrame, model: dict, held_out: Column | None = None
                     for _, data, where in chunks(part.column("text")):
                         hashes, first = tokens(data, where)
                         before, pairs, values = contexts_of(hashes), pair_hashes(hashes), np.zeros((3, len(hashes)))
+                        # Words repeat, so each is looked up once; every text ends with an end, which is thus among them.
+                        own, at = np.unique(hashes, return_inverse=True)
+                        at_before = np.append(np.searchsorted(own, END), at[:-1])
+                        (c, _), (first_c, first_q) = _look(m["second"], own), _look(m["first"], own)
                         of_second = np.mod(hashes.view(np.int64), m["parts"]) == m["j"]
                         if base:
                             some = np.flatnonzero(of_second)
-                            c, _ = _look(m["second"], hashes[some])
-                            values[0, some], values[1, some] = c > 0, np.log10((c + 1) / (m["total"] + m["known"] + 1))
+                            values[0, some] = c[at[some]] > 0
+                            values[1, some] = np.log10((c[at[some]] + 1) / (m["total"] + m["known"] + 1))
                         shard = (pairs % np.uint64(m["shards"])).astype(np.int64)
                         some = np.flatnonzero((shard >= lo) & (shard < hi) & of_second & (np.mod(before.view(np.int64), m["parts"]) == m["i"]))
-                        values[2, some] = np.log10(chances(m, before[some], hashes[some], pairs[some]))
+                        values[2, some] = np.log10(chances(m, (first_c[at_before[some]], first_q[at_before[some]]), c[at[some]], pairs[some]))
                         n = np.diff(first) if count else np.zeros(len(first) - 1, np.int64)
                         rows.append((n, *np.add.reduceat(values, first[:-1], axis=1)))
                     n, hit, base_score, score = (np.concatenate(v) for v in zip(*rows, strict=True))
