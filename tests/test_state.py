@@ -1,12 +1,15 @@
 from __future__ import annotations
 
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tilewright.operators.traffic import latency_percentiles, open_windows, request_metrics, request_metrics_windowed
 from tilewright.operators.versions import fold_versions
+from tilewright.streaming import lockout
 from tilewright.streaming.lockout import FRESH, LockoutRules, detect_lockouts, lockout_stream, step
 from tilewright.streaming.runs import run_available, run_with_state
 
@@ -78,6 +81,39 @@ def streamed(spark, tmp_path, schema, rules):
     return run_available(lockout_stream(read, rules, "900000000 seconds"), "lockout-test")
 
 
+class Handle:
+    """State of one client in plain dictionaries, and the timers it sets."""
+
+    def __init__(self):
+        self.timers, self.entries, self.value = [], {}, []
+        self.registerTimer = self.timers.append
+
+    def getValueState(self, name, schema):
+        return SimpleNamespace(exists=lambda: bool(self.value), get=lambda: self.value[0], clear=self.value.clear,
+                               update=lambda v: self.value.__setitem__(slice(None), [v]))
+
+    def getMapState(self, name, key, value):
+        return SimpleNamespace(getValue=self.entries.get, updateValue=self.entries.__setitem__, removeKey=self.entries.pop,
+                               keys=lambda: iter(list(self.entries)), iterator=lambda: iter(list(self.entries.items())))
+
+
+def test_one_timer_for_many_minutes(monkeypatch):
+    """Waiting minutes need one timer, a release sets one for the first minute left, chunks of minutes go on from each other."""
+    monkeypatch.setattr(lockout, "RELEASED_MINUTES", 7)
+    handle, processor = Handle(), lockout._InOrder(RULES)
+    processor.init(handle)
+    minutes = [START // 60 + i for i in range(50)]
+    rows = [(m * lockout.MINUTE, 0, 1) for m in reversed(minutes)]
+    list(processor.handleInputRows((1,), iter([pd.DataFrame(rows, columns=["t", "n_ok", "n_fail"])]), None))
+    assert handle.timers == [(minutes[0] + 1) * 60_000]
+    at = SimpleNamespace(getCurrentWatermarkInMs=lambda: minutes[40] * 60_000)
+    found = pd.concat(processor.handleExpiredTimer((1,), at, None))
+    assert handle.timers[1] == (minutes[40] + 1) * 60_000 and len(handle.timers) == 3  # and one for the record
+    assert sorted(handle.entries) == [(m,) for m in minutes[40:]]
+    want = replay([(1, m * 60, False) for m in minutes[:40]], RULES)
+    assert found["t_sec"].tolist() == [r[1] for r in want] and found["strikes"].tolist() == [r[5] for r in want]
+
+
 def test_order_within_a_second(spark, tmp_path):
     """A success between two failures of one second clears the first, in a table and in a stream."""
     times = [(0.1, "fail"), (0.2, "fail"), (0.3, "ok"), (0.4, "fail"), (0.5, "fail"), (0.6, "fail"), (0.7, "ok"), (2.59, "fail"), (2.61, "ok")]

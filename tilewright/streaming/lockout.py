@@ -30,6 +30,7 @@ KEEP_SECONDS = 86400
 
 TICKS = 1_000_000  # event times count microseconds
 MINUTE = 60 * TICKS
+RELEASED_MINUTES = 1024  # minutes of a client folded at once
 REPORT = ("ts timestamp, t_sec bigint, n_ok bigint, n_fail bigint, n_blocked bigint, locked boolean, "
           "attempts int, strikes int, retry_after bigint")
 STATE = "attempts int, strikes int, blocked_until bigint, expires bigint"
@@ -120,8 +121,9 @@ def _schema(events: DataFrame) -> str:
 class _InOrder(StatefulProcessor):
     """Keeps the events of a client until the watermark has passed their minute, then folds them in order.
 
-    The state holds one entry for each minute with waiting events and a timer for its end. A timer that fires releases all
-    minutes behind the watermark. One more timer clears a record that has lapsed.
+    The state holds one entry for each minute with waiting events and a timer for the end of the first of them. A timer that
+    fires releases all minutes behind the watermark, a chunk at a time, and sets one for the first that is left. One more
+    timer clears a record that has lapsed.
     """
 
     def __init__(self, rules: LockoutRules):
@@ -139,31 +141,38 @@ class _InOrder(StatefulProcessor):
                 new.setdefault(event[0] // MINUTE, []).append(event)
         for minute, events in new.items():
             held = self.waiting.getValue((minute,))
-            if held is None:
-                self.handle.registerTimer((minute + 1) * MINUTE // 1000)
-            else:
+            if held is not None:
                 events = [*zip(*held), *events]
             self.waiting.updateValue((minute,), tuple(map(list, zip(*events))))
+        if new:
+            self._wake_after(min(new))
         return iter(())
 
+    def _wake_after(self, minute: int) -> None:
+        self.handle.registerTimer((minute + 1) * MINUTE // 1000)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000  # no event of an earlier time can come
-        due = [(k[0], v) for k, v in self.waiting.iterator() if (k[0] + 1) * MINUTE <= passed]
+        minutes = sorted(k[0] for k in self.waiting.keys())
+        n_due = sum((minute + 1) * MINUTE <= passed for minute in minutes)
         record = tuple(self.record.get()) if self.record.exists() else FRESH
-        if due:
-            instants: dict[int, tuple[int, int]] = {}
-            for minute, events in due:
-                self.waiting.removeKey((minute,))
-                for t, ok, fail in zip(*events):
-                    had = instants.get(t, (0, 0))
-                    instants[t] = (had[0] + ok, had[1] + fail)
-            record, report = _fold(key[0], record, [(t, *n) for t, n in sorted(instants.items())], self.rules)
+        if n_due:
+            for at in range(0, n_due, RELEASED_MINUTES):
+                instants: dict[int, tuple[int, int]] = {}
+                for minute in minutes[at:min(at + RELEASED_MINUTES, n_due)]:
+                    for t, ok, fail in zip(*self.waiting.getValue((minute,))):
+                        had = instants.get(t, (0, 0))
+                        instants[t] = (had[0] + ok, had[1] + fail)
+                    self.waiting.removeKey((minute,))
+                record, report = _fold(key[0], record, [(t, *n) for t, n in sorted(instants.items())], self.rules)
+                yield report
+            if n_due < len(minutes):
+                self._wake_after(minutes[n_due])
             if record != FRESH:
                 self.record.update(record)
                 self.handle.registerTimer(record[3] // 1000 + 1)
             else:
                 self.record.clear()
-            yield report
         elif record != FRESH and record[3] < passed:
             self.record.clear()
 
