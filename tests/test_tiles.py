@@ -331,3 +331,32 @@ def test_requests_prune_the_scan(spark, tmp_path):
     want = plans.tile_pyramid(made, 5, 6).join(asked, ["z", "x", "y"], "left_semi")
     assert want.count() == 2
     assert {(r.z, r.x, r.y, bytes(r.tile)) for r in got.collect()} == {(r.z, r.x, r.y, bytes(r.tile)) for r in want.collect()}
+
+
+@pytest.fixture
+def no_small_tables(spark):
+    """Joins shuffle unless they are told otherwise."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def plan_of(frame) -> str:
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_requests_go_to_the_features(spark, monkeypatch, no_small_tables):
+    areas = as_layer(with_boxes(spark.createDataFrame([(i, -170.0 + i, -60.0 + i, -168.0 + i, -59.0 + i) for i in range(50)],
+                                                      "id bigint, w double, s double, e double, n double"), "w", "s", "e", "n"), "areas")
+    asked = spark.createDataFrame([(3, x, y) for x in range(8) for y in range(8)], "z int, x int, y int")
+
+    def met():
+        sent = plans._sent(asked, plans._requested_ranges(asked))
+        return requested(areas.frame, areas.geometry(), sent, [3], every=True).select("id", "z", "x", "y")
+
+    few = met()
+    assert "BroadcastHashJoin" in plan_of(few) and "SortMergeJoin" not in plan_of(few)
+    monkeypatch.setattr(plans, "SENT_CELLS", 1)
+    many = met()
+    assert "SortMergeJoin" in plan_of(many)
+    assert sorted(few.collect()) == sorted(many.collect())
