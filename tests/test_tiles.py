@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import tilemath as tm
 from tilewright.model import LayerError, TileOptions, check_srid
-from tilewright.operators import inspect
+from tilewright.operators import inspect, mvt
 from tilewright.operators.geometry import LINE, POINT, POLYGON, batch_commands
 from tilewright.operators.mvt import tile_address
 from tilewright.operators.publish import tile_etags
@@ -360,3 +361,32 @@ def test_few_requests_go_to_the_features(spark, monkeypatch, no_small_tables):
     many = met()
     assert "SortMergeJoin" in plan_of(many)
     assert sorted(few.collect()) == sorted(many.collect())
+
+
+def test_blocks_stay_where_they_are(spark, monkeypatch, no_small_tables):
+    """Few numbers are sent to the blocks of large tiles; many are joined, with the same bytes."""
+    monkeypatch.setattr(plans, "BLOCK_BYTES", 2000)
+    made = points(spark, [(i, f"n{i % 7}", i % 40 / 10, i % 30 / 10) for i in range(400)])
+    shuffled = r"SortMergeJoin \[z#\d+, x#\d+, y#\d+(, bucket#\d+L)?\]"
+    few = plans.tile_pyramid(made, 0, 2)
+    assert not re.search(shuffled, plan_of(few))
+    monkeypatch.setattr(plans, "SENT_BLOCKS", 0)
+    many = plans.tile_pyramid(made, 0, 2)
+    assert re.search(shuffled, plan_of(many))
+    order = ["z", "x", "y", "part"]
+    assert few.orderBy(order).collect() == many.orderBy(order).collect()
+    assert few.agg(F.max("n_parts")).first()[0] > 1
+
+
+def test_waiting_parts_are_compressed_and_finished_in_pieces(monkeypatch):
+    n = 3000
+    table = pa.table({"tile_no": pa.array(np.zeros(n, np.int64)), "bucket": pa.array(np.repeat(np.arange(3), n // 3)),
+                      "flag": pa.array(["a", "b", "c"] * (n // 3)), "step_x": pa.array(np.arange(n)), "step_y": pa.array(np.arange(n))})
+    parts = mvt.encode_parts(table, ["flag"], POINT)
+    assert parts.num_rows == 3 and sum(parts.column(c).nbytes for c in ("key_index", "value_index", "pairs", "shape_lens")) < n
+    parts = parts.append_column("value_base", pa.array([0, 3, 6]))
+    whole = list(mvt.finish_parts(parts, ["bucket"]))
+    monkeypatch.setattr(mvt, "BATCH_BYTES", 1)
+    pieces = list(mvt.finish_parts(parts, ["bucket"]))
+    assert [b.num_rows for b in whole] == [3] and [b.num_rows for b in pieces] == [1, 1, 1]
+    assert pa.Table.from_batches(pieces).to_pylist() == whole[0].to_pylist()
