@@ -390,3 +390,20 @@ def test_waiting_parts_are_compressed_and_finished_in_pieces(monkeypatch):
     pieces = list(mvt.finish_parts(parts, ["bucket"]))
     assert [b.num_rows for b in whole] == [3] and [b.num_rows for b in pieces] == [1, 1, 1]
     assert pa.Table.from_batches(pieces).to_pylist() == whole[0].to_pylist()
+
+
+def test_areas_go_down_once(spark, monkeypatch):
+    """Large and other tiles come out of one descent, with the same features; copies count in both."""
+    rows = [(i % 50, -170.0 + i % 50 * 6, -60.0 + i % 40, -169.0 + i % 50 * 6, -59.5 + i % 40) for i in range(300)]
+    areas = as_layer(with_boxes(spark.createDataFrame(rows * 2, "id bigint, w double, s double, e double, n double"), "w", "s", "e", "n"),
+                     "areas", drop=("w", "s", "e", "n"))
+    want = read_tiles(plans.tile_pyramid(areas, 0, 4).collect())
+    descents = []
+    shapes = plans._shapes
+    monkeypatch.setattr(plans, "_shapes", lambda *a, **k: descents.append(1) or shapes(*a, **k))
+    monkeypatch.setattr(plans, "BLOCK_BYTES", 4000)
+    found = plans.tile_pyramid(areas, 0, 4).collect()
+    assert len(descents) == 1
+    assert {r.n_parts > 1 for r in found} == {True, False}
+    assert read_tiles(found) == want
+    assert sum(r.n_features for r in found) == sum(len(t[3]) for t in want.values())
