@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -20,7 +21,7 @@ from tilewright.llm.quality import quality_scores
 from tilewright.llm.queries import ORACLES, QUERIES
 from tilewright.llm.setjoin import ngram_components
 from tilewright.llm.spots import fingerprints
-from tilewright.llm.suffixes import remove_repeats
+from tilewright.llm.suffixes import beside, remove_repeats
 from tilewright.llm.tokens import tokenizer_path
 from tilewright.llm.topk import top_scores
 from tilewright.llm.words import join_hashes
@@ -99,6 +100,26 @@ def test_overlapping_repeats(spark):
     assert [(r.n_removed, r.n_spans) for r in remove_repeats(frame).orderBy("doc_id").collect()] == [(398, 1), (120, 1)]
 
 
+def test_beside():
+    """Rows beside others of their rank, by brute force, however they are cut into batches."""
+    draw = np.random.default_rng(3)
+    for trial in range(200):
+        place = ["doc", "lo", "n"][:2 + trial % 2]
+        names = (["rank", "whole"] if trial % 2 else ["rank"]) + place
+        rows = sorted(tuple(int(v) for v in draw.integers(0, [6, 3, 3, 3, 2][-len(names):])) for _ in range(int(draw.integers(0, 60))))
+        cuts = sorted({0, len(rows), *draw.integers(0, len(rows) + 1, 6).tolist()})
+        read = [pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows[a:b])), strict=True))) for a, b in zip(cuts, cuts[1:])]
+        schema = pa.schema([(c, pa.int64()) for c in place] + [("later", pa.bool_())])
+        groups, wholes, want = {}, {}, []
+        for r in rows:
+            key = r[:len(names) - len(place)]
+            groups.setdefault(key, []).append(r[len(key):])
+            wholes.setdefault(r[0], set()).add(key)
+        for key, own in groups.items():
+            want += [(*p, True) for p in own if p > own[0]] + [(*own[0], False)] * (len(wholes[key[0]]) > 1)
+        assert sorted(tuple(r.values()) for b in beside(iter(read), place, schema) for r in b.to_pylist()) == sorted(want)
+
+
 def test_numbers():
     values = np.array([0, 255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1, 5, 6], np.uint32)
     for n in range(len(values) + 1):

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +48,31 @@ def sliced(batch: pa.RecordBatch, most_bytes: int = 1 << 23, column: str = "text
         yield batch.slice(at, each)
 
 
+def packed(texts: pa.Array) -> pa.Array:
+    """Each text as compressed bytes, in which it travels; null stays null."""
+    press = zstandard.ZstdCompressor(level=1)
+    return pa.array([None if t is None else press.compress(t) for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
+
+
+def unpacked(column: pa.Array) -> list[bytes | None]:
+    """The bytes of packed texts."""
+    press = zstandard.ZstdDecompressor()
+    return [None if t is None else press.decompress(t) for t in column.to_pylist()]
+
+
+def packing(frame: DataFrame, column: str = "text") -> DataFrame:
+    """``frame`` with a text column packed."""
+    at = frame.columns.index(column)
+
+    def pack(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in read:
+            for part in sliced(batch, column=column):
+                yield pa.RecordBatch.from_arrays([packed(c) if i == at else c for i, c in enumerate(part.columns)], names=part.schema.names)
+
+    kinds = ", ".join(f"`{f.name}` {'binary' if f.name == column else f.dataType.simpleString()}" for f in frame.schema.fields)
+    return frame.mapInArrow(pack, kinds)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 

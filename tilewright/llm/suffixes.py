@@ -19,13 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tilewright.llm.frames import sliced, stored
+from tilewright.llm.frames import packing, sliced, stored, unpacked
 from tilewright.llm.words import chunks, prefix_sums, span_hash
 
 LENGTH = 100
 FIRST = 32
-CHUNK = 1 << 20  # text ranked at once; a longer text is a chunk of its own
+CHUNK = 1 << 18  # text ranked at once; a longer text is a chunk of its own
 
 
 def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -87,6 +88,47 @@ def removed_runs(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.column_stack([begins[new], ends[np.append(new[1:] - 1, len(ends) - 1)]])
 
 
+def beside(read: Iterator[pa.RecordBatch], place: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of ``rank``, ``whole`` (if any) and ``place``: those ``later`` than the first of their whole, and the first of each
+    whole of a rank with several. What has the place of the first is not later, as rows may repeat an id."""
+    rank = whole = None
+    first: list[int] = []  # place of the first of the whole at hand
+    waiting = False  # whether that is the rank's only whole so far
+    for batch in read:
+        if not batch.num_rows:
+            continue
+        ranks, wholes = (batch.column(c).to_numpy() for c in ("rank", "whole" if "whole" in batch.schema.names else "rank"))
+        held = [batch.column(c).to_numpy() for c in place]
+        new_rank, new = np.ones(len(ranks), bool), np.ones(len(ranks), bool)
+        np.not_equal(ranks[1:], ranks[:-1], out=new_rank[1:])
+        new_rank[0] = rank is None or ranks[0] != rank
+        np.not_equal(wholes[1:], wholes[:-1], out=new[1:])
+        new[0] = whole is None or wholes[0] != whole
+        new |= new_rank
+        starts, group = np.flatnonzero(new), np.cumsum(new)
+        firsts = [np.concatenate([v[:0] if not first else np.array(first[i:i + 1], v.dtype), v[starts]]) for i, v in enumerate(held)]
+        later = ~new & np.any([f[group - (not first)] != v for f, v in zip(firsts, held, strict=True)], axis=0)
+        opens = ~new_rank[starts]  # not the rank's first whole
+        if len(starts):
+            if waiting and opens[0]:
+                yield pa.RecordBatch.from_pydict({**{c: [v] for c, v in zip(place, first, strict=True)}, "later": [False]}, schema=schema)
+            waiting = bool(new_rank[starts[-1]])
+            opens[:-1] |= ~new_rank[starts[1:]]
+            first = [int(v[starts[-1]]) for v in held]
+        rank, whole = ranks[-1], wholes[-1]
+        some = np.sort(np.concatenate([np.flatnonzero(later), starts[opens]]))
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(v[some]) for v in held] + [pa.array(later[some])], schema=schema)
+
+
+def _beside(rows: DataFrame, keys: list[str]) -> DataFrame:
+    place = [c for c in keys if c not in ("rank", "whole")]
+    schema = pa.schema([(c, pa.int64() if c == "doc" else pa.int32()) for c in place] + [("later", pa.bool_())])
+    kinds = ", ".join(f"{c} {'long' if c == 'doc' else 'int'}" for c in place)
+    ordered = rows.select(*keys).repartition("rank").sortWithinPartitions(*keys)
+    return ordered.mapInArrow(lambda read: beside(read, place, schema), f"{kinds}, later boolean")
+
+
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Runs of ``n`` windows of ``length`` bytes from byte ``lo`` of ``doc`` that also start earlier, of ``docs`` (``doc``, ``text``)."""
     first = min(FIRST, length)
@@ -109,8 +151,8 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def spread(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in read:
-            for doc, text, open_ones in zip(*(batch.column(c) for c in ("doc", "text", "open")), strict=True):
-                data = np.frombuffer(text.as_py().encode(), np.uint8)
+            for doc, text, open_ones in zip(batch.column("doc"), batch.column("text"), batch.column("open"), strict=True):
+                data = np.frombuffer(unpacked(pa.array([text]))[0], np.uint8)
                 lo, n = (open_ones.values.field(f).to_numpy() for f in ("lo", "n"))
                 lo, n = lo[lo + n - 1 + length <= len(data)], n[lo + n - 1 + length <= len(data)]
                 at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -120,21 +162,14 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"rank": ranks[k:k + (1 << 16)].view(np.int64),
                                                       "doc": np.full(len(own), doc.as_py(), np.int64), "lo": own.astype(np.int32)})
 
-    narrow = docs.select("doc", "text")
-    shared = (narrow.mapInArrow(ranked({"rank": pa.int64()}), "rank long").groupBy("rank")
-              .agg(F.count("*").alias("copies")).where("copies > 1").select("rank"))
     columns = {"rank": pa.int64(), "whole": pa.int64(), "doc": pa.int64(), "lo": pa.int32(), "n": pa.int32()}
-    found = stored(narrow.mapInArrow(ranked(columns), "rank long, whole long, doc long, lo int, n int").join(shared, "rank"), "stretches")
-    groups = stored(found.groupBy("rank", "whole").agg(F.min(F.struct("doc", "lo", "n")).alias("first"), F.count("*").alias("copies")), "groups")
-    copies = (found.join(groups.where("copies > 1").select("rank", "whole", "first"), ["rank", "whole"])
-              .where("struct(doc, lo, n) > first").select("doc", "lo", "n"))
-    crowded = groups.groupBy("rank").agg(F.count("*").alias("wholes")).where("wholes > 1").select("rank")
+    found = docs.select("doc", "text").mapInArrow(ranked(columns), "rank long, whole long, doc long, lo int, n int")
+    shared = stored(_beside(found, ["rank", "whole", "doc", "lo", "n"]), "stretches")  # they travel once, to their rank
+    copies = shared.where("later").select("doc", "lo", "n")
     # at most one entry for each window of one text
-    open_ones = (groups.join(crowded, "rank").select("first.*").groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("open")))
-    windows = stored(narrow.join(open_ones, "doc").mapInArrow(spread, "rank long, doc long, lo int"), "windows")
-    earliest = (windows.groupBy("rank").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count("*").alias("copies"))
-                .where("copies > 1").select("rank", "first"))
-    later = windows.join(earliest, "rank").where("struct(doc, lo) > first").select("doc", "lo", F.lit(1).alias("n"))
+    open_ones = shared.where("not later").groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("open"))
+    windows = packing(docs.select("doc", "text")).join(open_ones, "doc").mapInArrow(spread, "rank long, doc long, lo int")
+    later = _beside(windows, ["rank", "doc", "lo"]).where("later").select("doc", "lo", F.lit(1).alias("n"))
     return copies.unionByName(later)
 
 
@@ -151,15 +186,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     long = keyed.where(F.octet_length("sd_text") >= length).select(F.col("sd_doc").alias("doc"), F.col("sd_text").alias("text"))
     # at most one entry for each window of one text
     runs = stored(repeated_windows(long, length).groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("sd_runs")), "runs")
-    whole = keyed.join(runs.withColumnRenamed("doc", "sd_doc"), "sd_doc", "left")
     columns = docs.columns
+    # A text travels packed; where it is a string it is put back from that.
+    same = isinstance(docs.schema["text"].dataType, T.StringType)
+    sent = keyed.withColumn("sd_text", F.col("text").cast("string"))
+    whole = packing(sent.drop("text") if same else sent, "sd_text").join(runs.withColumnRenamed("doc", "sd_doc"), "sd_doc", "left")
 
     def cut(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in read:
-            for part in sliced(batch, column="sd_text"):
+            for part in sliced(batch, CHUNK, column="sd_text"):
+                texts = unpacked(part.column("sd_text"))
                 out: list[tuple[bytes, int, int, int]] = []
-                for text, given in zip(part.column("sd_text"), part.column("sd_runs"), strict=True):
-                    raw = text.as_py().encode()
+                for raw, given in zip([t or b"" for t in texts], part.column("sd_runs"), strict=True):
                     runs = np.zeros((0, 2), np.int64)
                     if given.is_valid:
                         lo, n = (given.values.field(f).to_numpy().astype(np.int64) for f in ("lo", "n"))
@@ -168,10 +206,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     ends = [0, *runs.ravel().tolist(), len(raw)]
                     kept = b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
                     out.append((kept, len(raw), len(raw) - len(kept), len(runs)))
-                arrays = [part.column(c) for c in columns] + [pa.array([o[0] for o in out], pa.binary())]
+                whole = pa.array(texts, pa.binary()).cast(pa.string()) if same else None
+                arrays = [whole if same and c == "text" else part.column(c) for c in columns] + [pa.array([o[0] for o in out], pa.binary())]
                 arrays += [pa.array([o[i] for o in out], pa.int64()) for i in (1, 2, 3)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "kept", "n_bytes", "n_removed", "n_spans"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return whole.select(*docs.columns, "sd_text", "sd_runs").mapInArrow(
+    return whole.select(*(f"`{c}`" for c in columns if c != "text" or not same), "sd_text", "sd_runs").mapInArrow(
         cut, f"{schema}, kept binary, n_bytes long, n_removed long, n_spans long")
