@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tilewright.llm import frames, spots
 from tilewright.llm.idfile import pack_numbers, read_token_file, token_file, unpack_numbers
 from tilewright.llm.language import END, LogBloom, _look, chances, contexts_of, language_scores, pair_hashes, passes, tokens, train
 from tilewright.llm.licenses import scan_licenses
@@ -280,6 +281,28 @@ def test_spots(docs, none):
     assert next(r for r in rows if r.doc_id == 11).edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
 
 
+def test_spots_in_parts(spark, monkeypatch):
+    """Fingerprints and likeness by brute force over parts of a few rows, with nothing written down."""
+    draw = np.random.default_rng(8)
+    rows = [(None if i == 5 else i // 2 * 3, " ".join(f"w{k}" for k in draw.zipf(1.5, int(draw.integers(0, 60))) % 500)) for i in range(120)]
+    rows += [rows[0]] * 3 + [(9, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(spots.part_starts, "__defaults__", (300,))
+    written = []
+    monkeypatch.setattr(frames, "new_folder", lambda *args: written.append(args))
+    got = sorted(map(tuple, fingerprints(frame).collect()), key=str)
+    tie = {r.text: r.tie for r in frame.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text")).collect()}
+    ordered = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]]))
+    common, want = spots.common_words(frame), []
+    for (doc, text), (_, after) in zip(ordered, [*ordered[1:], ordered[0]], strict=True):
+        edited = spots.edited_text(text, after)
+        own, other, following = (spots.spot_set(t, common) for t in (text, edited, after))
+        want.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), spots.fingerprint_text(own), spots.fingerprint_text(other),
+                     spots.likeness(own, other), spots.likeness(own, following)))
+    assert got == sorted(want, key=str) and len(spots.part_starts(frame.withColumn("tie", F.xxhash64("text")).na.fill("", ["text"]))) > 20
+    assert not written
+
+
 def test_licenses(spark, none):
     frame = spark.createDataFrame([(1, "a\nReleased under the MIT License.\nb"), (2, "Licensed under the Apache License, Version 2.0"),
                                    (3, "He had a license to fish."), (4, None), (None, "")], "doc_id long, text string")

@@ -8,19 +8,20 @@ Jaccard similarity, and only if their lengths allow the similarity asked for.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.frames import sliced, stored
+from tilewright.llm.frames import packed, sliced, unpacked
 from tilewright.llm.words import chunks, hashed_words, join_hashes, mix
 
 ANCHORS = 64
 CHAIN = 2
+PART_BYTES = 1 << 24  # text of neighbouring documents handled by one task
 _FIELDS = [("doc_id", "long"), ("n_chars", "long"), ("edited_sha256", "string"), ("fingerprint", "string"),
            ("edited_fingerprint", "string"), ("near_edited", "double"), ("near_next", "double")]
 _ARROW = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
@@ -80,6 +81,32 @@ def edited_text(text: str, after: str) -> str:
     return text[:len(text) - n] + after[:n]
 
 
+def _order(doc: int | None, tie: int) -> tuple[bool, int, int]:
+    """Null ids first, equal ones by the hash of their text."""
+    return doc is not None, doc or 0, tie
+
+
+def part_starts(keyed: DataFrame, most: int = PART_BYTES) -> list[tuple[bool, int, int]]:
+    """Where parts of about ``most`` bytes begin in the order of ``doc_id`` and ``tie``: keys of rows, the first of all among them."""
+
+    def begin(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = most, None
+        for batch in read:
+            found = []
+            for doc, tie, size in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tie", "size")), strict=True):
+                if held >= most and (doc, tie) != last:
+                    held = 0
+                    found.append((doc, tie))
+                held, last = held + size, (doc, tie)
+            if found:
+                docs, ties = zip(*found, strict=True)
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64()), "tie": pa.array(ties, pa.int64())})
+
+    sizes = keyed.select("doc_id", "tie", F.octet_length("text").alias("size")).repartitionByRange("doc_id", "tie")
+    rows = sizes.sortWithinPartitions("doc_id", "tie").mapInArrow(begin, "doc_id long, tie long").collect()  # two numbers a part
+    return sorted({_order(r["doc_id"], r["tie"]) for r in rows})
+
+
 def fingerprints(docs: DataFrame, anchors: int = ANCHORS, chain: int = CHAIN) -> DataFrame:
     """Fingerprints of ``docs`` (``doc_id``, ``text``) and of their edited texts, each likened to the next document's.
 
@@ -87,48 +114,46 @@ def fingerprints(docs: DataFrame, anchors: int = ANCHORS, chain: int = CHAIN) ->
     document's next is the first. Texts without words have the empty fingerprint. Other columns are left out; an empty table gives no rows.
     """
     common = common_words(docs, anchors)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+                        ).withColumn("tie", F.xxhash64("text"))
+    starts = part_starts(keyed)
 
-    def row(doc, text: str, after: str) -> tuple:
-        edited = edited_text(text, after)
-        own, other, following = (spot_set(t, common, chain) for t in (text, edited, after))
-        return (doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), fingerprint_text(own), fingerprint_text(other),
-                likeness(own, other), likeness(own, following))
-
-    names = [f for f, _ in _FIELDS]
-    ends = [("part", pa.int64()), ("first_text", pa.string()), ("last_id", pa.int64()), ("last_text", pa.string())]
-    schema = pa.schema([(f, _ARROW[t]) for f, t in _FIELDS] + ends)
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    def inside(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, last = None, None
+    def place(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in read:
+            for some in sliced(batch):
+                keys = [*map(_order, some.column("doc_id").to_pylist(), some.column("tie").to_pylist())]
+                parts = [bisect_right(starts, k) - 1 for k in keys]
+                lead = [i for i, k in enumerate(keys) if starts[parts[i]] == k]
+                at = pa.array([*range(len(keys)), *lead], pa.int64())
+                sent = pa.array(parts + [(parts[i] - 1) % len(starts) for i in lead], pa.int32())
+                after = pa.array([False] * len(keys) + [True] * len(lead))
+                texts = packed(some.column("text"))
+                yield pa.RecordBatch.from_pydict({"part": sent, "after": after, "doc_id": some.column("doc_id").take(at),
+                                                  "tie": some.column("tie").take(at), "text": texts.take(at)})
+
+    schema = pa.schema([(f, _ARROW[t]) for f, t in _FIELDS])
+
+    def made(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in read:
-            for part in sliced(batch, 1 << 22):
+            for some in sliced(batch, 1 << 20):
                 rows = []
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    if last is None:
-                        first = text
-                    else:
-                        rows.append((*row(*last, text), None, None, None, None))
-                    last = (doc, text)
+                for after, doc, raw in zip(some.column("after").to_pylist(), some.column("doc_id").to_pylist(), unpacked(some.column("text")), strict=True):
+                    if after and last is None:
+                        continue  # another row like the one that begins the next part
+                    text = raw.decode()
+                    spots = spot_set(text, common, chain)
+                    if last is not None:
+                        before, whole, own = last
+                        edited = edited_text(whole, text)
+                        other = spot_set(edited, common, chain)
+                        rows.append((before, len(whole), hashlib.sha256(edited.encode()).hexdigest(), fingerprint_text(own),
+                                     fingerprint_text(other), likeness(own, other), likeness(own, spots)))
+                    last = None if after else (doc, text, spots)
                 if rows:
-                    yield batch_of(rows)
-        if last is not None:
-            yield batch_of([(*[None] * len(names), TaskContext.get().partitionId(), first, *last)])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    def across(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in read:
-            for one in batch.to_pylist():
-                yield batch_of([(*row(one["last_id"], one["last_text"], one["after"]), None, None, None, None)]).select(names)
-
-    kinds = ", ".join(f"{f} {t}" for f, t in _FIELDS)
-    placed = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-              .withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie"))
-    made = stored(placed.mapInArrow(inside, f"{kinds}, part long, first_text string, last_id long, last_text string"), "spots")
-    # One row for each task, with two texts.
-    edges = made.where("part is not null").select("part", "first_text", "last_id", "last_text")
-    order = Window.orderBy("part")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    edges = edges.withColumn("after", F.coalesce(F.lead("first_text").over(order), F.first("first_text").over(whole)))
-    return made.where("part is null").select(*names).unionByName(edges.select("last_id", "last_text", "after").mapInArrow(across, kinds))
+    # A part ends with the first row of the next, so what is made of it need not be kept.
+    placed = (keyed.mapInArrow(place, "part int, after boolean, doc_id long, tie long, text binary").repartition(max(1, len(starts)), "part")
+              .sortWithinPartitions("part", "after", "doc_id", "tie"))
+    return placed.mapInArrow(made, ", ".join(f"{f} {t}" for f, t in _FIELDS))
