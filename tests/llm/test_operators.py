@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 import zlib
 
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tilewright.llm import frames, spots
+from tilewright.llm import frames, language, spots
 from tilewright.llm.idfile import pack_numbers, read_token_file, token_file, unpack_numbers
 from tilewright.llm.language import END, LogBloom, _look, chances, contexts_of, language_scores, pair_hashes, passes, tokens, train
 from tilewright.llm.licenses import scan_licenses
@@ -208,6 +209,21 @@ def test_language_passes(spark, docs):
         assert a[:5] == b[:5] and abs(a.base_score - b.base_score) < 1e-6 and abs(a.score - b.score) < 1e-6
 
 
+def test_language_pieces(spark, docs, monkeypatch):
+    """The model reaches the tasks in pieces of a bounded size, and scores do not depend on it."""
+    monkeypatch.setattr(language, "SHARD_TOKENS", 700)
+    model = train(docs)
+    whole = sorted(language_scores(docs, model).collect(), key=str)
+    sizes, send = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(language, "SHARDS_SENT", 2)
+    monkeypatch.setattr(language, "WORDS_SENT", 500)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sizes.append(len(pickle.dumps(value))) or send(self, value))
+    parts = sorted(language_scores(docs, model, shards_at_once=7).collect(), key=str)
+    assert model["shards"] > 14 and len(sizes) > 20 and max(sizes) < 20_000
+    for a, b in zip(whole, parts, strict=True):
+        assert a[:5] == b[:5] and abs(a.base_score - b.base_score) < 1e-6 and abs(a.score - b.score) < 1e-6
+
+
 def test_language_brute_force(spark):
     """Scores by dictionaries, and chances that sum to 1 after every token."""
     draw = np.random.default_rng(5)

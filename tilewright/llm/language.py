@@ -9,7 +9,7 @@ and ``L = max(c - Q, 0) + PRIOR``, the second token follows with probability ``(
 of all tokens. This sums to 1 over all tokens and one unknown, but for pairs found that were never seen.
 
 The filter is built in shards of pairs, each by one task, and grows with the corpus. No more than ``SHARDS_AT_ONCE`` shards and two
-parts of the vocabulary of ``WORDS_AT_ONCE`` words are broadcast at once: scores are sums over tokens, so each pass over the texts adds
+parts of the vocabulary of ``WORDS_AT_ONCE`` words are broadcast at once, piece by piece, so that the driver holds one piece: scores are sums over tokens, so each pass over the texts adds
 what the shards and words at hand give. The number of passes grows with the corpus, memory does not.
 """
 
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ PRIOR = 20.0  # weight of the single token against the pair
 SHARD_TOKENS = 1 << 20
 SHARDS_AT_ONCE = 64  # 5 MB each at most
 WORDS_AT_ONCE = 1 << 22  # 24 bytes each
+SHARDS_SENT = 8  # in one piece
+WORDS_SENT = 1 << 19  # in one piece
 END = mixed(0x656E64)
 
 
@@ -108,6 +111,58 @@ class LogBloom:
         return out
 
 
+class SentFilters:
+    """Pieces of the filter, each broadcast by itself."""
+
+    def __init__(self, pieces: list[Broadcast], shards: int):
+        self.pieces, self.shards = pieces, shards
+
+    def counts(self, hashes: np.ndarray, which: np.ndarray | None = None) -> np.ndarray:
+        """What ``LogBloom.counts`` gives of all pieces joined; ``which`` counts shards from the first of the pass."""
+        which = np.zeros(len(hashes), np.int64) if which is None else which
+        out = np.zeros(len(hashes), np.int64)
+        for piece in self.pieces:
+            held, bloom = piece.value
+            place = np.full(self.shards, -1, np.int64)
+            place[held] = np.arange(len(held))
+            some = np.flatnonzero(place[which] >= 0)
+            out[some] = bloom.counts(hashes[some], place[which[some]])
+        return out
+
+    def destroy(self) -> None:
+        for piece in self.pieces:
+            piece.destroy()
+
+
+class SentWords:
+    """Pieces of a part of the vocabulary, each broadcast by itself: sorted hashes with ``c`` and ``q``."""
+
+    def __init__(self, pieces: list[Broadcast], parts: int):
+        self.pieces, self.parts = pieces, parts
+
+    def __getitem__(self, column: str) -> np.ndarray:
+        """A column of all pieces; only small vocabularies are looked at like this."""
+        return np.concatenate([piece.value[column] for piece in self.pieces])
+
+    def look(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = hashes.view(np.int64)
+        c, q = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+        piece_of = np.mod(own, self.parts * len(self.pieces)) // self.parts
+        for i, piece in enumerate(self.pieces):
+            words = piece.value
+            if not len(words["hash"]):
+                continue
+            some = np.flatnonzero(piece_of == i)
+            at = np.minimum(np.searchsorted(words["hash"], own[some]), len(words["hash"]) - 1)
+            hit = words["hash"][at] == own[some]
+            c[some], q[some] = np.where(hit, words["c"][at], 0), np.where(hit, words["q"][at], 0)
+        return c, q
+
+    def destroy(self) -> None:
+        for piece in self.pieces:
+            piece.destroy()
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
@@ -198,37 +253,49 @@ def train(docs: DataFrame) -> dict:
 def passes(model: dict, shards_at_once: int, words_at_once: int) -> Iterator[tuple[dict, bool, bool]]:
     """What is at hand in each pass, and whether the pass is the first over all tokens and the first with its second tokens."""
     parts = max(1, -(-model["known"] // words_at_once))
+    pieces = max(1, -(-min(words_at_once, model["known"]) // WORDS_SENT))
+    send = model["words"].sparkSession.sparkContext.broadcast
 
-    def words_of(part: int) -> dict[str, np.ndarray]:
-        table = model["words"].where(F.pmod("hash", F.lit(parts)) == part).toArrow()  # about words_at_once rows
+    def piece_of(part: int, piece: int) -> dict[str, np.ndarray]:
+        table = model["words"].where(F.pmod("hash", F.lit(parts * pieces)) == piece * parts + part).toArrow()  # about WORDS_SENT rows
         own = {c: table[c].to_numpy() for c in ("hash", "c", "q")}
         order = np.argsort(own["hash"])
         return {c: v[order] for c, v in own.items()}
 
+    def words_of(part: int) -> SentWords:
+        return SentWords([send(piece_of(part, piece)) for piece in range(pieces)], parts)
+
+    def filters_of(group: int, count: int) -> SentFilters:
+        rows = model["filters"].where(F.col("shard").between(group, group + count - 1)).select("shard", "bits")
+        sent, held = [], {}
+        for row in rows.toLocalIterator():
+            held[row.shard - group] = row.bits
+            if len(held) == min(SHARDS_SENT, count):
+                sent.append(send((np.array([*held], np.int64), LogBloom.joined([*held.values()]))))
+                held.clear()
+        if held:
+            sent.append(send((np.array([*held], np.int64), LogBloom.joined([*held.values()]))))
+        return SentFilters(sent, count)
+
     for group in range(0, model["shards"], shards_at_once):
-        shards = range(group, min(group + shards_at_once, model["shards"]))
-        rows = model["filters"].where(F.col("shard").between(shards[0], shards[-1])).select("shard", "bits")
-        held = {row.shard: row.bits for row in rows.toLocalIterator()}  # at most shards_at_once filters
-        bloom = LogBloom.joined([held.get(s, bytes(8)) for s in shards])
-        held.clear()
+        count = min(shards_at_once, model["shards"] - group)
+        bloom = filters_of(group, count)
         for i in range(parts):
             first = words_of(i)
             for j in range(parts):
                 second = first if i == j else words_of(j)
-                hand = {"parts": parts, "i": i, "j": j, "first": first, "second": second, "bloom": bloom, "shards": model["shards"],
-                        "from": group, "known": model["known"], "total": model["total"]}
-                if i == j == parts - 1:
-                    del bloom
-                yield hand, group == i == j == 0, group == i == 0
+                yield ({"parts": parts, "i": i, "j": j, "first": first, "second": second, "bloom": bloom, "shards": model["shards"],
+                        "from": group, "until": group + count, "known": model["known"], "total": model["total"]},
+                       group == i == j == 0, group == i == 0)
+                if i != j:
+                    second.destroy()
+            first.destroy()
+        bloom.destroy()
 
 
-def _look(words: dict[str, np.ndarray], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _look(words: SentWords, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``c`` and ``q`` of each hash, 0 if unknown."""
-    if not len(words["hash"]):
-        return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(words["hash"], hashes.view(np.int64)), len(words["hash"]) - 1)
-    hit = words["hash"][at] == hashes.view(np.int64)
-    return np.where(hit, words["c"][at], 0), np.where(hit, words["q"][at], 0)
+    return words.look(hashes)
 
 
 def chances(hand: dict, first: tuple[np.ndarray, np.ndarray], second: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -247,7 +314,6 @@ def language_scores(docs: DataFrame, model: dict, held_out: Column | None = None
     A null text is empty, and an empty text is its end alone. Null ids stay null, repeated rows are scored alike, an empty training
     set knows no token and gives every token one chance in one. Other columns are left out. The passes run when this is called.
     """
-    spark = docs.sparkSession
     out = F.lit(False) if held_out is None else held_out
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), F.md5(text).alias("key"), text.alias("text"))
@@ -255,11 +321,8 @@ def language_scores(docs: DataFrame, model: dict, held_out: Column | None = None
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("key", pa.string()), *sums.items()])
     added = None
     for hand, first_of_all, first_of_word in passes(model, shards_at_once, words_at_once):
-        at_hand = spark.sparkContext.broadcast(hand)
-        hand.clear()  # the driver holds what is at hand once, and only until it is sent
-        def apply(read: Iterator[pa.RecordBatch], at_hand=at_hand, count=first_of_all, base=first_of_word) -> Iterator[pa.RecordBatch]:
-            m = at_hand.value
-            lo, hi = m["from"], m["from"] + len(m["bloom"].begins)
+        def apply(read: Iterator[pa.RecordBatch], m=hand, count=first_of_all, base=first_of_word) -> Iterator[pa.RecordBatch]:
+            lo, hi = m["from"], m["until"]
             for batch in read:
                 for part in sliced(batch, 1 << 22):
                     rows = []
@@ -288,7 +351,6 @@ def language_scores(docs: DataFrame, model: dict, held_out: Column | None = None
         # Rows that agree in id and text have one result, given as often as they stand.
         own = stored(given.mapInArrow(apply, kinds).groupBy("doc_id", "held_out", "key").agg(
             F.count("*").alias("copies"), *(F.min(c).alias(c) for c in sums)), "pass")
-        at_hand.destroy()
         added = own if added is None else added.unionByName(own)
     whole = added.groupBy("doc_id", "held_out", "key").agg(F.min("copies").cast("int").alias("copies"), *(F.sum(c).alias(c) for c in sums))
     return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model["total"]).cast("long").alias("train_tokens"),
