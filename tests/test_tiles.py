@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import io
 import random
 import re
 
@@ -18,7 +20,7 @@ from tilewright.operators.mvt import tile_address
 from tilewright.operators.publish import tile_etags
 from tilewright.operators.cover import cover, requested
 from tilewright.plans import tiles as plans
-from tilewright.sources.layers import as_layer, with_boxes, with_parts, with_points
+from tilewright.sources.layers import as_layer, with_boxes, with_parts, with_points, with_segments
 
 
 def read_tiles(rows) -> dict:
@@ -407,3 +409,19 @@ def test_areas_go_down_once(spark, monkeypatch):
     assert {r.n_parts > 1 for r in found} == {True, False}
     assert read_tiles(found) == want
     assert sum(r.n_features for r in found) == sum(len(t[3]) for t in want.values())
+
+
+@pytest.mark.parametrize("kind", ["points", "lines"])
+def test_features_are_read_by_code_that_the_jvm_compiles(spark, kind):
+    """The box is projected once, not again for each comparison of the filter; longer methods are interpreted."""
+    raw = spark.range(9).selectExpr("id", "cast(id * 7919 % 36000 as double) / 100 - 180 as a", "cast(id * 104729 % 16000 as double) / 100 - 80 as b",
+                                    "timestamp_seconds(id) as at")
+    if kind == "points":
+        made = as_layer(with_points(raw, "a", "b"), "made", drop=("a", "b"))
+    else:
+        made = as_layer(with_segments(raw.withColumn("c", F.col("a") + 1).withColumn("d", F.col("b") + 1), "a", "b", "c", "d"), "made")
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        plans._features(made, TileOptions()).frame.explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", shown.getvalue())]
+    assert sizes and max(sizes) <= 8000
