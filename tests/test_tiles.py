@@ -425,3 +425,29 @@ def test_features_are_read_by_code_that_the_jvm_compiles(spark, kind):
         plans._features(made, TileOptions()).frame.explain("codegen")
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", shown.getvalue())]
     assert sizes and max(sizes) <= 8000
+
+
+@pytest.mark.parametrize("base", [0, 100, 20_000, 3_000_000])
+def test_size_of_a_finished_part(base):
+    n = 500
+    table = pa.table({"tile_no": pa.array(np.zeros(n, np.int64)), "bucket": pa.array(np.zeros(n, np.int64)),
+                      "flag": pa.array([None if i % 7 == 0 else str(i) for i in range(n)]), "more": pa.array([None, "a" * 200] * (n // 2)),
+                      "step_x": pa.array(np.arange(n) * 40), "step_y": pa.array(np.arange(n))})
+    row = mvt.encode_parts(table, ["flag", "more"], POINT).to_pylist()[0] | {"value_base": base}
+    assert mvt.finished_size(row) == len(mvt.finish_part(row))
+
+
+def test_points_of_large_tiles_only_are_not_multiplied(spark, monkeypatch):
+    """Points on the edges of large tiles still come to the other tiles that they touch; every tile holds all of its points."""
+    rows = [(i, -100.0 + i % 10, 40.0 + i % 9) for i in range(600)] + [(1000 + i, -90.0, 66.51326044311186) for i in range(5)]
+    rows += [(2000 + i, 0.0, -10.0) for i in range(3)] + [(3000 + i, 100.0, 10.0) for i in range(4)]
+    made = as_layer(with_points(spark.createDataFrame(rows, "id bigint, lon double, lat double"), "lon", "lat"), "made", drop=("lon", "lat"))
+    want = read_tiles(plans.tile_pyramid(made, 0, 3).collect())
+    monkeypatch.setattr(plans, "BLOCK_BYTES", 4000)
+    kept = []
+    thinned = plans._seldom_met
+    monkeypatch.setattr(plans, "_seldom_met", lambda *a: kept.append(thinned(*a)) or kept[-1])
+    found = plans.tile_pyramid(made, 0, 3).collect()
+    assert read_tiles(found) == want
+    assert {r.n_parts > 1 for r in found} == {True, False}
+    assert 0 < kept[0].count() < 100
