@@ -60,6 +60,18 @@ def unpacked(column: pa.Array) -> list[bytes | None]:
     return [None if t is None else press.decompress(t) for t in column.to_pylist()]
 
 
+def opened(batch: pa.RecordBatch, most_bytes: int = 1 << 21, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """A batch with its packed texts unpacked, in pieces of a bounded amount of text; a longer text is a piece of its own."""
+    press, at = zstandard.ZstdDecompressor(), batch.schema.get_field_index(column)
+    held, size, start = [], 0, 0
+    for row, text in enumerate(batch.column(at)):
+        held.append(press.decompress(text.as_buffer()) if text.is_valid else None)
+        size += len(held[-1] or b"")
+        if size >= most_bytes or row + 1 == batch.num_rows:
+            yield batch.slice(start, len(held)).set_column(at, column, pa.array(held, pa.large_binary()))
+            held, size, start = [], 0, row + 1
+
+
 def packing(frame: DataFrame, column: str = "text") -> DataFrame:
     """``frame`` with a text column packed."""
     at = frame.columns.index(column)

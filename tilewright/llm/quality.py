@@ -20,6 +20,7 @@ from tilewright.llm.words import LOWER, chunks, join_hashes, mix, prefix_sums, s
 BITS = 18
 SAMPLE_ROWS = 20_000
 PASSES = 4
+SLICE = 1 << 20  # bytes of text looked at together
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[128:] = True
@@ -75,29 +76,40 @@ def train(labelled: DataFrame, bits: int = BITS, passes: int = PASSES) -> np.nda
 
     def describe(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in read:
-            for part in sliced(batch):
+            for part in sliced(batch, SLICE):
                 rows = []
-                for _, data, where in chunks(part.column("text")):
+                for _, data, where in chunks(part.column("text"), SLICE):
                     at, before = features(data, where, bits)
                     for a, b in zip(before[:-1], before[1:], strict=True):
                         own, count = np.unique(at[a:b], return_counts=True)
-                        rows.append((own.astype(np.int32).tobytes(), (count / np.sqrt(max(1, b - a))).tobytes()))
-                yield pa.RecordBatch.from_arrays([part.column("place"), part.column("label"), pa.array([r[0] for r in rows], pa.binary()),
-                                                  pa.array([r[1] for r in rows], pa.binary())], names=["place", "label", "at", "x"])
+                        least = np.min_scalar_type(count.max(initial=0))  # most counts take one byte
+                        rows.append((own.astype(np.int32).tobytes(), count.astype(least).tobytes(), int(b - a)))
+                yield pa.RecordBatch.from_arrays([
+                    part.column("place"), part.column("label"), pa.array([r[0] for r in rows], pa.binary()),
+                    pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())],
+                    names=["place", "label", "at", "counts", "total"])
 
     def learn(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(np.append(np.frombuffer(a, np.int32), 1 << bits), np.append(np.frombuffer(x, np.float64), 1.0), float(y))
-                for batch in read for a, x, y in zip(*(batch.column(c).to_pylist() for c in ("at", "x", "label")), strict=True)]
+        # rows stay as they came, five bytes for most features, and are widened one at a time
+        held = [batch.select(["at", "counts", "total", "label"]) for batch in read]
+
+        def row(at: pa.Scalar, counts: pa.Scalar, total: int, label: int) -> tuple[np.ndarray, np.ndarray, float]:
+            own, n = np.frombuffer(at.as_buffer(), np.int32), counts.as_buffer()
+            n = np.frombuffer(n, f"<u{n.size // max(1, len(own)) or 1}").astype(float)
+            return np.append(own, 1 << bits), np.append(n / np.sqrt(max(1, total)), 1.0), float(label)
+
         model = Leader(bits)
         for _ in range(passes):
-            for row in rows:
-                model.step(*row)
+            for batch in held:
+                for at, counts, total, label in zip(batch.column("at"), batch.column("counts"), batch.column("total").to_pylist(),
+                                                    batch.column("label").to_pylist(), strict=True):
+                    model.step(*row(at, counts, total, label))
         weights = model.weights()
         used = np.flatnonzero(weights)
         yield pa.RecordBatch.from_pydict({"at": used, "w": weights[used]})
 
     chosen = labelled.withColumn("place", F.xxhash64(doc_key())).select("place", "text", F.col("label").cast("int").alias("label"))
-    seen = (chosen.mapInArrow(describe, "place long, label int, at binary, x binary").repartition(1)
+    seen = (chosen.mapInArrow(describe, "place long, label int, at binary, counts binary, total long").repartition(1)
             .sortWithinPartitions("place", "label", "at"))
     weights = np.zeros((1 << bits) + 1)
     for row in seen.mapInArrow(learn, "at long, w double").collect():  # no more than the model's size
@@ -119,9 +131,9 @@ def score(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFram
 
     def apply(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in read:
-            for part in sliced(batch):
+            for part in sliced(batch, SLICE):
                 sums = []
-                for _, data, where in chunks(part.column("text").cast(pa.string())):
+                for _, data, where in chunks(part.column("text").cast(pa.string()), SLICE):
                     at, before = features(data, where, bits)
                     for a, b in zip(before[:-1], before[1:], strict=True):
                         sums.append(weights[-1] + weights[at[a:b]].sum() / np.sqrt(max(1, b - a)))

@@ -41,7 +41,7 @@ from tilewright.llm.chosenpath import (
     set_key,
 )
 from tilewright.llm.components import components
-from tilewright.llm.frames import sliced, stored
+from tilewright.llm.frames import opened, packing, sliced, stored, unpacked
 from tilewright.llm.words import chunks, hashed_words, mix, mixed, shingle_sets
 
 SKETCH_BITS = 18  # counters of the sketch of signature frequencies; any value gives the same links
@@ -116,7 +116,7 @@ def described(docs: DataFrame, words: int) -> DataFrame:
 
     def describe(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in read:
-            for part in sliced(batch, 1 << 22):
+            for part in sliced(batch, 1 << 21):
                 sets = list(_sets_of(part.column("text"), words))
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
@@ -159,15 +159,15 @@ def may_link(rows: list[bytes], sizes: np.ndarray, numer: int) -> np.ndarray:
 
 
 def set_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``id``, ``key`` and ``text`` of a document of each class, and of rows that repeat its id."""
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    """``id``, ``key`` and packed ``text`` of a document of each class, and of rows that repeat its id."""
+    texts = packing(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     return texts.join(classes.select("doc_id", "id", "key"), "doc_id").select("id", "key", "text")
 
 
 def _sets(read: Iterator[pa.RecordBatch], words: int) -> Iterator[list[tuple[int, np.ndarray]]]:
     """Classes and their sets, batch by batch."""
     for batch in read:
-        for part in sliced(batch, 1 << 22):
+        for part in opened(batch):
             sets = _sets_of(part.column("text"), words)
             # a repeated id may stand for other texts
             yield [(i, own) for i, key, own in zip(part.column("id").to_pylist(), part.column("key").to_pylist(), sets, strict=True)
@@ -352,14 +352,15 @@ def clusters(nodes: DataFrame, numer: int) -> DataFrame:
 def confirmed(texts: DataFrame, members: DataFrame, words: int, numer: int) -> DataFrame:
     """Links ``a``, ``b`` that connect what similar pairs of full sets connect in each cluster (``cluster``, ``id``).
 
-    Texts travel, not sets, which take more room; a cluster has no more members than two chunks.
+    Texts travel packed, not sets, which take more room; a cluster has no more members than two chunks.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def link(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, keys, texts in _node_runs(read, ["id", "key", "text"]):
             own = {}
-            for i, key, one in zip(ids, keys, _sets_of(pa.array(texts, pa.large_string()), words), strict=True):
+            whole = pa.array(unpacked(pa.array(texts, pa.binary())), pa.large_binary())
+            for i, key, one in zip(ids, keys, _sets_of(whole, words), strict=True):
                 if set_key(one) == key:  # a repeated id may stand for other texts
                     own[i] = one
             names = list(own)

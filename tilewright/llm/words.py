@@ -54,12 +54,12 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Runs of rows of a text column: first row, bytes, and where each row's bytes begin and end. Null is empty."""
+    """Runs of rows of a column of texts or their bytes: first row, bytes, and where each row's bytes begin and end. Null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = column.fill_null("")
-    wide = pa.types.is_large_string(column.type)
+        column = column.fill_null(pa.scalar(b"").cast(column.type))
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     where = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)
     where = where[column.offset:column.offset + len(column) + 1].astype(np.int64)
     held = column.buffers()[2]
