@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_chosenpath import ROWS, brute, corpus, edited, same
 
-from tilewright.llm import setjoin
+from tilewright.llm import quality, setjoin
+from tilewright.llm.frames import doc_key, opened
 from tilewright.llm.queries import QUERIES
 
 
@@ -88,3 +90,31 @@ def test_query_against_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     found = [(r.doc_id, r.n_shingles, r.component_id) for r in QUERIES["op1_ngram_join"](spark, sf).collect()]
     same(found, wanted(rows, 4, 85))
+
+
+def test_texts_travel_packed(spark):
+    docs = frame(spark, [(i, f"word{i} " * 5000) for i in range(3)] + [(7, None)])
+    classes = spark.createDataFrame([(i, 10 + i, b"k") for i in (0, 2, 7)], "doc_id long, id long, key binary")
+    found = setjoin.set_texts(docs, classes).collect()
+    assert {r.id for r in found} == {10, 12, 17}
+    assert all(r.text is None or len(r.text) < 1000 for r in found)
+    batch = pa.RecordBatch.from_pydict({"id": [r.id for r in found], "text": pa.array([r.text for r in found], pa.binary())})
+    pieces = list(opened(batch, 20_000))
+    texts = {i: t for p in pieces for i, t in zip(p.column("id").to_pylist(), p.column("text").to_pylist(), strict=True)}
+    assert texts == {10: b"word0 " * 5000, 12: b"word2 " * 5000, 17: None}
+    assert len(pieces) > 1
+
+
+def test_training_rows_are_narrow_and_exact(spark):
+    """Counts above a byte's range and empty texts give the weights of the plain formula."""
+    texts = [("a b " * 400, 1), ("", 0), ("c d e", 0), ("a c " * 70, 1), (None, 0)]
+    docs = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(texts)], "doc_id long, text string, label int")
+    order = [r.doc_id for r in docs.orderBy(F.xxhash64(doc_key())).collect()]
+    model = quality.Leader(10)
+    for _ in range(2):
+        for i in order:
+            data = np.frombuffer((texts[i][0] or "").encode(), np.uint8)
+            at, _ = quality.features(data, np.array([0, len(data)]), 10)
+            own, count = np.unique(at, return_counts=True)
+            model.step(np.append(own, 1 << 10), np.append(count / np.sqrt(max(1, len(at))), 1.0), float(texts[i][1]))
+    assert np.array_equal(quality.train(docs, 10, 2), model.weights())
