@@ -224,6 +224,27 @@ def test_language_pieces(spark, docs, monkeypatch):
         assert a[:5] == b[:5] and abs(a.base_score - b.base_score) < 1e-6 and abs(a.score - b.score) < 1e-6
 
 
+def test_language_workers_hold_one_piece(spark):
+    """A worker asks all pieces of the filter and of the words, and keeps none of them."""
+    hashes = np.arange(1, 4001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    shards = [LogBloom.of(hashes[hashes % np.uint64(4) == k], np.full(int((hashes % np.uint64(4) == k).sum()), 3)) for k in range(4)]
+    send = spark.sparkContext.broadcast
+    filters = language.SentFilters([send((np.array([k]), LogBloom.joined([shards[k].words.tobytes()]))) for k in range(4)], 4)
+    own = np.sort(hashes.view(np.int64))
+    parts = [own[np.mod(own, 4) == k] for k in range(4)]
+    words = language.SentWords([send({"hash": p, "c": p % 97, "q": p % 89}) for p in parts], 1)
+
+    def ask(read):
+        for _ in read:
+            q = filters.counts(hashes, (hashes % np.uint64(4)).astype(np.int64))
+            c = words.look(own.view(np.uint64))
+            right = bool((q == 2).all() and (c[0] == own % 97).all() and (c[1] == own % 89).all())
+            yield pa.RecordBatch.from_pydict({"right": [right], "kept": [sum("_value" in vars(p) for p in (*filters.pieces, *words.pieces))]})
+
+    rows = spark.range(1, numPartitions=1).mapInArrow(ask, "right boolean, kept long").collect()
+    assert [tuple(r) for r in rows] == [(True, 0)]
+
+
 def test_language_brute_force(spark):
     """Scores by dictionaries, and chances that sum to 1 after every token."""
     draw = np.random.default_rng(5)

@@ -10,7 +10,8 @@ of all tokens. This sums to 1 over all tokens and one unknown, but for pairs fou
 
 The filter is built in shards of pairs, each by one task, and grows with the corpus. No more than ``SHARDS_AT_ONCE`` shards and two
 parts of the vocabulary of ``WORDS_AT_ONCE`` words are broadcast at once, piece by piece, so that the driver holds one piece: scores are sums over tokens, so each pass over the texts adds
-what the shards and words at hand give. The number of passes grows with the corpus, memory does not.
+what the shards and words at hand give. The number of passes grows with the corpus, memory does not. A Python worker holds one
+piece at a time, read from the file in which its executor keeps it; a chunk of texts asks every piece once.
 """
 
 from __future__ import annotations
@@ -111,6 +112,12 @@ class LogBloom:
         return out
 
 
+def read_anew(piece: Broadcast):
+    """Value of a piece that the worker does not keep; an encrypted piece has no file of its own and is kept."""
+    path = getattr(piece, "_path", None)
+    return piece.value if path is None or hasattr(piece, "_value") else piece.load_from_path(path)
+
+
 class SentFilters:
     """Pieces of the filter, each broadcast by itself."""
 
@@ -122,7 +129,7 @@ class SentFilters:
         which = np.zeros(len(hashes), np.int64) if which is None else which
         out = np.zeros(len(hashes), np.int64)
         for piece in self.pieces:
-            held, bloom = piece.value
+            held, bloom = read_anew(piece)
             place = np.full(self.shards, -1, np.int64)
             place[held] = np.arange(len(held))
             some = np.flatnonzero(place[which] >= 0)
@@ -149,7 +156,7 @@ class SentWords:
         c, q = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
         piece_of = np.mod(own, self.parts * len(self.pieces)) // self.parts
         for i, piece in enumerate(self.pieces):
-            words = piece.value
+            words = read_anew(piece)
             if not len(words["hash"]):
                 continue
             some = np.flatnonzero(piece_of == i)
@@ -332,7 +339,8 @@ def language_scores(docs: DataFrame, model: dict, held_out: Column | None = None
                         # Words repeat, so each is looked up once; every text ends with an end, which is thus among them.
                         own, at = np.unique(hashes, return_inverse=True)
                         at_before = np.append(np.searchsorted(own, END), at[:-1])
-                        (c, _), (first_c, first_q) = _look(m["second"], own), _look(m["first"], own)
+                        first_c, first_q = _look(m["first"], own)
+                        c = first_c if m["second"] is m["first"] else _look(m["second"], own)[0]
                         of_second = np.mod(hashes.view(np.int64), m["parts"]) == m["j"]
                         if base:
                             some = np.flatnonzero(of_second)
