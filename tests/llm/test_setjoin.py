@@ -105,6 +105,21 @@ def test_texts_travel_packed(spark):
     assert len(pieces) > 1
 
 
+def test_texts_without_cluster_stay(spark, monkeypatch):
+    """All wanted texts pass the filter, and nearly all others are left out, for any ids and filters that are too small."""
+    ids = [*range(-3000, 3000, 3), 2**63 - 1, -2**63, 0, None]
+    texts = spark.createDataFrame([(i, f"text {i}") for i in ids], "id long, text string")
+    asked = [(1, -3000), (1, 3), (2, 3), (2, 2**63 - 1), (3, -2**63), (3, 0), (4, 5), (4, None)]
+    members = spark.createDataFrame(asked, "cluster long, id long")
+    want = {i for _, i in asked if i in ids and i is not None}
+    left = [r.id for r in setjoin.wanted(texts, members).collect()]
+    assert want <= set(left) and len(left) < 20
+    assert setjoin.wanted(texts, members.where("false")).count() == 0
+    for bits in (1, 8, 1000):
+        monkeypatch.setattr(setjoin, "FILTER_BITS", bits)
+        assert want <= {r.id for r in setjoin.wanted(texts, members).collect()}
+
+
 def test_training_rows_are_narrow_and_exact(spark):
     """Counts above a byte's range and empty texts give the weights of the plain formula."""
     texts = [("a b " * 400, 1), ("", 0), ("c d e", 0), ("a c " * 70, 1), (None, 0)]

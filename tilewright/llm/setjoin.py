@@ -48,6 +48,7 @@ SKETCH_BITS = 18  # counters of the sketch of signature frequencies; any value g
 BUCKET = 2_000_000  # signatures of a bucket, about
 FREQUENT = 200_000  # a signature whose counter exceeds the mean by so many is dealt over all buckets
 PIECE = 1024  # members of a group in one row
+FILTER_BITS = 1 << 25  # of the filter of wanted ids, 4 MB; any number gives the same links
 REST = np.uint64((1 << 40) - 1)  # what is kept of a signature within its bucket
 
 
@@ -349,6 +350,21 @@ def clusters(nodes: DataFrame, numer: int) -> DataFrame:
             .mapInArrow(compare, "path long, id long").dropDuplicates(["path", "id"]).withColumnRenamed("path", "cluster"))
 
 
+def wanted(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of ``texts`` whose ``id`` may be one of ``members``: all that are, and few others.
+
+    Texts are much larger than ids, so those that no cluster asks for are left out before texts are dealt. The filter has a fixed
+    size and is broadcast; it lets more pass as ids outgrow it.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) + 1
+    held = (members.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("held")))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("held", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    met = (F.bitmap_bucket_number(place) == F.col("bucket")) & (F.getbit(byte, (at % 8).cast("int")) == 1)
+    return texts.join(F.broadcast(held), met, "left_semi")
+
+
 def confirmed(texts: DataFrame, members: DataFrame, words: int, numer: int) -> DataFrame:
     """Links ``a``, ``b`` that connect what similar pairs of full sets connect in each cluster (``cluster``, ``id``).
 
@@ -368,7 +384,7 @@ def confirmed(texts: DataFrame, members: DataFrame, words: int, numer: int) -> D
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array([names[p[k]] for p in pairs], pa.int64()) for k in (0, 1)], schema=schema)
 
-    met = texts.join(members, "id").select(F.col("cluster").alias("path"), "id", "key", "text")
+    met = wanted(texts, members).join(members, "id").select(F.col("cluster").alias("path"), "id", "key", "text")
     return met.repartition("path").sortWithinPartitions("path", "id").mapInArrow(link, "a long, b long")
 
 
