@@ -224,6 +224,33 @@ def test_language_pieces(spark, docs, monkeypatch):
         assert a[:5] == b[:5] and abs(a.base_score - b.base_score) < 1e-6 and abs(a.score - b.score) < 1e-6
 
 
+def test_language_large_models_are_asked(spark, docs, monkeypatch):
+    """Texts are read once, however many shards and words a model has, and get the scores that passes give."""
+    monkeypatch.setattr(language, "SHARD_TOKENS", 700)
+    rows = docs.unionByName(docs.where("doc_id < 3"))
+    held = F.col("doc_id") % 3 == 0
+    model = train(rows.where(~held))
+    whole = sorted(language_scores(rows, model, held, shards_at_once=64).collect(), key=str)
+    for name, value in (("BROADCAST_SHARDS", 2), ("WORDS_SENT", 500), ("SLICE_BYTES", 3000), ("ANSWERED_PAIRS", 100)):
+        monkeypatch.setattr(language, name, value)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(read):
+        for batch in read:
+            seen.add(batch.num_rows)
+            yield batch
+
+    asked = sorted(language_scores(rows.mapInArrow(count, rows.schema), model, held).collect(), key=str)
+    assert model["shards"] > 14 and model["known"] > 1000 and seen.value == len(whole) == len(asked) > len(ROWS)
+    for a, b in zip(whole, asked, strict=True):
+        assert a[:5] == b[:5] and abs(a.base_score - b.base_score) < 1e-6 and abs(a.score - b.score) < 1e-6
+
+
+def test_thin_numbers():
+    for numbers in ([], [0], [2**64 - 1], [5, 5, 2**40, 2**64 - 1], range(0, 3000, 7)):
+        assert language.whole(language.thin(np.array(numbers, np.uint64))).tolist() == [*numbers]
+
+
 def test_language_workers_hold_one_piece(spark):
     """A worker asks all pieces of the filter and of the words, and keeps none of them."""
     hashes = np.arange(1, 4001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)

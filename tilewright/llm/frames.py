@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.operators.checkpoints import shared_folder
+from tilewright.operators.checkpoints import shared_folder, shuffles_dropped
 
 
 def new_folder(frame: DataFrame, name: str) -> str:
@@ -19,9 +19,10 @@ def new_folder(frame: DataFrame, name: str) -> str:
 
 
 def stored(frame: DataFrame, name: str) -> DataFrame:
-    """Write a frame once to the shared folder and read on from there; this cuts its lineage."""
+    """Write a frame once to the shared folder and read on from there; this cuts its lineage and drops its shuffles."""
     folder = new_folder(frame, name)
-    frame.write.option("compression", "zstd").parquet(folder)
+    with shuffles_dropped(frame.sparkSession):
+        frame.write.option("compression", "zstd").parquet(folder)
     return frame.sparkSession.read.schema(frame.schema).parquet(folder)
 
 

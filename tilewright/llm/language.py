@@ -8,10 +8,14 @@ With ``q`` the count read for a pair, ``Q`` the sum of those of all pairs seen a
 and ``L = max(c - Q, 0) + PRIOR``, the second token follows with probability ``(q + L * p) / (Q + L)``, where ``p`` is its smoothed share
 of all tokens. This sums to 1 over all tokens and one unknown, but for pairs found that were never seen.
 
-The filter is built in shards of pairs, each by one task, and grows with the corpus. No more than ``SHARDS_AT_ONCE`` shards and two
-parts of the vocabulary of ``WORDS_AT_ONCE`` words are broadcast at once, piece by piece, so that the driver holds one piece: scores are sums over tokens, so each pass over the texts adds
-what the shards and words at hand give. The number of passes grows with the corpus, memory does not. A Python worker holds one
-piece at a time, read from the file in which its executor keeps it; a chunk of texts asks every piece once.
+The filter is built in shards of pairs, each by one task, and grows with the corpus. A small model is broadcast: piece by piece, so
+that the driver holds one piece. A Python worker holds one piece at a time, read from the file in which its executor keeps it; a chunk
+of texts asks every piece once. Asked to keep fewer shards or words at hand than there are, this takes passes over the texts, as scores
+are sums over tokens; the number of passes would grow with the corpus.
+
+A larger model stays where it is and the texts ask it: a slice of texts sends its distinct pairs to the tasks that hold their shards and its
+distinct words to those that hold their part of the vocabulary, and gets a byte for a pair and two counts for a word. The texts are
+tokenized once, so the work grows with the corpus and memory does not.
 """
 
 from __future__ import annotations
@@ -20,22 +24,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.frames import sliced, stored
+from tilewright.llm.frames import packed, sliced, stored, unpacked
 from tilewright.llm.words import chunks, hashed_words, join_hashes, mix, mixed
 
 PROBES = (4, 1)  # words of 64 bits looked at on the first level and on each further one, seven bits in each
 BITS = (40, 10)  # for each entry of the first level and of each further one; half of all bits are set
 LEVELS = 60
+LEAST = np.array([0, *(1 << level for level in range(LEVELS - 1))], np.int64)  # count of each level
 PRIOR = 20.0  # weight of the single token against the pair
 SHARD_TOKENS = 1 << 20
 SHARDS_AT_ONCE = 64  # 5 MB each at most
+BROADCAST_SHARDS = 8  # the most shards of a model that is broadcast unasked
 WORDS_AT_ONCE = 1 << 22  # 24 bytes each
 SHARDS_SENT = 8  # in one piece
 WORDS_SENT = 1 << 19  # in one piece
+SLICE_BYTES = 1 << 23  # texts that ask together
+ANSWERED_PAIRS = 1 << 17  # looked up together
+HELD = -1  # slice number of what is asked, which so stands before those that ask it
 END = mixed(0x656E64)
 
 
@@ -97,10 +106,10 @@ class LogBloom:
             at = begin + ((own >> half) * size >> half).astype(np.int64)
             yield at, _FOUR[own & low] | _THREE[own >> np.uint64(16) & low]
 
-    def counts(self, hashes: np.ndarray, which: np.ndarray | None = None) -> np.ndarray:
-        """Least count of the level that each hash is read on in its filter; 0 for none."""
+    def levels(self, hashes: np.ndarray, which: np.ndarray | None = None) -> np.ndarray:
+        """The level that each hash is read on in its filter; 0 for none."""
         which = np.zeros(len(hashes), np.int64) if which is None else which
-        out, left = np.zeros(len(hashes), np.int64), np.arange(len(hashes))
+        out, left = np.zeros(len(hashes), np.uint8), np.arange(len(hashes))
         for level in range(1, LEVELS):
             if not len(left):
                 break
@@ -108,9 +117,13 @@ class LogBloom:
             for at, bits in self.places(hashes[left], which[left], level):
                 found &= self.words[at] & bits == bits
             left = left[found]
-            out[left] = 1 << (level - 1)
+            out[left] = level
         return out
 
+    def counts(self, hashes: np.ndarray, which: np.ndarray | None = None) -> np.ndarray:
+        """Least count of the level that each hash is read on in its filter; 0 for none."""
+        return LEAST[self.levels(hashes, which)]
+
 
 def read_anew(piece: Broadcast):
     """Value of a piece that the worker does not keep; an encrypted piece has no file of its own and is kept."""
@@ -307,22 +320,235 @@ def _look(words: SentWords, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def chances(hand: dict, first: tuple[np.ndarray, np.ndarray], second: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """Probability of each token after the one before it, from ``c`` and ``q`` of the first, ``c`` of the second and the pair."""
-    single = (second + 1) / (hand["total"] + hand["known"] + 1)
-    c, all_of = first
     own = hand["bloom"].counts(pairs, (pairs % np.uint64(hand["shards"])).astype(np.int64) - hand["from"])
+    return _chances(hand, first, second, own)
+
+
+def _chances(model: dict, first: tuple[np.ndarray, np.ndarray], second: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The same from the counts read for the pairs."""
+    single = (second + 1) / (model["total"] + model["known"] + 1)
+    c, all_of = first
     left = np.maximum(c - all_of, 0) + PRIOR
     return (np.minimum(own, all_of) + left * single) / (all_of + left)
 
 
-def language_scores(docs: DataFrame, model: dict, held_out: Column | None = None, shards_at_once: int = SHARDS_AT_ONCE,
-                    words_at_once: int = WORDS_AT_ONCE) -> DataFrame:
+def _slices(given: DataFrame) -> DataFrame:
+    """Slices of texts, a row each: ids and folds, tokens before each text (and after the last), distinct hashes, place of each token in them."""
+
+    def cut(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get().partitionId(), 0
+        for batch in read:
+            for part in sliced(batch, SLICE_BYTES):
+                seen = [tokens(data, where) for _, data, where in chunks(part.column("text"))]
+                own, at = np.unique(np.concatenate([h for h, _ in seen]), return_inverse=True)
+                first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in seen]))])
+                yield pa.RecordBatch.from_pydict({
+                    "slice": [task << 32 | made],
+                    **{c: pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(c)) for c in ("doc_id", "held_out")},
+                    "first": [first.astype(np.int64).tobytes()], "own": [thin(own)],
+                    "at": packed(pa.array([at.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()]))})
+                made += 1
+
+    return given.mapInArrow(cut, "slice long, doc_id array<long>, held_out array<boolean>, first binary, own binary, at binary")
+
+
+def _own(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of a slice and the place of each token in them."""
+    at = np.frombuffer(unpacked(pa.array([row["at"]]))[0], np.uint8).reshape(4, -1)
+    return whole(row["own"]), np.ascontiguousarray(at.T).view("<u4").ravel().astype(np.int64)
+
+
+def thin(ascending: np.ndarray) -> bytes:
+    """Ascending numbers as the bytes of their steps, all first bytes first; the bytes that are zero in every step are left out."""
+    steps = np.diff(ascending, prepend=np.uint64(0))
+    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def whole(held: bytes) -> np.ndarray:
+    """The numbers of ``thin``."""
+    steps = np.frombuffer(held, np.uint8, offset=1).reshape(held[0], -1)
+    out = np.zeros((steps.shape[1], 8), np.uint8)
+    out[:, :held[0]] = steps.T
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
+
+
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    """Each once, ascending; sorting is faster here than the hash table of ``np.unique``."""
+    own = np.sort(hashes)
+    return own[np.append(True, own[1:] != own[:-1])]
+
+
+def _dealt(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which hashes are asked, by part, and the part of each in this order."""
+    part = (hashes % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)  # two bytes are sorted by radix
+    order = np.argsort(part, kind="stable")
+    return order, part[order].astype(np.int64)
+
+
+def _asked(slices: DataFrame, parts: int, of_pairs: bool) -> DataFrame:
+    """For each slice and part one row: the distinct pairs, or words, to be looked up there, divided by the number of parts."""
+
+    def ask(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in read:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if of_pairs:
+                    own, at = _own(row)
+                    hashes = _distinct(pair_hashes(own[at]))
+                else:
+                    hashes = whole(row["own"])
+                order, part = _dealt(hashes, parts)
+                hashes = hashes[order] // np.uint64(parts)
+                edges = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+                ends = [*edges[1:].tolist(), len(part)]
+                yield pa.RecordBatch.from_pydict({
+                    "part": part[edges], "slice": np.full(len(edges), row["slice"], np.int64),
+                    "held": pa.array([thin(hashes[a:b]) for a, b in zip(edges.tolist(), ends, strict=True)], pa.binary())})
+
+    return slices.select("slice", "own", *["at"] * of_pairs).mapInArrow(ask, "part long, slice long, held binary")
+
+
+def _word_parts(words: DataFrame, parts: int) -> DataFrame:
+    """The vocabulary, a row for each part: hashes, ascending, their ``c`` and their ``q``."""
+
+    def made(part: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        own = [table[c].to_numpy() for c in ("hash", "c", "q")]
+        order = np.argsort(own[0].view(np.uint64))
+        return pa.RecordBatch.from_pydict({"part": [part], "held": [b"".join(v[order].tobytes() for v in own)]})
+
+    def pack(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in read:
+            part = np.asarray(batch.column("part"))
+            edges = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(part)], strict=True):
+                if b > a and held and now != part[a]:
+                    yield made(now, held)
+                    held = []
+                if b > a:
+                    now = int(part[a])
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield made(now, held)
+
+    # the part of a hash without its sign, as ``_dealt`` has it
+    part = F.pmod(F.pmod("hash", F.lit(parts)) + F.when(F.col("hash") < 0, 2**64 % parts).otherwise(0), F.lit(parts))
+    dealt = words.select(part.cast("long").alias("part"), "hash", "c", "q").repartition(parts, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(pack, "part long, held binary")
+
+
+def _filter_levels(held: bytes | None, asked: np.ndarray) -> np.ndarray:
+    """The level of each pair in a shard."""
+    return np.zeros(len(asked), np.uint8) if held is None else LogBloom.joined([held]).levels(asked)
+
+
+def _word_counts(held: bytes | None, asked: np.ndarray) -> np.ndarray:
+    """``c`` of all words asked for, then ``q``."""
+    out = np.zeros((2, len(asked)), np.int64)
+    if held is not None:
+        own, *values = np.frombuffer(held, np.int64).reshape(3, -1)
+        at = np.minimum(np.searchsorted(own.view(np.uint64), asked), len(own) - 1)
+        hit = own.view(np.uint64)[at] == asked
+        for row, value in zip(out, values, strict=True):
+            row[hit] = value[at[hit]]
+    return out
+
+
+def _answers(held: DataFrame, asked: DataFrame, parts: int, reply, kind: int) -> DataFrame:
+    """What each part says to each slice. What is held comes first, then each request by itself, so a task holds one part."""
+
+    def said(part: int, value: bytes | None, asked: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        own = [whole(body) for _, body in asked]
+        ends = np.cumsum([len(v) for v in own])
+        answers = reply(value, np.concatenate(own) * np.uint64(parts) + np.uint64(part))
+        return pa.RecordBatch.from_arrays([pa.array([number for number, _ in asked], pa.int64()), pa.array([part] * len(asked), pa.int64()),
+                                           packed(pa.array([v.tobytes() for v in np.split(answers, ends[:-1], axis=-1)], pa.binary()))],
+                                          names=["slice", "part", "answer"])
+
+    def answer(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, value, asked, size = None, None, [], 0
+        for batch in read:
+            for part, number, body in zip(*(batch.column(c).to_pylist() for c in ("part", "slice", "held")), strict=True):
+                if asked and (part != at or size >= ANSWERED_PAIRS << 3):
+                    yield said(at, value, asked)
+                    asked, size = [], 0
+                if part != at:
+                    at, value = part, None
+                if number == HELD:
+                    value = body
+                else:
+                    asked.append((number, body))
+                    size += len(body)
+        if asked:
+            yield said(at, value, asked)
+
+    both = held.select("part", F.lit(HELD).cast("long").alias("slice"), "held").unionByName(asked)
+    dealt = both.repartition(max(1, parts // 2), "part").sortWithinPartitions("part", "slice")
+    return dealt.mapInArrow(answer, "slice long, part long, answer binary").withColumn("kind", F.lit(kind))
+
+
+def _asking_scores(given: DataFrame, model: dict) -> DataFrame:
+    """The sums of each row, by asking the model where it lies."""
+    shards, parts = model["shards"], max(1, -(-model["known"] // WORDS_SENT))
+    slices = stored(_slices(given), "slices")
+    levels = stored(_answers(model["filters"].select(F.col("shard").alias("part"), F.col("bits").alias("held")),
+                             _asked(slices, shards, True), shards, _filter_levels, 1), "levels")
+    counts = stored(_answers(_word_parts(model["words"], parts), _asked(slices, parts, False), parts, _word_counts, 2), "counts")
+    known = {"total": model["total"], "known": model["known"]}
+
+    def summed(row: dict, levels: list[bytes], counts: list[bytes]) -> pa.RecordBatch:
+        own, at = _own(row)
+        first = np.frombuffer(row["first"], np.int64)
+        pairs, where = np.unique(pair_hashes(own[at]), return_inverse=True)
+        q, (c, all_of) = np.zeros(len(pairs), np.int64), np.zeros((2, len(own)), np.int64)
+        q[_dealt(pairs, shards)[0]] = LEAST[np.frombuffer(b"".join(levels), np.uint8)]
+        order = _dealt(own, parts)[0]
+        c[order], all_of[order] = np.concatenate([np.frombuffer(v, np.int64).reshape(2, -1) for v in counts], axis=1)
+        before = np.append(np.searchsorted(own, END), at[:-1])
+        values = np.stack([c[at] > 0, np.log10((c[at] + 1) / (known["total"] + known["known"] + 1)),
+                           np.log10(_chances(known, (c[before], all_of[before]), c[at], q[where]))])
+        hit, base_score, score = np.add.reduceat(values, first[:-1], axis=1)
+        return pa.RecordBatch.from_pydict({
+            "doc_id": pa.array(row["doc_id"], pa.int64()), "held_out": pa.array(row["held_out"], pa.bool_()), "n_tokens": np.diff(first),
+            "n_known": hit.astype(np.int64), "base_score": base_score, "score": score})
+
+    def add(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, said = None, {}
+        for batch in read:
+            for i in range(batch.num_rows):
+                now = batch.slice(i, 1).to_pylist()[0]
+                if now["kind"] == 0:
+                    if row is not None:
+                        yield summed(row, said[1], said[2])
+                    row, said = now, {1: [], 2: []}
+                else:
+                    said[now["kind"]] += unpacked(pa.array([now["answer"]]))
+        if row is not None:
+            yield summed(row, said[1], said[2])
+
+    rows = slices.withColumn("kind", F.lit(0)).unionByName(levels, True).unionByName(counts, True)
+    dealt = rows.repartition("slice").sortWithinPartitions("slice", "kind", "part")
+    return dealt.mapInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+
+
+def language_scores(docs: DataFrame, model: dict, held_out: Column | None = None, shards_at_once: int | None = None,
+                    words_at_once: int | None = None) -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of each row.
 
     A null text is empty, and an empty text is its end alone. Null ids stay null, repeated rows are scored alike, an empty training
-    set knows no token and gives every token one chance in one. Other columns are left out. The passes run when this is called.
+    set knows no token and gives every token one chance in one. Other columns are left out. The passes run when this is called, or the
+    questions are asked. A model of up to ``BROADCAST_SHARDS`` shards and ``WORDS_AT_ONCE`` words, or of any size where these are
+    given, is broadcast.
     """
     out = F.lit(False) if held_out is None else held_out
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    train_tokens = F.lit(model["total"]).cast("long").alias("train_tokens")
+    if shards_at_once is None and words_at_once is None and (model["shards"] > BROADCAST_SHARDS or model["known"] > WORDS_AT_ONCE):
+        given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), text.alias("text"))
+        return _asking_scores(given, model).select("doc_id", "held_out", "n_tokens", "n_known", train_tokens, "base_score", "score")
+    shards_at_once, words_at_once = shards_at_once or SHARDS_AT_ONCE, words_at_once or WORDS_AT_ONCE
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), F.md5(text).alias("key"), text.alias("text"))
     sums = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("key", pa.string()), *sums.items()])
@@ -361,5 +587,5 @@ def language_scores(docs: DataFrame, model: dict, held_out: Column | None = None
             F.count("*").alias("copies"), *(F.min(c).alias(c) for c in sums)), "pass")
         added = own if added is None else added.unionByName(own)
     whole = added.groupBy("doc_id", "held_out", "key").agg(F.min("copies").cast("int").alias("copies"), *(F.sum(c).alias(c) for c in sums))
-    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model["total"]).cast("long").alias("train_tokens"),
+    return whole.select("doc_id", "held_out", "n_tokens", "n_known", train_tokens,
                         "base_score", "score", F.expr("explode(array_repeat(1, copies)) AS copy")).drop("copy")
