@@ -1,10 +1,13 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import hashlib
 import io
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -451,3 +454,69 @@ def test_points_of_large_tiles_only_are_not_multiplied(spark, monkeypatch):
     assert read_tiles(found) == want
     assert {r.n_parts > 1 for r in found} == {True, False}
     assert 0 < kept[0].count() < 100
+
+
+def shuffle_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f for folder in folders for f in Path(folder.getPath()).rglob("shuffle_*.data")}
+
+
+def test_large_tiles_are_made_run_by_run(spark, monkeypatch):
+    """Blocks made in runs and slices give the same rows, and no run leaves its shuffle or its features on disk."""
+    monkeypatch.setattr(plans, "BLOCK_BYTES", 2000)
+    options = TileOptions(part_bytes=8000)
+    made = points(spark, [(i, f"n{i % 7}", i % 40 / 10, i % 30 / 10) for i in range(400)])
+    order = ["z", "x", "y", "part"]
+    want = plans.tile_pyramid(made, 0, 2, options).orderBy(order).collect()
+    kept, cuts = [], []
+    monkeypatch.setattr(plans, "RUN_BLOCKS", 5)
+    keep, cut = plans.stored, plans.cut_lineage
+    monkeypatch.setattr(plans, "stored", lambda *a: kept.append(keep(*a)) or kept[-1])
+    monkeypatch.setattr(plans, "cut_lineage", lambda frame: cuts.append(frame) or cut(frame))
+    gc.collect()
+    before = shuffle_files(spark)
+    tiles = plans.tile_pyramid(made, 0, 2, options)
+    folders = {Path(f.removeprefix("file:")).parent for f in kept[0].inputFiles()}
+    assert len(kept) == 1 and sum("n_values" in c.columns for c in cuts) > 3 and not any(f.exists() for f in folders)
+    found = tiles.orderBy(order).collect()
+    assert found == want and max(r.n_parts for r in found) > 2
+    until = time.time() + 20  # files go in the background
+    plans.tile_pyramid(made, 0, 2, options)
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+    assert len(left) == 0
+
+
+def test_blocks_of_a_part_are_joined_where_they_lie(spark, monkeypatch):
+    """Finished bytes are not shuffled, unless buckets are empty; then too the rows are those of the plain way."""
+    monkeypatch.setattr(plans, "BLOCK_BYTES", 300)
+    many = points(spark, [(i, f"n{i % 7}", i % 40 / 10, i % 30 / 10) for i in range(400)])
+    seldom = points(spark, [(i, "x" * 290, 1.0 + i, 2.0) for i in range(40)])
+    plain, order, gathered = [], ["z", "x", "y", "part"], "collect_list"
+    for layer, shuffles, part_bytes in ((many, False, 1 << 20), (seldom, True, 600)):
+        tiles = plans.tile_pyramid(layer, 0, 0, TileOptions(part_bytes=part_bytes))
+        assert (gathered in plan_of(tiles)) == shuffles
+        plain.append(tiles.orderBy(order).collect())
+    monkeypatch.setattr(plans, "SENT_BLOCKS", 0)
+    for layer, part_bytes, want in ((many, 1 << 20, plain[0]), (seldom, 600, plain[1])):
+        tiles = plans.tile_pyramid(layer, 0, 0, TileOptions(part_bytes=part_bytes))
+        assert gathered in plan_of(tiles) and tiles.orderBy(order).collect() == want
+    assert max(r.n_parts for r in plain[1]) > 3
+
+
+@pytest.mark.parametrize("sizes", [[], [5], [3, 40, 3, 33, 0, 7, 200, 1]])
+def test_messages_wait_by_length(sizes):
+    lens, body = np.array(sizes, np.int64), np.random.default_rng(3).integers(0, 256, sum(sizes)).astype(np.uint8)
+    held = mvt._packed_messages(body, lens)
+    assert mvt._messages(held) == body.tobytes() and int.from_bytes(held[:4], "little") == len(body)
+
+
+def test_waiting_points_are_small():
+    """Ids that occur once and a few values take under eleven bytes of a feature while they wait."""
+    n, draw = 8000, np.random.default_rng(1)
+    table = pa.table({"tile_no": np.zeros(n, np.int64), "bucket": np.zeros(n, np.int64), "id": np.sort(draw.integers(0, 10**10, n)),
+                      "kind": draw.integers(0, 50, n), "day": [f"1995-{d // 28 % 12 + 1:02}-{d % 28 + 1:02}" for d in draw.integers(0, 336, n)],
+                      "step_x": draw.integers(0, 8192, n), "step_y": draw.integers(0, 8192, n)})
+    row = mvt.encode_parts(table, ["id", "kind", "day"], POINT).to_pylist()[0]
+    assert sum(len(v) for v in row.values() if isinstance(v, bytes)) < 11 * n

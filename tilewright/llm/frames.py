@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -10,20 +9,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.operators.checkpoints import shared_folder, shuffles_dropped
-
-
-def new_folder(frame: DataFrame, name: str) -> str:
-    """A path of its own below the shared folder."""
-    return f"{shared_folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(frame: DataFrame, name: str) -> DataFrame:
-    """Write a frame once to the shared folder and read on from there; this cuts its lineage and drops its shuffles."""
-    folder = new_folder(frame, name)
-    with shuffles_dropped(frame.sparkSession):
-        frame.write.option("compression", "zstd").parquet(folder)
-    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+from tilewright.operators.checkpoints import new_folder, stored  # noqa: F401, for the operators
 
 
 def doc_key(column: Column | str = "doc_id") -> Column:
