@@ -257,6 +257,8 @@ def test_language_workers_hold_one_piece(spark):
     shards = [LogBloom.of(hashes[hashes % np.uint64(4) == k], np.full(int((hashes % np.uint64(4) == k).sum()), 3)) for k in range(4)]
     send = spark.sparkContext.broadcast
     filters = language.SentFilters([send((np.array([k]), LogBloom.joined([shards[k].words.tobytes()]))) for k in range(4)], 4)
+    want = np.select([hashes % np.uint64(4) == k for k in range(4)], [shards[k].counts(hashes) for k in range(4)])  # some are read too high
+    assert (want >= 2).all() and (want == 2).mean() > 0.95
     own = np.sort(hashes.view(np.int64))
     parts = [own[np.mod(own, 4) == k] for k in range(4)]
     words = language.SentWords([send({"hash": p, "c": p % 97, "q": p % 89}) for p in parts], 1)
@@ -265,7 +267,7 @@ def test_language_workers_hold_one_piece(spark):
         for _ in read:
             q = filters.counts(hashes, (hashes % np.uint64(4)).astype(np.int64))
             c = words.look(own.view(np.uint64))
-            right = bool((q == 2).all() and (c[0] == own % 97).all() and (c[1] == own % 89).all())
+            right = bool((q == want).all() and (c[0] == own % 97).all() and (c[1] == own % 89).all())
             yield pa.RecordBatch.from_pydict({"right": [right], "kept": [sum("_value" in vars(p) for p in (*filters.pieces, *words.pieces))]})
 
     rows = spark.range(1, numPartitions=1).mapInArrow(ask, "right boolean, kept long").collect()
